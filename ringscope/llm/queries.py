@@ -2,12 +2,18 @@
 
 from __future__ import annotations
 
-from . import license_scan
+from . import license_scan, quality_rules
 
 
 def queries() -> dict:
-    return {"op1_license_scan": license_scan.op1_license_scan}
+    return {
+        "op1_license_scan": license_scan.op1_license_scan,
+        "op2_quality_rules": quality_rules.op2_quality_rules,
+    }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_license_scan": license_scan.oracle()}
+    return {
+        "op1_license_scan": license_scan.oracle(),
+        "op2_quality_rules": quality_rules.oracle(),
+    }
