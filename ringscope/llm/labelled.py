@@ -17,11 +17,12 @@ def fold_of(doc_id, n: int) -> int:
     return zlib.crc32(("" if doc_id is None else str(doc_id)).encode()) % n
 
 
-def sample_labelled(docs: DataFrame, labels: DataFrame, target: str, n_folds: int, held: int, rows_per_class: int, text_col: str = "text", id_col: str = "doc_id", bytes_per_class: int = 24 << 20) -> tuple[list[str], np.ndarray]:
+def sample_labelled(docs: DataFrame, labels: DataFrame, target: str, n_folds: int, held: int, rows_per_class: int, text_col: str = "text", id_col: str = "doc_id", bytes_per_class: int = 24 << 20) -> tuple[list[str], np.ndarray, float]:
     """Whole texts and 0/1 labels of about rows_per_class rows of each class at most,
     and of about bytes_per_class bytes, whichever is less, from rows outside the held
     fold. Rows are chosen by a hash of their id, so the sample is the same on every run.
-    The bounds are what reaches the driver; nothing else does."""
+    The bounds are what reaches the driver; nothing else does. Last comes the share of
+    label 1 among all labelled rows outside the fold."""
     known = labels.where(F.col(target).isin(0, 1) & (fold("doc_id", n_folds) != held)).select(F.col("doc_id").alias("_id"), F.col(target).cast("int").alias("y")).dropDuplicates(["_id"])
     rows = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("text")).where(F.length("text") > 0).join(known, "_id")
     rows = rows.withColumn("u", F.pmod(F.xxhash64("_id", F.lit("sample")), F.lit(1 << 20)))
@@ -31,17 +32,19 @@ def sample_labelled(docs: DataFrame, labels: DataFrame, target: str, n_folds: in
         share = min(1.0, rows_per_class / n, bytes_per_class / max(b, 1))
         bound = F.when(F.col("y") == y, F.lit(int(share * (1 << 20)))).otherwise(bound)
     got = rows.where(F.col("u") < bound).select("_id", "y", "text").toPandas().sort_values(["_id", "y"], kind="stable")
-    return got["text"].tolist(), got["y"].to_numpy(dtype=float)
+    share = sizes.get(1, (0, 0))[0] / max(1, sum(n for n, _ in sizes.values()))
+    return got["text"].tolist(), got["y"].to_numpy(dtype=float), share
 
 
-def fit_logistic(x: np.ndarray, y: np.ndarray, l2: float = 1e-2, steps: int = 60) -> np.ndarray:
-    """Weights of a class-balanced logistic regression, bias last, by Newton steps."""
+def fit_logistic(x: np.ndarray, y: np.ndarray, l2: float = 1e-2, steps: int = 60, positives: float = 0.5) -> np.ndarray:
+    """Weights of a logistic regression, bias last, by Newton steps. The classes are
+    weighted as if label 1 made up the share `positives` of the rows."""
     x = np.column_stack([x, np.ones(len(x))])
     w = np.zeros(x.shape[1])
     if not len(y):
         return w
     share = max(y.mean(), 1 / (len(y) + 1)), max(1 - y.mean(), 1 / (len(y) + 1))
-    weight = np.where(y == 1, 0.5 / share[0], 0.5 / share[1])
+    weight = np.where(y == 1, positives / share[0], (1 - positives) / share[1])
     ridge = np.full(x.shape[1], l2 * len(y))
     ridge[-1] = 1e-6 * len(y)
     for _ in range(steps):

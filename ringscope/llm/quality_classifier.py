@@ -100,7 +100,8 @@ def fit(texts: list[str], y: np.ndarray) -> CompressionModel:
 
 
 def fit_from(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", rows_per_class: int = ROWS_PER_CLASS) -> CompressionModel:
-    return fit(*sample_labelled(docs, labels, "quality", HELD_OF, HELD, rows_per_class, text_col, id_col))
+    texts, y, _ = sample_labelled(docs, labels, "quality", HELD_OF, HELD, rows_per_class, text_col, id_col)
+    return fit(texts, y)
 
 
 def score_quality(docs: DataFrame, model: CompressionModel, text_col: str = "text", score_col: str = "score") -> DataFrame:

@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-from . import license_scan, quality_rules
+from . import license_scan, quality_classifier, quality_rules, toxicity
 
 
 def queries() -> dict:
     return {
         "op1_license_scan": license_scan.op1_license_scan,
         "op2_quality_rules": quality_rules.op2_quality_rules,
+        "op3_quality_classifier": quality_classifier.op3_quality_classifier,
+        "op10_toxicity": toxicity.op10_toxicity,
     }
 
 
