@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import license_scan, quality_classifier, quality_rules, toxicity
+from . import license_scan, minhash, quality_classifier, quality_rules, toxicity
 
 
 def queries() -> dict:
@@ -10,6 +10,7 @@ def queries() -> dict:
         "op1_license_scan": license_scan.op1_license_scan,
         "op2_quality_rules": quality_rules.op2_quality_rules,
         "op3_quality_classifier": quality_classifier.op3_quality_classifier,
+        "op4_minhash": minhash.op4_minhash,
         "op10_toxicity": toxicity.op10_toxicity,
     }
 
@@ -18,4 +19,5 @@ def oracle_sql() -> dict[str, str]:
     return {
         "op1_license_scan": license_scan.oracle(),
         "op2_quality_rules": quality_rules.oracle(),
+        "op4_minhash": minhash.oracle(),
     }
