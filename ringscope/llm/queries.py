@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe, license_scan, minhash, packing, quality_classifier, quality_rules, toxicity
+from . import bpe, exact_dedup, license_scan, minhash, packing, quality_classifier, quality_rules, toxicity
 
 
 def queries() -> dict:
@@ -11,6 +11,7 @@ def queries() -> dict:
         "op2_quality_rules": quality_rules.op2_quality_rules,
         "op3_quality_classifier": quality_classifier.op3_quality_classifier,
         "op4_minhash": minhash.op4_minhash,
+        "op5_exact_dedup": exact_dedup.op5_exact_dedup,
         "op7_bpe": bpe.op7_bpe,
         "op9_packing": packing.op9_packing,
         "op10_toxicity": toxicity.op10_toxicity,
@@ -22,4 +23,5 @@ def oracle_sql() -> dict[str, str]:
         "op1_license_scan": license_scan.oracle(),
         "op2_quality_rules": quality_rules.oracle(),
         "op4_minhash": minhash.oracle(),
+        "op5_exact_dedup": exact_dedup.oracle(),
     }
