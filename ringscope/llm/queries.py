@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe, exact_dedup, license_scan, minhash, packing, quality_classifier, quality_rules, toxicity
+from . import bpe, exact_dedup, license_scan, minhash, packing, quality_classifier, quality_rules, toxicity, warc
 
 
 def queries() -> dict:
@@ -12,6 +12,7 @@ def queries() -> dict:
         "op3_quality_classifier": quality_classifier.op3_quality_classifier,
         "op4_minhash": minhash.op4_minhash,
         "op5_exact_dedup": exact_dedup.op5_exact_dedup,
+        "op6_warc": warc.op6_warc,
         "op7_bpe": bpe.op7_bpe,
         "op9_packing": packing.op9_packing,
         "op10_toxicity": toxicity.op10_toxicity,
