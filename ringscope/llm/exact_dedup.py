@@ -88,6 +88,15 @@ def exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     )
 
 
+def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of docs that stay, with all their columns: one row a group. docs must be
+    a stored table, whose rows come in the same order each time they are read."""
+    marked = docs.select(row_key("_row_of_dedup"), "*")
+    rows = marked.select(F.col("_row_of_dedup").alias("_row"), F.col(id_col).alias("_id"), text_or_empty(text_col).alias("text"))
+    dropped = stored(_settle(rows, DIGESTS).where("_row <> keep_row").select(F.col("_row").alias("_row_of_dedup")), "dropped")
+    return marked.join(dropped, "_row_of_dedup", "left_anti").drop("_row_of_dedup")
+
+
 def oracle() -> str:
     return r"""
 WITH d AS (SELECT doc_id, length(coalesce(text, '')) AS n, regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]', '', 'g') AS norm FROM documents),

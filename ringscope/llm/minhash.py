@@ -173,21 +173,15 @@ def components(links: DataFrame, name: str = "components") -> DataFrame:
     raise RuntimeError("components did not settle")
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 2, num: int = NUM, den: int = DEN, t: int = T, rows: int = ROWS) -> DataFrame:
-    """One row per input row: id, n_shingles, component_id (smallest id reachable over
-    links), kept (id = component_id).
-
-    Null, empty and blank texts have no shingles and link with nothing. Rows with null
-    ids take part in links, but a null never is a component's smallest id; a component
-    of nulls alone has a null component_id and kept false. Rows with equal ids are
-    linked by their texts alone and are all kept where that id is the smallest. Columns
-    other than id_col and text_col are not read."""
+def grouped(docs: DataFrame, id_col: str, text_col: str, shingle: int = 2, num: int = NUM, den: int = DEN, t: int = T, rows: int = ROWS) -> DataFrame:
+    """_row, _id, n_shingles, component_id and first_row, the row that stays, of each row.
+    docs must be a stored table, whose rows come in the same order each time."""
     id_type = docs.schema[id_col].dataType.simpleString()
     source = docs.select(row_key(), F.col(id_col).alias("_id"), F.xxhash64(F.col(id_col), F.col(text_col)).alias("_rk"), F.col(text_col).cast("string").alias("text"))
     sigs = stored(signatures(source, id_type, shingle, t, rows), "signatures")
 
     nodes = stored(
-        sigs.where("n_shingles > 0").groupBy("digest").agg(F.min("_row").alias("node"), F.min("_id").alias("min_id"), F.first("n_shingles").alias("n"), F.min_by("_rk", "_row").alias("_rk"), F.first("bands").alias("bands")),
+        sigs.where("n_shingles > 0").groupBy("digest").agg(F.min("_row").alias("node"), F.min(F.struct(F.col("_id").isNull().alias("no_id"), F.col("_id").alias("id"), F.col("_row").alias("row"))).alias("low"), F.first("n_shingles").alias("n"), F.min_by("_rk", "_row").alias("_rk"), F.first("bands").alias("bands")),
         "nodes",
     )
     banded = nodes.select("node", "n", F.explode_outer("bands").alias("bucket"))
@@ -230,15 +224,35 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     tested = tested.unionByName(verify(stored(third, "third-pairs"), sets))
     comp = components(stored(tested.where(linked(num, den)), "links"), "comp-3")
 
-    labelled_nodes = nodes.select("digest", "node", "min_id").join(comp, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
-    labelled_nodes = stored(labelled_nodes.select("digest", "comp", "min_id"), "labelled")
-    smallest = labelled_nodes.groupBy("comp").agg(F.min("min_id").alias("component_id"))
-    named = stored(labelled_nodes.join(stored(smallest, "smallest"), "comp").select("digest", "component_id"), "named")
-    out = sigs.where("n_shingles > 0").select("_id", "n_shingles", "digest").join(named, "digest").select("_id", "n_shingles", "component_id")
-    out = out.union(sigs.where("n_shingles = 0").select("_id", "n_shingles", F.col("_id").alias("component_id")))
+    labelled_nodes = nodes.select("digest", "node", "low").join(comp, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
+    labelled_nodes = stored(labelled_nodes.select("digest", "comp", "low"), "labelled")
+    smallest = labelled_nodes.groupBy("comp").agg(F.min("low").alias("low")).select("comp", F.col("low.id").alias("component_id"), F.col("low.row").alias("first_row"))
+    named = stored(labelled_nodes.drop("low").join(stored(smallest, "smallest"), "comp").select("digest", "component_id", "first_row"), "named")
+    out = sigs.where("n_shingles > 0").select("_row", "_id", "n_shingles", "digest").join(named, "digest").select("_row", "_id", "n_shingles", "component_id", "first_row")
+    return out.union(sigs.where("n_shingles = 0").select("_row", "_id", "n_shingles", F.col("_id").alias("component_id"), F.col("_row").alias("first_row")))
+
+
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **parameters) -> DataFrame:
+    """One row per input row: id, n_shingles, component_id (smallest id reachable over
+    links), kept (id = component_id).
+
+    Null, empty and blank texts have no shingles and link with nothing. Rows with null
+    ids take part in links, but a null never is a component's smallest id; a component
+    of nulls alone has a null component_id and kept false. Rows with equal ids are
+    linked by their texts alone and are all kept where that id is the smallest. Columns
+    other than id_col and text_col are not read."""
+    out = grouped(docs, id_col, text_col, **parameters)
     return out.select(F.col("_id").alias(id_col), "n_shingles", "component_id", F.coalesce(F.col("_id") == F.col("component_id"), F.lit(False)).alias("kept"))
 
 
+def keep_smallest(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **parameters) -> DataFrame:
+    """The rows of docs that stay, with all their columns: of each component the row of
+    the smallest id (null last; of equal ids the first), and every text without words."""
+    marked = docs.select(row_key("_row_of_near"), "*")
+    dropped = stored(grouped(docs, id_col, text_col, **parameters).where("_row <> first_row").select(F.col("_row").alias("_row_of_near")), "near-dropped")
+    return marked.join(dropped, "_row_of_near", "left_anti").drop("_row_of_near")
+
+
 def oracle() -> str:
     """Exact join by prefix filtering, then reachability."""
     lower = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"

@@ -2,11 +2,20 @@
 
 from __future__ import annotations
 
-from . import bpe, exact_dedup, license_scan, minhash, packing, quality_classifier, quality_rules, toxicity, warc
+from pyspark.sql import DataFrame, SparkSession
+
+from . import bpe, exact_dedup, html_extract, license_scan, minhash, packing, quality_classifier, quality_rules, toxicity, warc
+
+
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, sf_dir)
 
 
 def queries() -> dict:
     return {
+        "pipeline": pipeline,
         "op1_license_scan": license_scan.op1_license_scan,
         "op2_quality_rules": quality_rules.op2_quality_rules,
         "op3_quality_classifier": quality_classifier.op3_quality_classifier,
@@ -14,6 +23,7 @@ def queries() -> dict:
         "op5_exact_dedup": exact_dedup.op5_exact_dedup,
         "op6_warc": warc.op6_warc,
         "op7_bpe": bpe.op7_bpe,
+        "op8_html": html_extract.op8_html,
         "op9_packing": packing.op9_packing,
         "op10_toxicity": toxicity.op10_toxicity,
     }
