@@ -7,6 +7,8 @@ import zlib
 import numpy as np
 from pyspark.sql import DataFrame, functions as F
 
+from .common import stored
+
 
 def fold(col: str, n: int):
     """crc32 of the id as decimal text, modulo n; a null id counts as empty text."""
@@ -20,19 +22,26 @@ def fold_of(doc_id, n: int) -> int:
 def sample_labelled(docs: DataFrame, labels: DataFrame, target: str, n_folds: int, held: int, rows_per_class: int, text_col: str = "text", id_col: str = "doc_id", bytes_per_class: int = 24 << 20) -> tuple[list[str], np.ndarray, float]:
     """Whole texts and 0/1 labels of about rows_per_class rows of each class at most,
     and of about bytes_per_class bytes, whichever is less, from rows outside the held
-    fold. Rows are chosen by a hash of their id, so the sample is the same on every run.
-    The bounds are what reaches the driver; nothing else does. Last comes the share of
-    label 1 among all labelled rows outside the fold."""
-    known = labels.where(F.col(target).isin(0, 1) & (fold("doc_id", n_folds) != held)).select(F.col("doc_id").alias("_id"), F.col(target).cast("int").alias("y")).dropDuplicates(["_id"])
-    rows = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("text")).where(F.length("text") > 0).join(known, "_id")
-    rows = rows.withColumn("u", F.pmod(F.xxhash64("_id", F.lit("sample")), F.lit(1 << 20)))
-    sizes = {r["y"]: (r["n"], r["b"]) for r in rows.groupBy("y").agg(F.count(F.lit(1)).alias("n"), F.sum(F.octet_length("text")).alias("b")).collect()}
-    bound = F.lit(0)
-    for y, (n, b) in sizes.items():
-        share = min(1.0, rows_per_class / n, bytes_per_class / max(b, 1))
-        bound = F.when(F.col("y") == y, F.lit(int(share * (1 << 20)))).otherwise(bound)
-    got = rows.where(F.col("u") < bound).select("_id", "y", "text").toPandas().sort_values(["_id", "y"], kind="stable")
-    share = sizes.get(1, (0, 0))[0] / max(1, sum(n for n, _ in sizes.values()))
+    fold. Rows are chosen by a hash of their id, so the sample is the same on every run;
+    of rows with equal ids one is taken. The chosen ids, a bounded number, are broadcast,
+    so that no text is shuffled but the sample's. Only the sample reaches the driver. Last
+    comes the share of label 1 among all labelled ids outside the fold."""
+    known = labels.where(F.col(target).isin(0, 1) & (fold("doc_id", n_folds) != held)).groupBy(F.col("doc_id").alias("_id")).agg(F.max(F.col(target).cast("int")).alias("y"))
+    known = known.withColumn("u", F.pmod(F.xxhash64("_id", F.lit("sample")), F.lit(1 << 20)))
+    totals = {r["y"]: r["n"] for r in known.groupBy("y").agg(F.count(F.lit(1)).alias("n")).collect()}
+
+    def under(shares: dict[int, float]):
+        bound = F.lit(0)
+        for y, share in shares.items():
+            bound = F.when(F.col("y") == y, F.lit(int(share * (1 << 20)))).otherwise(bound)
+        return F.col("u") < bound
+
+    chosen = known.where(under({y: min(1.0, rows_per_class / n) for y, n in totals.items()}))
+    rows = docs.select(F.col(id_col).alias("_id"), F.col(text_col).cast("string").alias("text")).where(F.length("text") > 0)
+    rows = stored(rows.join(F.broadcast(chosen), "_id").groupBy("_id", "y", "u").agg(F.max("text").alias("text")), "labelled-sample")
+    sizes = {r["y"]: r["b"] for r in rows.groupBy("y").agg(F.sum(F.octet_length("text")).alias("b")).collect()}
+    got = rows.where(under({y: min(1.0, bytes_per_class / b) for y, b in sizes.items()})).select("_id", "y", "text").toPandas().sort_values(["_id", "y"], kind="stable")
+    share = totals.get(1, 0) / max(1, sum(totals.values()))
     return got["text"].tolist(), got["y"].to_numpy(dtype=float), share
 
 
