@@ -13,12 +13,13 @@ one node from the start. No bucket is expanded into its pairs:
 
 1. every node is compared with the smallest node of its buckets (one comparison);
 2. in buckets that still hold several components, every node is compared with the
-   bucket's smallest node, its pivot;
-3. in buckets that then still hold several components, two nodes x, y of different
-   components are compared unless |d(x, pivot) - d(y, pivot)| > 1 - 0.8, which by the
-   triangle inequality of the Jaccard distance d rules the pair out, or their sizes do.
+   bucket's smallest node, its pivot, and what each lacks of the other is noted;
+3. where a bucket then still holds several components, nodes of different components
+   around one pivot are joined under an exact condition: the sizes of their differences
+   to the pivot rule most pairs out, the differences themselves decide the rest. Only
+   links leave that join, never the group's pairs.
 
-All comparisons use the full sets, so no link is a guess, and every pair that shares a
+All comparisons use full sets, so no link is a guess, and every pair that shares a
 bucket is compared, ruled out exactly, or already connected.
 
 Sets hold 64-bit hashes of shingles; equality of whole sets is decided by a 128-bit
@@ -143,11 +144,29 @@ def full_sets(docs: DataFrame, size: int) -> DataFrame:
     return docs.mapInPandas(collect, "_rk long, digest binary, items array<long>")
 
 
-def verify(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """a, b, inter, n_a, n_b of each pair of nodes, from their full sets."""
+def verify(pairs: DataFrame, sets: DataFrame, differences: bool = False) -> DataFrame:
+    """a, b, inter, n_a, n_b of each pair of nodes, from their full sets; with
+    differences also lacks (items of b that a lacks) and adds (items of a beyond b)."""
     left = pairs.join(sets.select(F.col("node").alias("a"), F.col("items").alias("xs")), "a")
     both = left.join(sets.select(F.col("node").alias("b"), F.col("items").alias("ys")), "b")
-    return both.select("a", "b", F.size(F.array_intersect("xs", "ys")).cast("long").alias("inter"), F.size("xs").cast("long").alias("n_a"), F.size("ys").cast("long").alias("n_b"))
+    more = [F.array_except("ys", "xs").alias("lacks"), F.array_except("xs", "ys").alias("adds")] if differences else []
+    return both.select("a", "b", F.size(F.array_intersect("xs", "ys")).cast("long").alias("inter"), F.size("xs").cast("long").alias("n_a"), F.size("ys").cast("long").alias("n_b"), *more)
+
+
+def links_around_pivots(placed: DataFrame, num: int, den: int) -> DataFrame:
+    """a, b: linked nodes of different components that share a pivot.
+
+    placed has for each node (a) and pivot (b) the differences of their sets. The
+    common items of x and y are those of the pivot that neither lacks and those that
+    both add, so the sizes of the differences bound them and the differences give them
+    exactly. Both tests stand in the join's condition: only links leave it."""
+    side = lambda s: placed.select(F.col("b").alias("pivot"), F.col("n_b").alias(f"n_{s}"), *[F.col(c).alias(f"{c}_{s}") for c in ("a", "comp", "lacks", "adds")], F.size("lacks").alias(f"nl_{s}"), F.size("adds").alias(f"na_{s}"), F.col("n_a").alias(f"size_{s}"))
+    x, y = side("x"), side("y").drop("n_y")
+    total = F.col("size_x") + F.col("size_y")
+    most = F.col("n_x") - F.greatest("nl_x", "nl_y") + F.least("na_x", "na_y")
+    inter = F.col("n_x") - F.size(F.array_union("lacks_x", "lacks_y")) + F.size(F.array_intersect("adds_x", "adds_y"))
+    near = (F.col("a_x") < F.col("a_y")) & (F.col("comp_x") != F.col("comp_y")) & (most * (num + den) >= total * num) & (inter * (num + den) >= total * num)
+    return x.join(y, (x["pivot"] == y["pivot"]) & near).select(F.col("a_x").alias("a"), F.col("a_y").alias("b")).distinct()
 
 
 def linked(num: int = NUM, den: int = DEN):
@@ -207,22 +226,18 @@ def grouped(docs: DataFrame, id_col: str, text_col: str, shingle: int = 2, num:
 
     state = stored(labelled(shared), "state-2")
     still = stored(state.join(stored(open_buckets(state), "open-2"), "bucket", "left_semi"), "still-2")
-    second = still.where("node <> pivot").select(F.col("node").alias("a"), F.col("pivot").alias("b")).distinct()
-    fresh = second.join(tested.select("a", "b"), ["a", "b"], "left_anti")
-    tested = stored(tested.unionByName(verify(stored(fresh, "second-pairs"), sets)), "tested-2")
+    second = stored(still.where("node <> pivot").select(F.col("node").alias("a"), F.col("pivot").alias("b")).distinct(), "second-pairs")
+    apart = stored(verify(second, sets, differences=True), "tested-2")
+    tested = tested.unionByName(apart.select(*tested.columns))
     comp = components(tested.where(linked(num, den)), "comp-2")
 
     state = stored(labelled(still.drop("comp")), "state-3")
     still = state.join(stored(open_buckets(state), "open-3"), "bucket", "left_semi")
-    distance = tested.select(F.col("a").alias("node"), F.col("b").alias("pivot"), (1 - F.col("inter") / (F.col("n_a") + F.col("n_b") - F.col("inter"))).alias("d"))
-    placed = stored(still.where("node <> pivot").join(distance, ["node", "pivot"]), "placed-3")
-    left = placed.select("bucket", F.col("node").alias("a"), F.col("comp").alias("comp_a"), F.col("n").alias("size_a"), F.col("d").alias("d_a"))
-    right = placed.select("bucket", F.col("node").alias("b"), F.col("comp").alias("comp_b"), F.col("n").alias("size_b"), F.col("d").alias("d_b"))
-    reach = 1 - num / den + 1e-9
-    able = (F.col("a") > F.col("b")) & (F.col("comp_a") != F.col("comp_b")) & (F.abs(F.col("d_a") - F.col("d_b")) <= reach) & (F.col("size_a") * den >= F.col("size_b") * num) & (F.col("size_b") * den >= F.col("size_a") * num)
-    third = left.join(right, "bucket").where(able).select("a", "b").distinct().join(tested.select("a", "b"), ["a", "b"], "left_anti")
-    tested = tested.unionByName(verify(stored(third, "third-pairs"), sets))
-    comp = components(stored(tested.where(linked(num, den)), "links"), "comp-3")
+    placed = still.where("node <> pivot").select(F.col("node").alias("a"), F.col("pivot").alias("b"), "comp").distinct()
+    placed = stored(placed.join(apart, ["a", "b"]), "placed-3")
+    third = links_around_pivots(placed, num, den)
+    links = tested.where(linked(num, den)).select("a", "b").unionByName(third)
+    comp = components(stored(links, "links"), "comp-3")
 
     labelled_nodes = nodes.select("digest", "node", "low").join(comp, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
     labelled_nodes = stored(labelled_nodes.select("digest", "comp", "low"), "labelled")
