@@ -73,4 +73,4 @@ def coreness_bin(x: Column, bins: int = 11) -> Column:
 
 
 def hover_text(label: Column, c: Column, x: Column) -> Column:
-    return F.concat(F.lit("node: "), label, F.lit(", pair: "), F.coalesce(c.cast("string"), F.lit("residual")), F.lit(", coreness: "), F.coalesce(F.format_string("%.3f", x), F.lit("none")))
+    return F.concat(F.lit("node: "), label, F.lit(", pair: "), F.coalesce(c.cast("string"), F.lit("residual")), F.lit(", coreness: "), F.when(x.isNotNull(), F.format_string("%.3f", x)).otherwise("none"))

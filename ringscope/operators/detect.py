@@ -31,7 +31,8 @@ def replicated(graph: Graph, runs: int) -> Graph:
     """Every graph `runs` times, as graphs g * runs + r."""
     def copies(df: DataFrame) -> DataFrame:
         rest = [c for c in df.columns if c != "g"]
-        return df.select((F.col("g") * runs + F.explode(F.sequence(F.lit(0), F.lit(runs - 1)))).cast("int").alias("g"), *rest)
+        many = df.withColumn("_run", F.explode(F.sequence(F.lit(0), F.lit(runs - 1))))
+        return many.select((F.col("g") * runs + F.col("_run")).cast("int").alias("g"), *rest)
 
     return Graph(copies(graph.nodes), copies(graph.edges)).settled()
 

@@ -135,7 +135,7 @@ t AS (SELECT (SELECT CAST(count(*) AS DOUBLE) FROM v) AS n, (SELECT sum(w) FROM
         "adam_step": f"WITH {USER}, {CORE}, s AS (SELECT sum(x * x) AS s2 FROM lab), y AS (SELECT src AS node, sum(w * x) AS y FROM e JOIN lab ON node = dst GROUP BY src), g AS (SELECT lab.node, x, coalesce(y, 0) - (s2 - x * x) * x AS g FROM lab LEFT JOIN y USING (node), s) SELECT CAST(node AS BIGINT) AS node, round(x + 0.01e0 * ((1 - 0.9e0) * g / (1 - 0.9e0)) / (sqrt((1 - 0.999e0) * g * g / (1 - 0.999e0)) + 1e-8), 9) AS x, round((1 - 0.9e0) * g, 9) AS m, round((1 - 0.999e0) * g * g, 6) AS v FROM g",
         "km_er_move_gain": _gain("km_er"),
         "km_config_move_gain": _gain("km_config"),
-        "rombach_swap_gain": f"WITH {NATION}, {RANKED}, y AS (SELECT rk.node, rk.x, coalesce((SELECT sum(w * o.x) FROM e JOIN rk o ON o.node = dst WHERE src = rk.node AND dst <> src), 0) AS r FROM rk), p AS (SELECT a.node AS a, z.node AS b, a.x AS xa, z.x AS xb, a.r AS ra, z.r AS rb, coalesce(w, 0) AS w FROM y a JOIN y z ON a.node < z.node LEFT JOIN e ON src = a.node AND dst = z.node) SELECT CAST(a AS BIGINT) AS a, CAST(b AS BIGINT) AS b, round((xb - xa) * ((ra - w * xb) - (rb - w * xa)), 6) AS gain FROM p",
+        "rombach_swap_gain": f"WITH {NATION}, {RANKED}, y AS (SELECT rk.node, rk.x, coalesce((SELECT sum(w * o.x) FROM e JOIN rk o ON o.node = dst WHERE src = rk.node AND dst <> src), 0) AS r FROM rk), p AS (SELECT a.node AS a, z.node AS b, a.x AS xa, z.x AS xb, a.r AS ra, z.r AS rb, coalesce(w, 0) AS w FROM y a JOIN y z ON a.node < z.node LEFT JOIN e ON src = a.node AND dst = z.node) SELECT CAST(a AS BIGINT) AS a, CAST(b AS BIGINT) AS b, round((xb - xa) * ((ra - w * xb) - (rb - w * xa)), 9) AS gain FROM p",
         "chung_lu_prob": f"WITH {USER}, c AS (SELECT src AS node, CAST(count(*) AS DOUBLE) AS d FROM e GROUP BY src), t AS (SELECT sum(d) AS t FROM c) SELECT CAST(src AS BIGINT) AS src, CAST(dst AS BIGINT) AS dst, round(least(1e0, a.d * z.d / t), 12) AS p FROM e JOIN c a ON a.node = src JOIN c z ON z.node = dst, t WHERE src <= dst",
         "er_density": f"WITH {USER}, z AS (SELECT CAST((SELECT count(*) FROM v) AS DOUBLE) AS n, CAST((SELECT count(*) FROM e WHERE src < dst) AS DOUBLE) AS m) SELECT n, m, round(m / (n * (n - 1) / 2), 12) AS density FROM z",
         "sidak": "SELECT i AS tests, round(1 - pow(1 - 0.05e0, 1e0 / i), 12) AS level FROM range(1, 21) t(i)",

@@ -198,7 +198,7 @@ def rombach_swap_gain(spark: SparkSession, sf: str) -> DataFrame:
     w = loopless.edges.select(F.col("src").alias("a"), F.col("dst").alias("b"), "w")
     pairs = a.join(b, F.col("a") < F.col("b")).join(w, ["a", "b"], "left").fillna(0.0, ["w"])
     gain = (F.col("xb") - F.col("xa")) * ((F.col("ra") - F.col("w") * F.col("xb")) - (F.col("rb") - F.col("w") * F.col("xa")))
-    return pairs.select("a", "b", F.round(gain, 6).alias("gain"))
+    return pairs.select("a", "b", F.round(gain, 9).alias("gain"))
 
 
 def rossa_score(spark: SparkSession, sf: str) -> DataFrame:
