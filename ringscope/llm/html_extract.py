@@ -240,10 +240,13 @@ def _write_page(rng: random.Random) -> tuple[str, set[str]]:
             return f"<p>{own(words(1, 3))}</p>"
         return rng.choice([advert, notice, advert])()
 
-    title = f"<h1>{own(words(1, 9))}</h1>"
+    bare = rng.random() < 0.15  # a page of nothing but its text
+    title = "" if bare and rng.random() < 0.7 else f"<h1>{own(words(1, 9))}</h1>"
     body = title + "".join(paragraph() for _ in range(rng.randint(1, 9)))
     opened = rng.choice(["article", "article", "article", "main", 'div class="post-content"', 'section id="main"', 'div class="entry"'])
     body = f"<{opened}>{body}{comments() if rng.random() < 0.15 else ''}</{opened.split()[0]}>"
+    if bare:
+        return f"<html><body>{body}</body></html>", main
     top = rng.choice(["", f"<header><h2>{words(1, 4)}</h2>{menu()}</header>", f'<div id="header">{link(words(1, 3))}</div>' + menu(), menu()])
     foot = rng.choice([f"<footer>&copy; {words(1, 3)} &middot; {sentence(3, 15)}</footer>", f'<div class="footer"><p>{words(3, 12)}</p><ul><li>{link(words(1, 3))}</li></ul></div>', f"<footer><p>{sentence(3, 30)}</p></footer>"])
     around = [top, *(f() for f in (advert, notice, form, sidebar) if rng.random() < 0.4), body, *(f() for f in (sidebar, comments, advert, form) if rng.random() < 0.35), foot]

@@ -90,7 +90,9 @@ def fit(texts: list[str], y: np.ndarray) -> CompressionModel:
     Without texts of both classes, every score is the share of label 1 (or 0.5)."""
     order = {c: [i for i in range(len(y)) if y[i] == c] for c in (0, 1)}
     if min(map(len, order.values())) < 2:
-        return CompressionModel(b" ", b" ", np.zeros(5), float(y.mean()) if len(y) else 0.5)
+        share = float(y.mean()) if len(y) else 0.5
+        odds = np.log(max(share, 1e-12)) - np.log(max(1 - share, 1e-12))
+        return CompressionModel(b" ", b" ", np.array([0.0] * 4 + [odds]), share)
     kinds = {c: _dictionary([texts[i] for i in order[c][::2]]) for c in (0, 1)}
     model = CompressionModel(kinds[1], kinds[0], np.zeros(5))
     rest = [i for c in (0, 1) for i in order[c][1::2]]
