@@ -1,14 +1,14 @@
 """BPE encoding and decoding with a pair occurrence index.
 
-The words of a stretch of a partition that were not met before are laid out as one
-array of symbols. The index maps each adjacent pair that has a merge rule to the
+Texts are cut at spaces into units; units met before are looked up, and the words of
+the new units of a stretch of a partition are laid out as one array of symbols. The index maps each adjacent pair that has a merge rule to the
 places where it occurs. The lowest active rank is applied to all its places at once;
 the merged symbols' new pairs are looked up and put on the lists of their ranks, and
 places that a merge has changed fall away when their list's turn comes. A merge can
 only make pairs of higher rank (checked when the vocabulary is read), so ranks are
 applied in ascending order and each word sees the merges it would see alone.
 
-Words met before are kept in a bounded memory of each Python worker. Vocabulary files
+Units met before are kept in a bounded memory of each task. Vocabulary files
 are read by the driver and travel with the task.
 """
 
@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from .common import read
 
-#: Words remembered by a worker, and characters whose new words are merged together.
+#: Units remembered by a task, and characters whose new words are merged together.
 MEMORY = 400_000
 STRETCH = 8_000_000
 
@@ -52,6 +52,7 @@ def category_class(kind: str) -> str:
 
 
 SPACE = "\\t-\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000"
+_space_run = re.compile(f" [{SPACE}]")
 TAILS = "'s|'t|'re|'ve|'m|'ll|'d"
 
 
@@ -61,10 +62,11 @@ def word_patterns(spaced: bool) -> tuple[re.Pattern, re.Pattern]:
     space before it along, and white space is kept."""
     made = []
     for letters, digits, space in (("A-Za-z", "0-9", " \\t-\\r"), (category_class("L"), category_class("N"), SPACE)):
+        # tails begin with a sign, so letters and digits may be tried before them
         if spaced:
-            made.append(re.compile(f"{TAILS}| ?[{letters}]+| ?[{digits}]+| ?[^{space}{letters}{digits}]+|[{space}]+(?![^{space}])|[{space}]+"))
+            made.append(re.compile(f" ?[{letters}]+| ?[{digits}]+|{TAILS}| ?[^{space}{letters}{digits}]+|[{space}]+(?![^{space}])|[{space}]+"))
         else:
-            made.append(re.compile(f"{TAILS}|[{letters}]+|[{digits}]|[^{space}{letters}{digits}]+"))
+            made.append(re.compile(f"[{letters}]+|[{digits}]|{TAILS}|[^{space}{letters}{digits}]+"))
     return made[0], made[1]
 
 
@@ -102,9 +104,24 @@ class Vocabulary:
         at[at == len(self.keys)] = 0
         return np.where(self.keys[at] == key, self.ranks[at], -1)
 
+    def units(self, text: str) -> list[str]:
+        """text cut before spaces, where no word crosses the cut, so that a unit's words
+        don't depend on its neighbours. Where white space follows a space, a word may
+        hold both, and the words themselves are the units."""
+        if self.lower:
+            return text.split(" ")
+        if "\0" in text or _space_run.search(text):
+            return self.words(text)
+        return text.replace(" ", "\0 ").split("\0")
+
     def words(self, text: str) -> list[str]:
         """The pieces that are encoded on their own; special tokens are pieces."""
-        if any(s in text for s in self.special):
+        if self.lower:
+            if text.isascii() and text.isalpha():
+                return [text.lower()]
+        elif text[1:].isalpha() and (text[0] == " " or text[0].isalpha()):
+            return [text]
+        if any(map(text.__contains__, self.special)):
             cut = re.split("(" + "|".join(map(re.escape, self.special)) + ")", text)
             return [w for k, part in enumerate(cut) for w in ([part] if k % 2 else self._plain(part))]
         return self._plain(text)
@@ -117,8 +134,9 @@ class Vocabulary:
             text = unicodedata.normalize("NFC", text).replace("Σ", "σ").lower()
         return all_.findall(text)
 
-    def encode_words(self, words: list[str]) -> list[np.ndarray]:
-        """Ids of each word, by the pair occurrence index over all of them."""
+    def encode_words(self, words: list[str]) -> tuple[np.ndarray, list[int]]:
+        """Ids of all words one after another, by the pair occurrence index over all of
+        them, and where each word's ids begin, with the end last."""
         raw = [w.encode("utf-8", "replace") for w in words]
         sizes = np.fromiter(map(len, raw), dtype=np.int64, count=len(raw))
         ends = np.cumsum(sizes)
@@ -133,13 +151,7 @@ class Vocabulary:
         before[np.append(0, full[:-1] + 1) if len(full) else []] = -1
         self._merge_all(sym, after, before)
         kept = sym >= 0
-        out = sym[kept]
-        bounds = np.append(0, np.cumsum(kept))[ends] if n else np.zeros(len(raw), dtype=np.int64)
-        out_words = np.split(out, bounds[:-1]) if len(raw) else []
-        for k, w in enumerate(words):
-            if w in self.special:
-                out_words[k] = np.array([self.special[w]], dtype=np.int32)
-        return out_words
+        return sym[kept], np.append(0, np.cumsum(kept))[np.append(0, ends)].tolist()
 
     def _merge_all(self, sym: np.ndarray, after: np.ndarray, before: np.ndarray) -> None:
         """Applies every rule in place; absorbed symbols become -1."""
@@ -198,20 +210,27 @@ def _apart(at: np.ndarray, after: np.ndarray) -> np.ndarray:
     return np.array(keep, dtype=at.dtype)
 
 
-class WordMemory(dict):
-    """Encoded words of one worker; `made(word, ids)` turns ids into what is kept."""
+class WordMemory:
+    """Encoded units of one task. made(ids, bounds) turns words' ids, given as one array
+    and the words' bounds, into what is kept of each word; joined puts a unit's words
+    together."""
 
-    def __init__(self, vocabulary: Vocabulary, made):
-        self.vocabulary, self.made = vocabulary, made
+    def __init__(self, vocabulary: Vocabulary, made, joined):
+        self.vocabulary, self.made, self.joined = vocabulary, made, joined
+        self.known: dict[str, object] = {}
 
-    def learn(self, texts: Iterable[list[str]]) -> None:
-        """After this, all words of texts are known."""
-        new = list(dict.fromkeys(w for words in texts for w in words if w not in self))
-        if len(self) + len(new) > MEMORY:
-            self.clear()
-            new = list(dict.fromkeys(w for words in texts for w in words))
-        for w, ids in zip(new, self.vocabulary.encode_words(new), strict=True):
-            self[w] = self.made(ids)
+    def learn(self, texts: list[list[str]]) -> None:
+        """After this, all units of texts are in known."""
+        new = set().union(*texts).difference(self.known)
+        if len(self.known) + len(new) > MEMORY:
+            self.known.clear()
+            new = set().union(*texts)
+        split, special = {u: self.vocabulary.words(u) for u in new}, self.vocabulary.special
+        plain = [w for w in set().union(*split.values()) if w not in special]
+        words = dict(zip(plain, self.made(*self.vocabulary.encode_words(plain)), strict=True))
+        words |= {w: self.made(np.array([i], dtype=np.int32), [0, 1])[0] for w, i in special.items()}
+        for u, parts in split.items():
+            self.known[u] = words[parts[0]] if len(parts) == 1 else self.joined([words[w] for w in parts])
 
 
 def stretches(batches: Iterator[pd.DataFrame], text_col: str, most: int = STRETCH) -> Iterator[pd.DataFrame]:
@@ -253,18 +272,27 @@ def encode_decode(docs: DataFrame, source: bytes, id_col: str = "doc_id", text_c
     schema = f"_id {id_type}, n_tokens long, ids_sha256 string, decoded_sha256 string" + (", ids array<int>, decoded string" if with_ids else "")
 
     def kept(vocabulary: Vocabulary):
-        number, name = str.encode, vocabulary.tokens
-        return lambda ids: (b" ".join([number(str(i)) for i in ids.tolist()]), " ".join([name[i] for i in ids.tolist()]).encode(), len(ids))
+        name, number = [vocabulary.tokens.get(i, "") for i in range(vocabulary.size)], [str(i) for i in range(vocabulary.size)]
+
+        def made(ids: np.ndarray, bounds: list[int]) -> list[tuple[bytes, bytes, int]]:
+            ids = ids.tolist()
+            words = [ids[a:b] for a, b in zip(bounds, bounds[1:], strict=False)]
+            return [(" ".join([number[i] for i in w]).encode(), " ".join([name[i] for i in w]).encode(), len(w)) for w in words]
+
+        return made
+
+    def joined(words: list[tuple[bytes, bytes, int]]) -> tuple[bytes, bytes, int]:
+        return b" ".join([w[0] for w in words]), b" ".join([w[1] for w in words]), sum([w[2] for w in words])
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         vocabulary = opened(handle.value)
-        memory = WordMemory(vocabulary, kept(vocabulary))
+        memory = WordMemory(vocabulary, kept(vocabulary), joined)
         for pdf in stretches(batches, "text"):
-            texts = [vocabulary.words(t or "") for t in pdf.pop("text")]
+            texts = [vocabulary.units(t or "") for t in pdf.pop("text")]
             memory.learn(texts)
             n, ids_hash, decoded_hash, all_ids, all_decoded = [], [], [], [], []
-            for words in texts:
-                known = [memory[w] for w in words]
+            for units in texts:
+                known = [k for k in map(memory.known.__getitem__, units) if k[2]]
                 ids = b" ".join([k[0] for k in known])
                 decoded = b" ".join([k[1] for k in known])
                 n.append(sum([k[2] for k in known]))
