@@ -170,9 +170,9 @@ def communities(graph: Graph, seed: int = 0, levels: int = 3, rounds: int = 10)
     return whole
 
 
-def divisive(graph: Graph, seed: int = 0, rounds: int = 10) -> DataFrame:
+def divisive(graph: Graph, seed: int = 0, rounds: int = 10, levels: int = 3) -> DataFrame:
     """Communities, then the best single pair inside each, all communities at once."""
-    found = settled(numbered(communities(graph, seed, rounds=rounds)))
+    found = settled(numbered(communities(graph, seed, levels, rounds)))
     span = found.agg((F.max("c") + 1).alias("k")).first()["k"] or 1
     inner = graph.with_labels(found, "c").where("c_s = c_d")
     number = lambda c: (F.col("g") * span + F.col(c)).cast("int").alias("g")

@@ -324,8 +324,8 @@ def queries() -> dict:
         "draw_table": draw_table, "draw_edges": draw_edges, "matrix_order": matrix_order,
         "be_detect": _detected(page, detect.be, runs=2, rounds=2), "surprise_detect": _detected(page, detect.surprise, runs=2, rounds=2),
         "km_er_detect": _detected(page, detect.km_er, runs=1, rounds=8), "km_config_detect": _detected(user, detect.km_config, runs=1, rounds=8),
-        "divisive_detect": _detected(page, detect.divisive, rounds=5), "rombach_ls_detect": _detected(user, detect.rombach, runs=1, rounds=4),
-        "rombach_sa_detect": _detected(nation, detect.rombach_annealed, rounds=5), "rossa_detect": _detected(user, detect.rossa, batches=6),
+        "divisive_detect": _detected(page, detect.divisive, rounds=3, levels=2), "rombach_ls_detect": _detected(user, detect.rombach, runs=1, rounds=4),
+        "rombach_sa_detect": _detected(nation, detect.rombach_annealed, rounds=5), "rossa_detect": _detected(user, detect.rossa, batches=4),
         "minres_detect": _detected(user, detect.minres, runs=1, steps=12), "lapcore_detect": _detected(user, detect.lap_core, steps=8),
         "lapsgncore_detect": _detected(user, detect.lap_sgn_core, steps=8), "lowrankcore_detect": _detected(user, detect.low_rank_core, steps=8),
         "chung_lu_sample": chung_lu_sample, "er_sample": er_sample, "qstest": qstest, "spring_layout": spring_layout,
