@@ -30,8 +30,8 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from .common import read
 
 #: Units remembered by a task, and characters whose new words are merged together.
-MEMORY = 400_000
-STRETCH = 8_000_000
+MEMORY = 200_000
+STRETCH = 12_000_000
 
 
 @cache
@@ -44,9 +44,9 @@ def byte_letters() -> dict[int, str]:
 
 
 @cache
-def category_class(kind: str) -> str:
-    """A character class body of all code points whose general category begins with kind."""
-    points = [c for c in range(sys.maxunicode + 1) if unicodedata.category(chr(c))[0] == kind]
+def category_class(kind: str, last: int = sys.maxunicode) -> str:
+    """A character class body of the code points whose general category begins with kind."""
+    points = [c for c in range(last + 1) if unicodedata.category(chr(c))[0] == kind]
     cuts = [0, *(k for k in range(1, len(points)) if points[k] != points[k - 1] + 1), len(points)]
     return "".join(f"\\U{points[i]:08x}-\\U{points[j - 1]:08x}" for i, j in zip(cuts, cuts[1:], strict=False))
 
@@ -57,17 +57,18 @@ TAILS = "'s|'t|'re|'ve|'m|'ll|'d"
 
 
 @cache
-def word_patterns(spaced: bool) -> tuple[re.Pattern, re.Pattern]:
-    """The pattern of words for ASCII texts and for all texts. spaced: a word takes a
-    space before it along, and white space is kept."""
+def word_patterns(spaced: bool) -> tuple[re.Pattern, ...]:
+    """The pattern of words for ASCII texts, texts up to U+FFFF and all texts. spaced: a
+    word takes a space before it along, and white space is kept."""
     made = []
-    for letters, digits, space in (("A-Za-z", "0-9", " \\t-\\r"), (category_class("L"), category_class("N"), SPACE)):
+    short = 0xFFFF
+    for letters, digits, space in (("A-Za-z", "0-9", " \\t-\\r"), (category_class("L", short), category_class("N", short), SPACE), (category_class("L"), category_class("N"), SPACE)):
         # tails begin with a sign, so letters and digits may be tried before them
         if spaced:
             made.append(re.compile(f" ?[{letters}]+| ?[{digits}]+|{TAILS}| ?[^{space}{letters}{digits}]+|[{space}]+(?![^{space}])|[{space}]+"))
         else:
             made.append(re.compile(f"[{letters}]+|[{digits}]|{TAILS}|[^{space}{letters}{digits}]+"))
-    return made[0], made[1]
+    return tuple(made)
 
 
 class Vocabulary:
@@ -116,23 +117,26 @@ class Vocabulary:
 
     def words(self, text: str) -> list[str]:
         """The pieces that are encoded on their own; special tokens are pieces."""
+        sign = text[-1:]
+        core = text[:-1] if sign and sign in ".,!?;:" else text  # most units are a word and perhaps a sign
         if self.lower:
-            if text.isascii() and text.isalpha():
-                return [text.lower()]
-        elif text[1:].isalpha() and (text[0] == " " or text[0].isalpha()):
-            return [text]
+            if core.isascii() and core.isalpha():
+                core = core.lower()
+                return [core] if len(core) == len(text) else [core, sign]
+        elif core[1:].isalpha() and (core[0] == " " or core[0].isalpha()):
+            return [core] if len(core) == len(text) else [core, sign]
         if any(map(text.__contains__, self.special)):
             cut = re.split("(" + "|".join(map(re.escape, self.special)) + ")", text)
             return [w for k, part in enumerate(cut) for w in ([part] if k % 2 else self._plain(part))]
         return self._plain(text)
 
     def _plain(self, text: str) -> list[str]:
-        ascii_, all_ = word_patterns(not self.lower)
+        ascii_, short, every = word_patterns(not self.lower)
         if text.isascii():
             return ascii_.findall(text.lower() if self.lower else text)
         if self.lower:
             text = unicodedata.normalize("NFC", text).replace("Σ", "σ").lower()
-        return all_.findall(text)
+        return (short if not text or max(text) <= "\uffff" else every).findall(text)
 
     def encode_words(self, words: list[str]) -> tuple[np.ndarray, list[int]]:
         """Ids of all words one after another, by the pair occurrence index over all of
@@ -219,16 +223,27 @@ class WordMemory:
         self.vocabulary, self.made, self.joined = vocabulary, made, joined
         self.known: dict[str, object] = {}
 
-    def learn(self, texts: list[list[str]]) -> None:
+    def learn(self, texts: Iterable[str]) -> None:
         """After this, all units of texts are in known."""
-        new = set().union(*texts).difference(self.known)
-        if len(self.known) + len(new) > MEMORY:
-            self.known.clear()
-            new = set().union(*texts)
-        split, special = {u: self.vocabulary.words(u) for u in new}, self.vocabulary.special
-        plain = [w for w in set().union(*split.values()) if w not in special]
+        needed: set[str] = set()
+        for t in texts:
+            needed.update(self.vocabulary.units(t))
+        if len(self.known) + len(needed) > MEMORY:  # what these texts don't need goes
+            self.known = {u: k for u, k in self.known.items() if u in needed}
+        new = [u for u in needed if u not in self.known]
+        del needed
+        special, split, pieces = self.vocabulary.special, {}, set()
+        for u in new:
+            parts = self.vocabulary.words(u)
+            if len(parts) == 1 and parts[0] == u:
+                pieces.add(u)
+            else:
+                split[u] = parts
+                pieces.update(parts)
+        plain = [w for w in pieces if w not in special]
         words = dict(zip(plain, self.made(*self.vocabulary.encode_words(plain)), strict=True))
         words |= {w: self.made(np.array([i], dtype=np.int32), [0, 1])[0] for w, i in special.items()}
+        self.known.update(words)  # a word is a unit of its own, too
         for u, parts in split.items():
             self.known[u] = words[parts[0]] if len(parts) == 1 else self.joined([words[w] for w in parts])
 
@@ -288,11 +303,11 @@ def encode_decode(docs: DataFrame, source: bytes, id_col: str = "doc_id", text_c
         vocabulary = opened(handle.value)
         memory = WordMemory(vocabulary, kept(vocabulary), joined)
         for pdf in stretches(batches, "text"):
-            texts = [vocabulary.units(t or "") for t in pdf.pop("text")]
+            texts = [t or "" for t in pdf.pop("text")]
             memory.learn(texts)
             n, ids_hash, decoded_hash, all_ids, all_decoded = [], [], [], [], []
-            for units in texts:
-                known = [k for k in map(memory.known.__getitem__, units) if k[2]]
+            for text in texts:  # cut again, as the units of all texts would fill the memory
+                known = [k for k in map(memory.known.__getitem__, vocabulary.units(text)) if k[2]]
                 ids = b" ".join([k[0] for k in known])
                 decoded = b" ".join([k[1] for k in known])
                 n.append(sum([k[2] for k in known]))

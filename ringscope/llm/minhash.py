@@ -41,7 +41,7 @@ from .common import read, row_key, stored
 T = 128
 ROWS = 4
 NUM, DEN = 80, 100
-WORD_CACHE = 300_000
+WORD_CACHE = 100_000
 
 _M1, _M2, _M3 = np.uint64(0xFF51AFD7ED558CCD), np.uint64(0xC4CEB9FE1A85EC53), np.uint64(0x9E3779B97F4A7C15)
 _S33, _S31, _S57 = np.uint64(33), np.uint64(31), np.uint64(57)

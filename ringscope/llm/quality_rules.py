@@ -88,10 +88,10 @@ def base_counts(docs: DataFrame, text_col: str = "text", keep: Sequence[str] = (
     )
 
 
-def rank_rules(counted: DataFrame, rules: Sequence[Rule] = RULES, sample_rows: int = SAMPLE_ROWS) -> list[tuple[Rule, float, float]]:
-    """Each rule with its seconds and its share of rejected rows on a sample of at
-    most sample_rows rows, best first. An empty table keeps the rules' order."""
-    sample = stored(counted.limit(sample_rows), "rule-sample")
+def rank_rules(counted: DataFrame, rules: Sequence[Rule] = RULES) -> list[tuple[Rule, float, float]]:
+    """Each rule with its seconds and its share of rejected rows on the counted sample,
+    best first. An empty sample keeps the rules' order."""
+    sample = stored(counted, "rule-sample")
     n = sample.count()
     if not n:
         return [(r, 0.0, 0.0) for r in rules]
@@ -125,7 +125,8 @@ def apply_rules(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     row by row; other columns are not read, so they may have any name."""
     source = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text"))
     counted = base_counts(source, "_text", ["_id"])
-    order = [r for r, _, _ in rank_rules(base_counts(source.limit(sample_rows), "_text", ["_id"]), rules, sample_rows)]
+    share = min(1.0, sample_rows / max(1, source.count()))
+    order = [r for r, _, _ in rank_rules(base_counts(source.sample(share, seed=1), "_text", ["_id"]), rules)]
     base_failed = (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
     judged = counted.withColumn("base_failed", base_failed).withColumn("failed_rule", F.when(F.col("base_failed"), F.lit("base")).otherwise(cascade(order)))
     return judged.select(
