@@ -1,6 +1,6 @@
 """BPE encoding and decoding with a pair occurrence index.
 
-Texts are cut at spaces into units; units met before are looked up, and the words of
+Texts are cut at spaces and line ends into units; units met before are looked up, and the words of
 the new units of a stretch of a partition are laid out as one array of symbols. The index maps each adjacent pair that has a merge rule to the
 places where it occurs. The lowest active rank is applied to all its places at once;
 the merged symbols' new pairs are looked up and put on the lists of their ranks, and
@@ -8,7 +8,7 @@ places that a merge has changed fall away when their list's turn comes. A merge
 only make pairs of higher rank (checked when the vocabulary is read), so ranks are
 applied in ascending order and each word sees the merges it would see alone.
 
-Units met before are kept in a bounded memory of each task. Vocabulary files
+Units met before are kept in a bounded memory of each task or worker. Vocabulary files
 are read by the driver and travel with the task.
 """
 
@@ -20,8 +20,10 @@ import json
 import re
 import sys
 import unicodedata
+from collections import defaultdict
 from collections.abc import Iterable, Iterator
 from functools import cache
+from itertools import count, islice
 
 import numpy as np
 import pandas as pd
@@ -52,7 +54,10 @@ def category_class(kind: str, last: int = sys.maxunicode) -> str:
 
 
 SPACE = "\\t-\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000"
-_space_run = re.compile(f" [{SPACE}]")
+#: White space that words share in a way that cuts before spaces and around line ends would miss.
+_space_run = re.compile(f"[{SPACE}](?:[{SPACE.replace(' ', '')}]| (?:[{SPACE}]|\\Z))")
+#: Signs that may end a unit; a run of them is one word.
+SIGNS = ".,!?;:#$%&*|<>"
 TAILS = "'s|'t|'re|'ve|'m|'ll|'d"
 
 
@@ -106,19 +111,19 @@ class Vocabulary:
         return np.where(self.keys[at] == key, self.ranks[at], -1)
 
     def units(self, text: str) -> list[str]:
-        """text cut before spaces, where no word crosses the cut, so that a unit's words
-        don't depend on its neighbours. Where white space follows a space, a word may
-        hold both, and the words themselves are the units."""
+        """text cut before spaces and around line ends, where no word crosses the cut, so
+        that a unit's words don't depend on its neighbours. Where white space follows white
+        space, a word may hold both, and the words themselves are the units."""
         if self.lower:
-            return text.split(" ")
+            return text.replace("\n", " ").split(" ")
         if "\0" in text or _space_run.search(text):
             return self.words(text)
-        return text.replace(" ", "\0 ").split("\0")
+        return text.replace(" ", "\0 ").replace("\n", "\0\n\0").split("\0")
 
     def words(self, text: str) -> list[str]:
         """The pieces that are encoded on their own; special tokens are pieces."""
-        sign = text[-1:]
-        core = text[:-1] if sign and sign in ".,!?;:" else text  # most units are a word and perhaps a sign
+        core = text.rstrip(SIGNS)  # most units are a word and perhaps signs
+        sign = text[len(core) :]
         if self.lower:
             if core.isascii() and core.isalpha():
                 core = core.lower()
@@ -248,6 +253,79 @@ class WordMemory:
             self.known[u] = words[parts[0]] if len(parts) == 1 else self.joined([words[w] for w in parts])
 
 
+def gathered(values: np.ndarray, begin: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """values of all the ranges that start at begin and are size long, one after another."""
+    ends = np.cumsum(size)
+    return values[np.repeat(begin - (ends - size), size) + np.arange(ends[-1] if len(ends) else 0)]
+
+
+class UnitMemory:
+    """Ids of the units that a worker has met. Each unit has a number, and a text is an
+    array of numbers until its ids are gathered, so that it is cut only once. Above
+    MEMORY units, those that the last texts don't hold twice are forgotten."""
+
+    def __init__(self, vocabulary: Vocabulary):
+        self.vocabulary = vocabulary
+        self.numbers: dict[str, int] = defaultdict(count().__next__)
+        self.ids = np.zeros(0, dtype=np.int32)
+        self.begin = self.size = np.zeros(0, dtype=np.int64)
+
+    def encode(self, texts: Iterable[str]) -> Iterator[np.ndarray]:
+        """The ids of each text."""
+        number, known = self.numbers.__getitem__, len(self.begin)
+        coded = [np.fromiter(map(number, self.vocabulary.units(t)), dtype=np.int32) for t in texts]
+        self._learn(known)
+        for units in coded:
+            yield gathered(self.ids, self.begin[units], self.size[units])
+        if len(self.numbers) > MEMORY:
+            self._forget(np.bincount(np.concatenate(coded), minlength=len(self.numbers)) < 2)
+
+    def _learn(self, known: int) -> None:
+        """Lays down the ids of the units numbered from known on. The words of a unit are
+        units of their own, too."""
+        number, words, spaced = self.numbers, self.vocabulary.words, not self.vocabulary.lower
+        new = list(islice(number, known, None))
+        split, parts, lengths = [], [], []
+        for k, u in enumerate(new, known):
+            if spaced and u[1:].isalpha() and u[0] == " ":
+                continue
+            own = words(u)
+            if len(own) != 1 or own[0] != u:
+                split.append(k)
+                lengths.append(len(own))
+                parts.extend([number[w] for w in own])
+        new.extend(islice(number, known + len(new), None))
+        for k in split:
+            new[k - known] = ""
+        special = self.vocabulary.special
+        marked = [(k, special[u]) for k, u in enumerate(new, known) if u in special]
+        for k, _ in marked:
+            new[k - known] = ""
+        ids, bounds = self.vocabulary.encode_words(new)
+        bounds = np.array(bounds, dtype=np.int64)
+        self.begin = np.append(self.begin, bounds[:-1] + len(self.ids))
+        self.size = np.append(self.size, np.diff(bounds))
+        self.ids = np.append(self.ids, ids)
+        for k, i in marked:
+            self.begin[k], self.size[k] = len(self.ids), 1
+            self.ids = np.append(self.ids, np.int32(i))
+        if split:
+            made = gathered(self.ids, self.begin[parts], self.size[parts])
+            sums = np.append(0, np.cumsum(self.size[parts]))
+            ends = np.cumsum(lengths)
+            self.begin[split] = sums[ends - lengths] + len(self.ids)
+            self.size[split] = sums[ends] - sums[ends - lengths]
+            self.ids = np.append(self.ids, made)
+
+    def _forget(self, gone: np.ndarray) -> None:
+        kept = np.flatnonzero(~gone)
+        units = list(self.numbers)
+        self.ids = gathered(self.ids, self.begin[kept], self.size[kept])
+        self.size = self.size[kept]
+        self.begin = np.cumsum(self.size) - self.size
+        self.numbers = defaultdict(count(len(kept)).__next__, {units[k]: j for j, k in enumerate(kept.tolist())})
+
+
 def stretches(batches: Iterator[pd.DataFrame], text_col: str, most: int = STRETCH) -> Iterator[pd.DataFrame]:
     """Batches cut so that a stretch has about `most` characters (or is one row)."""
     for pdf in batches:
@@ -278,6 +356,17 @@ def opened(source: bytes) -> Vocabulary:
     return _vocabularies[key]
 
 
+_unit_memories: dict[str, UnitMemory] = {}
+
+
+def unit_memory(source: bytes) -> UnitMemory:
+    """The worker's memory of units, which its later tasks go on with."""
+    key = hashlib.sha1(source).hexdigest()
+    if key not in _unit_memories:
+        _unit_memories[key] = UnitMemory(opened(source))
+    return _unit_memories[key]
+
+
 def encode_decode(docs: DataFrame, source: bytes, id_col: str = "doc_id", text_col: str = "text", with_ids: bool = False) -> DataFrame:
     """One row per input row: id, n_tokens, ids_sha256, decoded_sha256 and, with_ids, the
     ids themselves and the decoded text. A null text counts as empty and has no tokens.
