@@ -36,7 +36,7 @@ import pandas as pd
 import xxhash
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from .common import read, row_key, stored
+from .common import give_back, read, row_key, stored
 
 T = 128
 ROWS = 4
@@ -128,6 +128,7 @@ def signatures(docs: DataFrame, id_type: str, size: int, t: int, rows: int) -> D
                 digest.append(hashlib.blake2b(x.tobytes(), digest_size=16).digest())
                 bands.append(band_keys(sketch(x, t), rows) if len(x) else [])
             yield pdf.assign(n_shingles=n, digest=digest, bands=bands)
+        give_back()
 
     return docs.mapInPandas(sign, SIGNATURE.format(id=id_type))
 
@@ -140,6 +141,7 @@ def full_sets(docs: DataFrame, size: int) -> DataFrame:
         for pdf in batches:
             sets = [shingle_set(text, size, hashes) for text in pdf.pop("text")]
             yield pdf.assign(digest=[hashlib.blake2b(x.tobytes(), digest_size=16).digest() for x in sets], items=[x.view(np.int64) for x in sets])
+        give_back()
 
     return docs.mapInPandas(collect, "_rk long, digest binary, items array<long>")
 

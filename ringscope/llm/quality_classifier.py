@@ -23,7 +23,7 @@ import pandas as pd
 import zstandard as zstd
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from .common import read
+from .common import give_back, read
 from .labelled import fit_logistic, fold, logistic, sample_labelled
 
 BLOCK = 1024
@@ -114,6 +114,7 @@ def score_quality(docs: DataFrame, model: CompressionModel, text_col: str = "tex
     def scored(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for texts in batches:
             yield pd.Series(model.score(texts.tolist()), dtype="float64")
+        give_back()
 
     return docs.withColumn(score_col, scored(F.col(text_col)))
 
