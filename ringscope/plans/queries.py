@@ -182,7 +182,7 @@ def adam_step(spark: SparkSession, sf: str) -> DataFrame:
 def _gains(kind: str):
     def query(spark: SparkSession, sf: str) -> DataFrame:
         g = user(spark, sf)
-        return rounded(detect.move_gains(g, labels_of(g), kind).where("node % 10 = 1"), gain=6)
+        return rounded(detect.move_gains(g, labels_of(g), kind), gain=6)
 
     return query
 
