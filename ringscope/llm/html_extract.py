@@ -37,6 +37,14 @@ HIDDEN = frozenset("script style noscript template textarea svg math iframe obje
 RAW = frozenset("script style noscript template textarea svg math iframe title".split())
 #: Elements that end an open element of the given kinds when they begin.
 CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
+#: What may stand in an open head; anything else ends it, as text does.
+IN_HEAD = frozenset("html head base basefont bgsound link meta title script style noscript noframes template".split())
+#: Hidden elements that an open one ends at when these begin, within the elements of SCOPE. HTML lets all other content stay in them.
+ENDS = {"button": ("button",), "select": ("select",), "input": ("select",), "textarea": ("select",), "keygen": ("select",)}
+SCOPE = frozenset("applet caption html table td th marquee object template".split())
+#: Elements that end an open svg or math when they begin outside its integration points.
+BREAKOUT = frozenset("b big blockquote body br center code dd div dl dt em embed h1 h2 h3 h4 h5 h6 head hr i img li listing menu meta nobr ol p pre ruby s small span strong strike sub sup table tt u ul var".split())
+INTEGRATION = frozenset("foreignobject desc title annotation-xml mi mo mn ms mtext".split())
 ANCESTORS = "nav header footer aside form article main table ul ol li p blockquote pre figure section h1 h2 h3 dl body".split()
 
 #: Words in class names and ids, by what they usually mean.
@@ -56,6 +64,24 @@ _attr = re.compile(r"\b(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]
 _name = re.compile(r"[a-z]+")
 
 
+def foreign_end(page: str, at: int, name: str) -> int:
+    """Where an svg or math that begins before at ends: after its end tag, or at the first
+    element that HTML does not allow in it."""
+    inside: list[str] = []
+    for m in _tag.finditer(page, at):
+        tag = m[1].lower()
+        if page[m.start() + 1] == "/":
+            if tag == name:
+                return m.end()
+            if tag in inside:
+                del inside[inside.index(tag) :]
+        elif tag in INTEGRATION and not m[2].endswith("/"):
+            inside.append(tag)
+        elif tag in BREAKOUT and not inside:
+            return m.start()
+    return len(page)
+
+
 @dataclass
 class Block:
     text: str
@@ -83,6 +109,8 @@ def leaf_blocks(page: str) -> list[Block]:
         lt = page.find("<", at)
         if lt < 0:
             lt = n
+        if lt > at and stack[-1][0] == "head" and not page[at:lt].isspace():
+            stack.pop()
         if lt > at and not stack[-1][2]:
             piece = page[at:lt]
             parts.append(piece)
@@ -115,6 +143,22 @@ def leaf_blocks(page: str) -> list[Block]:
                     links -= stack.pop()[0] == "a"
                 links -= stack.pop()[0] == "a"
             continue
+        if stack[-1][0] == "head" and name not in IN_HEAD:
+            stack.pop()
+        again = False
+        for k in range(len(stack) - 1, 0, -1) if name in ENDS else ():
+            if stack[k][0] in ENDS[name]:
+                links -= sum(t == "a" for t, _, _ in stack[k:])
+                del stack[k:]
+                again = name == "select"
+                break
+            if stack[k][0] in SCOPE:
+                break
+        if again:  # a select in a select only ends it
+            continue
+        if name in ("svg", "math") and not m[2].endswith("/"):
+            at = foreign_end(page, at, name)
+            continue
         if name in RAW and not m[2].endswith("/"):
             end = re.compile(f"</{re.escape(name)}\\s*>", re.I).search(page, at)
             at = end.end() if end else n

@@ -100,3 +100,12 @@ def test_broken_markup(page):
 def test_extract_column(spark):
     df = spark.createDataFrame(pd.DataFrame({"page_id": [1, 2], "html": ["<article><p>Some words here.</p></article>", ""], "text": ["old", "old"]}))
     assert {r.page_id: r.text for r in html_extract.extract_text(df).collect()} == {1: "Some words here.", 2: ""}
+
+
+@pytest.mark.parametrize("page", [
+    "<html><head><title>T</title><body><p>text</p>", "<head><meta charset=utf-8><p>text</p>", "<head><title>T</title>text", "<div><svg><path d=x><p>text</p></div>",
+    "<svg><foreignObject><p>no</p></foreignObject></svg><p>text</p>", "<svg><path><p>text</p><svg></svg>", "<select><option>no<input></select><p>text</p>", "<select><option>no<select><p>text",
+    "<select><option>no<input>text", "<button>no<button>no</button>text",
+])
+def test_optional_end_tags(page):
+    assert [b.text for b in html_extract.leaf_blocks(page)] == ["text"]
