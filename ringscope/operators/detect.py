@@ -5,11 +5,12 @@ Every detector takes a Graph (a batch of graphs by g) and returns assignment
 one job works on all of them, and the run of best quality is kept. Searches that are
 sequential by nature run in synchronous rounds: every node's best move is found by a
 join and an aggregate, and a hash of (seed, round, node) decides which half of the
-nodes moves. Seeds make every result reproducible.
+nodes moves, until none can gain. Seeds make every result reproducible.
 """
 
 from __future__ import annotations
 
+import warnings
 from collections.abc import Callable
 
 import numpy as np
@@ -110,25 +111,49 @@ def move_gains(graph: Graph, labels: DataFrame, kind: str) -> DataFrame:
     return out.select("g", "node", "c", "x", "to_c", "choice.to_x", "choice.gain")
 
 
-def label_rounds(graph: Graph, kind: str, seed: int = 0, rounds: int = 20, labels: DataFrame | None = None) -> DataFrame:
-    """Synchronous label switching from single-node groups: in every round half of the
-    nodes that can gain move to their best group. Ends when few move."""
-    state = settled(labels if labels is not None else graph.nodes.select("g", "node", F.col("node").alias("c"), F.lit(1).alias("x")))
-    n = state.count()
-    for t in range(rounds):
+def _apart(wants: DataFrame) -> DataFrame:
+    """g, node of moves of which no two touch the same group: each is the one of highest
+    rise in the group it leaves and the group it enters. Their rises add up exactly."""
+    touched = wants.select("g", "node", "rise", F.explode(F.array_distinct(F.array("c", "to.to_c"))).alias("at"))
+    top = touched.groupBy("g", "at").agg(F.max_by("node", F.struct("rise", -F.col("node"))).alias("node"))
+    ends = top.groupBy("g", "node").agg(F.count(F.lit(1)).alias("won"))
+    return wants.join(ends, ["g", "node"]).where(F.col("won") == F.size(F.array_distinct(F.array("c", "to.to_c")))).select("g", "node", F.lit(True).alias("alone"))
+
+
+def label_rounds(graph: Graph, kind: str, seed: int = 0, rounds: int | None = None, labels: DataFrame | None = None) -> DataFrame:
+    """Synchronous label switching from single-node groups. In every round half of the
+    nodes that can gain move to their best group; once three rounds bring their number
+    to no new low, only moves that do not touch each other's groups are made, so that
+    the quality rises in every round. Ends when no node can gain (by more than the
+    rounding of sums). A bound on the rounds that ends it sooner is reported by a
+    warning."""
+    state = settled(labels if labels is not None else graph.nodes.select("g", "node", F.col("node").cast("long").alias("c"), F.lit(1).alias("x")))
+    lowest, since, apart, t = None, 0, False, 0
+    while True:
         gains = move_gains(graph, state, kind)
         best = gains.groupBy("g", "node").agg(
             F.max_by(F.struct("to_c", "to_x"), F.struct("gain", -F.col("to_c"), -F.col("to_x"))).alias("to"), F.max("gain").alias("gain"),
             F.max(F.when((F.col("to_c") == F.col("c")) & (F.col("to_x") == F.col("x")), F.col("gain"))).alias("stay"),
         )
-        go = (F.col("gain") > F.col("stay") + 1e-12) & (uniform(seed, F.lit(t), "g", "node") < 0.5)
-        moved = state.join(best, ["g", "node"], "left").select("g", "node", F.when(go, F.col("to.to_c")).otherwise(F.col("c")).alias("c"), F.when(go, F.col("to.to_x")).otherwise(F.col("x")).alias("x"), go.alias("go"))
-        after = settled(moved)
-        changed = after.where("go").count()
-        state = after.drop("go")
-        if changed <= n / 1000:
-            break
-    return state
+        rise = F.col("gain") - F.col("stay")
+        want = F.coalesce(rise > 1e-9 * F.greatest(F.lit(1.0), F.abs("gain"), F.abs("stay")), F.lit(False))
+        rows = state.join(best, ["g", "node"], "left").select("g", "node", "c", "x", "to", rise.alias("rise"), want.alias("want"))
+        if apart:
+            rows = settled(rows)
+            go = F.col("want") & F.coalesce("alone", F.lit(False))
+            rows = rows.join(_apart(rows.where("want")), ["g", "node"], "left")
+        else:
+            go = F.col("want") & (uniform(seed, F.lit(t), "g", "node") < 0.5)
+        after = settled(rows.select("g", "node", F.when(go, F.col("to.to_c")).otherwise(F.col("c")).alias("c"), F.when(go, F.col("to.to_x")).otherwise(F.col("x")).alias("x"), "want"))
+        left = after.where("want").count()
+        if not left:
+            return state
+        if rounds is not None and t >= rounds:
+            warnings.warn(f"label_rounds: {left} nodes can still gain after {t} rounds", RuntimeWarning, stacklevel=2)
+            return state
+        lowest, since = (left, 0) if lowest is None or left < lowest else (lowest, since + 1)
+        apart = apart or since >= 3
+        state, t = after.drop("want"), t + 1
 
 
 def numbered(assignment: DataFrame) -> DataFrame:
@@ -137,23 +162,23 @@ def numbered(assignment: DataFrame) -> DataFrame:
     return assignment.join(ids, ["g", "c"]).select("g", "node", F.col("k").alias("c"), "x")
 
 
-def _km(graph: Graph, kind: str, score, runs: int, seed: int, rounds: int) -> DataFrame:
+def _km(graph: Graph, kind: str, score, runs: int, seed: int, rounds: int | None) -> DataFrame:
     many = replicated(graph, runs)
     found = settled(label_rounds(many, kind, seed, rounds))
     return numbered(settled(best_run(found, score(many, found), runs)))
 
 
-def km_er(graph: Graph, runs: int = 2, seed: int = 0, rounds: int = 15) -> DataFrame:
+def km_er(graph: Graph, runs: int = 2, seed: int = 0, rounds: int | None = None) -> DataFrame:
     """Many pairs against a random graph of equal density."""
     return _km(graph, "km_er", scores.km_er, runs, seed, rounds)
 
 
-def km_config(graph: Graph, runs: int = 2, seed: int = 0, rounds: int = 15) -> DataFrame:
+def km_config(graph: Graph, runs: int = 2, seed: int = 0, rounds: int | None = None) -> DataFrame:
     """Many pairs against a random graph of equal degrees."""
     return _km(graph, "km_config", scores.km_config, runs, seed, rounds)
 
 
-def communities(graph: Graph, seed: int = 0, levels: int = 3, rounds: int = 10) -> DataFrame:
+def communities(graph: Graph, seed: int = 0, levels: int = 3, rounds: int | None = None) -> DataFrame:
     """Communities of high modularity: label switching, then on the contracted graph, as
     long as it shrinks and gains."""
     graph = graph.settled()
@@ -170,7 +195,7 @@ def communities(graph: Graph, seed: int = 0, levels: int = 3, rounds: int = 10)
     return whole
 
 
-def divisive(graph: Graph, seed: int = 0, rounds: int = 10, levels: int = 3) -> DataFrame:
+def divisive(graph: Graph, seed: int = 0, rounds: int | None = None, levels: int = 3) -> DataFrame:
     """Communities, then the best single pair inside each, all communities at once."""
     found = settled(numbered(communities(graph, seed, levels, rounds)))
     span = found.agg((F.max("c") + 1).alias("k")).first()["k"] or 1

@@ -4,7 +4,10 @@ from pathlib import Path
 
 import duckdb
 import pytest
+from pyspark.sql import functions as F
 
+from ringscope.graph import Graph
+from ringscope.operators import detect
 from ringscope.plans import oracle, queries
 
 SF = "/root/testdata/sf0.001"
@@ -20,3 +23,22 @@ def test_move_gains_cover_every_node(spark, name):
     expected, found = keyed(db.execute(whole).fetchall()), keyed(queries.queries()[name](spark, SF).collect())
     assert len({k[0] for k in found}) == queries.user(spark, SF).nodes.count()
     assert found == pytest.approx(expected, abs=2e-6)
+
+
+def test_label_rounds_go_on_when_the_coin_moves_none(spark):
+    g = Graph.from_edges(spark.createDataFrame([(0, 1, 1.0)], "src long, dst long, w double")).settled()
+    first = g.nodes.agg(*[F.min(detect.uniform(s, F.lit(0), "g", "node")) for s in range(64)]).first()
+    seed = next(s for s in range(64) if first[s] >= 0.5)
+    assert len({r.c for r in detect.label_rounds(g, "km_config", seed).collect()}) == 1
+
+
+def test_label_rounds_report_their_bound(spark):
+    g = Graph.from_edges(spark.createDataFrame([(i, i + 1, 1.0) for i in range(8)], "src long, dst long, w double")).settled()
+    with pytest.warns(RuntimeWarning, match="can still gain after 1 rounds"):
+        detect.label_rounds(g, "km_config", rounds=1)
+
+
+def test_moves_apart_share_no_group(spark):
+    rows = [(0, 1, 1, (2, 1), 0.5), (0, 2, 2, (1, 1), 0.9), (0, 3, 3, (3, 0), 0.1), (0, 4, 4, (3, 1), 0.05), (0, 5, 5, (6, 1), 0.2)]
+    wants = spark.createDataFrame(rows, "g int, node long, c long, to struct<to_c:long,to_x:int>, rise double")
+    assert {r.node for r in detect._apart(wants).collect()} == {2, 3, 5}
