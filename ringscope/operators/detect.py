@@ -272,7 +272,7 @@ def minres_gradient(graph: Graph, x: DataFrame) -> DataFrame:
     return x.select("g", "node", "x").join(y, ["g", "node"]).join(norm, "g").select("g", "node", (F.col("y") - (F.col("s2") - F.col("x") * F.col("x")) * F.col("x")).alias("grad"))
 
 
-def minres(graph: Graph, runs: int = 2, seed: int = 0, steps: int = 40, tolerance: float = 1e-2) -> DataFrame:
+def minres(graph: Graph, runs: int = 2, seed: int = 0, steps: int = 10_000, tolerance: float = 1e-2) -> DataFrame:
     """Continuous coreness x whose products come nearest to the matrix off its diagonal."""
     many = replicated(graph, runs)
     state = settled(many.nodes.select("g", "node", uniform(seed, "g", "node").alias("x"), F.lit(0.0).alias("m"), F.lit(0.0).alias("v")))
@@ -285,12 +285,12 @@ def minres(graph: Graph, runs: int = 2, seed: int = 0, steps: int = 40, toleranc
     return best_run(labels, scores.minres(many, labels).withColumn("q", -F.col("q")), runs)
 
 
-def rossa(graph: Graph, batches: int = 12) -> DataFrame:
+def rossa(graph: Graph, batches: int | None = None) -> DataFrame:
     """Persistence profile of a random walk: from a node of least strength, the nodes
-    that keep the walk least inside are added, about n / batches at a time (one at a
-    time where batches is n); a node's coreness is the persistence when it came in."""
+    that keep the walk least inside are added, one at a time, or about n / batches at a
+    time where batches is given; a node's coreness is the persistence when it came in."""
     n = graph.sizes().agg(F.max("n").alias("n")).first()["n"] or 0
-    step = max(1, -(-int(n) // batches))
+    step = max(1, -(-int(n) // batches)) if batches else 1
     d = graph.degree()
     first = d.groupBy("g").agg(F.min_by("node", F.struct("d", "node")).alias("node")).withColumn("first", F.lit(True))
     state = settled(d.join(first, ["g", "node"], "left").select("g", "node", "d", F.when(F.col("first"), 0.0).alias("x")))

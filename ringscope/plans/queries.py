@@ -288,8 +288,7 @@ def er_sample(spark: SparkSession, sf: str) -> DataFrame:
 def qstest(spark: SparkSession, sf: str) -> DataFrame:
     """The BE pair of the user graph against expected-degree graphs."""
     g = user(spark, sf).settled()
-    one = lambda graph: detect.be(graph, runs=1, rounds=2)
-    return significance.qstest(g, one(g), one, scores.be, n_reps=20, seed=3)
+    return significance.qstest(g, detect.be(g), detect.be, scores.be, seed=3)
 
 
 def spring_layout(spark: SparkSession, sf: str) -> DataFrame:
@@ -322,11 +321,11 @@ def queries() -> dict:
         "chung_lu_prob": chung_lu_prob, "er_density": er_density, "sidak": sidak_levels, "qs_ensemble_stats": qs_ensemble_stats,
         "qs_pvalues": qs_pvalues, "relabel_significant": relabel_significant, "classify_nodes": classify_nodes,
         "draw_table": draw_table, "draw_edges": draw_edges, "matrix_order": matrix_order,
-        "be_detect": _detected(page, detect.be, runs=2, rounds=2), "surprise_detect": _detected(page, detect.surprise, runs=2, rounds=2),
-        "km_er_detect": _detected(page, detect.km_er, runs=1, rounds=8), "km_config_detect": _detected(user, detect.km_config, runs=1, rounds=8),
-        "divisive_detect": _detected(page, detect.divisive, rounds=3, levels=2), "rombach_ls_detect": _detected(user, detect.rombach, runs=1, rounds=4),
-        "rombach_sa_detect": _detected(nation, detect.rombach_annealed, rounds=5), "rossa_detect": _detected(user, detect.rossa, batches=4),
-        "minres_detect": _detected(user, detect.minres, runs=1, steps=12), "lapcore_detect": _detected(user, detect.lap_core, steps=8),
-        "lapsgncore_detect": _detected(user, detect.lap_sgn_core, steps=8), "lowrankcore_detect": _detected(user, detect.low_rank_core, steps=8),
+        "be_detect": _detected(page, detect.be), "surprise_detect": _detected(page, detect.surprise),
+        "km_er_detect": _detected(page, detect.km_er), "km_config_detect": _detected(user, detect.km_config),
+        "divisive_detect": _detected(page, detect.divisive), "rombach_ls_detect": _detected(user, detect.rombach),
+        "rombach_sa_detect": _detected(nation, detect.rombach_annealed), "rossa_detect": _detected(user, detect.rossa),
+        "minres_detect": _detected(user, detect.minres), "lapcore_detect": _detected(user, detect.lap_core),
+        "lapsgncore_detect": _detected(user, detect.lap_sgn_core), "lowrankcore_detect": _detected(user, detect.low_rank_core),
         "chung_lu_sample": chung_lu_sample, "er_sample": er_sample, "qstest": qstest, "spring_layout": spring_layout,
     }

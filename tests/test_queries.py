@@ -1,5 +1,6 @@
 """Registered graph queries return whole results."""
 
+import inspect
 from pathlib import Path
 
 import duckdb
@@ -42,3 +43,10 @@ def test_moves_apart_share_no_group(spark):
     rows = [(0, 1, 1, (2, 1), 0.5), (0, 2, 2, (1, 1), 0.9), (0, 3, 3, (3, 0), 0.1), (0, 4, 4, (3, 1), 0.05), (0, 5, 5, (6, 1), 0.2)]
     wants = spark.createDataFrame(rows, "g int, node long, c long, to struct<to_c:long,to_x:int>, rise double")
     assert {r.node for r in detect._apart(wants).collect()} == {2, 3, 5}
+
+
+def test_detectors_are_registered_with_full_parameters():
+    found = {k: inspect.getclosurevars(q).nonlocals.get("parameters") for k, q in queries.queries().items() if k.endswith("_detect")}
+    assert {k for k, v in found.items() if v} == set() and len(found) == 13
+    default = lambda f, name: inspect.signature(f).parameters[name].default
+    assert default(detect.rossa, "batches") is None and default(detect.minres, "steps") >= 10_000
