@@ -376,19 +376,33 @@ def lap_sgn_core(graph: Graph, steps: int = 20, seed: int = 0) -> DataFrame:
     return plus if q[0] >= q[1] else minus
 
 
+def entries_above(points: DataFrame, first: float, second: float, cells: int = 48) -> DataFrame:
+    """g, node, v: for each of points(g, node, a, b) of a single graph the number of
+    points, itself included, with first a a' + second b b' > 1/2. The other ends lie on a
+    grid of cells x cells, a bounded table: by the bounds of its points a cell counts
+    whole or not at all, and only the points of a cell that the line crosses are compared."""
+    box = points.agg(F.min("a").alias("a0"), F.max("a").alias("a1"), F.min("b").alias("b0"), F.max("b").alias("b1")).first()
+    place = lambda c, lo, hi: F.least(F.floor((F.col(c) - lo) / max(hi - lo, 1e-300) * cells), F.lit(cells - 1))
+    placed = points.select(place("a", box["a0"], box["a1"]).alias("i"), place("b", box["b0"], box["b1"]).alias("j"), F.col("a").alias("oa"), F.col("b").alias("ob"))
+    grid = placed.groupBy("i", "j").agg(F.count(F.lit(1)).alias("many"), F.min("oa").alias("a0"), F.max("oa").alias("a1"), F.min("ob").alias("b0"), F.max("ob").alias("b1"))
+    p, q = float(first) * F.col("a"), float(second) * F.col("b")
+    low = F.least(p * F.col("a0"), p * F.col("a1")) + F.least(q * F.col("b0"), q * F.col("b1"))
+    high = F.greatest(p * F.col("a0"), p * F.col("a1")) + F.greatest(q * F.col("b0"), q * F.col("b1"))
+    pairs = points.crossJoin(F.broadcast(grid))
+    whole = pairs.groupBy("g", "node").agg(F.sum(F.when(low > 0.5, F.col("many")).otherwise(0)).alias("whole"))
+    crossed = pairs.where((low <= 0.5) & (high > 0.5)).select("g", "node", "a", "b", "i", "j").join(placed, ["i", "j"])
+    single = crossed.where(p * F.col("oa") + q * F.col("ob") > 0.5).groupBy("g", "node").agg(F.count(F.lit(1)).alias("single"))
+    return whole.join(single, ["g", "node"], "left").select("g", "node", (F.col("whole") + F.coalesce("single", F.lit(0))).cast("double").alias("v"))
+
+
 def low_rank_core(graph: Graph, beta: float = 0.1, steps: int = 20, seed: int = 0, cells: int = 48) -> DataFrame:
     """The best cut along the degrees of a rank-two approximation, entries of more than
-    one half counting as edges. The other end of an entry is looked up on a grid of
-    cells x cells over the two eigenvectors, a bounded table, instead of node by node."""
+    one half counting as edges."""
     values, vectors, basis = lanczos(graph.settled(), steps, seed)
     top = np.argsort(-np.abs(values), kind="stable")[:2]
     a = _ritz(basis, vectors[:, top[0]], "a")
     b = _ritz(basis, vectors[:, top[-1]], "b") if len(top) > 1 else a.select("g", "node", F.lit(0.0).alias("b"))
     points = settled(a.join(b, ["g", "node"]))
-    box = points.agg(F.min("a").alias("a0"), F.max("a").alias("a1"), F.min("b").alias("b0"), F.max("b").alias("b1")).first()
-    place = lambda c, lo, hi: F.least(F.floor((F.col(c) - lo) / max(hi - lo, 1e-300) * cells), F.lit(cells - 1))
-    grid = points.groupBy(place("a", box["a0"], box["a1"]).alias("i"), place("b", box["b0"], box["b1"]).alias("j")).agg(F.count(F.lit(1)).alias("many"), F.avg("a").alias("ca"), F.avg("b").alias("cb"))
-    entry = values[top[0]] * F.col("a") * F.col("ca") + values[top[-1]] * F.col("b") * F.col("cb")
-    near = points.crossJoin(F.broadcast(grid)).groupBy("g", "node").agg(F.sum(F.when(entry > 0.5, F.col("many")).otherwise(0)).cast("double").alias("v"))
+    near = entries_above(points, values[top[0]], values[top[-1]], cells)
     ranks = settled(sweeps.ranked(near, "v"))
     return sweeps.best_cut(graph, ranks, beta).select("g", "node", F.lit(0).cast("long").alias("c"), "x")

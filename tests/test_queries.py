@@ -4,6 +4,7 @@ import inspect
 from pathlib import Path
 
 import duckdb
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -50,3 +51,11 @@ def test_detectors_are_registered_with_full_parameters():
     assert {k for k, v in found.items() if v} == set() and len(found) == 13
     default = lambda f, name: inspect.signature(f).parameters[name].default
     assert default(detect.rossa, "batches") is None and default(detect.minres, "steps") >= 10_000
+
+
+def test_rank_two_degrees_are_exact_beside_a_hub(spark):
+    a, b = np.random.default_rng(2).normal(size=(2, 80))
+    a[0], b[1] = 200.0, -300.0
+    points = spark.createDataFrame([(0, i, float(x), float(y)) for i, (x, y) in enumerate(zip(a, b, strict=True))], "g int, node long, a double, b double")
+    found = {r.node: r.v for r in detect.entries_above(points, 1.5, -0.7).collect()}
+    assert found == dict(enumerate((1.5 * np.outer(a, a) - 0.7 * np.outer(b, b) > 0.5).sum(1)))
