@@ -15,10 +15,13 @@ _made: list[tuple[SparkSession, str]] = []
 
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: spark.checkpoint.dir. Where that
-    is unset (tests in one process), a temporary folder is set as checkpoint folder."""
+    is unset, a temporary folder is set as checkpoint folder if all runs in one process
+    (master local); on a cluster that is an error."""
     conf = spark.sparkContext.getConf()
     root = conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not root:
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         root = "file://" + tempfile.mkdtemp(prefix="ringscope-")
         spark.sparkContext.setCheckpointDir(root)
     return root.rstrip("/")
@@ -62,24 +65,39 @@ def give_back() -> None:
         trim(0)
 
 
+#: Rows and bytes of an Arrow batch of texts at most (a longer text is a batch of its own).
+BATCH_ROWS, BATCH_BYTES = 1000, 4 << 20
+
+
+def bounded_batches(df: DataFrame) -> DataFrame:
+    """df, after its session has been told to hand texts to Python in batches of BATCH_ROWS
+    rows and BATCH_BYTES bytes at most. Spark's own 10,000 rows may be gigabytes of whole
+    texts, once in the JVM and twice in Python. What the user has set stays."""
+    conf = df.sparkSession.conf
+    for key, most in (("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS), ("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)):
+        if key not in conf.getAll:
+            conf.set(key, str(most))
+    return df
+
+
+def numbered(df: DataFrame, name: str) -> DataFrame:
+    """df stored with a row number in column name. The number is taken once and read from
+    the table ever after: another scan of the source could cut its files elsewhere and
+    number its rows otherwise."""
+    return stored(df.select(row_key(name), "*"), "numbered")
+
+
 def text_or_empty(col: str = "text"):
     """A null text counts as empty."""
     return F.coalesce(F.col(col).cast("string"), F.lit(""))
 
 
 def row_key(name: str = "_row"):
-    """A number for each input row, so that repeated or null ids stay separate rows."""
+    """A number for each input row, so that repeated or null ids stay separate rows. It may
+    differ when the plan runs again, so only a stored table may hand it on."""
     return F.monotonically_increasing_id().alias(name)
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
-
-def hot_keys(keyed: DataFrame, key: str, parts: int = 1000) -> DataFrame:
-    """Keys that hold more than 1/parts of keyed's rows, with their row counts n.
-    By that definition there are fewer than parts of them, at any input size, so
-    the result may be broadcast."""
-    counts = keyed.groupBy(key).agg(F.count(F.lit(1)).alias("n"))
-    total = keyed.agg(F.count(F.lit(1)).alias("_total"))
-    return counts.join(F.broadcast(total), F.col("n") * parts > F.greatest(F.col("_total"), F.lit(parts * 20)), "inner").select(key, "n")

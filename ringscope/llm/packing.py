@@ -5,16 +5,18 @@ pieces of exactly that length need no packing. The others are dealt by a hash of
 row into blocks of about BLOCK pieces, a bounded size at any input. Each block is
 packed on ISLANDS islands that evolve populations of their own from different seeds:
 a crossover takes well-filled bins of one parent whole into the other, drops the bins
-that hold the same pieces, and puts the displaced pieces back by best fit. Between
-EPOCHS each island passes its best packing on to the next island of its block. Bins
-that remain poorly filled are emptied into fewer blocks at the next level, until one
-block is left or nothing is gained.
+that hold the same pieces, and puts the displaced pieces back: first in exchange for
+shorter ones where that fills a bin further, then by best fit. Between EPOCHS each
+island passes its best packing on to the next island of its block. Bins that remain
+poorly filled are emptied into fewer blocks at the next level, until one block is left
+or nothing is gained.
 
 Only piece lengths travel between islands; texts and ids are never shuffled.
 """
 
 from __future__ import annotations
 
+import json
 import math
 import random
 import zlib
@@ -22,21 +24,59 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import tiktoken
 from pyspark.sql import DataFrame, SparkSession, functions as F
+from tokenizers import Tokenizer
 
-from .bpe import stretches, unit_memory, vocabulary_file
-from .common import give_back, read, row_key, stored
+from .bpe import byte_letters, vocabulary_file
+from .common import bounded_batches, give_back, read, row_key, stored
 
 CAPACITY = 1024
 END_ID = 2
 BLOCK = 2000
 ISLANDS = 2
 EPOCHS = 2
-GENERATIONS = 3
+GENERATIONS = 5
 POPULATION = 4
 LEVELS = 4
 #: Bins with at most so many free tokens are not opened again at the next level.
 SPARE = 8
+#: Fixed value: the words that byte-level vocabularies of this kind are cut into.
+WORDS = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+
+
+class Ids:
+    """Ids of texts under a byte-level vocabulary file whose ids rise with its merge rules;
+    special tokens in a text get their ids. The quick encoder gives up on very long runs
+    of white space, which the tokenizers library then encodes."""
+
+    def __init__(self, source: bytes):
+        parsed = json.loads(source)
+        special = {t["content"]: t["id"] for t in parsed["added_tokens"]}
+        byte = {letter: b for b, letter in byte_letters().items()}
+        ranks = {bytes(map(byte.__getitem__, t)): i for t, i in parsed["model"]["vocab"].items() if t not in special}
+        self.quick = tiktoken.Encoding("pieces", pat_str=WORDS, mergeable_ranks=ranks, special_tokens=special)
+        self.source, self.plain = source, None
+
+    def __call__(self, text: str) -> np.ndarray:
+        try:
+            return self.quick.encode_to_numpy(text, allowed_special="all").astype("<u4", copy=False)
+        except ValueError:
+            if self.plain is None:
+                self.plain = Tokenizer.from_buffer(self.source)
+            return np.array(self.plain.encode(text, add_special_tokens=False).ids, dtype="<u4")
+
+
+_encoders: dict[int, Ids] = {}
+
+
+def encoder(source: bytes) -> Ids:
+    """The encoder of a vocabulary file, made once in each worker; the last file's stays."""
+    key = zlib.crc32(source)
+    if key not in _encoders:
+        _encoders.clear()
+        _encoders[key] = Ids(source)
+    return _encoders[key]
 
 
 class Packing:
@@ -46,6 +86,7 @@ class Packing:
         self.lengths, self.capacity = lengths, capacity
         self.bins: list[list[int]] = []
         self.fill: list[int] = []
+        self._fitness: tuple[int, float] | None = None
 
     def put(self, items: list[int]) -> None:
         """Best fit of items, in their order: the bin with the least room that suffices."""
@@ -72,9 +113,44 @@ class Packing:
             rooms.setdefault(room, []).append(b)
             mask |= 1 << room
 
+    def refill(self, items: list[int], bins: list[int]) -> list[int]:
+        """Goes through bins once and puts an item in the place of a shorter one, or of two
+        that are shorter together, wherever that fills the bin further, always the longest
+        item that fits. Returns what is then left over."""
+        size, loose = self.lengths, {}
+        mask = 0
+        for i in items:
+            loose.setdefault(size[i], []).append(i)
+            mask |= 1 << size[i]
+        for b in bins:
+            inside, room = self.bins[b], self.capacity - self.fill[b]
+            if not room or len(inside) > 12:
+                continue
+            best, change = 0, None
+            for x, i in enumerate(inside):
+                for j in (None, *inside[x + 1 :]):
+                    old = size[i] + (size[j] if j is not None else 0)
+                    new = (mask & ((1 << (old + room + 1)) - 1)).bit_length() - 1
+                    if new - old > best:
+                        best, change = new - old, (i, j, new)
+            if change:
+                i, j, new = change
+                self.fill[b] += best
+                for gone in (i, j) if j is not None else (i,):
+                    inside.remove(gone)
+                    loose.setdefault(size[gone], []).append(gone)
+                    mask |= 1 << size[gone]
+                inside.append(loose[new].pop())
+                if not loose[new]:
+                    del loose[new]
+                    mask &= ~(1 << new)
+        return [i for group in loose.values() for i in group]
+
     def fitness(self) -> tuple[int, float]:
         """Fewer bins first, then the more uneven fill: nearly empty bins go soonest."""
-        return -len(self.bins), sum((f / self.capacity) ** 2 for f in self.fill)
+        if self._fitness is None:  # asked for only once the packing is settled
+            self._fitness = -len(self.bins), sum(f * f for f in self.fill) / self.capacity**2
+        return self._fitness
 
     def assignment(self) -> np.ndarray:
         out = np.zeros(len(self.lengths), dtype=np.int32)
@@ -110,8 +186,16 @@ def crossover(a: Packing, b: Packing, rng: random.Random) -> Packing:
     for k in chosen:
         child.bins.append(list(b.bins[k]))
         child.fill.append(b.fill[k])
-    child.put(sorted((i for i in loose if i not in taken), key=lambda i: -a.lengths[i]))
-    return child
+    return settle(child, [i for i in loose if i not in taken], rng)
+
+
+def settle(p: Packing, loose: list[int], rng: random.Random) -> Packing:
+    """p with the loose items put back."""
+    order = list(range(len(p.bins)))
+    rng.shuffle(order)
+    loose = p.refill(loose, order)
+    p.put(sorted(loose, key=lambda i: -p.lengths[i]))
+    return p
 
 
 def mutate(p: Packing, rng: random.Random) -> Packing:
@@ -119,9 +203,7 @@ def mutate(p: Packing, rng: random.Random) -> Packing:
     n = len(p.bins)
     worst = sorted(range(n), key=lambda k: p.fill[k])[: max(1, n // 20)]
     child, loose = p.without({*worst, *rng.sample(range(n), min(n, max(1, n // 20)))})
-    rng.shuffle(loose)
-    child.put(sorted(loose, key=lambda i: -p.lengths[i] + rng.random() * 16))
-    return child
+    return settle(child, loose, rng)
 
 
 def lower_bound(lengths: list[int], capacity: int) -> int:
@@ -158,19 +240,20 @@ def evolve(lengths: list[int], capacity: int, seed: int, migrants: list, populat
 
 def pieces(docs: DataFrame, source: bytes, id_col: str = "doc_id", text_col: str = "text", capacity: int = CAPACITY, end_id: int = END_ID) -> DataFrame:
     """_id, piece, start, length, ids_crc32 of every piece of every row's ids. A null
-    text counts as empty: one piece, the end id alone."""
+    text counts as empty: one piece, the end id alone. Null ids stay null."""
     handle = docs.sparkSession.sparkContext.broadcast(source)  # one vocabulary file: bounded
     id_type = docs.schema[id_col].dataType.simpleString()
 
     def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        memory, end = unit_memory(handle.value), int(end_id).to_bytes(4, "little")
-        for pdf in stretches(batches, "text"):
+        encode, end = encoder(handle.value), int(end_id).to_bytes(4, "little")
+        for pdf in batches:
             rows, k, start, length, crc = [], [], [], [], []
-            for at, found in enumerate(memory.encode([t or "" for t in pdf["text"]])):
-                ids = found.astype("<u4").tobytes() + end
+            for at, text in enumerate(pdf.pop("text")):
+                ids = encode(text or "").tobytes() + end
                 n = len(ids) // 4
                 head = (n - 1) % capacity + 1
-                for j, (s, e) in enumerate(zip([0, *range(head, n, capacity)], [*range(head, n, capacity), n], strict=True)):
+                cuts = [0, *range(head, n, capacity), n]
+                for j, (s, e) in enumerate(zip(cuts, cuts[1:], strict=False)):
                     rows.append(at)
                     k.append(j)
                     start.append(s)
@@ -179,7 +262,7 @@ def pieces(docs: DataFrame, source: bytes, id_col: str = "doc_id", text_col: str
             yield pd.DataFrame({"_id": pdf["_id"].take(rows).to_numpy(), "piece": k, "start": start, "length": length, "ids_crc32": crc})
         give_back()
 
-    rows = docs.select(F.col(id_col).alias("_id"), F.col(text_col).cast("string").alias("text"))
+    rows = bounded_batches(docs).select(F.col(id_col).alias("_id"), F.col(text_col).cast("string").alias("text"))
     return rows.mapInPandas(cut, f"_id {id_type}, piece int, start long, length long, ids_crc32 long")
 
 
