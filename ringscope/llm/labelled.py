@@ -36,11 +36,12 @@ def sample_labelled(docs: DataFrame, labels: DataFrame, target: str, n_folds: in
             bound = F.when(F.col("y") == y, F.lit(int(share * (1 << 20)))).otherwise(bound)
         return F.col("u") < bound
 
-    chosen = known.where(under({y: min(1.0, rows_per_class / n) for y, n in totals.items()}))
+    first = {y: min(1.0, rows_per_class / n) for y, n in totals.items()}
+    chosen = known.where(under(first))
     rows = docs.select(F.col(id_col).alias("_id"), F.col(text_col).cast("string").alias("text")).where(F.length("text") > 0)
     rows = stored(rows.join(F.broadcast(chosen), "_id").groupBy("_id", "y", "u").agg(F.max("text").alias("text")), "labelled-sample")
     sizes = {r["y"]: r["b"] for r in rows.groupBy("y").agg(F.sum(F.octet_length("text")).alias("b")).collect()}
-    got = rows.where(under({y: min(1.0, bytes_per_class / b) for y, b in sizes.items()})).select("_id", "y", "text").toPandas().sort_values(["_id", "y"], kind="stable")
+    got = rows.where(under({y: first[y] * min(1.0, bytes_per_class / b) for y, b in sizes.items()})).select("_id", "y", "text").toPandas().sort_values(["_id", "y"], kind="stable")
     share = totals.get(1, 0) / max(1, sum(totals.values()))
     return got["text"].tolist(), got["y"].to_numpy(dtype=float), share
 
