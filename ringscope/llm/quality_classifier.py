@@ -23,7 +23,7 @@ import pandas as pd
 import zstandard as zstd
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from .common import give_back, read
+from .common import bounded_batches, give_back, read
 from .labelled import fit_logistic, fold, logistic, sample_labelled
 
 BLOCK = 1024
@@ -85,9 +85,10 @@ def _dictionary(texts: list[str]) -> bytes:
         return b"".join(parts)[-DICT_BYTES:] or b" "
 
 
-def fit(texts: list[str], y: np.ndarray) -> CompressionModel:
+def fit(texts: list[str], y: np.ndarray, positives: float | None = None) -> CompressionModel:
     """Dictionaries from every other text of each class, the curve from the rest.
-    Without texts of both classes, every score is the share of label 1 (or 0.5)."""
+    Without texts of both classes, every score is the share of label 1 (or 0.5).
+    positives: that share among all labelled rows, which texts without content get."""
     order = {c: [i for i in range(len(y)) if y[i] == c] for c in (0, 1)}
     if min(map(len, order.values())) < 2:
         share = float(y.mean()) if len(y) else 0.5
@@ -97,13 +98,12 @@ def fit(texts: list[str], y: np.ndarray) -> CompressionModel:
     model = CompressionModel(kinds[1], kinds[0], np.zeros(5))
     rest = [i for c in (0, 1) for i in order[c][1::2]]
     model.weights = fit_logistic(model.features([texts[i] for i in rest]), y[rest], 1e-4)
-    model.default = float(np.mean(y))
+    model.default = float(np.mean(y)) if positives is None else positives
     return model
 
 
 def fit_from(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", rows_per_class: int = ROWS_PER_CLASS) -> CompressionModel:
-    texts, y, _ = sample_labelled(docs, labels, "quality", HELD_OF, HELD, rows_per_class, text_col, id_col)
-    return fit(texts, y)
+    return fit(*sample_labelled(docs, labels, "quality", HELD_OF, HELD, rows_per_class, text_col, id_col))
 
 
 def score_quality(docs: DataFrame, model: CompressionModel, text_col: str = "text", score_col: str = "score") -> DataFrame:
@@ -116,7 +116,7 @@ def score_quality(docs: DataFrame, model: CompressionModel, text_col: str = "tex
             yield pd.Series(model.score(texts.tolist()), dtype="float64")
         give_back()
 
-    return docs.withColumn(score_col, scored(F.col(text_col)))
+    return bounded_batches(docs).withColumn(score_col, scored(F.col(text_col)))
 
 
 def op3_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
