@@ -14,10 +14,13 @@ one node from the start. No bucket is expanded into its pairs:
 1. every node is compared with the smallest node of its buckets (one comparison);
 2. in buckets that still hold several components, every node is compared with the
    bucket's smallest node, its pivot, and what each lacks of the other is noted;
-3. where a bucket then still holds several components, nodes of different components
-   around one pivot are joined under an exact condition: the sizes of their differences
-   to the pivot rule most pairs out, the differences themselves decide the rest. Only
-   links leave that join, never the group's pairs.
+3. in buckets that are still open, the nodes outside the pivot's component are compared
+   with the smallest of them, a second pivot;
+4. where a bucket then still holds several components, each node outside the pivot's
+   component is joined to nodes that share one of its rarest differences to the pivot.
+   Two linked nodes of which one is not linked with the pivot share such differences
+   (see links_around_pivots), so no link is missed, and nodes near the pivot, however
+   many, don't meet each other.
 
 All comparisons use full sets, so no link is a guess, and every pair that shares a
 bucket is compared, ruled out exactly, or already connected.
@@ -29,15 +32,18 @@ digest.
 from __future__ import annotations
 
 import hashlib
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, Window as W, functions as F
 
-from .common import give_back, read, row_key, stored
+from .common import bounded_batches, give_back, numbered, read, row_key, stored
 
+#: Words of a shingle where the caller names no other number.
+SHINGLE = 5
 T = 128
 ROWS = 4
 NUM, DEN = 80, 100
@@ -158,17 +164,32 @@ def verify(pairs: DataFrame, sets: DataFrame, differences: bool = False) -> Data
 def links_around_pivots(placed: DataFrame, num: int, den: int) -> DataFrame:
     """a, b: linked nodes of different components that share a pivot.
 
-    placed has for each node (a) and pivot (b) the differences of their sets. The
-    common items of x and y are those of the pivot that neither lacks and those that
-    both add, so the sizes of the differences bound them and the differences give them
-    exactly. Both tests stand in the join's condition: only links leave it."""
-    side = lambda s: placed.select(F.col("b").alias("pivot"), F.col("n_b").alias(f"n_{s}"), *[F.col(c).alias(f"{c}_{s}") for c in ("a", "comp", "lacks", "adds")], F.size("lacks").alias(f"nl_{s}"), F.size("adds").alias(f"na_{s}"), F.col("n_a").alias(f"size_{s}"))
-    x, y = side("x"), side("y").drop("n_y")
-    total = F.col("size_x") + F.col("size_y")
-    most = F.col("n_x") - F.greatest("nl_x", "nl_y") + F.least("na_x", "na_y")
+    placed has for each node (a) and pivot (b) the differences of their sets and the
+    components of both (comp, pivot_comp). Let D(x) be the items in which x differs from
+    the pivot p, and r = (den - num) / (den + num). x and y are linked if they differ in
+    at most r (|x| + |y|) items, and differ in |D(x)| + |D(y)| - 2 |D(x) & D(y)|. As D(y)
+    has at least ||y| - |p|| items, linked x and y share at least
+    t = (|D(x)| - r (|x| + |p|)) / 2 of them, more than 0 if x is not linked with p. So of
+    any |D(x)| - t + 1 items of D(x) y has one; the rarest are taken. Candidates are then
+    decided by the differences: common items are those of p that neither lacks and those
+    that both add."""
+    signed = F.concat(F.transform("lacks", lambda z: F.xxhash64(z, F.lit(1))), F.transform("adds", lambda z: F.xxhash64(z, F.lit(2))))
+    rows = placed.select(F.col("b").alias("pivot"), "a", "comp", "pivot_comp", F.col("n_a").alias("size"), F.col("n_b").alias("n_p"), F.size("lacks").alias("nl"), F.size("adds").alias("na"), F.explode(signed).alias("item"))
+    rows = stored(rows, "differences")
+    sum_, less = num + den, den - num
+    shared = F.ceil(((F.col("nl") + F.col("na")) * sum_ - less * (F.col("size") + F.col("n_p"))) / (2 * sum_))
+    rare = rows.groupBy("pivot", "item").agg(F.count(F.lit(1)).alias("f")).where("f > 1")
+    outer = rows.where("comp <> pivot_comp").join(rare, ["pivot", "item"], "left").fillna(1, ["f"])
+    order = F.row_number().over(W.partitionBy("pivot", "a").orderBy("f", "item"))  # a row per difference of one node
+    outer = outer.withColumn("k", order).where((F.col("k") <= F.col("nl") + F.col("na") - F.greatest(shared, F.lit(1)) + 1) & (F.col("f") > 1))
+    side = lambda df, s: df.select("pivot", "item", *[F.col(c).alias(f"{c}_{s}") for c in ("a", "comp", "size", "nl", "na")], *([F.col("n_p"), "pivot_comp"] if s == "y" else []))
+    most = F.col("n_p") - F.greatest("nl_x", "nl_y") + F.least("na_x", "na_y")
+    pairs = side(outer, "x").join(side(rows, "y"), ["pivot", "item"]).where((F.col("comp_x") != F.col("comp_y")) & (most * sum_ >= (F.col("size_x") + F.col("size_y")) * num))
+    pairs = stored(pairs.select("pivot", "a_x", "a_y").distinct(), "candidates")
+    held = lambda s: placed.select(F.col("b").alias("pivot"), F.col("n_b").alias(f"n_{s}"), *[F.col(c).alias(f"{c}_{s}") for c in ("a", "lacks", "adds", "n_a")])
+    both = pairs.join(held("x"), ["pivot", "a_x"]).join(held("y").drop("n_y"), ["pivot", "a_y"])
     inter = F.col("n_x") - F.size(F.array_union("lacks_x", "lacks_y")) + F.size(F.array_intersect("adds_x", "adds_y"))
-    near = (F.col("a_x") < F.col("a_y")) & (F.col("comp_x") != F.col("comp_y")) & (most * (num + den) >= total * num) & (inter * (num + den) >= total * num)
-    return x.join(y, (x["pivot"] == y["pivot"]) & near).select(F.col("a_x").alias("a"), F.col("a_y").alias("b")).distinct()
+    return both.where(inter * sum_ >= (F.col("n_a_x") + F.col("n_a_y")) * num).select(F.least("a_x", "a_y").alias("a"), F.greatest("a_x", "a_y").alias("b")).distinct()
 
 
 def linked(num: int = NUM, den: int = DEN):
@@ -194,11 +215,12 @@ def components(links: DataFrame, name: str = "components") -> DataFrame:
     raise RuntimeError("components did not settle")
 
 
-def grouped(docs: DataFrame, id_col: str, text_col: str, shingle: int = 2, num: int = NUM, den: int = DEN, t: int = T, rows: int = ROWS) -> DataFrame:
+def grouped(docs: DataFrame, id_col: str, text_col: str, shingle: int = SHINGLE, num: int = NUM, den: int = DEN, t: int = T, rows: int = ROWS, row: Column | None = None) -> DataFrame:
     """_row, _id, n_shingles, component_id and first_row, the row that stays, of each row.
-    docs must be a stored table, whose rows come in the same order each time."""
+    _row is the column row of a stored table, or numbers that are given to the rows once,
+    with their signatures; texts are found again by a hash of id and text."""
     id_type = docs.schema[id_col].dataType.simpleString()
-    source = docs.select(row_key(), F.col(id_col).alias("_id"), F.xxhash64(F.col(id_col), F.col(text_col)).alias("_rk"), F.col(text_col).cast("string").alias("text"))
+    source = bounded_batches(docs).select(row_key() if row is None else row.alias("_row"), F.col(id_col).alias("_id"), F.xxhash64(F.col(id_col), F.col(text_col)).alias("_rk"), F.col(text_col).cast("string").alias("text"))
     sigs = stored(signatures(source, id_type, shingle, t, rows), "signatures")
 
     nodes = stored(
@@ -233,13 +255,24 @@ def grouped(docs: DataFrame, id_col: str, text_col: str, shingle: int = 2, num:
     tested = tested.unionByName(apart.select(*tested.columns))
     comp = components(tested.where(linked(num, den)), "comp-2")
 
-    state = stored(labelled(still.drop("comp")), "state-3")
-    still = state.join(stored(open_buckets(state), "open-3"), "bucket", "left_semi")
-    placed = still.where("node <> pivot").select(F.col("node").alias("a"), F.col("pivot").alias("b"), "comp").distinct()
-    placed = stored(placed.join(apart, ["a", "b"]), "placed-3")
-    third = links_around_pivots(placed, num, den)
-    links = tested.where(linked(num, den)).select("a", "b").unionByName(third)
-    comp = components(stored(links, "links"), "comp-3")
+    def pivot_known(rows_: DataFrame) -> DataFrame:
+        """Rows of open buckets with the component of their pivot."""
+        around = stored(labelled(rows_), f"state-{uuid.uuid4().hex[:6]}")
+        around = around.join(stored(open_buckets(around), "open"), "bucket", "left_semi")
+        return around.join(comp.select(F.col("node").alias("pivot"), F.col("comp").alias("pivot_comp")), "pivot", "left").withColumn("pivot_comp", F.coalesce("pivot_comp", "pivot"))
+
+    still = stored(pivot_known(still.drop("comp")), "still-3")
+    outside = still.where("comp <> pivot_comp")
+    seconds = outside.groupBy("bucket").agg(F.min("node").alias("b"))
+    third = stored(outside.join(seconds, "bucket").where("node <> b").select(F.col("node").alias("a"), "b").distinct(), "third-pairs")
+    tested = tested.unionByName(stored(verify(third, sets), "tested-3"))
+    comp = components(tested.where(linked(num, den)), "comp-3")
+
+    still = pivot_known(still.drop("comp", "pivot_comp"))
+    placed = still.where("node <> pivot").select(F.col("node").alias("a"), F.col("pivot").alias("b"), "comp", "pivot_comp").distinct()
+    placed = stored(placed.join(apart, ["a", "b"]), "placed-4")
+    links = tested.where(linked(num, den)).select("a", "b").unionByName(links_around_pivots(placed, num, den))
+    comp = components(stored(links, "links"), "comp-4")
 
     labelled_nodes = nodes.select("digest", "node", "low").join(comp, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
     labelled_nodes = stored(labelled_nodes.select("digest", "comp", "low"), "labelled")
@@ -265,8 +298,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 def keep_smallest(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **parameters) -> DataFrame:
     """The rows of docs that stay, with all their columns: of each component the row of
     the smallest id (null last; of equal ids the first), and every text without words."""
-    marked = docs.select(row_key("_row_of_near"), "*")
-    dropped = stored(grouped(docs, id_col, text_col, **parameters).where("_row <> first_row").select(F.col("_row").alias("_row_of_near")), "near-dropped")
+    marked = numbered(docs, "_row_of_near")
+    dropped = stored(grouped(marked, id_col, text_col, row=F.col("_row_of_near"), **parameters).where("_row <> first_row").select(F.col("_row").alias("_row_of_near")), "near-dropped")
     return marked.join(dropped, "_row_of_near", "left_anti").drop("_row_of_near")
 
 
@@ -296,4 +329,4 @@ FROM docs LEFT JOIN n USING (doc_id) LEFT JOIN low USING (doc_id)
 
 
 def op4_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return near_duplicates(read(spark, sf_dir, "documents"))
+    return near_duplicates(read(spark, sf_dir, "documents"), shingle=2)

@@ -3,6 +3,7 @@
 import random
 
 import numpy as np
+import pytest
 
 from ringscope.llm import minhash
 
@@ -26,14 +27,15 @@ def test_shingles():
     assert len(one("a b")) == 1 and one("a")[0] not in one("a a")
 
 
-def brute(rows):
+def brute(rows, size=2):
     def lower(t):
         return "".join(c.lower() if "A" <= c <= "Z" else c for c in t or "")
 
     sets = []
     for _, t in rows:
         w = lower(t).encode().split()
-        sets.append(frozenset(zip(w, w[1:], strict=False)) if len(w) > 1 else frozenset(w))
+        n = min(size, len(w))
+        sets.append(frozenset(tuple(w[i : i + n]) for i in range(len(w) - n + 1)) if w else frozenset())
     low = list(range(len(rows)))
 
     def find(i):
@@ -73,13 +75,46 @@ def copies(seed=2):
     return [(i * 3 % 1009, t) for i, t in enumerate(texts)]
 
 
-def test_components_against_brute_force(spark):
+@pytest.mark.parametrize("size", [2, 5])
+def test_components_against_brute_force(spark, size):
     rows = copies()
     df = spark.createDataFrame([(i, t, "n") for i, t in rows], "doc_id long, text string, n string")
-    got = {r.doc_id: (r.n_shingles, r.component_id) for r in minhash.near_duplicates(df).collect()}
-    assert got == brute(rows)
-    kept = {r.doc_id for r in minhash.keep_smallest(df).select("doc_id").collect()}
-    assert kept == {d for d, (_, c) in got.items() if d == c}
+    expected = brute(rows, size)
+    if size == 2:
+        assert {r.doc_id: (r.n_shingles, r.component_id) for r in minhash.near_duplicates(df, shingle=2).collect()} == expected
+    else:
+        kept = {r.doc_id for r in minhash.keep_smallest(df).select("doc_id").collect()}
+        assert kept == {d for d, (_, c) in expected.items() if d == c}
+
+
+def test_links_around_a_pivot(spark):
+    """Nodes at all distances from a pivot: each link of different components is found."""
+    rng = random.Random(4)
+    pivot, rows = set(range(60)), []
+    for node in range(1, 160):
+        far = rng.choice([4, 8, 12, 14])
+        x = (pivot - set(rng.sample(sorted(pivot), rng.randint(0, far)))) | {100 + rng.randrange(25) for _ in range(rng.randint(0, far))}
+        rows.append((node, x))
+    near = lambda x, y: 100 * len(x & y) >= 80 * len(x | y)
+    comp = {n: 0 if near(x, pivot) else n for n, x in rows}
+    placed = [(n, 0, comp[n], 0, sorted(pivot - x), sorted(x - pivot), len(x), 60) for n, x in rows]
+    df = spark.createDataFrame(placed, "a long, b long, comp long, pivot_comp long, lacks array<long>, adds array<long>, n_a long, n_b long")
+    expected = {(n, m) for n, x in rows for m, y in rows if n < m and comp[n] != comp[m] and near(x, y)}
+    assert 20 < len({n for n in comp if comp[n]}) < 140 and len(expected) > 10
+    assert {(r.a, r.b) for r in minhash.links_around_pivots(df, 80, 100).collect()} == expected
+
+
+def test_rows_keep_their_numbers_under_other_splits(spark, tmp_path):
+    """The table is cut into other partitions on every scan."""
+    rows = [(i % 7, f"one two three four five six {i % 5}") for i in range(400)]
+    spark.createDataFrame(rows, "doc_id long, text string").repartition(3).write.parquet(str(tmp_path / "t"))
+    found = []
+    for most in ("128m", "1k"):
+        spark.conf.set("spark.sql.files.maxPartitionBytes", most)
+        df = spark.read.parquet(str(tmp_path / "t"))
+        found.append(sorted(r.text for r in minhash.keep_smallest(df).collect()))
+    spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    assert found[0] == found[1] == sorted({t for _, t in rows})
 
 
 def test_nulls_repeats_and_nothing(spark):
