@@ -119,3 +119,34 @@ def test_exact_dedup_of_repeated_and_null_ids(spark):
     assert sum(r.kept for r in rows) == 2 and len(rows) == 4
     assert exact_dedup.exact_duplicates(frame(spark, [])).count() == 0
     assert exact_dedup.keep_first(frame(spark, ["t", "t", "u"])).columns == ["doc_id", "text", "lang", "n_words"]
+
+
+def test_runs_filters_and_levels(spark):
+    """Many memtables: every generation, lookup and level takes part."""
+    rows = [(i, f"text {i % 700 if i % 3 else i}") for i in range(2000)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(11)
+    mem = df.select((F.spark_partition_id() % exact_dedup.GENERATIONS).alias("gen"), F.col("doc_id").alias("_row"), F.col("doc_id").alias("_id"), F.lit(1).alias("n_points"), F.unhex(F.sha2("text", 256)).alias("digest")).cache()
+    assert mem.select("gen").distinct().count() == exact_dedup.GENERATIONS
+    index, hits = exact_dedup.index_of(mem)
+    groups = Counter(t for _, t in rows)
+    assert sorted(r.n_rows for r in index.collect()) == sorted(groups.values())
+    assert {bytes(r.digest) for r in hits.collect()} == {hashlib.sha256(t.encode()).digest() for t, n in groups.items() if n > 1}
+    first = mem.where("gen = 0").groupBy("digest").agg(F.min(F.struct((-F.col("n_points")).alias("p"), F.lit(False).alias("no_id"), "_id", "_row")).alias("best"), F.count(F.lit(1)).alias("n_rows"))
+    run = exact_dedup._written(first, 0)
+    assert run.may_hold(run.entries).count() == run.entries.count()
+    strangers = spark.range(4000).select(F.unhex(F.sha2(F.concat(F.lit("other"), F.col("id").cast("string")), 256)).alias("digest"))
+    assert run.may_hold(strangers).count() < 500
+    plan = exact_dedup._written(first, 0).entries.join(run.entries.select("digest"), "digest", "full")._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan  # runs are bucketed alike
+
+
+def test_exact_dedup_under_other_splits(spark, tmp_path):
+    spark.createDataFrame([(i % 9, f"t {i % 5}") for i in range(300)], "doc_id long, text string").repartition(3).write.parquet(str(tmp_path / "t"))
+    found = []
+    for most in ("128m", "1k"):
+        spark.conf.set("spark.sql.files.maxPartitionBytes", most)
+        df = spark.read.parquet(str(tmp_path / "t"))
+        rows = exact_dedup.exact_duplicates(df).collect()
+        found.append((sorted((r.doc_id, r.keep_id, r.group_size, r.text_sha256) for r in rows), sum(r.kept for r in rows), exact_dedup.keep_first(df).count()))
+    spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    assert found[0] == found[1] and found[0][1:] == (5, 5)
