@@ -1,16 +1,20 @@
 """WARC archives: writing, reading back, and a merged capture index.
 
-Writing is all DataFrame operations. Payload digests are grouped to find responses and
-revisits; only ids and digests take part in that. Each task then writes its records in
-the order of URL key and date as one archive, by Spark's text writer with the record
-separator as line separator, so any file system works and a lost executor's task is
-simply run again.
+Writing is all DataFrame operations. Equal captures (same id, URL and payload) are counted
+as one, and payload digests are grouped to find responses and revisits; only ids, URLs
+and digests take part in that. Revisits have no payload and are written from that table;
+only responses are joined with their pages. No row is known by its place in a scan. Each
+task then writes its records in the order of URL key and date as one archive, by Spark's
+text writer with the record separator as line separator, so any file system works and a
+lost executor's task is simply run again. An archive holds about ARCHIVE_BYTES bytes.
+Offsets count bytes of the unpacked archive, as Spark's writer packs whole files.
 
 Reading parses each archive as a stream. Its captures form a locally sorted run. The
-index is merged externally: captures are dealt by ranges of (URL key, date, id), and
-every range merges its runs' segments with a loser tree, so that the ranges in order
-hold the globally ordered capture histories. The range key holds the id, so one very
-common URL spreads over several ranges.
+index is merged externally: captures are dealt by ranges of (URL key, date, id), where a
+run arrives as sorted stretches. A range finds the stretches as they come, without
+sorting, and merges them with a loser tree, so that the ranges in order hold the globally
+ordered capture histories. The range key holds the id, so one very common URL spreads
+over several ranges.
 """
 
 from __future__ import annotations
@@ -19,15 +23,15 @@ import base64
 import gzip
 import hashlib
 import io
-from collections.abc import Iterator, Sequence
+from collections.abc import Iterable, Iterator, Sequence
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from .common import read, row_key, scratch, stored, text_or_empty
+from .common import bounded_batches, read, scratch, stored, text_or_empty
 
-#: Records in one archive file at most.
-RECORDS_PER_FILE = 10_000
+#: Bytes of payload in one archive, about, and its records at most.
+ARCHIVE_BYTES, RECORDS_PER_FILE = 64 << 20, 10_000
 #: Captures that one merging task holds, about.
 RANGE_ROWS = 200_000
 BASE32_FROM, BASE32_TO = "0123456789ABCDEFGHIJKLMNOPQRSTUV", "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"
@@ -50,15 +54,18 @@ def url_key(col) -> Column:
     return F.when(host == "", lower).otherwise(F.concat(F.array_join(F.reverse(F.split(host, r"\.")), ","), F.lit(")"), rest))
 
 
-def classify(pages: DataFrame, min_bytes: int = 0) -> DataFrame:
-    """From _row, _id, digest, payload_bytes: with record_type and refers_to. Of equal
-    payloads of at least min_bytes bytes the smallest id (null last) is the response."""
-    rows = stored(pages, "captures")
-    first = F.min(F.struct(F.col("_id").isNull().alias("no_id"), "_id", "_row"))
-    groups = stored(rows.where(F.col("payload_bytes") >= min_bytes).groupBy("digest").agg(first.alias("first")).select("digest", "first._row", "first._id").withColumnsRenamed({"_row": "first_row", "_id": "first_id"}), "payloads")
-    joined = rows.join(groups, "digest", "left")
-    again = (F.col("payload_bytes") >= min_bytes) & (F.col("_row") != F.col("first_row"))
-    return stored(joined.select("_row", "digest", "payload_bytes", F.when(again, "revisit").otherwise("response").alias("record_type"), F.when(again, F.col("first_id")).alias("refers_to")), "typed")
+def classify(captures: DataFrame, min_bytes: int = 0) -> DataFrame:
+    """From _id, url, digest, payload_bytes: one row per different capture, with n, the number
+    of equal ones, responses, how many of them are responses, and refers_to of the others.
+    Of equal payloads of at least min_bytes bytes the smallest id (null last; then the
+    smallest URL) is the response, and of captures that are equal in all of that one."""
+    rows = stored(captures.groupBy("_id", "url", "digest", "payload_bytes").agg(F.count(F.lit(1)).alias("n")), "captures")
+    first = F.min(F.struct(F.col("_id").isNull().alias("no_id"), "_id", F.col("url").isNull().alias("no_url"), "url"))
+    groups = rows.where(F.col("payload_bytes") >= min_bytes).groupBy("digest").agg(first.alias("first")).select("digest", F.col("first._id").alias("first_id"), F.col("first.url").alias("first_url"))
+    large = F.col("payload_bytes") >= min_bytes
+    leads = F.col("_id").eqNullSafe(F.col("first_id")) & F.col("url").eqNullSafe(F.col("first_url"))
+    responses = F.when(~large, F.col("n")).when(leads, F.lit(1)).otherwise(F.lit(0)).cast("long")
+    return stored(rows.join(groups, "digest", "left").select("_id", "url", "digest", "payload_bytes", "n", responses.alias("responses"), F.when(large, F.col("first_id")).alias("refers_to")), "typed")
 
 
 def _header(name: str, value) -> Column:
@@ -67,25 +74,36 @@ def _header(name: str, value) -> Column:
 
 def write_warc(pages: DataFrame, path: str, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", min_bytes: int = 0, compression: str = "gzip") -> None:
     """One record per row of pages under path. A null html counts as empty, a null url
-    or id is written as an empty header. WARC-Date counts seconds from 1970 by a whole
-    number id, since the table has no dates. Other columns are not read."""
-    source = pages.select(row_key(), F.col(id_col).alias("_id"), F.col(url_col).cast("string").alias("url"), text_or_empty(html_col).alias("html"))
-    keyed = source.select("_row", "_id", base32_sha1(F.col("html").cast("binary")).alias("digest"), F.octet_length("html").cast("long").alias("payload_bytes"))
-    typed = classify(keyed, min_bytes)
+    or id is written as an empty header. WARC-Date counts seconds from 1970 in UTC by a
+    whole number id, since the table has no dates. Other columns are not read."""
+    source = pages.select(F.col(id_col).alias("_id"), F.col(url_col).cast("string").alias("url"), text_or_empty(html_col).alias("html"))
+    source = source.withColumn("digest", base32_sha1(F.col("html").cast("binary")))
+    typed = classify(source.select("_id", "url", "digest", F.octet_length("html").cast("long").alias("payload_bytes")), min_bytes)
+    copies = lambda n: F.explode(F.sequence(F.lit(1), n.cast("int")))
+    revisits = typed.where("n > responses").select("_id", "url", "digest", "payload_bytes", "refers_to", F.lit("revisit").alias("record_type"), F.lit("").alias("html"), copies(F.col("n") - F.col("responses")).alias("copy"))
+    wanted = typed.where("responses > 0").select("digest", "_id", "url", "payload_bytes", "responses").alias("w")
+    same = (F.col("s.digest") == F.col("w.digest")) & F.col("s._id").eqNullSafe(F.col("w._id")) & F.col("s.url").eqNullSafe(F.col("w.url"))
+    found = source.alias("s").join(wanted, same).select("w.*", "s.html")
+    once = found.dropDuplicates(["digest", "_id", "url"])  # equal captures bring equal payloads
+    refers = F.lit(None).cast(typed.schema["refers_to"].dataType).alias("refers_to")
+    responses = once.select("_id", "url", "digest", "payload_bytes", refers, F.lit("response").alias("record_type"), "html", copies(F.col("responses")).alias("copy"))
     http = F.concat(F.lit(f"HTTP/1.1 200 OK{CRLF}Content-Type: text/html; charset=utf-8{CRLF}Content-Length: "), F.col("payload_bytes").cast("string"), F.lit(CRLF * 2))
-    block = F.concat(http, F.when(F.col("record_type") == "response", F.col("html")).otherwise(F.lit("")))
     text = lambda c: F.coalesce(F.col(c).cast("string"), F.lit(""))
-    date = F.date_format(F.timestamp_seconds(F.coalesce(F.try_to_number(text("_id"), F.lit("999999999999")), F.lit(0)).cast("long")), "yyyy-MM-dd'T'HH:mm:ss'Z'")
-    rows = source.join(typed, "_row").withColumn("date", date).withColumn("key", F.coalesce(url_key(F.col("url")), F.lit("")))
+    seconds = F.coalesce(F.try_to_number(text("_id"), F.lit("999999999999")), F.lit(0)).cast("long")
+    clock = F.pmod(seconds, F.lit(86_400))
+    date = F.concat(F.date_format(F.date_from_unix_date(F.floor(seconds / 86_400).cast("int")), "yyyy-MM-dd"), F.format_string("T%02d:%02d:%02dZ", F.floor(clock / 3600), F.floor(clock % 3600 / 60), clock % 60))
+    rows = revisits.unionByName(responses).withColumn("date", date).withColumn("key", F.coalesce(url_key(F.col("url")), F.lit("")))
+    name = F.concat(F.lit("<urn:ringscope:capture:"), F.md5(F.to_json(F.struct("_id", "url", "digest"))), F.lit("-"), F.substring("record_type", 1, 3), F.col("copy").cast("string"), F.lit(">"))
     record = F.concat(
-        F.lit(f"WARC/1.1{CRLF}"), _header("WARC-Type", F.col("record_type")), _header("WARC-Record-ID", F.concat(F.lit("<urn:ringscope:capture:"), F.col("_row").cast("string"), F.lit(">"))),
+        F.lit(f"WARC/1.1{CRLF}"), _header("WARC-Type", F.col("record_type")), _header("WARC-Record-ID", name),
         _header("WARC-Date", F.col("date")), _header("WARC-Target-URI", text("url")), _header("WARC-Payload-Digest", F.concat(F.lit("sha1:"), F.col("digest"))),
         F.when(F.col("record_type") == "revisit", F.concat(_header("WARC-Profile", F.lit("http://netpreserve.org/warc/1.1/revisit/identical-payload-digest")), _header("WARC-Refers-To", F.concat(F.lit("<urn:ringscope:page:"), text("refers_to"), F.lit(">"))))).otherwise(F.lit("")),
         _header("X-Page-Id", text("_id")), _header("Content-Type", F.lit("application/http; msgtype=response")), _header("Content-Length", F.octet_length("block").cast("string")),
         F.lit(CRLF), F.col("block"),
     )
-    run = rows.withColumn("block", block).sortWithinPartitions("key", "date", "_id", "_row").select(record.alias("value"))
-    run.write.option("lineSep", CRLF * 2).option("compression", compression).option("maxRecordsPerFile", RECORDS_PER_FILE).text(path)
+    mean = typed.agg(F.sum(F.col("payload_bytes") * F.col("responses")) / F.sum("n")).first()[0] or 0
+    run = rows.withColumn("block", F.concat(http, F.col("html"))).sortWithinPartitions("key", "date", "_id", "copy").select(record.alias("value"))
+    run.write.option("lineSep", CRLF * 2).option("compression", compression).option("maxRecordsPerFile", int(min(RECORDS_PER_FILE, max(100, ARCHIVE_BYTES // (mean + 600))))).text(path)
 
 
 def parse_archive(stream) -> Iterator[tuple[dict[str, str], int, bytes]]:
@@ -115,7 +133,7 @@ READ = "archive string, offset long, url string, date string, id_text string, re
 
 
 def read_warc(spark: SparkSession, path: str, with_payload: bool = False) -> DataFrame:
-    """One row per record. Bytes and digest of responses are taken from the payload as
+    """One row per record; refers_text is null for responses. Bytes and digest of responses are taken from the payload as
     read; a digest that differs from the header's is an error. Revisits state theirs."""
 
     def parse(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -132,7 +150,7 @@ def read_warc(spark: SparkSession, path: str, with_payload: bool = False) -> Dat
                             raise ValueError(f"payload of {name} at {at} is damaged")
                     else:
                         size = int(http.lower().split(b"content-length:")[1].split(b"\r\n")[0])
-                    refers = h.get("warc-refers-to", "").removeprefix("<urn:ringscope:page:").removesuffix(">")
+                    refers = h["warc-refers-to"].removeprefix("<urn:ringscope:page:").removesuffix(">") if "warc-refers-to" in h else None
                     row = (name, at, h["warc-target-uri"], h["warc-date"], h["x-page-id"], h["warc-type"], refers, size, digest)
                     rows.append((*row, payload.decode("utf-8", "replace")) if with_payload else row)
                     if len(rows) >= 2000:
@@ -143,14 +161,14 @@ def read_warc(spark: SparkSession, path: str, with_payload: bool = False) -> Dat
 
     schema = READ + (", payload string" if with_payload else "")
     columns = [c.split()[0] for c in schema.split(", ")]
-    return spark.read.format("binaryFile").load(path).select("path", "content").mapInPandas(parse, schema)
+    return bounded_batches(spark.read.format("binaryFile").load(path)).select("path", "content").mapInPandas(parse, schema)
 
 
 class LoserTree:
     """Merges sorted sequences: inner nodes keep the loser of each match, so that a new
-    head replays only the matches on its way to the top."""
+    head replays only the matches on its way to the top. Only heads are held."""
 
-    def __init__(self, runs: Sequence[list]):
+    def __init__(self, runs: Sequence[Iterable]):
         self.runs = [iter(r) for r in runs]
         self.heads = [next(r, None) for r in self.runs]
         self.k = len(self.runs)
@@ -182,6 +200,13 @@ class LoserTree:
             self.top = win
 
 
+def stretches(keys: Sequence[tuple]) -> list[tuple[int, int]]:
+    """Where the ascending stretches of keys begin and end. Archives are sorted and a
+    shuffle keeps the order within a block, so there are about as many as archives."""
+    cuts = [0, *(k for k in range(1, len(keys)) if keys[k] < keys[k - 1]), len(keys)]
+    return list(zip(cuts, cuts[1:], strict=False)) if keys else []
+
+
 def merge_runs(captures: DataFrame, range_rows: int = RANGE_ROWS) -> DataFrame:
     """captures in global order of key, date, id_text, archive, offset, by merging the
     archives' sorted runs range by range; range_no and place give that order."""
@@ -195,12 +220,7 @@ def merge_runs(captures: DataFrame, range_rows: int = RANGE_ROWS) -> DataFrame:
             return
         pdf = pd.concat(parts, ignore_index=True)
         keys = list(zip(*(pdf[c] for c in order), range(len(pdf)), strict=True))
-        runs: dict[str, list] = {}
-        for key in keys:
-            runs.setdefault(key[3], []).append(key)
-        for run in runs.values():
-            run.sort()  # the shuffle may have joined a run's blocks out of order
-        at = [key[-1] for key in LoserTree(list(runs.values()))]
+        at = [key[-1] for key in LoserTree([map(keys.__getitem__, range(a, b)) for a, b in stretches(keys)])]
         yield pdf.take(at).assign(place=range(len(at)))
 
     fields = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in ranged.schema.fields)
@@ -222,4 +242,3 @@ def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return capture_index(spark, path).select(
         number("id_text").alias("page_id"), "payload_bytes", "payload_digest", "record_type", number("refers_text").alias("refers_to"), F.col("key").alias("url_key"), "range_no", "place"
     )
-

@@ -17,6 +17,16 @@ def test_loser_tree():
         assert list(warc.LoserTree(runs)) == sorted(x for r in runs for x in r)
 
 
+def test_stretches_are_merged_as_they_come():
+    rng = random.Random(1)
+    runs = [sorted((rng.randint(0, 99), k) for _ in range(30)) for k in range(5)]
+    keys = [x for run in runs for x in run]
+    found = warc.stretches(keys)
+    assert len(found) <= 5 and [k for a, b in found for k in keys[a:b]] == keys
+    assert list(warc.LoserTree([iter(keys[a:b]) for a, b in found])) == sorted(keys)
+    assert warc.stretches([]) == [] and warc.stretches([(3,), (2,), (2,), (5,)]) == [(0, 1), (1, 4)]
+
+
 PAGES = [
     (3, "http://www.A.example/x?q", "same"), (1, "http://b.example/", "same"), (9, None, None), (2, "https://a.example/y", ""), (7, "bad\r\nurl", "WARC/1.1\r\n\r\nContent-Length: 5\r\n\r\n"),
     (8, "http://a.example:80/", "café \U0001f600\n\r\n"), (5, "http://b.example/", "z" * 200_000), (6, "http://b.example/", "same"),
@@ -37,7 +47,7 @@ def test_round_trip(spark, tmp_path, compression, least):
         data, r = (h or "").encode(), rows[i]
         again = len(data) >= least and first[data] != i
         assert (r.payload_bytes, r.payload_digest) == (len(data), base64.b32encode(hashlib.sha1(data).digest()).decode())
-        assert r.record_type == ("revisit" if again else "response") and r.refers_text == (str(first[data]) if again else "")
+        assert r.record_type == ("revisit" if again else "response") and r.refers_text == (str(first[data]) if again else None)
         assert again or r.payload == (h or "")
     index = warc.capture_index(spark, path).collect()
     ordered = [r.key for r in sorted(index, key=lambda r: (r.range_no, r.place))]
@@ -56,6 +66,15 @@ def test_null_and_repeated_page_ids(spark, tmp_path):
     rows = warc.read_warc(spark, f"file://{tmp_path}/n").collect()
     assert sorted((r.id_text, r.record_type) for r in rows) == [("", "revisit"), ("4", "response"), ("4", "revisit")]
     warc.write_warc(df.limit(0), f"file://{tmp_path}/e")
+    spark.conf.set("spark.sql.session.timeZone", "Asia/Tokyo")
+    try:
+        text = spark.createDataFrame([("b", None, "p"), ("90061", "v", "q"), ("a", "u", "p"), ("a", "u", "p")], "page_id string, url string, html string")
+        warc.write_warc(text, f"file://{tmp_path}/s")
+        rows = sorted((r.id_text, r.record_type, r.refers_text, r.date) for r in warc.read_warc(spark, f"file://{tmp_path}/s").collect())
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", "UTC")
+    assert rows[0] == ("90061", "response", None, "1970-01-02T01:01:01Z")
+    assert [r[:3] for r in rows[1:]] == [("a", "response", None), ("a", "revisit", "a"), ("b", "revisit", "a")]
 
 
 def test_pipeline_stages(spark, tmp_path):
