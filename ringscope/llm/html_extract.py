@@ -6,17 +6,19 @@ score for main text and for other matter from features of its ancestors and its
 and a score for each pair of neighbouring labels; Viterbi decoding picks the labels of
 a page together.
 
-The corpus has no page labels, so the field is trained on PAGES labelled pages that
-this module writes itself from a fixed seed: articles of many shapes with menus,
-headers, footers, sidebars, notices, adverts, forms and reader comments around and
-inside them. The fitted weights, a few hundred numbers, travel with the task.
+The corpus has no page labels, so the field is trained on PAGES labelled pages of eight
+kinds (training_pages). The fitted weights, a few hundred numbers, travel with the task.
+
+A page is read once from left to right, in time that grows with its length, whatever
+its markup. Elements without end tags end where HTML implies it. A tag whose quotes don't
+close is read to the next > from there on.
 """
 
 from __future__ import annotations
 
 import html as entities
-import random
 import re
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import cache
@@ -25,9 +27,10 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from .common import read
+from . import training_pages
+from .common import bounded_batches, read
 
-PAGES = 300
+PAGES = 240
 SEED = 7
 
 #: HTML's elements by how they shape text.
@@ -36,7 +39,10 @@ VOID = frozenset("area base br col embed hr img input link meta param source tra
 HIDDEN = frozenset("script style noscript template textarea svg math iframe object canvas audio video head title select button".split())
 RAW = frozenset("script style noscript template textarea svg math iframe title".split())
 #: Elements that end an open element of the given kinds when they begin.
-CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
+CLOSES = {
+    "li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th", "caption", "colgroup"}, "td": {"td", "th"}, "th": {"td", "th"},
+    "option": {"option"}, "optgroup": {"option", "optgroup"}, "thead": {"caption", "colgroup"},
+} | dict.fromkeys(("tbody", "tfoot"), {"tr", "td", "th", "thead", "tbody", "caption", "colgroup"})
 #: What may stand in an open head; anything else ends it, as text does.
 IN_HEAD = frozenset("html head base basefont bgsound link meta title script style noscript noframes template".split())
 #: Hidden elements that an open one ends at when these begin, within the elements of SCOPE. HTML lets all other content stay in them.
@@ -59,6 +65,7 @@ HINTS = {
     "main": "article content main post entry story text body copy prose page",
 }
 _hint = {w: k for k, words in HINTS.items() for w in words.split()}
+_loose = re.compile(r"</?([a-zA-Z][^\s/>]*)([^>]*)>")
 _tag = re.compile(r"</?([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*+)>")
 _attr = re.compile(r"\b(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
 _name = re.compile(r"[a-z]+")
@@ -68,15 +75,19 @@ def foreign_end(page: str, at: int, name: str) -> int:
     """Where an svg or math that begins before at ends: after its end tag, or at the first
     element that HTML does not allow in it."""
     inside: list[str] = []
+    open_ = Counter()
     for m in _tag.finditer(page, at):
         tag = m[1].lower()
         if page[m.start() + 1] == "/":
             if tag == name:
                 return m.end()
-            if tag in inside:
-                del inside[inside.index(tag) :]
+            while open_[tag]:
+                open_[gone := inside.pop()] -= 1
+                if gone == tag:
+                    break
         elif tag in INTEGRATION and not m[2].endswith("/"):
             inside.append(tag)
+            open_[tag] += 1
         elif tag in BREAKOUT and not inside:
             return m.start()
     return len(page)
@@ -92,29 +103,49 @@ class Block:
 def leaf_blocks(page: str) -> list[Block]:
     """The page's visible leaf blocks in order, text decoded and white space folded."""
     found: list[Block] = []
-    stack: list[tuple[str, frozenset, bool]] = [("", frozenset(), False)]
+    # of each open element: name, marks, whether hidden, the block element it is or lies in
+    stack: list[tuple[str, frozenset, bool, str]] = [("", frozenset(), False, "")]
+    opened: Counter = Counter()
     parts: list[str] = []
-    links = linked = 0
-    at, n = 0, len(page)
+    linked = 0
+    at, n, pattern, last = 0, len(page), _tag, page.rfind(">")
 
     def close_block() -> None:
         nonlocal linked
         text = " ".join(entities.unescape("".join(parts)).split())
         if text:
-            found.append(Block(text, stack[-1][1] | {"tag:" + next((t for t, _, _ in reversed(stack) if t in BLOCK), "")}, linked))
+            found.append(Block(text, stack[-1][1] | {"tag:" + stack[-1][3]}, linked))
         parts.clear()
         linked = 0
 
+    def pop() -> str:
+        name = stack.pop()[0]
+        opened[name] -= 1
+        return name
+
+    def end_ended_by(name: str) -> bool:
+        """Ends a select or button that name ends; whether it was a select in a select."""
+        if not any(opened[x] for x in ENDS[name]):
+            return False
+        for k in range(len(stack) - 1, 0, -1):
+            if stack[k][0] in SCOPE:
+                return False
+            if stack[k][0] in ENDS[name]:
+                while len(stack) > k:
+                    pop()
+                return name == "select"
+        return False
+
     while at < n:
         lt = page.find("<", at)
         if lt < 0:
             lt = n
         if lt > at and stack[-1][0] == "head" and not page[at:lt].isspace():
-            stack.pop()
+            pop()
         if lt > at and not stack[-1][2]:
             piece = page[at:lt]
             parts.append(piece)
-            if links:
+            if opened["a"]:
                 linked += len(piece)
         if lt == n:
             break
@@ -126,7 +157,11 @@ def leaf_blocks(page: str) -> list[Block]:
             end = page.find(">", lt)
             at = n if end < 0 else end + 1
             continue
-        m = _tag.match(page, lt)
+        begins = page[lt + 1 : lt + 2].isalpha() or page[lt + 1 : lt + 2] == "/" and page[lt + 2 : lt + 3].isalpha()
+        m = pattern.match(page, lt) if begins and lt < last else None
+        if m is None and begins and lt < last:  # quotes that don't close: each try would read to the end
+            pattern = _loose
+            m = pattern.match(page, lt)
         if m is None:
             if not stack[-1][2]:
                 parts.append("<")
@@ -138,23 +173,13 @@ def leaf_blocks(page: str) -> list[Block]:
         elif name == "br":
             parts.append(" ")
         if page[lt + 1] == "/":
-            if any(t == name for t, _, _ in stack):
-                while stack[-1][0] != name:
-                    links -= stack.pop()[0] == "a"
-                links -= stack.pop()[0] == "a"
+            while opened[name]:
+                if pop() == name:
+                    break
             continue
         if stack[-1][0] == "head" and name not in IN_HEAD:
-            stack.pop()
-        again = False
-        for k in range(len(stack) - 1, 0, -1) if name in ENDS else ():
-            if stack[k][0] in ENDS[name]:
-                links -= sum(t == "a" for t, _, _ in stack[k:])
-                del stack[k:]
-                again = name == "select"
-                break
-            if stack[k][0] in SCOPE:
-                break
-        if again:  # a select in a select only ends it
+            pop()
+        if name in ENDS and end_ended_by(name):  # a select in a select only ends it
             continue
         if name in ("svg", "math") and not m[2].endswith("/"):
             at = foreign_end(page, at, name)
@@ -163,18 +188,19 @@ def leaf_blocks(page: str) -> list[Block]:
             end = re.compile(f"</{re.escape(name)}\\s*>", re.I).search(page, at)
             at = end.end() if end else n
             continue
-        if name in VOID or m[2].endswith("/") and name not in BLOCK:
+        if name in VOID:  # HTML takes no notice of a slash at the end of other elements
             continue
-        if name in BLOCK and stack[-1][0] == "p":
-            stack.pop()
+        if name in BLOCK and opened["p"] and stack[-1][3] == "p":  # also from within inline elements
+            while pop() != "p":
+                pass
         while stack[-1][0] in CLOSES.get(name, ()):
-            stack.pop()
+            pop()
         words = {w for a in _attr.findall(m[2]) for w in _name.findall("".join(a).lower())} if m[2] else ()
         marks = stack[-1][1]
         own = {f"in:{name}"} if name in ANCESTORS else set()
         own |= {f"hint:{_hint[w]}" for w in words if w in _hint}
-        stack.append((name, marks | own if own else marks, stack[-1][2] or name in HIDDEN))
-        links += name == "a"
+        stack.append((name, marks | own if own else marks, stack[-1][2] or name in HIDDEN, name if name in BLOCK else stack[-1][3]))
+        opened[name] += 1
     close_block()
     return found
 
@@ -225,90 +251,42 @@ class Field:
         return "\n\n".join(b.text for b, y in zip(blocks, self.decode(blocks), strict=True) if y)
 
 
-def _write_page(rng: random.Random) -> tuple[str, set[str]]:
-    """A page and its main-text blocks. All texts of a page are different."""
-    letters = "bcdfghklmnprstvw"
-    serial = iter(range(10_000))
-
-    def words(a: int, b: int) -> str:
-        made = ["".join(rng.choice(letters) + rng.choice("aeiou") for _ in range(rng.randint(1, 3))) for _ in range(rng.randint(a, b))]
-        return " ".join([made[0].capitalize() + format(next(serial), "x"), *made[1:]])
-
-    def sentence(a: int = 4, b: int = 40) -> str:
-        return words(a, b) + rng.choice([".", ".", ".", "!", "?", "", "***", "!!"])
-
-    main: set[str] = set()
-
-    def own(text: str) -> str:
-        main.add(text)
-        return text
-
-    def link(text: str) -> str:
-        return f'<a href="/x">{text}</a>'
-
-    def menu() -> str:
-        items = "".join(f"<li>{link(words(1, 3))}</li>" for _ in range(rng.randint(2, 8)))
-        return rng.choice([f"<nav><ul>{items}</ul></nav>", f'<div class="nav-menu"><ul>{items}</ul></div>', f"<nav>{items}</nav>", f'<ul id="menu">{items}</ul>'])
-
-    def advert() -> str:
-        return f'<div class="{rng.choice(["ad", "ads", "advert top", "ad-box", "sponsored", "promo banner"])}">{rng.choice([sentence(2, 20), link(words(2, 8)), "<p>" + sentence() + "</p>"])}</div>'
-
-    def notice() -> str:
-        return f'<div class="{rng.choice(["cookie-notice", "alert", "consent", "popup modal"])}"><p>{sentence(5, 25)}</p></div>'
-
-    def form() -> str:
-        return f'<form class="{rng.choice(["search", "newsletter", "login", ""])}"><label>{words(1, 4)}</label><input type="text"><p>{words(2, 10)}</p></form>'
-
-    def sidebar() -> str:
-        inner = "".join(rng.choice([f"<h3>{words(1, 4)}</h3>", f"<li>{link(words(2, 8))}</li>", f"<p>{sentence(3, 20)}</p>"]) for _ in range(rng.randint(2, 6)))
-        return rng.choice([f"<aside>{inner}</aside>", f'<div class="sidebar">{inner}</div>', f'<div id="related-widget">{inner}</div>'])
-
-    def comments() -> str:
-        inner = "".join(f'<div class="comment"><b>{words(1, 2)}</b><p>{sentence(3, 40)}</p></div>' for _ in range(rng.randint(1, 5)))
-        return rng.choice([f'<section class="comments"><h3>{words(1, 3)}</h3>{inner}</section>', f'<div id="comments">{inner}{form()}</div>'])
-
-    def paragraph() -> str:
-        kind = rng.random()
-        if kind < 0.62:
-            text = own(" ".join(sentence() for _ in range(rng.randint(1, 5))))
-            return rng.choice([f"<p>{text}</p>", f"<p>{text}", f"<p><b>{text}<br>", f"<p><i>{text}</i></p>"])
-        if kind < 0.72:
-            return f"<h{(h := rng.randint(2, 3))}>{own(words(1, 8))}</h{h}>"
-        if kind < 0.8:
-            return "<ul>" + "".join(f"<li>{own(words(1, 15))}</li>" for _ in range(rng.randint(2, 5))) + "</ul>"
-        if kind < 0.85:
-            return f"<blockquote>{own(sentence(5, 30))}</blockquote>"
-        if kind < 0.9:
-            return f"<pre>{own(words(3, 12))}</pre>"
-        if kind < 0.95:
-            return f"<p>{own(words(1, 3))}</p>"
-        return rng.choice([advert, notice, advert])()
-
-    bare = rng.random() < 0.15  # a page of nothing but its text
-    title = "" if bare and rng.random() < 0.7 else f"<h1>{own(words(1, 9))}</h1>"
-    body = title + "".join(paragraph() for _ in range(rng.randint(1, 9)))
-    opened = rng.choice(["article", "article", "article", "main", 'div class="post-content"', 'section id="main"', 'div class="entry"'])
-    body = f"<{opened}>{body}{comments() if rng.random() < 0.15 else ''}</{opened.split()[0]}>"
-    if bare:
-        return f"<html><body>{body}</body></html>", main
-    top = rng.choice(["", f"<header><h2>{words(1, 4)}</h2>{menu()}</header>", f'<div id="header">{link(words(1, 3))}</div>' + menu(), menu()])
-    foot = rng.choice([f"<footer>&copy; {words(1, 3)} &middot; {sentence(3, 15)}</footer>", f'<div class="footer"><p>{words(3, 12)}</p><ul><li>{link(words(1, 3))}</li></ul></div>', f"<footer><p>{sentence(3, 30)}</p></footer>"])
-    around = [top, *(f() for f in (advert, notice, form, sidebar) if rng.random() < 0.4), body, *(f() for f in (sidebar, comments, advert, form) if rng.random() < 0.35), foot]
-    return f"<html><head><title>{words(2, 6)}</title><style>p{{margin:0}}</style></head><body>{''.join(around)}</body></html>", main
-
-
-def labelled_pages(n: int = PAGES, seed: int = SEED) -> list[tuple[list[Block], list[int]]]:
-    rng, out = random.Random(seed), []
-    for _ in range(n):
-        page, main = _write_page(rng)
+def labelled_pages(n: int = PAGES, seed: int = SEED, kinds: tuple[str, ...] = training_pages.KINDS) -> list[tuple[list[Block], list[int]]]:
+    out = []
+    for page, main in training_pages.written(n, seed, kinds):
         blocks = leaf_blocks(page)
         out.append((blocks, [int(b.text in main) for b in blocks]))
     return out
 
 
+def likelihood(theta: np.ndarray, x: np.ndarray, gold: np.ndarray, mask: np.ndarray, l2: float) -> tuple[float, np.ndarray]:
+    """Mean log-likelihood of the pages' labels less the prior, and its gradient. x has a
+    row of features for each page and block, padded to the longest page; gold the labels
+    as unit vectors, zero where mask is."""
+    m, longest = mask.shape
+    log_sum = lambda z, axis: np.logaddexp.reduce(z, axis=axis)
+    w, step = theta[:-4].reshape(-1, 2), theta[-4:].reshape(2, 2)
+    u = x @ w
+    alpha, beta = np.zeros((m, longest, 2)), np.zeros((m, longest, 2))
+    alpha[:, 0] = u[:, 0]
+    for k in range(1, longest):
+        new = log_sum(alpha[:, k - 1, :, None] + step, 1) + u[:, k]
+        alpha[:, k] = np.where(mask[:, k, None] > 0, new, alpha[:, k - 1])
+    for k in range(longest - 2, -1, -1):
+        new = log_sum(step + (u[:, k + 1] + beta[:, k + 1])[:, None, :], 2)
+        beta[:, k] = np.where(mask[:, k + 1, None] > 0, new, 0)
+    total = log_sum(alpha[:, -1], 1)
+    p1 = np.exp(np.minimum(alpha + beta - total[:, None, None], 0)) * mask[..., None]
+    pair = alpha[:, :-1, :, None] + step + (u[:, 1:] + beta[:, 1:])[:, :, None, :] - total[:, None, None, None]
+    pairs = (np.exp(np.minimum(pair, 0)) * mask[:, 1:, None, None]).sum((0, 1))
+    gold_step = np.einsum("pka,pkb->ab", gold[:, :-1], gold[:, 1:])
+    value = ((u * gold).sum() + (gold_step * step).sum() - total.sum()) / m - l2 / 2 * theta @ theta
+    return value, np.concatenate([np.einsum("pkf,pky->fy", x, gold - p1).ravel(), (gold_step - pairs).ravel()]) / m - l2 * theta
+
+
 def fit(pages: list[tuple[list[Block], list[int]]], steps: int = 150, l2: float = 0.02, rate: float = 0.3) -> Field:
-    """Maximum likelihood with a Gaussian prior; all pages run forward and backward at
-    once, padded to the longest. Adam steps from zero, so the fit is deterministic."""
+    """Maximum likelihood with a Gaussian prior. Adam steps from zero, so the fit is
+    deterministic."""
     names = {f: k for k, f in enumerate(sorted({f for blocks, _ in pages for fs in features(blocks) for f in fs}))}
     m, longest = len(pages), max(len(y) for _, y in pages)
     x = np.zeros((m, longest, len(names)), dtype=np.float32)
@@ -322,24 +300,8 @@ def fit(pages: list[tuple[list[Block], list[int]]], steps: int = 150, l2: float
     theta = np.zeros(2 * len(names) + 4)
     first, second = np.zeros_like(theta), np.zeros_like(theta)
     gold = np.eye(2)[y] * mask[..., None]
-    gold_step = np.einsum("pka,pkb->ab", gold[:, :-1], gold[:, 1:])
-    log_sum = lambda z, axis: np.logaddexp.reduce(z, axis=axis)
     for t in range(1, steps + 1):
-        w, step = theta[:-4].reshape(-1, 2), theta[-4:].reshape(2, 2)
-        u = x @ w
-        alpha, beta = np.zeros((m, longest, 2)), np.zeros((m, longest, 2))
-        alpha[:, 0] = u[:, 0]
-        for k in range(1, longest):
-            new = log_sum(alpha[:, k - 1, :, None] + step, 1) + u[:, k]
-            alpha[:, k] = np.where(mask[:, k, None] > 0, new, alpha[:, k - 1])
-        for k in range(longest - 2, -1, -1):
-            new = log_sum(step + (u[:, k + 1] + beta[:, k + 1])[:, None, :], 2)
-            beta[:, k] = np.where(mask[:, k + 1, None] > 0, new, 0)
-        total = log_sum(alpha[:, -1], 1)
-        p1 = np.exp(np.minimum(alpha + beta - total[:, None, None], 0)) * mask[..., None]
-        pair = alpha[:, :-1, :, None] + step + (u[:, 1:] + beta[:, 1:])[:, :, None, :] - total[:, None, None, None]
-        pairs = (np.exp(np.minimum(pair, 0)) * mask[:, 1:, None, None]).sum((0, 1))
-        grad = np.concatenate([np.einsum("pkf,pky->fy", x, gold - p1).ravel(), (gold_step - pairs).ravel()]) / m - l2 * theta
+        grad = likelihood(theta, x, gold, mask, l2)[1]
         first = 0.9 * first + 0.1 * grad
         second = 0.99 * second + 0.01 * grad * grad
         theta += rate * (first / (1 - 0.9**t)) / (np.sqrt(second / (1 - 0.99**t)) + 1e-8)
@@ -363,7 +325,7 @@ def extract_text(pages: DataFrame, html_col: str = "html", text_col: str = "text
         for pages_ in batches:
             yield pd.Series([field.main_text(p) for p in pages_], dtype=object)
 
-    return pages.withColumn(text_col, extracted(F.col(html_col)))
+    return bounded_batches(pages).withColumn(text_col, extracted(F.col(html_col)))
 
 
 def op8_html(spark: SparkSession, sf_dir: str) -> DataFrame:

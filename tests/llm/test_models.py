@@ -1,12 +1,16 @@
 """Classifiers, extraction and deobfuscation."""
 
+import itertools
 import random
+import time
+import zlib
 
 import numpy as np
 import pandas as pd
 import pytest
+import zstandard
 
-from ringscope.llm import html_extract, labelled, quality_classifier, toxicity
+from ringscope.llm import html_extract, labelled, quality_classifier, toxicity, training_pages
 
 
 def word(rng, n=3):
@@ -77,13 +81,75 @@ def test_labelled_sample_is_bounded_and_respects_folds(spark):
     assert all(labelled.fold_of(int(t.split()[1]) // 2, 3) != 1 for t in texts)
 
 
-def test_field_on_unseen_pages():
-    field, right, total = html_extract.trained(), 0, 0
-    for blocks, y in html_extract.labelled_pages(80, seed=123):
-        got = field.decode(blocks)
-        right += sum(a == b for a, b in zip(got, y, strict=True))
-        total += len(y)
-    assert right / total > 0.98
+def test_viterbi_and_marginals_against_enumeration():
+    """All labellings of short chains: the best one, the likelihood and its gradient."""
+    rng = np.random.default_rng(3)
+    field = html_extract.Field({f"f{k}": tuple(rng.normal(size=2)) for k in range(4)}, rng.normal(size=(2, 2)))
+    for n in (1, 2, 5):
+        u = rng.normal(size=(n, 2))
+        field.scores = lambda blocks, u=u: u
+        score = lambda y, u=u: sum(u[k, a] for k, a in enumerate(y)) + sum(field.step[a, b] for a, b in zip(y, y[1:], strict=False))
+        assert tuple(field.decode([None] * n)) == max(itertools.product((0, 1), repeat=n), key=score)
+    lengths, nf = [1, 3, 4], 3
+    x = rng.integers(0, 2, size=(3, 4, nf)).astype(float)
+    y = rng.integers(0, 2, size=(3, 4))
+    mask = np.array([[float(k < n) for k in range(4)] for n in lengths])
+    gold = np.eye(2)[y] * mask[..., None]
+
+    def brute(theta):
+        w, step = theta[:-4].reshape(-1, 2), theta[-4:].reshape(2, 2)
+        total = 0.0
+        for p, n in enumerate(lengths):
+            u = x[p] @ w
+            score = lambda labels, u=u: sum(u[k, a] for k, a in enumerate(labels)) + sum(step[a, b] for a, b in zip(labels, labels[1:], strict=False))
+            total += score(y[p, :n].tolist()) - np.logaddexp.reduce([score(c) for c in itertools.product((0, 1), repeat=n)])
+        return total / 3 - 0.05 * theta @ theta
+
+    theta = rng.normal(size=2 * nf + 4)
+    value, grad = html_extract.likelihood(theta, x, gold, mask, 0.1)
+    assert value == pytest.approx(brute(theta))
+    for k, e in enumerate(np.eye(len(theta)) * 1e-5):
+        assert grad[k] == pytest.approx((brute(theta + e) - brute(theta - e)) / 2e-5, abs=1e-6)
+
+
+def test_field_on_kinds_of_pages_it_has_not_seen():
+    kinds, shares = training_pages.KINDS, {}
+    for kind in kinds:
+        field = html_extract.fit(html_extract.labelled_pages(140, kinds=tuple(k for k in kinds if k != kind)), steps=80)
+        pages = html_extract.labelled_pages(30, 123, (kind,))
+        shares[kind] = sum(a == b for blocks, y in pages for a, b in zip(field.decode(blocks), y, strict=True)) / sum(len(y) for _, y in pages)
+    assert min(shares.values()) > 0.75 and sum(shares.values()) / len(shares) > 0.93, shares
+
+
+#: Pages written by hand, with the main text that a reader would take.
+BY_HAND = [
+    ("<body><div id=nav><a href=/>Home</a> <a href=/a>About us</a></div><div id=article><h2>Rain at last</h2><p>It rained for two days and the river rose by a foot.<p>Nobody was hurt, the mayor said.</div><div class=footer>© The Courier</div>",
+     "Rain at last\n\nIt rained for two days and the river rose by a foot.\n\nNobody was hurt, the mayor said."),
+    ("<html><head><title>x</title><body><main><h1>How to sharpen a chisel</h1><ol><li>Flatten the back.<li>Grind the bevel to 25 degrees.</ol></main><aside><h3>More</h3><ul><li><a href=1>Planes</a><li><a href=2>Saws</a></ul></aside>",
+     "How to sharpen a chisel\n\nFlatten the back.\n\nGrind the bevel to 25 degrees."),
+    ("<header><nav><ul><li><a href=/>Start</a></ul></nav></header><article><h1>Soup</h1><p>Boil the onions slowly until they are soft, then add the stock.</p><div class=advertisement>Buy pans now</div><p>Serve with bread.</p></article><section id=comments><h3>2 comments</h3><div class=comment><p>Lovely, I made it twice already.</p></div></section>",
+     "Soup\n\nBoil the onions slowly until they are soft, then add the stock.\n\nServe with bread."),
+]
+
+
+@pytest.mark.parametrize(("page", "text"), BY_HAND)
+def test_pages_by_hand(page, text):
+    assert html_extract.trained().main_text(page) == text
+
+
+@pytest.mark.parametrize("piece", ['<a "', "<svg>", "<b>", "<div></x>", "<b><input>", "<p>x</p>", '<a href="x', "<!--", "<select>"])
+def test_time_grows_with_the_length(piece):
+    began = time.perf_counter()
+    html_extract.leaf_blocks(piece * 60_000)
+    assert time.perf_counter() - began < 15  # minutes if each piece read on to the end
+
+
+@pytest.mark.parametrize(("page", "texts"), [
+    ("<table><thead><tr><td>a<tbody><tr><td>b<tr><td>c</table>d", ["a", "b", "c", "d"]), ("<p>a<b>b<p>c</b>d<div>e</div>", ["ab", "cd", "e"]),
+    ('<a href="x>one</a><p>two</p>', ["one", "two"]), ("a < b <3 </> c", ["a < b <3 </> c"]), ("<select><optgroup><option>a<option>b</select>c", ["c"]),
+])
+def test_implied_ends_and_loose_tags(page, texts):
+    assert [b.text for b in html_extract.leaf_blocks(page)] == texts
 
 
 def test_blocks_and_entities():
@@ -109,3 +175,67 @@ def test_extract_column(spark):
 ])
 def test_optional_end_tags(page):
     assert [b.text for b in html_extract.leaf_blocks(page)] == ["text"]
+
+
+def test_decoding_against_all_readings(toxic_model):
+    """The reading of least cost among all, on random disguised tokens and spaced runs."""
+    rng, lm = random.Random(0), toxic_model.lm
+
+    def best(token):
+        found = []
+        for arcs in itertools.product(*toxicity.lattice(token)):
+            at, total = "   ", 0.0
+            for piece, extra in arcs:
+                total += extra
+                for c in piece:
+                    if c == " " and at[-1] == " ":
+                        continue
+                    total += lm.cost(at, c)
+                    at = "   " if c == " " else at[1:] + c
+            found.append((total + lm.cost(at, " "), tuple(p for p, _ in arcs)))
+        return "".join(min(found)[1])
+
+    tokens = ["".join(rng.choice("abeiost013@$!*.- ") for _ in range(rng.randint(1, 7))) for _ in range(250)] + ["***", "a*b*c", "1d10t", "i d i o t"]
+    assert [toxicity.decode(t, lm) for t in tokens] == [best(t) for t in tokens]
+
+
+def test_decoding_takes_time_by_length(toxic_model):
+    began = time.perf_counter()
+    assert len(toxicity.decode(" ".join("idot1@"[k % 6] for k in range(60_000)), toxic_model.lm)) >= 50_000
+    assert time.perf_counter() - began < 40
+
+
+def test_compression_score_against_plain_formula(spark):
+    """Scores through Spark equal a plain computation, row for row; nulls, repeats, ties."""
+    rng = random.Random(9)
+    texts = [prose(rng, 90) for _ in range(60)] + [prose(rng, 90).replace("a", "#") for _ in range(60)]
+    model = quality_classifier.fit(texts, np.array([1.0] * 60 + [0.0] * 60), 0.7)
+
+    def plain(text):
+        if not text or not text.strip():
+            return 0.7
+        data = text.encode()
+        n = max(1, round(len(data) / 1024))
+        parts = [data[k * 1024 : (k + 1) * 1024 if k < n - 1 else None] for k in range(n)]
+        g, b = (sum(len(zstandard.ZstdCompressor(level=3, dict_data=zstandard.ZstdCompressionDict(d), write_checksum=False, write_content_size=False, write_dict_id=False).compress(p)) for p in parts) for d in (model.good, model.bad))
+        diff, ratio = 2 * (b - g) / (b + g), (b + g) / (2 * len(data) + 8)
+        z = np.dot(model.weights, [diff, ratio, diff * abs(diff) * 4, abs(diff) * ratio, 1])
+        return 1 / (1 + np.exp(-z))
+
+    rows = [(k % 50 if k % 7 else None, t, "s") for k, t in enumerate([*texts[:70], None, "", " \n", "x" * 100_000, texts[0], texts[0]])]
+    df = spark.createDataFrame(rows, "doc_id long, text string, score string")
+    got = quality_classifier.score_quality(df, model).collect()
+    assert [r.score for r in got] == pytest.approx([plain(r.text) for r in got])
+    assert quality_classifier.score_quality(df.limit(0), model).count() == 0
+
+
+@pytest.mark.parametrize(("op", "column", "folds", "held", "floor"), [(quality_classifier.op3_quality_classifier, "quality", 3, 1, 0.85), (toxicity.op10_toxicity, "toxic", 5, 0, 0.85)])
+def test_held_out_ranking(spark, op, column, folds, held, floor):
+    """Area under the curve on labelled rows of the fold that was held out."""
+    sf = "/root/testdata/sf0.01"
+    labels = {r.doc_id: r[column] for r in spark.read.parquet(f"{sf}/labels.parquet").collect()}
+    rows = op(spark, sf).collect()
+    assert all(r.held_out == (zlib.crc32(str(r.doc_id).encode()) % folds == held) and r.predicted == int(r.score >= 0.5) for r in rows)
+    side = {y: [r.score for r in rows if r.held_out and labels.get(r.doc_id) == y] for y in (0, 1)}
+    area = np.mean([(a > b) + (a == b) / 2 for a in side[1] for b in side[0]])
+    assert area > floor, area
