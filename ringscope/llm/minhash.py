@@ -16,11 +16,11 @@ one node from the start. No bucket is expanded into its pairs:
    bucket's smallest node, its pivot, and what each lacks of the other is noted;
 3. in buckets that are still open, the nodes outside the pivot's component are compared
    with the smallest of them, a second pivot;
-4. where a bucket then still holds several components, each node outside the pivot's
-   component is joined to nodes that share one of its rarest differences to the pivot.
-   Two linked nodes of which one is not linked with the pivot share such differences
-   (see links_around_pivots), so no link is missed, and nodes near the pivot, however
-   many, don't meet each other.
+4. where a bucket then still holds several components, the nodes outside the pivot's
+   component are joined with all nodes around the pivot under an exact condition: the
+   sizes of their differences to the pivot rule most pairs out, the differences
+   themselves decide the rest. Only links leave that join, never the group's pairs, and
+   nodes near the pivot, however many, don't meet each other.
 
 All comparisons use full sets, so no link is a guess, and every pair that shares a
 bucket is compared, ruled out exactly, or already connected.
@@ -38,7 +38,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import Column, DataFrame, SparkSession, Window as W, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from .common import bounded_batches, give_back, numbered, read, row_key, stored
 
@@ -165,31 +165,20 @@ def links_around_pivots(placed: DataFrame, num: int, den: int) -> DataFrame:
     """a, b: linked nodes of different components that share a pivot.
 
     placed has for each node (a) and pivot (b) the differences of their sets and the
-    components of both (comp, pivot_comp). Let D(x) be the items in which x differs from
-    the pivot p, and r = (den - num) / (den + num). x and y are linked if they differ in
-    at most r (|x| + |y|) items, and differ in |D(x)| + |D(y)| - 2 |D(x) & D(y)|. As D(y)
-    has at least ||y| - |p|| items, linked x and y share at least
-    t = (|D(x)| - r (|x| + |p|)) / 2 of them, more than 0 if x is not linked with p. So of
-    any |D(x)| - t + 1 items of D(x) y has one; the rarest are taken. Candidates are then
-    decided by the differences: common items are those of p that neither lacks and those
-    that both add."""
-    signed = F.concat(F.transform("lacks", lambda z: F.xxhash64(z, F.lit(1))), F.transform("adds", lambda z: F.xxhash64(z, F.lit(2))))
-    rows = placed.select(F.col("b").alias("pivot"), "a", "comp", "pivot_comp", F.col("n_a").alias("size"), F.col("n_b").alias("n_p"), F.size("lacks").alias("nl"), F.size("adds").alias("na"), F.explode(signed).alias("item"))
-    rows = stored(rows, "differences")
-    sum_, less = num + den, den - num
-    shared = F.ceil(((F.col("nl") + F.col("na")) * sum_ - less * (F.col("size") + F.col("n_p"))) / (2 * sum_))
-    rare = rows.groupBy("pivot", "item").agg(F.count(F.lit(1)).alias("f")).where("f > 1")
-    outer = rows.where("comp <> pivot_comp").join(rare, ["pivot", "item"], "left").fillna(1, ["f"])
-    order = F.row_number().over(W.partitionBy("pivot", "a").orderBy("f", "item"))  # a row per difference of one node
-    outer = outer.withColumn("k", order).where((F.col("k") <= F.col("nl") + F.col("na") - F.greatest(shared, F.lit(1)) + 1) & (F.col("f") > 1))
-    side = lambda df, s: df.select("pivot", "item", *[F.col(c).alias(f"{c}_{s}") for c in ("a", "comp", "size", "nl", "na")], *([F.col("n_p"), "pivot_comp"] if s == "y" else []))
-    most = F.col("n_p") - F.greatest("nl_x", "nl_y") + F.least("na_x", "na_y")
-    pairs = side(outer, "x").join(side(rows, "y"), ["pivot", "item"]).where((F.col("comp_x") != F.col("comp_y")) & (most * sum_ >= (F.col("size_x") + F.col("size_y")) * num))
-    pairs = stored(pairs.select("pivot", "a_x", "a_y").distinct(), "candidates")
-    held = lambda s: placed.select(F.col("b").alias("pivot"), F.col("n_b").alias(f"n_{s}"), *[F.col(c).alias(f"{c}_{s}") for c in ("a", "lacks", "adds", "n_a")])
-    both = pairs.join(held("x"), ["pivot", "a_x"]).join(held("y").drop("n_y"), ["pivot", "a_y"])
+    components of both (comp, pivot_comp). Of two such nodes one at least lies outside the
+    pivot's component. The common items of x and y are those of the pivot that neither
+    lacks and those that both add, so the sizes of the differences bound them and the
+    differences give them exactly. Both tests stand in the join's condition: only links
+    leave it."""
+    side = lambda s: placed.select(F.col("b").alias("pivot"), "pivot_comp", F.col("n_b").alias(f"n_{s}"), *[F.col(c).alias(f"{c}_{s}") for c in ("a", "comp", "lacks", "adds")], F.size("lacks").alias(f"nl_{s}"), F.size("adds").alias(f"na_{s}"), F.col("n_a").alias(f"size_{s}"))
+    x, y = side("x").where("comp_x <> pivot_comp").drop("pivot_comp"), side("y").drop("n_y")
+    total = F.col("size_x") + F.col("size_y")
+    most = F.col("n_x") - F.greatest("nl_x", "nl_y") + F.least("na_x", "na_y")
     inter = F.col("n_x") - F.size(F.array_union("lacks_x", "lacks_y")) + F.size(F.array_intersect("adds_x", "adds_y"))
-    return both.where(inter * sum_ >= (F.col("n_a_x") + F.col("n_a_y")) * num).select(F.least("a_x", "a_y").alias("a"), F.greatest("a_x", "a_y").alias("b")).distinct()
+    once = (F.col("comp_y") == F.col("pivot_comp")) | (F.col("a_x") < F.col("a_y"))
+    near = (F.col("comp_x") != F.col("comp_y")) & once & (most * (num + den) >= total * num) & (inter * (num + den) >= total * num)
+    found = x.join(y, (x["pivot"] == y["pivot"]) & near)
+    return found.select(F.least("a_x", "a_y").alias("a"), F.greatest("a_x", "a_y").alias("b")).distinct()
 
 
 def linked(num: int = NUM, den: int = DEN):
