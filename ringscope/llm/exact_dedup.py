@@ -120,7 +120,8 @@ def _settle(rows: DataFrame, digests: Sequence[Callable[[Column], Column]], dept
     flushed = worked.select((F.spark_partition_id() % GENERATIONS).alias("gen"), "_row", "_id", "n_points", "digest", F.unhex(F.sha2("norm", 256)).alias("sha"))
     memtables = stored(flushed.sortWithinPartitions("digest"), f"memtables-{depth}")
     index, hits = index_of(memtables)
-    texts = worked.select("digest", "norm").join(hits, "digest", "left_semi").groupBy("digest").agg(F.min("norm").alias("low"), F.max("norm").alias("high"))
+    # hits grow with the corpus: the same plan at every size, never a broadcast
+    texts = worked.select("digest", "norm").join(hits.hint("merge"), "digest", "left_semi").groupBy("digest").agg(F.min("norm").alias("low"), F.max("norm").alias("high"))
     clash = stored(texts.where("low <> high").select("digest"), f"clash-{depth}")
     kept = index.select("digest", F.col("best._row").alias("keep_row"), F.col("best._id").alias("keep_id"), F.col("n_rows").alias("group_size"))
     placed = memtables.join(kept, "digest").select("_row", "_id", "keep_row", "keep_id", "group_size", "sha", "digest")
