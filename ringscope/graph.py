@@ -7,7 +7,9 @@ directions, a loop once. Isolated nodes stay in nodes.
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
+from functools import cached_property
 
 from pyspark.sql import DataFrame, functions as F
 
@@ -15,6 +17,10 @@ from .operators.ordering import ordered
 from .storage import settled
 
 
+#: Rows of a table with a row for each graph that may be broadcast, the graphs once counted.
+BROADCAST_GRAPHS = 50_000
+
+
 def merged(edges: DataFrame) -> DataFrame:
     """Edges of equal ends become one, weights added."""
     return edges.groupBy("g", "src", "dst").agg(F.sum("w").alias("w"))
@@ -73,6 +79,15 @@ class Graph:
     def binarized(self) -> Graph:
         return Graph(self.nodes, self.edges.where("w <> 0").withColumn("w", F.lit(1.0)))
 
+    @cached_property
+    def each(self) -> Callable[[DataFrame], DataFrame]:
+        """Marks a table of one row for each graph of the batch, to be joined with nodes or
+        edges by g: it is broadcast if the graphs have been counted and are few, so that a
+        batch of few graphs is not dealt by its few keys. Among many no key is hot, and
+        the join is left to the planner."""
+        few = self.nodes.select("g").distinct().limit(BROADCAST_GRAPHS + 1).count() <= BROADCAST_GRAPHS
+        return F.broadcast if few else lambda rows: rows
+
     def _per_node(self, end: str, name: str) -> DataFrame:
         sums = self.edges.groupBy("g", F.col(end).alias("node")).agg(F.sum("w").alias(name))
         return self.nodes.select("g", "node").join(sums, ["g", "node"], "left").fillna(0.0, [name])
@@ -127,25 +142,22 @@ class Graph:
         """g, q: x' A x."""
         return self.with_labels(x, value).groupBy("g").agg(F.sum(F.col(f"{value}_s") * F.col("w") * F.col(f"{value}_d")).alias("q"))
 
-    def components(self, rounds: int = 100) -> DataFrame:
-        """g, node, comp: the smallest node of each node's component, by spreading
-        smallest labels and following them."""
-        labels = settled(self.nodes.select("g", "node", F.col("node").alias("comp")))
-        for _ in range(rounds):
-            near = self.edges.join(labels.select("g", F.col("node").alias("dst"), "comp"), ["g", "dst"]).select("g", F.col("src").alias("node"), "comp")
-            low = settled(near.union(labels.select("g", "node", "comp")).groupBy("g", "node").agg(F.min("comp").alias("comp")))
-            up = low.select("g", F.col("node").alias("comp"), F.col("comp").alias("up"))
-            after = settled(low.join(up, ["g", "comp"]).select("g", "node", F.least("comp", "up").alias("comp")))
-            moved = after.join(labels.withColumnRenamed("comp", "was"), ["g", "node"]).where("comp <> was").limit(1).count()
-            labels = after
-            if not moved:
-                break
-        return labels
+    def components(self) -> DataFrame:
+        """g, node, comp: the smallest node of each node's component. In every round each
+        node takes the smallest label next to it, and what that label's node has for
+        label itself; one table is kept a round. Ends when no label falls."""
+        labels = settled(self.nodes.select("g", "node", F.col("node").alias("comp"), F.lit(True).alias("moved")))
+        while True:
+            near = self.edges.join(labels.select("g", F.col("node").alias("dst"), F.col("comp").alias("near")), ["g", "dst"]).groupBy("g", F.col("src").alias("node")).agg(F.min("near").alias("near"))
+            up = labels.select("g", F.col("node").alias("comp"), F.col("comp").alias("up"))
+            low = F.least("comp", F.coalesce("near", "comp"), F.coalesce("up", "comp"))
+            after = labels.drop("moved").join(near, ["g", "node"], "left").join(up, ["g", "comp"], "left").select("g", "node", low.alias("comp"), (low < F.col("comp")).alias("moved"))
+            labels = settled(after)
+            if not labels.where("moved").limit(1).count():
+                return labels.drop("moved")
 
     def largest_component(self) -> Graph:
         """The component of most nodes; of equal ones that of the smallest node."""
         comp = settled(self.components())
         best = comp.groupBy("g", "comp").count().groupBy("g").agg(F.min_by("comp", F.struct(-F.col("count"), "comp")).alias("comp"))
         return self.induced(comp.join(best, ["g", "comp"], "left_semi"))
-
-

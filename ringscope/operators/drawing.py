@@ -38,7 +38,7 @@ def draw_table(graph: Graph, labels: DataFrame, max_groups: int | None = None) -
     periphery), marker, size, layer (core last, so on top) and hover text."""
     rows = classify_nodes(labels, max_groups).where("kind <> 'muted'").join(graph.nodes, ["g", "node"])
     groups = rows.where("kind = 'colored'").groupBy("g").agg((F.max("rank") + 1).alias("groups"))
-    rows = rows.join(groups, "g", "left").withColumn("bin", F.when(F.col("kind") == "colored", coreness_bin(F.col("x"))))
+    rows = rows.join(graph.each(groups), "g", "left").withColumn("bin", F.when(F.col("kind") == "colored", coreness_bin(F.col("x"))))
     tint = 0.2 + 0.8 * F.col("bin") / 11
     parts = [F.lpad(F.lower(F.hex(F.round((1 - tint + tint * ch) * 255).cast("long"))), 2, "0") for ch in hue(F.col("rank"), F.col("groups"))]
     fill = F.when(F.col("kind") == "colored", F.concat(F.lit("#"), *parts)).otherwise("#8d8d8d")
@@ -62,14 +62,15 @@ def spring_layout(graph: Graph, rounds: int = 15, seed: int = 0, cells: int = 12
     the cells of a grid by the number of nodes there, a table of bounded size."""
     state = settled(graph.nodes.select("g", "node", uniform(seed, "g", "node").alias("px"), uniform(seed + 1, "g", "node").alias("py")))
     n = graph.nodes.groupBy("g").agg(F.count(F.lit(1)).cast("double").alias("n"))
+    few = n.limit(65).count() <= 64  # then all grids together hold at most 64 x (5 cells)^2 rows
     for t in range(rounds):
         place = lambda c: F.floor(F.greatest(F.lit(-2.0), F.least(F.lit(2.99), F.col(c))) * cells)
         grid = state.groupBy("g", place("px").alias("i"), place("py").alias("j")).agg(F.count(F.lit(1)).alias("many"), F.avg("px").alias("cx"), F.avg("py").alias("cy"))
         pull = graph.with_labels(state, "px", "py").where("src <> dst")
         dist = F.sqrt(F.pow(F.col("px_d") - F.col("px_s"), F.lit(2.0)) + F.pow(F.col("py_d") - F.col("py_s"), F.lit(2.0)))
-        pull = pull.join(n, "g").groupBy("g", F.col("src").alias("node")).agg(F.sum((F.col("px_d") - F.col("px_s")) * dist * F.sqrt("n")).alias("ax"), F.sum((F.col("py_d") - F.col("py_s")) * dist * F.sqrt("n")).alias("ay"))
+        pull = pull.join(graph.each(n), "g").groupBy("g", F.col("src").alias("node")).agg(F.sum((F.col("px_d") - F.col("px_s")) * dist * F.sqrt("n")).alias("ax"), F.sum((F.col("py_d") - F.col("py_s")) * dist * F.sqrt("n")).alias("ay"))
         gap = F.pow(F.col("px") - F.col("cx"), F.lit(2.0)) + F.pow(F.col("py") - F.col("cy"), F.lit(2.0)) + 1e-4
-        push = state.join(grid, "g").join(n, "g").groupBy("g", "node").agg(F.sum((F.col("px") - F.col("cx")) * F.col("many") / gap / F.col("n")).alias("rx"), F.sum((F.col("py") - F.col("cy")) * F.col("many") / gap / F.col("n")).alias("ry"))
+        push = state.join(F.broadcast(grid) if few else grid, "g").join(graph.each(n), "g").groupBy("g", "node").agg(F.sum((F.col("px") - F.col("cx")) * F.col("many") / gap / F.col("n")).alias("rx"), F.sum((F.col("py") - F.col("cy")) * F.col("many") / gap / F.col("n")).alias("ry"))
         moved = state.join(push, ["g", "node"]).join(pull, ["g", "node"], "left").fillna(0.0, ["ax", "ay"])
         fx, fy = F.col("rx") + F.col("ax"), F.col("ry") + F.col("ay")
         reach = 0.1 * (1 - t / rounds) / F.greatest(F.sqrt(fx * fx + fy * fy), F.lit(1e-9))

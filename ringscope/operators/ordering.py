@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Iterator, Mapping, Sequence
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from ..storage import settled
@@ -11,23 +13,53 @@ from ..storage import settled
 
 def ordered(df: DataFrame, order: Sequence[Column], sums: Mapping[str, str] | None = None, rank: str = "k", by: Sequence[str] = ()) -> DataFrame:
     """df with the 0-based global rank of each row in `order` and inclusive running sums
-    {new column: summed column}. With `by`, ranks and sums are within those keys.
+    {new column: summed column}, nulls as zeros. With `by`, ranks and sums are within
+    those keys.
 
-    Rows are dealt by ranges of (by, order); each partition ranks its own rows and adds
-    what lies before it, which is one row per partition and key at its border. Equal
-    rows of `order` get distinct ranks in no defined order, so order should be total."""
-    sums = dict(sums or {})
+    Rows are dealt by ranges of (by, order), the one shuffle, and sorted where they land. A
+    key then lies in neighbouring partitions, and only the first key of a partition can
+    have begun before it: what lies before it is one row for each partition, a table
+    bounded by their number, which is broadcast. Each partition counts and adds its own
+    rows as they come. Equal rows of `order` get distinct ranks in no defined order, so
+    order should be total."""
+    sums, by = dict(sums or {}), list(by)
     keys = [F.col(c) for c in by]
-    parts = settled(df.repartitionByRange(*keys, *order).withColumn("_p", F.spark_partition_id()))
-    totals = parts.groupBy("_p", *by).agg(F.count(F.lit(1)).alias("_n"), *[F.sum(c).alias(f"_s_{new}") for new, c in sums.items()])
+    summed = list(sums.values())
+
+    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        key, n, carried = None, 0, np.zeros(len(summed))
+        for pdf in batches:
+            if not len(pdf):
+                continue
+            codes = np.zeros(len(pdf), dtype=np.int64)
+            for c in by:
+                codes[1:] |= (pdf[c].to_numpy()[1:] != pdf[c].to_numpy()[:-1]).astype(np.int64)
+            codes = np.cumsum(codes)
+            starts = np.flatnonzero(np.append(True, codes[1:] != codes[:-1]))
+            first = tuple(pdf[c].iloc[0] for c in by)
+            local = np.arange(len(pdf)) - starts[codes]
+            if first == key:
+                local[codes == 0] += n
+            pdf["_k"] = local
+            for j, (new, c) in enumerate(sums.items()):
+                running = np.cumsum(pdf[c].fillna(0).to_numpy(dtype=float))
+                running = running - np.append(0.0, running)[starts[codes]]
+                if first == key:
+                    running[codes == 0] += carried[j]
+                pdf[f"_r_{new}"] = running
+            key, n = tuple(pdf[c].iloc[-1] for c in by), int(pdf["_k"].iloc[-1]) + 1
+            carried = np.array([pdf[f"_r_{new}"].iloc[-1] for new in sums])
+            yield pdf
+
+    dealt = df.repartitionByRange(*keys, *order).sortWithinPartitions(*keys, *order).withColumn("_p", F.spark_partition_id())
+    fields = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in dealt.schema.fields), "_k long", *(f"`_r_{new}` double" for new in sums)])
+    parts = settled(dealt.mapInPandas(count, fields))
+    totals = parts.groupBy("_p", *by).agg(F.count(F.lit(1)).alias("_n"), *[F.sum(F.col(c).cast("double")).alias(f"_s_{new}") for new, c in sums.items()])
     before = W.partitionBy(*by).orderBy("_p").rowsBetween(W.unboundedPreceding, -1)
     names = ["_n", *[f"_s_{new}" for new in sums]]
-    offsets = totals.select("_p", *by, *[F.coalesce(F.sum(c).over(before), F.lit(0)).alias(f"{c}0") for c in names])
-    local = W.partitionBy("_p", *by).orderBy(*order)
-    running = local.rowsBetween(W.unboundedPreceding, 0)
-    ranked = parts.select("*", (F.row_number().over(local) - 1).alias("_k"), *[F.sum(c).over(running).alias(f"_r_{new}") for new, c in sums.items()])
-    out = ranked.join(offsets, ["_p", *by])
-    done = [(F.col("_k") + F.col("_n0")).cast("long").alias(rank), *[(F.col(f"_r_{new}") + F.col(f"_s_{new}0")).alias(new) for new in sums]]
+    offsets = totals.select("_p", *by, *[F.coalesce(F.sum(c).over(before), F.lit(0)).alias(f"{c}0") for c in names]).where("_n0 > 0")
+    out = parts.join(F.broadcast(offsets), ["_p", *by], "left")
+    done = [(F.col("_k") + F.coalesce("_n0", F.lit(0))).cast("long").alias(rank), *[(F.col(f"_r_{new}") + F.coalesce(f"_s_{new}0", F.lit(0.0))).alias(new) for new in sums]]
     return out.select(*df.columns, *done)
 
 

@@ -31,9 +31,7 @@ def prefixes(graph: Graph, ranks: DataFrame) -> DataFrame:
     rows = ranks.select("g", "node", "k").join(late, ["g", "k"], "left").join(early, ["g", "k"], "left").fillna(0.0, ["late", "early"])
     rows = ordered(rows, [F.col("k")], {"cc": "late", "touch": "early"}, rank="_again", by=["g"])
     totals = ranks.groupBy("g").agg(F.count(F.lit(1)).cast("double").alias("n")).join(ends.groupBy("g").agg(F.sum("w").alias("m")), "g", "left").fillna(0.0, ["m"])
-    return rows.join(totals, "g").select("g", "node", "k", "n", (F.col("k") + 1).cast("double").alias("i"), "m", "cc", "touch")
-
-
+    return rows.join(graph.each(totals), "g").select("g", "node", "k", "n", (F.col("k") + 1).cast("double").alias("i"), "m", "cc", "touch")
 
 
 def cut_sweep(graph: Graph, ranks: DataFrame, beta: float = 0.1) -> DataFrame:
@@ -53,14 +51,14 @@ def best_cut(graph: Graph, ranks: DataFrame, beta: float = 0.1) -> DataFrame:
     first = lambda q: F.max_by("i", F.when(F.col(q).isNotNull(), F.struct(F.col(q), (-F.col("i")).alias("i"))))
     best = swept.groupBy("g").agg(F.max("qc").alias("bc"), F.max("qp").alias("bp"), first("qc").alias("ic"), first("qp").alias("ip"))
     core = F.when(F.col("bc").isNull(), True).when(F.col("bc") > F.col("bp"), F.col("i") <= F.col("ic")).otherwise(F.col("i") > F.col("ip"))
-    return swept.join(best, "g").select("g", "node", core.cast("int").alias("x"))
+    return swept.join(graph.each(best), "g").select("g", "node", core.cast("int").alias("x"))
 
 
 def best_prefix(graph: Graph, ranks: DataFrame, objective: Callable[[], Column]) -> DataFrame:
     """g, node, x, q: the prefix of highest objective as core, the shortest of equals."""
     swept = settled(prefixes(graph, ranks).withColumn("q", objective()))
     best = swept.groupBy("g").agg(F.max("q").alias("q"), F.max_by("i", F.struct("q", (-F.col("i")).alias("i"))).alias("best"))
-    return swept.drop("q").join(best, "g").select("g", "node", (F.col("i") <= F.col("best")).cast("int").alias("x"), "q")
+    return swept.drop("q").join(graph.each(best), "g").select("g", "node", (F.col("i") <= F.col("best")).cast("int").alias("x"), "q")
 
 
 def be_objective() -> Column:
@@ -76,9 +74,9 @@ def lip(graph: Graph) -> DataFrame:
     the prefix up to its first minimum, which is never empty."""
     rows = ranked_sums(graph)
     total = rows.groupBy("g").agg(F.sum("d").alias("total"))
-    rows = settled(rows.join(total, "g").withColumn("z", F.col("total") + F.col("k") * (F.col("k") + 1) / 2 - (F.col("k") + 1) - F.col("cum")))
+    rows = settled(rows.join(graph.each(total), "g").withColumn("z", F.col("total") + F.col("k") * (F.col("k") + 1) / 2 - (F.col("k") + 1) - F.col("cum")))
     best = rows.groupBy("g").agg(F.min_by("k", F.struct("z", "k")).alias("best"))
-    return rows.join(best, "g").select("g", "node", "k", "z", (F.col("k") <= F.col("best")).cast("int").alias("x"))
+    return rows.join(graph.each(best), "g").select("g", "node", "k", "z", (F.col("k") <= F.col("best")).cast("int").alias("x"))
 
 
 def ranked_sums(graph: Graph) -> DataFrame:

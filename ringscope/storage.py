@@ -1,17 +1,50 @@
-"""Cutting lineage: checkpoints in the folder that driver and executors share."""
+"""Cutting lineage: tables in the folder that driver and executors share."""
 
 from __future__ import annotations
 
+import atexit
 import tempfile
+import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
+
+_folders: dict[str, SparkSession] = {}
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """A folder of this run's own under spark.checkpoint.dir, removed when the driver's Python
+    ends. Where that is unset and all runs in one process, as in tests, a temporary folder
+    serves; on a cluster that is an error, as executors would not see each other's files."""
+    context = spark.sparkContext
+    root = context.getConf().get("spark.checkpoint.dir", None) or context.getCheckpointDir()
+    if not root:
+        if not context.master.startswith("local") or context.master.startswith("local-cluster"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+        root = "file://" + tempfile.mkdtemp(prefix="ringscope-")
+        context.setCheckpointDir(root)
+    own = next((f for f, s in _folders.items() if s is spark and f.startswith(root.rstrip("/"))), None)
+    if own is None:
+        if not _folders:
+            atexit.register(_clean)
+        own = f"{root.rstrip('/')}/ringscope-graph-{uuid.uuid4().hex}"
+        _folders[own] = spark
+    return own
+
+
+def _clean() -> None:
+    for folder, spark in _folders.items():
+        try:
+            path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+            path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+        except Exception:  # the session may have stopped
+            return
 
 
 def settled(df: DataFrame) -> DataFrame:
-    """df computed once and kept in the checkpoint folder (spark.checkpoint.dir), so that
-    iterations don't repeat what came before and any executor may be lost. Where no
-    folder is set, as in tests, a temporary one is."""
-    context = df.sparkSession.sparkContext
-    if not context.getCheckpointDir():
-        context.setCheckpointDir(context.getConf().get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="ringscope-"))
-    return df.checkpoint()
+    """df written once as Parquet in the shared folder and read again, so that iterations
+    don't repeat what came before and any executor may be lost. Unlike a checkpoint, the
+    table also ends the planner's size estimates, which joins multiply from round to
+    round; what is small is then known to be small."""
+    path = f"{shared_folder(df.sparkSession)}/{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
