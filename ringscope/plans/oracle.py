@@ -70,7 +70,7 @@ near AS (SELECT node, to_c, sum(a) AS w_all, sum(b) AS w_core FROM (
 tot AS (SELECT (SELECT count(*) FROM v) AS n, (SELECT sum(w) FROM e) AS m2),
 r AS (SELECT near.*, held.c, held.x, d, loop, m2, m2 / (n * n) AS rho,
   core - CASE WHEN c = to_c THEN {size} * x ELSE 0 END AS c0, peri - CASE WHEN c = to_c THEN {size} * (1 - x) ELSE 0 END AS p0
-  FROM near JOIN held USING (node) JOIN grp USING (to_c), tot WHERE node % 10 = 1)
+  FROM near JOIN held USING (node) JOIN grp USING (to_c), tot)
 SELECT CAST(node AS BIGINT) AS node, CAST(c AS BIGINT) AS c, CAST(x AS INTEGER) AS x, CAST(to_c AS BIGINT) AS to_c, to_x, round(gain, 6) AS gain FROM (
   SELECT node, c, x, to_c, 1 AS to_x, {one} AS gain FROM r UNION ALL SELECT node, c, x, to_c, 0, {zero} FROM r)"""
 
