@@ -50,10 +50,70 @@ def lip(graph: Graph) -> DataFrame:
     return sweeps.lip(graph).select("g", "node", F.lit(0).cast("long").alias("c"), "x")
 
 
+def _climb(state: DataFrame, quality: Callable[[DataFrame], DataFrame], propose: Callable[[DataFrame, DataFrame], tuple[DataFrame, DataFrame]], least: float = 1e-12) -> DataFrame:
+    """Hill climbing of a batch of graphs, many moves at a time. propose(state, levels) gives
+    the state after some moves and the graphs in which a move would gain; the higher a
+    graph's level, the fewer moves: at level 2 the single best one. A graph keeps the new
+    state if its quality rose, else its level goes up. Ends when no move gains in any
+    graph, a local optimum."""
+    state = settled(state)
+    held = settled(quality(state).withColumn("level", F.lit(0)))
+    while True:
+        trial, gaining = propose(state, held.select("g", "level"))
+        trial = settled(trial)
+        new = quality(trial).withColumnRenamed("q", "q1")
+        verdict = held.join(new, "g").join(gaining.withColumn("open", F.lit(True)), "g", "left")
+        verdict = settled(verdict.select("g", "q", "q1", "level", (F.col("q1") > F.col("q") + least).alias("up"), (F.coalesce("open", F.lit(False)) & (F.col("level") < 4)).alias("open")))
+        if not verdict.where("open or up").limit(1).count():
+            return state
+        took = verdict.where("up").select("g")
+        state = settled(trial.join(took, "g", "left_semi").unionByName(state.join(took, "g", "left_anti")))
+        held = settled(verdict.select("g", F.when(F.col("up"), F.col("q1")).otherwise(F.col("q")).alias("q"), F.when(F.col("up"), F.greatest(F.col("level") - 1, F.lit(0))).otherwise(F.col("level") + 1).alias("level")))
+
+
+def _chosen(gain: Column, top: Column, level: Column, best: Column) -> Column:
+    """Which moves are made at a level: good ones, nearly the best ones, or the best one."""
+    return F.when(level == 0, gain > 0.5 * top).when(level == 1, gain > 0.9 * top).otherwise(best)
+
+
+def flipped(graph: Graph, start: DataFrame, objective: Callable[[], Column]) -> DataFrame:
+    """g, node, x and q: start(g, node, x) improved by flipping nodes between core and
+    periphery until no flip raises the objective, a column of n, i, m, cc and touch as in
+    sweeps.prefixes. Each round takes exact gains of all single flips."""
+    loops = graph.self_loops().withColumnRenamed("w", "loop")
+    held = settled(graph.degree().join(loops, ["g", "node"], "left").fillna(0.0, ["loop"]))
+
+    def rows(state: DataFrame) -> DataFrame:
+        return state.select("g", "node", "x").join(graph.times(state, "x", "s"), ["g", "node"]).join(held, ["g", "node"])
+
+    def sums(state: DataFrame) -> DataFrame:
+        x, s, d = F.col("x"), F.col("s"), F.col("d")
+        found = rows(state).groupBy("g").agg(F.count(F.lit(1)).cast("double").alias("n"), F.sum(x).cast("double").alias("i"), (F.sum(d) / 2).alias("m"), (F.sum(x * s) / 2).alias("cc"), F.sum(x * d).alias("xd"))
+        return found.select("g", "n", "i", "m", "cc", (F.col("xd") - F.col("cc")).alias("touch"))
+
+    def quality(state: DataFrame) -> DataFrame:
+        return sums(state).select("g", objective().alias("q"))
+
+    def propose(state: DataFrame, levels: DataFrame) -> tuple[DataFrame, DataFrame]:
+        now = sums(state).withColumn("q", objective()).join(levels, "g")
+        here = rows(state).join(graph.each(now.withColumnsRenamed({c: f"_{c}" for c in ("i", "cc", "touch")})), "g")
+        sign, half = 1 - 2 * F.col("x"), F.col("loop") / 2
+        others = F.col("s") - F.col("loop") * F.col("x")
+        here = here.withColumn("i", F.col("_i") + sign).withColumn("cc", F.col("_cc") + sign * (others + half)).withColumn("touch", F.col("_touch") + sign * (F.col("d") - F.col("loop") - others + half))
+        gains = settled(here.select("g", "node", "x", "level", (objective() - F.col("q")).alias("gain")))
+        top = settled(gains.groupBy("g").agg(F.max("gain").alias("top"), F.max_by("node", F.struct("gain", -F.col("node"))).alias("best")))
+        go = (F.col("gain") > 1e-12) & _chosen(F.col("gain"), F.col("top"), F.col("level"), F.col("node") == F.col("best"))
+        return gains.join(graph.each(top), "g").select("g", "node", F.when(go, 1 - F.col("x")).otherwise(F.col("x")).cast("int").alias("x")), top.where("top > 1e-12").select("g")
+
+    done = _climb(start.select("g", "node", F.col("x").cast("int").alias("x")), quality, propose)
+    return done.join(graph.each(settled(quality(done))), "g")
+
+
 def _sweep_search(graph: Graph, objective: Callable[[], Column], toward: str, runs: int, seed: int, rounds: int) -> DataFrame:
     """Best prefix of a node order, the order renewed from the core just found: by
     neighbours outside it (toward = periphery) or inside it (core). The first order is
-    by strength, shaken a little in runs after the first."""
+    by strength, shaken a little in runs after the first. The best prefix met, or in every
+    second run random labels, are then improved by single flips to a local optimum."""
     many = replicated(graph.binarized(), runs)
     shake = F.when(F.col("g") % runs == 0, 0.0).otherwise(0.5 * (uniform(seed, "g", "node") - 0.5))
     order = many.degree().withColumn("score", F.col("d") * (1 + shake))
@@ -62,10 +122,13 @@ def _sweep_search(graph: Graph, objective: Callable[[], Column], toward: str, ru
         found = settled(sweeps.best_prefix(many, settled(sweeps.ranked(order, "score")), objective))
         both = found if best is None else best.unionByName(found)
         top = both.groupBy("g").agg(F.max("q").alias("q"))
-        kept = both.join(top, ["g", "q"]).groupBy("g", "node").agg(F.max_by("x", "q").alias("x"), F.max("q").alias("q"))
+        kept = both.join(many.each(settled(top).withColumnRenamed("q", "top")), "g").where("q = top").groupBy("g", "node").agg(F.max_by("x", "q").alias("x"), F.max("q").alias("q"))
         best = settled(kept)
         side = 1 - F.col("x") if toward == "periphery" else F.col("x")
         order = many.times(found.withColumn("v", side.cast("double")), "v", "score")
+    random = (uniform(seed + 1, "g", "node") < 0.5).cast("int")
+    start = best.withColumn("x", F.when(F.col("g") % runs % 2 == 1, random).otherwise(F.col("x")))
+    best = settled(flipped(many, start, objective))
     quality = best.groupBy("g").agg(F.max("q").alias("q"))
     return best_run(best.withColumn("c", F.lit(0).cast("long")), quality, runs)
 
@@ -75,7 +138,7 @@ def be(graph: Graph, runs: int = 4, seed: int = 0, rounds: int = 3) -> DataFrame
     return _sweep_search(graph, sweeps.be_objective, "periphery", runs, seed, rounds)
 
 
-def surprise(graph: Graph, runs: int = 4, seed: int = 0, rounds: int = 3) -> DataFrame:
+def surprise(graph: Graph, runs: int = 10, seed: int = 0, rounds: int = 3) -> DataFrame:
     """One pair of the most surprising densities; weights are set to 1."""
     return _sweep_search(graph, sweeps.surprise_objective, "core", runs, seed, rounds)
 
@@ -93,7 +156,7 @@ def move_gains(graph: Graph, labels: DataFrame, kind: str) -> DataFrame:
     near = near.groupBy("g", F.col("src").alias("node"), "to_c").agg(F.sum("w").alias("w_all"), F.sum(F.col("w") * F.col("to")).alias("w_core"))
     home = held.select("g", "node", F.col("c").alias("to_c"), F.lit(0.0).alias("w_all"), F.lit(0.0).alias("w_core"))
     near = near.unionByName(home).groupBy("g", "node", "to_c").agg(F.sum("w_all").alias("w_all"), F.sum("w_core").alias("w_core"))
-    rows = near.join(held.select("g", "node", "c", "x", "d", "loop"), ["g", "node"]).join(groups.withColumnRenamed("c", "to_c"), ["g", "to_c"]).join(totals, "g")
+    rows = near.join(held.select("g", "node", "c", "x", "d", "loop"), ["g", "node"]).join(groups.withColumnRenamed("c", "to_c"), ["g", "to_c"]).join(graph.each(totals), "g")
     own = F.when(F.col("c") == F.col("to_c"), size).otherwise(0.0)
     c0, p0 = F.col("core") - own * F.col("x"), F.col("peri") - own * (1 - F.col("x"))
     m2, d, loop = F.col("m2"), F.col("d"), F.col("loop")
@@ -206,47 +269,90 @@ def divisive(graph: Graph, seed: int = 0, rounds: int | None = None, levels: int
     return found.select("g", "node", "c").join(pairs.select(F.floor(F.col("g") / span).cast("int").alias("g"), "node", "x"), ["g", "node"])
 
 
+def swap_gains(graph: Graph, state: DataFrame, pairs: DataFrame) -> DataFrame:
+    """pairs(g, a, b) with gain: half of what x' A x rises by if nodes a and b swap their
+    coreness; state(g, node, x). Loops are left out of it."""
+    loopless = Graph(graph.nodes, graph.edges.where("src <> dst"))
+    around = state.select("g", "node", "x").join(loopless.times(state, "x", "r"), ["g", "node"])
+    side = lambda s: around.select("g", F.col("node").alias(s), F.col("x").alias(f"x_{s}"), F.col("r").alias(f"r_{s}"))
+    w = loopless.edges.select("g", F.col("src").alias("a"), F.col("dst").alias("b"), "w")
+    rows = pairs.join(side("a"), ["g", "a"]).join(side("b"), ["g", "b"]).join(w, ["g", "a", "b"], "left").fillna(0.0, ["w"])
+    gain = (F.col("x_b") - F.col("x_a")) * ((F.col("r_a") - F.col("w") * F.col("x_b")) - (F.col("r_b") - F.col("w") * F.col("x_a")))
+    return rows.withColumn("gain", gain)
+
+
+def swapped(graph: Graph, start: DataFrame) -> DataFrame:
+    """start(g, node, k, x) improved by swaps of nodes whose ranks are a power of two apart,
+    until none raises x' A x. In a round a node takes part in one swap at most: one that
+    is the best for both its nodes."""
+    most = graph.sizes().agg(F.max("n").alias("n")).first()["n"] or 1
+    steps = [1 << j for j in range(max(1, int(most - 1).bit_length()))]
+
+    def quality(state: DataFrame) -> DataFrame:
+        return scores.rombach(Graph(graph.nodes, graph.edges.where("src <> dst")), state)
+
+    def propose(state: DataFrame, levels: DataFrame) -> tuple[DataFrame, DataFrame]:
+        near = state.select("g", F.col("node").alias("a"), F.explode(F.transform(F.array(*map(F.lit, steps)), lambda z: F.col("k") + z)).alias("k"))
+        pairs = near.join(state.select("g", "k", F.col("node").alias("b")), ["g", "k"]).select("g", "a", "b")
+        good = settled(swap_gains(graph, state, pairs).where("gain > 1e-10").select("g", "a", "b", "gain"))
+        ends = good.select("g", F.explode(F.array("a", "b")).alias("node"), "a", "b", "gain")
+        first = ends.groupBy("g", "node").agg(F.max_by(F.struct("a", "b"), F.struct("gain", -F.col("a"), -F.col("b"))).alias("ab")).groupBy("g", "ab").agg(F.count(F.lit(1)).alias("ends")).where("ends = 2")
+        mutual = settled(good.join(first.select("g", "ab.a", "ab.b"), ["g", "a", "b"]))
+        top = mutual.groupBy("g").agg(F.max("gain").alias("top"), F.max_by("a", F.struct("gain", -F.col("a"))).alias("best")).join(levels, "g")
+        go = mutual.join(graph.each(settled(top)), "g").where(_chosen(F.col("gain"), F.col("top"), F.col("level"), F.col("a") == F.col("best")))
+        other = go.select("g", F.col("a").alias("node"), F.col("b").alias("other")).unionByName(go.select("g", F.col("b").alias("node"), F.col("a").alias("other")))
+        place = other.join(state.select("g", F.col("node").alias("other"), F.col("k").alias("k1"), F.col("x").alias("x1")), ["g", "other"])
+        after = state.join(place, ["g", "node"], "left").select("g", "node", F.coalesce("k1", "k").alias("k"), F.coalesce("x1", "x").alias("x"))
+        return after, good.select("g").distinct()
+
+    return _climb(start.select("g", "node", "k", "x"), quality, propose, 1e-10)
+
+
 def rombach(graph: Graph, alpha: float = 0.5, beta: float = 0.8, runs: int = 2, seed: int = 0, rounds: int = 8) -> DataFrame:
     """Continuous coreness by rank: nodes are ranked by the coreness around them, again
-    and again; the best order met is kept."""
+    and again (for `rounds` rounds at most); the best order met is then improved by swaps
+    to a local optimum."""
     many = replicated(graph, runs)
     order, best = many.nodes.select("g", "node").withColumn("r", uniform(seed, "g", "node")), None
     for _ in range(rounds):
-        x = settled(_by_rank(order, alpha, beta))
+        x = settled(_by_rank(order, alpha, beta, many.each))
         q = settled(scores.rombach(many, x))
         best = _better(best, x, q)
         order = many.times(x, "x", "r")
-    return best_run(best.drop("q").withColumn("c", F.lit(0).cast("long")), best.groupBy("g").agg(F.max("q").alias("q")), runs)
+    best = settled(swapped(many, best))
+    return best_run(best.withColumn("c", F.lit(0).cast("long")), scores.rombach(many, best), runs)
 
 
-def _by_rank(order: DataFrame, alpha: float, beta: float) -> DataFrame:
+def _by_rank(order: DataFrame, alpha: float, beta: float, each: Callable[[DataFrame], DataFrame] = lambda rows: rows) -> DataFrame:
     ranks = ordered(order, [F.col("r"), F.col("node")], rank="k", by=["g"])
     n = order.groupBy("g").agg(F.count(F.lit(1)).alias("n"))
-    return ranks.join(n, "g").select("g", "node", "k", rank_coreness(F.col("k"), F.col("n"), alpha, beta).alias("x"))
+    return ranks.join(each(n), "g").select("g", "node", "k", rank_coreness(F.col("k"), F.col("n"), alpha, beta).alias("x"))
 
 
 def _better(best: DataFrame | None, x: DataFrame, q: DataFrame) -> DataFrame:
-    new = x.join(q, "g").select("g", "node", "x", "q")
+    new = x.join(q, "g").select("g", "node", "k", "x", "q")
     if best is None:
         return settled(new)
     both = best.unionByName(new)
-    return settled(both.groupBy("g", "node").agg(F.max_by("x", "q").alias("x"), F.max("q").alias("q")))
+    return settled(both.groupBy("g", "node").agg(F.max_by(F.struct("k", "x"), "q").alias("at"), F.max("q").alias("q")).select("g", "node", "at.k", "at.x", "q"))
 
 
 def rombach_annealed(graph: Graph, alpha: float = 0.5, beta: float = 0.8, seed: int = 0, rounds: int = 12, hottest: float = 1.0, coldest: float = 1e-3) -> DataFrame:
     """The same objective by annealing: in every round the nodes are paired at random,
-    and each pair swaps its ranks by the Metropolis rule on its own gain."""
+    and each pair swaps its ranks by the Metropolis rule on its own gain. The best state
+    met is then improved by swaps to a local optimum."""
     order = graph.nodes.select("g", "node").withColumn("r", uniform(seed, "g", "node"))
     state, best = settled(_by_rank(order, alpha, beta)), None
     for t in range(rounds):
         best = _better(best, state, scores.rombach(graph, state))
         heat = hottest * (coldest / hottest) ** (t / max(1, rounds - 1))
-        around = graph.times(state, "x", "r")
-        mixed = ordered(state.join(around, ["g", "node"]).withColumn("u", uniform(seed + 1 + t, "g", "node")), [F.col("u"), F.col("node")], rank="at", by=["g"])
-        one = mixed.where("at % 2 = 0").select("g", (F.col("at") / 2).cast("long").alias("pair"), F.struct("node", "k", "x", "r").alias("a"))
-        two = mixed.where("at % 2 = 1").select("g", ((F.col("at") - 1) / 2).cast("long").alias("pair"), F.struct("node", "k", "x", "r").alias("b"))
-        pairs = one.join(two, ["g", "pair"], "left")
-        gain = 2 * (F.col("b.x") - F.col("a.x")) * (F.col("a.r") - F.col("b.r"))
+        mixed = ordered(state.withColumn("u", uniform(seed + 1 + t, "g", "node")), [F.col("u"), F.col("node")], rank="at", by=["g"])
+        one = mixed.where("at % 2 = 0").select("g", (F.col("at") / 2).cast("long").alias("pair"), F.struct("node", "k", "x").alias("a"))
+        two = mixed.where("at % 2 = 1").select("g", ((F.col("at") - 1) / 2).cast("long").alias("pair"), F.struct("node", "k", "x").alias("b"))
+        pairs = settled(one.join(two, ["g", "pair"], "left"))
+        gains = swap_gains(graph, state, pairs.where("b is not null").select("g", F.col("a.node").alias("a"), F.col("b.node").alias("b")))
+        pairs = pairs.join(gains.select("g", F.col("a").alias("_a"), "gain"), (pairs["g"] == gains["g"]) & (pairs["a.node"] == F.col("_a")), "left").drop(gains["g"])
+        gain = 2 * F.col("gain")
         swap = F.coalesce((gain > 0) | (F.exp(gain / heat) > uniform(seed + 7, F.lit(t), "g", "pair")), F.lit(False))
         ends = F.explode(F.array(
             F.struct(F.col("a.node").alias("node"), F.when(swap, F.col("b.k")).otherwise(F.col("a.k")).alias("k"), F.when(swap, F.col("b.x")).otherwise(F.col("a.x")).alias("x")),
@@ -254,7 +360,7 @@ def rombach_annealed(graph: Graph, alpha: float = 0.5, beta: float = 0.8, seed:
         ))
         state = settled(pairs.select("g", ends.alias("e")).select("g", "e.node", "e.k", "e.x").where("node is not null"))
     best = _better(best, state, scores.rombach(graph, state))
-    return best.select("g", "node", F.lit(0).cast("long").alias("c"), "x")
+    return swapped(graph, best).select("g", "node", F.lit(0).cast("long").alias("c"), "x")
 
 
 def adam_step(state: DataFrame, t: int, rate: float = 0.01, b1: float = 0.9, b2: float = 0.999, eps: float = 1e-8) -> DataFrame:
@@ -269,7 +375,7 @@ def minres_gradient(graph: Graph, x: DataFrame) -> DataFrame:
     """g, node, grad: A x - (|x|^2 - x^2) x."""
     norm = x.groupBy("g").agg(F.sum(F.col("x") * F.col("x")).alias("s2"))
     y = graph.times(x, "x", "y")
-    return x.select("g", "node", "x").join(y, ["g", "node"]).join(norm, "g").select("g", "node", (F.col("y") - (F.col("s2") - F.col("x") * F.col("x")) * F.col("x")).alias("grad"))
+    return x.select("g", "node", "x").join(y, ["g", "node"]).join(graph.each(norm), "g").select("g", "node", (F.col("y") - (F.col("s2") - F.col("x") * F.col("x")) * F.col("x")).alias("grad"))
 
 
 def minres(graph: Graph, runs: int = 2, seed: int = 0, steps: int = 10_000, tolerance: float = 1e-2) -> DataFrame:
@@ -288,55 +394,79 @@ def minres(graph: Graph, runs: int = 2, seed: int = 0, steps: int = 10_000, tole
 def rossa(graph: Graph, batches: int | None = None) -> DataFrame:
     """Persistence profile of a random walk: from a node of least strength, the nodes
     that keep the walk least inside are added, one at a time, or about n / batches at a
-    time where batches is given; a node's coreness is the persistence when it came in."""
+    time where batches is given; a node's coreness is the persistence when it came in.
+    Every node keeps y, its weight into what has been added, so that a round joins the
+    edges of the nodes just added alone."""
     n = graph.sizes().agg(F.max("n").alias("n")).first()["n"] or 0
     step = max(1, -(-int(n) // batches)) if batches else 1
     d = graph.degree()
-    first = d.groupBy("g").agg(F.min_by("node", F.struct("d", "node")).alias("node")).withColumn("first", F.lit(True))
-    state = settled(d.join(first, ["g", "node"], "left").select("g", "node", "d", F.when(F.col("first"), 0.0).alias("x")))
+    first = d.groupBy("g").agg(F.min_by("node", F.struct("d", "node")).alias("node")).withColumn("x", F.lit(0.0))
+    state = _with_added(graph, d.withColumn("y", F.lit(0.0)), first)
     for _ in range(-(-(int(n) - 1) // step) if n else 0):
-        inside = state.select("g", "node", F.col("x").isNotNull().cast("double").alias("s"))
-        y = state.join(graph.times(inside, "s", "y"), ["g", "node"])
-        sums = y.where("x is not null").groupBy("g").agg(F.sum("d").alias("a"), F.sum("y").alias("b"))
-        open_ = y.where("x is null").join(sums, "g").withColumn("f", 2 * F.col("a") * F.col("y") - F.col("b") * F.col("d"))
-        picked = settled(ordered(open_, [F.col("f"), F.col("node")], rank="k", by=["g"]).where(F.col("k") < step).select("g", "node"))
-        grown = inside.join(picked.withColumn("new", F.lit(1.0)), ["g", "node"], "left").select("g", "node", F.greatest("s", F.coalesce("new", F.lit(0.0))).alias("s"))
-        both = graph.quadratic(grown, "s")
-        strength = grown.join(d, ["g", "node"]).groupBy("g").agg(F.sum(F.col("s") * F.col("d")).alias("a"))
-        level = strength.join(both, "g", "left").select("g", (F.coalesce("q", F.lit(0.0)) / F.greatest("a", F.lit(1.0))).alias("level"))
-        state = settled(state.join(picked.withColumn("new", F.lit(True)), ["g", "node"], "left").join(level, "g").select("g", "node", "d", F.coalesce("x", F.when(F.col("new"), F.col("level"))).alias("x")))
+        inside = F.col("x").isNotNull()
+        sums = state.groupBy("g").agg(F.sum(F.when(inside, F.col("d"))).alias("a"), F.sum(F.when(inside, F.col("y"))).alias("b"))
+        open_ = state.where(~inside).join(graph.each(sums), "g").withColumn("f", 2 * F.col("a") * F.col("y") - F.col("b") * F.col("d"))
+        if step == 1:
+            picked = open_.groupBy("g").agg(F.min_by(F.struct("node", "d", "y", "a", "b"), F.struct("f", "node")).alias("best")).select("g", "best.*")
+        else:
+            picked = settled(ordered(open_, [F.col("f"), F.col("node")], rank="k", by=["g"]).where(F.col("k") < step).select("g", "node", "d", "y", "a", "b"))
+        loops = graph.self_loops().withColumnRenamed("w", "loop")
+        if step == 1:
+            level = F.col("b") + 2 * F.col("y") + F.coalesce("loop", F.lit(0.0))
+            added = picked.join(loops, ["g", "node"], "left").select("g", "node", (level / F.greatest(F.col("a") + F.col("d"), F.lit(1.0))).alias("x"))
+        else:
+            among = graph.edges.join(picked.select("g", F.col("node").alias("src")), ["g", "src"]).join(picked.select("g", F.col("node").alias("dst")), ["g", "dst"]).groupBy("g").agg(F.sum("w").alias("mutual"))
+            new = picked.groupBy("g").agg(F.first("a").alias("a"), F.first("b").alias("b"), F.sum("d").alias("da"), F.sum("y").alias("ya")).join(among, "g", "left").fillna(0.0, ["mutual"])
+            level = (F.col("b") + 2 * F.col("ya") + F.col("mutual")) / F.greatest(F.col("a") + F.col("da"), F.lit(1.0))
+            added = picked.select("g", "node").join(graph.each(new.select("g", level.alias("x"))), "g")
+        state = _with_added(graph, state, added)
     return state.select("g", "node", F.lit(0).cast("long").alias("c"), F.coalesce("x", F.lit(0.0)).alias("x"))
 
 
-def lanczos(graph: Graph, steps: int = 20, seed: int = 0) -> tuple[np.ndarray, np.ndarray, DataFrame]:
+def _with_added(graph: Graph, state: DataFrame, added: DataFrame) -> DataFrame:
+    """g, node, d, y, x after the nodes added(g, node, x) came in."""
+    reach = graph.edges.join(added.select("g", F.col("node").alias("src")), ["g", "src"]).groupBy("g", F.col("dst").alias("node")).agg(F.sum("w").alias("more"))
+    old = F.col("x") if "x" in state.columns else F.lit(None).cast("double")
+    rows = state.select("g", "node", "d", "y", old.alias("old")).join(added.select("g", "node", "x"), ["g", "node"], "left").join(reach, ["g", "node"], "left")
+    return settled(rows.select("g", "node", "d", (F.col("y") + F.coalesce("more", F.lit(0.0))).alias("y"), F.coalesce("old", "x").alias("x")))
+
+
+def lanczos(graph: Graph, wanted: Callable[[np.ndarray], np.ndarray], tolerance: float = 1e-6, seed: int = 0, width: int = 80) -> tuple[np.ndarray, np.ndarray, DataFrame]:
     """Ritz values, their coefficients, and the basis (g, node, v0, v1, ...) of the
-    symmetric matrix of a single graph, with full reorthogonalisation. The basis stays
-    distributed; only inner products, at most steps a round, reach the driver."""
-    basis = graph.nodes.select("g", "node", (uniform(seed, "node") - 0.5).alias("v0"))
-    norm = basis.agg(F.sqrt(F.sum(F.col("v0") * F.col("v0"))).alias("z")).first()["z"] or 1.0
-    basis = settled(basis.withColumn("v0", F.col("v0") / norm))
-    alpha, beta = [], []
-    n = basis.count()
-    for j in range(min(steps, n)):
-        y = settled(basis.join(graph.times(basis, f"v{j}", "y"), ["g", "node"]))
-        for again in range(2):
-            dots = y.agg(*[F.sum(F.col(f"v{i}") * F.col("y")).alias(f"d{i}") for i in range(j + 1)]).first()
-            if not again:
-                alpha.append(dots[f"d{j}"])
-            rest = F.col("y")
-            for i in range(j + 1):
-                rest = rest - F.lit(dots[f"d{i}"]) * F.col(f"v{i}")
-            y = y.withColumn("y", rest)
-        y = settled(y)
-        size = y.agg(F.sqrt(F.sum(F.col("y") * F.col("y"))).alias("z")).first()["z"] or 0.0
-        if size < 1e-10 or j + 1 == min(steps, n):
-            break
-        beta.append(size)
-        basis = y.withColumn(f"v{j + 1}", F.col("y") / size).drop("y")
-    k = len(alpha)
-    small = np.diag(alpha) + np.diag(beta[: k - 1], 1) + np.diag(beta[: k - 1], -1)
-    values, vectors = np.linalg.eigh(small)
-    return values, vectors, basis
+    symmetric matrix of a single graph, with full reorthogonalisation. wanted picks
+    eigenvalues (their places) out of the Ritz values; the iteration goes on until each of
+    their pairs has a residual |A v - theta v| of at most tolerance times the largest
+    |theta|, and restarts from their vectors after width steps. The basis stays
+    distributed; only inner products, at most width a step, reach the driver."""
+    start = graph.nodes.select("g", "node", (uniform(seed, "node") - 0.5).alias("v0"))
+    n = start.count()
+    while True:
+        norm = start.agg(F.sqrt(F.sum(F.col("v0") * F.col("v0"))).alias("z")).first()["z"] or 1.0
+        basis = start.withColumn("v0", F.col("v0") / norm)
+        alpha, beta = [], []
+        for j in range(min(width, n)):
+            y = settled(basis.join(graph.times(basis, f"v{j}", "y"), ["g", "node"]))
+            for again in range(2):
+                dots = y.agg(*[F.sum(F.col(f"v{i}") * F.col("y")).alias(f"d{i}") for i in range(j + 1)], F.sum(F.col("y") * F.col("y")).alias("yy")).first()
+                if not again:
+                    alpha.append(dots[f"d{j}"])
+                rest = F.col("y")
+                for i in range(j + 1):
+                    rest = rest - F.lit(dots[f"d{i}"]) * F.col(f"v{i}")
+                y = y.withColumn("y", rest)
+            size = max(0.0, (dots["yy"] or 0.0) - sum(dots[f"d{i}"] ** 2 for i in range(j + 1))) ** 0.5
+            small = np.diag(alpha) + np.diag(beta, 1) + np.diag(beta, -1)
+            values, vectors = np.linalg.eigh(small)
+            at = wanted(values)
+            scale = max(np.abs(values).max(), 1e-300)
+            basis = y.drop("y")
+            if (size * np.abs(vectors[-1, at]) <= tolerance * scale).all() and (j + 1 >= min(n, 2 + len(at)) or size <= tolerance * scale):
+                return values, vectors, basis
+            beta.append(size)
+            basis = y.withColumn(f"v{j + 1}", F.col("y") / max(size, 1e-300)).drop("y")
+        if width >= n:
+            return values, vectors, basis.drop(f"v{len(alpha)}")
+        start = settled(_ritz(basis, vectors[:, at].sum(axis=1), "v0"))
 
 
 def _ritz(basis: DataFrame, coefficients: np.ndarray, name: str = "v") -> DataFrame:
@@ -352,24 +482,24 @@ def _upright(vector: DataFrame, name: str = "v") -> DataFrame:
     return vector.withColumn(name, F.col(name) * (1.0 if top >= 0 else -1.0))
 
 
-def _walk_vector(graph: Graph, steps: int, seed: int) -> DataFrame:
+def _walk_vector(graph: Graph, tolerance: float, seed: int) -> DataFrame:
     """The eigenvector of the smallest eigenvalue of (D + I)^-1 A, isolated rows zero."""
     root = graph.degree().select("g", "node", F.when(F.col("d") > 0, 1 / F.sqrt(F.col("d") + 1)).otherwise(0.0).alias("r"))
     scaled = Graph(graph.nodes, graph.with_labels(root, "r").select("g", "src", "dst", (F.col("w") * F.col("r_s") * F.col("r_d")).alias("w"))).settled()
-    values, vectors, basis = lanczos(scaled, steps, seed)
+    values, vectors, basis = lanczos(scaled, lambda values: np.array([0]), tolerance, seed)
     v = _ritz(basis, vectors[:, 0]).join(root, ["g", "node"]).select("g", "node", (F.col("v") * F.col("r")).alias("v"))
     return settled(_upright(settled(v)))
 
 
-def lap_core(graph: Graph, beta: float = 0.1, steps: int = 20, seed: int = 0) -> DataFrame:
+def lap_core(graph: Graph, beta: float = 0.1, tolerance: float = 1e-6, seed: int = 0) -> DataFrame:
     """The best cut along the last eigenvector of the random-walk matrix."""
-    ranks = settled(sweeps.ranked(_walk_vector(graph, steps, seed), "v"))
+    ranks = settled(sweeps.ranked(_walk_vector(graph, tolerance, seed), "v"))
     return sweeps.best_cut(graph, ranks, beta).select("g", "node", F.lit(0).cast("long").alias("c"), "x")
 
 
-def lap_sgn_core(graph: Graph, steps: int = 20, seed: int = 0) -> DataFrame:
+def lap_sgn_core(graph: Graph, tolerance: float = 1e-6, seed: int = 0) -> DataFrame:
     """The signs of that eigenvector, or their reverse if it scores higher."""
-    v = _walk_vector(graph, steps, seed)
+    v = _walk_vector(graph, tolerance, seed)
     plus = settled(v.select("g", "node", F.lit(0).cast("long").alias("c"), (F.col("v") > 0).cast("int").alias("x")))
     minus = plus.withColumn("x", 1 - F.col("x"))
     q = [scores.cut(graph, s, true_periphery=True).agg(F.sum("q").alias("q")).first()["q"] or 0.0 for s in (plus, minus)]
@@ -395,11 +525,12 @@ def entries_above(points: DataFrame, first: float, second: float, cells: int = 4
     return whole.join(single, ["g", "node"], "left").select("g", "node", (F.col("whole") + F.coalesce("single", F.lit(0))).cast("double").alias("v"))
 
 
-def low_rank_core(graph: Graph, beta: float = 0.1, steps: int = 20, seed: int = 0, cells: int = 48) -> DataFrame:
+def low_rank_core(graph: Graph, beta: float = 0.1, tolerance: float = 1e-6, seed: int = 0, cells: int = 48) -> DataFrame:
     """The best cut along the degrees of a rank-two approximation, entries of more than
     one half counting as edges."""
-    values, vectors, basis = lanczos(graph.settled(), steps, seed)
-    top = np.argsort(-np.abs(values), kind="stable")[:2]
+    strongest = lambda values: np.argsort(-np.abs(values), kind="stable")[:2]
+    values, vectors, basis = lanczos(graph.settled(), strongest, tolerance, seed)
+    top = strongest(values)
     a = _ritz(basis, vectors[:, top[0]], "a")
     b = _ritz(basis, vectors[:, top[-1]], "b") if len(top) > 1 else a.select("g", "node", F.lit(0.0).alias("b"))
     points = settled(a.join(b, ["g", "node"]))

@@ -190,15 +190,10 @@ def _gains(kind: str):
 def rombach_swap_gain(spark: SparkSession, sf: str) -> DataFrame:
     """All swaps on the graph of nations, a fixed number of nodes; ranks by node."""
     g = nation(spark, sf).settled()
-    loopless = Graph(g.nodes, g.edges.where("src <> dst"))
     x = detect._by_rank(g.nodes.select("g", "node", F.col("node").cast("double").alias("r")), 0.5, 0.8).select("g", "node", "x")
-    state = x.join(loopless.times(x, "x", "r"), ["g", "node"])
-    a = state.select(F.col("node").alias("a"), F.col("x").alias("xa"), F.col("r").alias("ra"))
-    b = state.select(F.col("node").alias("b"), F.col("x").alias("xb"), F.col("r").alias("rb"))
-    w = loopless.edges.select(F.col("src").alias("a"), F.col("dst").alias("b"), "w")
-    pairs = a.join(b, F.col("a") < F.col("b")).join(w, ["a", "b"], "left").fillna(0.0, ["w"])
-    gain = (F.col("xb") - F.col("xa")) * ((F.col("ra") - F.col("w") * F.col("xb")) - (F.col("rb") - F.col("w") * F.col("xa")))
-    return pairs.select("a", "b", F.round(gain, 9).alias("gain"))
+    b = g.nodes.select("g", F.col("node").alias("b"))
+    pairs = g.nodes.select("g", F.col("node").alias("a")).join(b, "g").where("a < b")
+    return detect.swap_gains(g, x, pairs).select("a", "b", F.round("gain", 9).alias("gain"))
 
 
 def rossa_score(spark: SparkSession, sf: str) -> DataFrame:

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ringscope.functions.scalar import norm_cdf
 from ringscope.graph import Graph
-from ringscope.operators import detect, null_models, scores, significance, sweeps
+from ringscope.operators import detect, drawing, null_models, scores, significance, sweeps
 from ringscope.operators.ordering import following, ordered
 from ringscope.sources import files
 
@@ -184,11 +184,164 @@ def test_km_config_separates_two_pairs(spark):
     assert all(pair[i] != pair[j] for i in range(9) for j in range(20, 29))
 
 
-def test_lanczos_finds_the_extreme_eigenvalues(spark, small):
+@pytest.mark.parametrize("width", [80, 6])
+def test_lanczos_converges(spark, small, width):
+    """Also when it has to restart: the wanted vectors satisfy A v = theta v."""
     g, a, _ = small
-    values, _, _ = detect.lanczos(g, steps=len(a))
+    g = g.settled()
     exact = np.linalg.eigvalsh(a)
-    assert values[-1] == pytest.approx(exact[-1]) and values[0] == pytest.approx(exact[0])
+    values, vectors, basis = detect.lanczos(g, lambda v: np.array([0]), 1e-7, width=width)
+    assert values[0] == pytest.approx(exact[0], rel=1e-6)
+    rows = {r.node: r.v for r in detect._ritz(basis, vectors[:, 0]).collect()}
+    v = np.array([rows[i] for i in range(len(a))])
+    assert np.abs(a @ v - values[0] * v).max() < 1e-6 * np.abs(exact).max()
+
+
+def dense_of(g, n):
+    out = np.zeros((n, n))
+    for r in g.edges.collect():
+        out[r.src, r.dst] = r.w
+    return out
+
+
+def cut_of(a, order):
+    """The best cut along an order, by its definition."""
+    n, best = len(a), []
+    low = max(2, round(n * 0.1))
+    for i in range(low, min(n - low, n - 1)):
+        x = np.zeros(n)
+        x[order[:i]] = 1
+        cc, cp, pp = x @ a @ x / 2, x @ a @ (1 - x), (1 - x) @ a @ (1 - x) / 2
+        core, between, rest = cc / math.comb(i, 2), cp / (i * (n - i)), pp / math.comb(n - i, 2)
+        best.append((core + between - rest, -i, tuple(x)))
+        best.append((between + rest - core, -n - i, tuple(1 - x)))
+    return max(best)
+
+
+def test_spectral_detectors_against_dense_vectors(spark, small):
+    g, a, _ = small
+    g, n = g.settled(), len(a)
+    d = a.sum(1)
+    root = np.where(d > 0, 1 / np.sqrt(d + 1), 0)
+    _, u = np.linalg.eigh(root[:, None] * a * root)
+    v = u[:, 0] * root
+    v *= np.sign(v[np.argmax(np.abs(v))])
+    quality = lambda x: cut_of(a, np.argsort(-np.asarray(x, float), kind="stable"))[0]
+    got = {r.node: r.x for r in detect.lap_core(g).collect()}
+    assert tuple(float(got[i]) for i in range(n)) == cut_of(a, np.argsort(-v, kind="stable"))[2]
+    sign = {r.node: r.x for r in detect.lap_sgn_core(g).collect()}
+    assert {tuple(int(sign[i]) for i in range(n))} <= {tuple((v > 0).astype(int)), tuple((v <= 0).astype(int))}
+    w, u = np.linalg.eigh(a)
+    top = np.argsort(-np.abs(w), kind="stable")[:2]
+    near = ((u[:, top] * w[top]) @ u[:, top].T > 0.5).sum(0)
+    low = {r.node: r.x for r in detect.low_rank_core(g).collect()}
+    assert tuple(float(low[i]) for i in range(n)) == cut_of(a, np.lexsort((np.arange(n), -near)))[2] and quality(near) > 0
+
+
+def test_minres_reaches_its_tolerance(spark, small):
+    g, a, _ = small
+    g = g.settled()
+    x = detect.minres(g, runs=1)
+    got = np.array([r.x for r in x.orderBy("node").collect()])
+    residual = lambda w: ((a - np.outer(w, w))[~np.eye(len(a), dtype=bool)] ** 2).sum()
+    assert residual(got) < residual(np.full(len(a), 0.5)) and 0 < got.min() + 1 and len(got) == len(a)
+
+
+def test_rossa_against_its_definition(spark, small):
+    g, a, _ = small
+    n, d = len(a), a.sum(1)
+    inside, alpha = [int(np.argmin(d))], np.zeros(n)
+    for _ in range(n - 1):
+        s = np.zeros(n)
+        s[inside] = 1
+        f = {h: 2 * (d @ s) * (s @ a[:, h]) - (s @ a @ s) * d[h] for h in range(n) if not s[h]}
+        h = min(f, key=lambda k: (round(f[k], 9), k))
+        inside.append(h)
+        s[h] = 1
+        alpha[h] = s @ a @ s / max(1, d @ s)
+    got = {r.node: r.x for r in detect.rossa(g.settled()).collect()}
+    assert [got[i] for i in range(n)] == pytest.approx(alpha.tolist())
+    assert len({r.node for r in detect.rossa(g.settled(), batches=4).collect()}) == n
+
+
+def test_swaps_against_quadratic_form(spark, small):
+    g, a, rng = small
+    n = len(a)
+    loopless = a - np.diag(np.diag(a))
+    x = rng.random(n)
+    state = spark.createDataFrame([(0, i, float(v)) for i, v in enumerate(x)], "g int, node long, x double")
+    pairs = spark.createDataFrame([(0, i, j) for i in range(n) for j in range(i)], "g int, a long, b long")
+    for r in detect.swap_gains(g, state, pairs).collect():
+        y = x.copy()
+        y[[r.a, r.b]] = x[[r.b, r.a]]
+        assert 2 * r.gain == pytest.approx(y @ loopless @ y - x @ loopless @ x)
+
+
+def small_graphs(count, n, seed):
+    rng = np.random.default_rng(seed)
+    for _ in range(count):
+        a = np.triu(rng.random((n, n)) < rng.uniform(0.2, 0.5), 1)
+        yield [(int(i), int(j), 1.0) for i, j in zip(*np.nonzero(a), strict=True)]
+
+
+def batch(spark, graphs, n):
+    rows = [(g, i, j, w) for g, pairs in enumerate(graphs) for i, j, w in pairs]
+    made = Graph.from_edges(spark.createDataFrame(rows, "g int, src long, dst long, w double"))
+    nodes = spark.range(len(graphs) * n).select((F.col("id") / n).cast("int").alias("g"), (F.col("id") % n).alias("node"), F.lit("").alias("label"))
+    return Graph(nodes, made.edges).settled()
+
+
+def test_searches_come_near_the_optimum(spark):
+    """BE and Surprise against all 2^10 labellings, Rombach against all 7! orders."""
+    n, graphs = 10, list(small_graphs(4, 10, 5))
+    g = batch(spark, graphs, n)
+    every = np.array(list(itertools.product((0, 1), repeat=n)))
+    for search, score in ((detect.be, scores.be), (detect.surprise, scores.surprise)):
+        got = {r.g: r.q for r in score(g, search(g)).collect()}
+        for k, pairs in enumerate(graphs):
+            a = np.zeros((n, n))
+            for i, j, _ in pairs:
+                a[i, j] = a[j, i] = 1
+            best = max(plain_be(a, x) if score is scores.be else plain_surprise(a, x) for x in every)
+            assert got[k] >= (0.95 if score is scores.be else 0.9) * best, (search, got[k], best)
+    n, graphs = 7, list(small_graphs(3, 7, 6))
+    g = batch(spark, graphs, n)
+    x = {r.k: r.x for r in detect._by_rank(g.nodes.where("g = 0").select("g", "node", F.col("node").cast("double").alias("r")), 0.5, 0.8).collect()}
+    x = np.array([x[k] for k in range(n)])
+    orders = np.array(list(itertools.permutations(range(n))))
+    found = [{r.g: r.q for r in scores.rombach(g, m).collect()} for m in (detect.rombach(g), detect.rombach_annealed(g, rounds=3))]
+    for k, pairs in enumerate(graphs):
+        best = max(2 * sum(x[o[i]] * x[o[j]] for i, j, _ in pairs) for o in orders)
+        assert min(f[k] for f in found) >= 0.95 * best
+
+
+def plain_be(a, x):
+    n = len(a)
+    at = np.triu_indices(n, 1)
+    ideal_ = np.maximum.outer(x, x)[at]
+    return 0.0 if ideal_.min() == ideal_.max() else float(np.corrcoef(a[at], ideal_)[0, 1])
+
+
+def plain_surprise(a, x):
+    n, nc = len(x), int(x.sum())
+    if nc < 2 or n - nc < 2:
+        return 0.0
+    m, lc, lcp = a.sum() / 2, x @ a @ x / 2, x @ a @ (1 - x)
+    rest = n - nc
+    v, vc, vcp, vp = math.comb(n, 2), math.comb(nc, 2), nc * rest, math.comb(rest, 2)
+    off = lambda p: p * (1 - 1e-10) + 1e-10
+    slog = lambda p, q, s: 0.0 if s == 0 or p < 0 or q < 0 else s * math.log(off(p) / off(q))
+    p, pc, pcp, pp = m / v, lc / vc, lcp / vcp, (m - lc - lcp) / vp
+    return -(slog(p, pp, 2 * m) + slog(1 - p, 1 - pp, 2 * v - 2 * m) + slog(pp, pc, 2 * lc) + slog(1 - pp, 1 - pc, 2 * vc - 2 * lc) + slog(pp, pcp, 2 * lcp) + slog(1 - pp, 1 - pcp, 2 * vcp - 2 * lcp))
+
+
+def test_divisive_and_layout(spark):
+    two = ideal(3, 9) + [(i + 20, j + 20, 1.0) for i, j, _ in ideal(3, 9)]
+    g = graph_of(spark, two).settled()
+    rows = detect.divisive(g).collect()
+    assert len(rows) == 18 and len({r.c for r in rows}) == 2 and {r.node for r in rows if r.x == 1} == {0, 1, 2, 20, 21, 22}
+    places = drawing.spring_layout(g, rounds=4).collect()
+    assert len(places) == 18 and all(math.isfinite(r.px) and math.isfinite(r.py) for r in places)
 
 
 def test_null_models_keep_size(spark):
@@ -196,8 +349,25 @@ def test_null_models_keep_size(spark):
     er = null_models.erdos_renyi(g, 3, seed=1)
     m = len(ideal(4, 30))
     assert [r.n for r in er.edges.where("src < dst").groupBy("g").agg(F.count("*").alias("n")).orderBy("g").collect()] == [m] * 3
-    cl = null_models.chung_lu(g, 3, seed=1)
-    assert 0.4 * m < cl.edges.where("src < dst").count() / 3 <= m
+
+
+def test_expected_degree_graphs_are_unbiased(spark):
+    """Pair by pair over many replicates, with hubs whose pairs are nearly certain."""
+    pairs = ideal(3, 12) + [(3, 4, 1.0), (5, 6, 1.0), (7, 7, 1.0)]
+    g = graph_of(spark, pairs).settled()
+    d = np.bincount([r.src for r in g.edges.collect()], minlength=12).astype(float)
+    p, reps = np.minimum(1, np.outer(d, d) / d.sum()), 600
+    assert (p > 0.5).sum() > 8 and (p < 0.2).sum() > 20
+    found = null_models.chung_lu(g, reps, seed=3)
+    assert found.nodes.groupBy("g").count().agg(F.min("count"), F.max("count"), F.count("*")).first()[:] == (12, 12, reps)
+    share = np.zeros_like(p)
+    for r in found.edges.groupBy("src", "dst").agg(F.count("*").alias("n"), F.max("w").alias("w")).collect():
+        share[r.src, r.dst] = r.n / reps
+        assert r.w == 1
+    assert (share == share.T).all()
+    z = (share - p) / np.sqrt(np.maximum(p * (1 - p), 1e-3) / reps)
+    assert np.abs(z).max() < 4.5 and abs(z[np.triu_indices(12)].mean()) < 0.45
+    assert null_models.chung_lu(Graph(g.nodes, g.edges.limit(0)), 2).edges.count() == 0
 
 
 def test_normal_distribution(spark):
