@@ -8,6 +8,7 @@ from ..functions.scalar import sidak
 from ..graph import Graph, dictionary, symmetrized
 from ..operators import detect, drawing, null_models, scores, significance, sweeps
 from ..sources import tables
+from ..storage import settled
 
 
 def labels_of(graph: Graph, pairs: int = 4, every: int = 3) -> DataFrame:
@@ -272,6 +273,28 @@ def _detected(make, function, **parameters):
     return query
 
 
+def _valid(make, function, score=None, below=None):
+    """What holds of every right result of a detector: each node is labelled once, pairs are
+    numbered from 0 without gaps, coreness is finite (0 or 1 where below is None, else from
+    0 to below), and by score the result is at least as good as Lip's core."""
+
+    def query(spark: SparkSession, sf: str) -> DataFrame:
+        g = make(spark, sf).settled()
+        found = settled(function(g).select("g", "node", F.col("c").cast("long").alias("c"), F.col("x").cast("double").alias("x")))
+        right = F.col("x").isin(0.0, 1.0) if below is None else F.col("x").between(0.0, below)
+        out = g.nodes.join(found, ["g", "node"], "left").agg(
+            F.count(F.lit(1)).alias("labels"), F.count_distinct("node").alias("nodes"), F.coalesce(F.bool_and(right), F.lit(False)).alias("coreness_fits"),
+            ((F.min("c") == 0) & (F.max("c") + 1 == F.count_distinct("c"))).alias("pairs_numbered"),
+        )
+        if score is None:
+            return out.withColumn("as_good_as_lip", F.lit(True))
+        lip = sweeps.lip(g).select("g", "node", F.lit(0).cast("long").alias("c"), F.col("x").cast("double").alias("x"))
+        q = score(g, found).agg(F.sum("q").alias("q")).crossJoin(score(g, settled(lip)).agg(F.sum("q").alias("lip")))
+        return out.crossJoin(q.select((F.col("q") >= F.col("lip") - 1e-9).alias("as_good_as_lip")))  # a row each
+
+    return query
+
+
 def chung_lu_sample(spark: SparkSession, sf: str) -> DataFrame:
     return null_models.chung_lu(user(spark, sf), 3, seed=5).edges
 
@@ -322,5 +345,8 @@ def queries() -> dict:
         "rombach_sa_detect": _detected(nation, detect.rombach_annealed), "rossa_detect": _detected(user, detect.rossa),
         "minres_detect": _detected(user, detect.minres), "lapcore_detect": _detected(user, detect.lap_core),
         "lapsgncore_detect": _detected(user, detect.lap_sgn_core), "lowrankcore_detect": _detected(user, detect.low_rank_core),
+        "be_valid": _valid(page, detect.be, scores.be), "surprise_valid": _valid(page, detect.surprise, scores.surprise),
+        "km_config_valid": _valid(user, detect.km_config, scores.km_config), "lapcore_valid": _valid(user, detect.lap_core),
+        "lapsgncore_valid": _valid(user, detect.lap_sgn_core), "rombach_ls_valid": _valid(user, detect.rombach, below=1.0),
         "chung_lu_sample": chung_lu_sample, "er_sample": er_sample, "qstest": qstest, "spring_layout": spring_layout,
     }

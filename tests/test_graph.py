@@ -7,7 +7,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from ringscope.functions.scalar import norm_cdf
+from ringscope.functions.scalar import norm_cdf, soft_threshold
 from ringscope.graph import Graph
 from ringscope.operators import detect, drawing, null_models, scores, significance, sweeps
 from ringscope.operators.ordering import following, ordered
@@ -377,6 +377,12 @@ def test_normal_distribution(spark):
         assert r.p == pytest.approx(0.5 * math.erfc(-r.z / math.sqrt(2)), rel=1e-7, abs=1e-15)
 
 
+def test_soft_threshold(spark):
+    df = spark.createDataFrame([(-3.0,), (-0.5,), (0.0,), (2.0,)], "x double")
+    assert [r[0] for r in df.select(soft_threshold(F.col("x"), 1.0)).collect()] == [-2.0, 0.0, 0.0, 1.0]
+    assert [r[0] for r in df.select(soft_threshold(F.col("x"), 1.0, positive=True)).collect()] == [0.0, 0.0, 0.0, 1.0]
+
+
 def test_p_values_rank_pairs(spark):
     rng = np.random.default_rng(0)
     ens = spark.createDataFrame([(float(q), float(s)) for q, s in zip(rng.normal(size=200), rng.integers(5, 9, 200), strict=True)], "q double, s double")
