@@ -108,3 +108,25 @@ def test_crossover_keeps_every_item():
         assert all(sum(lengths[i] for i in b) == f <= 1024 for b, f in zip(p.bins, p.fill, strict=True))
     best = packing.evolve(lengths, 1024, 0, [])
     assert best.max() + 1 <= min(len(p.bins) for p in made)
+
+
+def test_search_beats_best_fit_on_triples():
+    """Lengths of which three fill a sequence exactly: crossover and migration save some."""
+    import random
+
+    from ringscope.llm import packing
+
+    rng, lengths = random.Random(1), []
+    for _ in range(40):
+        a = rng.randint(380, 490)
+        b = rng.randint(250, (1000 - a) // 2)
+        lengths += [a, b, 1000 - a - b]
+    plain = packing.Packing(lengths, 1000)
+    plain.put(sorted(range(120), key=lambda i: -lengths[i]))
+    first = packing.evolve(lengths, 1000, 5, [], generations=10)
+    after = packing.evolve(lengths, 1000, 6, [first, packing.evolve(lengths, 1000, 7, [], generations=10)], generations=20)
+    filled = [0] * (int(after.max()) + 1)
+    for length, b in zip(lengths, after, strict=True):
+        filled[b] += length
+    assert sum(filled) == sum(lengths) and max(filled) <= 1000
+    assert 40 <= len(filled) <= first.max() + 1 < len(plain.bins)
