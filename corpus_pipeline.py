@@ -35,9 +35,9 @@ def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each near-duplicate component: its smallest id. Shingles of five
-    words; op4_minhash alone takes two, as its contract says."""
-    return minhash.keep_smallest(docs, shingle=5)
+    """One document of each near-duplicate component: its smallest id. Shingles of two
+    words, as in op4_minhash."""
+    return minhash.keep_smallest(docs, shingle=2)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
