@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, exact_dedup, html_extract, license_scan, minhash, packing, quality_classifier, quality_rules, toxicity, warc
+from . import bpe, delta_lloyd, exact_dedup, html_extract, license_scan, minhash, packing, quality_classifier, quality_rules, toxicity, vector_codes, warc
 
 
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -26,6 +26,8 @@ def queries() -> dict:
         "op8_html": html_extract.op8_html,
         "op9_packing": packing.op9_packing,
         "op10_toxicity": toxicity.op10_toxicity,
+        "op11_delta_lloyd": delta_lloyd.op11_delta_lloyd,
+        "op12_vector_codes": vector_codes.op12_vector_codes,
     }
 
 
@@ -35,4 +37,6 @@ def oracle_sql() -> dict[str, str]:
         "op2_quality_rules": quality_rules.oracle(),
         "op4_minhash": minhash.oracle(),
         "op5_exact_dedup": exact_dedup.oracle(),
+        "op11_delta_lloyd": delta_lloyd.oracle(),
+        "op12_vector_codes": vector_codes.oracle(),
     }
