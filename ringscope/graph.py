@@ -13,6 +13,7 @@ from functools import cached_property
 
 from pyspark.sql import DataFrame, functions as F
 
+from .operators.components import smallest_reachable
 from .operators.ordering import ordered
 from .storage import settled
 
@@ -143,18 +144,9 @@ class Graph:
         return self.with_labels(x, value).groupBy("g").agg(F.sum(F.col(f"{value}_s") * F.col("w") * F.col(f"{value}_d")).alias("q"))
 
     def components(self) -> DataFrame:
-        """g, node, comp: the smallest node of each node's component. In every round each
-        node takes the smallest label next to it, and what that label's node has for
-        label itself; one table is kept a round. Ends when no label falls."""
-        labels = settled(self.nodes.select("g", "node", F.col("node").alias("comp"), F.lit(True).alias("moved")))
-        while True:
-            near = self.edges.join(labels.select("g", F.col("node").alias("dst"), F.col("comp").alias("near")), ["g", "dst"]).groupBy("g", F.col("src").alias("node")).agg(F.min("near").alias("near"))
-            up = labels.select("g", F.col("node").alias("comp"), F.col("comp").alias("up"))
-            low = F.least("comp", F.coalesce("near", "comp"), F.coalesce("up", "comp"))
-            after = labels.drop("moved").join(near, ["g", "node"], "left").join(up, ["g", "comp"], "left").select("g", "node", low.alias("comp"), (low < F.col("comp")).alias("moved"))
-            labels = settled(after)
-            if not labels.where("moved").limit(1).count():
-                return labels.drop("moved")
+        """g, node, comp: the smallest node of each node's component."""
+        found = smallest_reachable(self.edges.select("g", F.col("src").alias("a"), F.col("dst").alias("b")), ["g"])
+        return self.nodes.select("g", "node").join(found, ["g", "node"], "left").withColumn("comp", F.coalesce("comp", "node"))
 
     def largest_component(self) -> Graph:
         """The component of most nodes; of equal ones that of the smallest node."""
