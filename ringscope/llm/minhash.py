@@ -9,21 +9,8 @@ similarity of the sets as for independent coordinates.
 
 Candidates. Bands of ROWS coordinates are hashed to buckets; two sets of similarity 0.8
 miss each other in all 32 bands with probability (1 - 0.8^4)^32 < 6e-8. Equal sets are
-one node from the start. No bucket is expanded into its pairs:
-
-1. every node is compared with the smallest node of its buckets (one comparison);
-2. in buckets that still hold several components, every node is compared with the
-   bucket's smallest node, its pivot, and what each lacks of the other is noted;
-3. in buckets that are still open, the nodes outside the pivot's component are compared
-   with the smallest of them, a second pivot;
-4. where a bucket then still holds several components, the nodes outside the pivot's
-   component are joined with all nodes around the pivot under an exact condition: the
-   sizes of their differences to the pivot rule most pairs out, the differences
-   themselves decide the rest. Only links leave that join, never the group's pairs, and
-   nodes near the pivot, however many, don't meet each other.
-
-All comparisons use full sets, so no link is a guess, and every pair that shares a
-bucket is compared, ruled out exactly, or already connected.
+one node from the start. What the buckets hold becomes links and components as links.py
+describes: no bucket is expanded into its pairs, and no link is a guess.
 
 Sets hold 64-bit hashes of shingles; equality of whole sets is decided by a 128-bit
 digest.
@@ -32,7 +19,6 @@ digest.
 from __future__ import annotations
 
 import hashlib
-import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -41,6 +27,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from .common import bounded_batches, give_back, numbered, read, row_key, stored
+from .links import connected
 
 #: Words of a shingle where the caller names no other number.
 SHINGLE = 5
@@ -152,58 +139,6 @@ def full_sets(docs: DataFrame, size: int) -> DataFrame:
     return docs.mapInPandas(collect, "_rk long, digest binary, items array<long>")
 
 
-def verify(pairs: DataFrame, sets: DataFrame, differences: bool = False) -> DataFrame:
-    """a, b, inter, n_a, n_b of each pair of nodes, from their full sets; with
-    differences also lacks (items of b that a lacks) and adds (items of a beyond b)."""
-    left = pairs.join(sets.select(F.col("node").alias("a"), F.col("items").alias("xs")), "a")
-    both = left.join(sets.select(F.col("node").alias("b"), F.col("items").alias("ys")), "b")
-    more = [F.array_except("ys", "xs").alias("lacks"), F.array_except("xs", "ys").alias("adds")] if differences else []
-    return both.select("a", "b", F.size(F.array_intersect("xs", "ys")).cast("long").alias("inter"), F.size("xs").cast("long").alias("n_a"), F.size("ys").cast("long").alias("n_b"), *more)
-
-
-def links_around_pivots(placed: DataFrame, num: int, den: int) -> DataFrame:
-    """a, b: linked nodes of different components that share a pivot.
-
-    placed has for each node (a) and pivot (b) the differences of their sets and the
-    components of both (comp, pivot_comp). Of two such nodes one at least lies outside the
-    pivot's component. The common items of x and y are those of the pivot that neither
-    lacks and those that both add, so the sizes of the differences bound them and the
-    differences give them exactly. Both tests stand in the join's condition: only links
-    leave it."""
-    side = lambda s: placed.select(F.col("b").alias("pivot"), "pivot_comp", F.col("n_b").alias(f"n_{s}"), *[F.col(c).alias(f"{c}_{s}") for c in ("a", "comp", "lacks", "adds")], F.size("lacks").alias(f"nl_{s}"), F.size("adds").alias(f"na_{s}"), F.col("n_a").alias(f"size_{s}"))
-    x, y = side("x").where("comp_x <> pivot_comp").drop("pivot_comp"), side("y").drop("n_y")
-    total = F.col("size_x") + F.col("size_y")
-    most = F.col("n_x") - F.greatest("nl_x", "nl_y") + F.least("na_x", "na_y")
-    inter = F.col("n_x") - F.size(F.array_union("lacks_x", "lacks_y")) + F.size(F.array_intersect("adds_x", "adds_y"))
-    once = (F.col("comp_y") == F.col("pivot_comp")) | (F.col("a_x") < F.col("a_y"))
-    near = (F.col("comp_x") != F.col("comp_y")) & once & (most * (num + den) >= total * num) & (inter * (num + den) >= total * num)
-    found = x.join(y, (x["pivot"] == y["pivot"]) & near)
-    return found.select(F.least("a_x", "a_y").alias("a"), F.greatest("a_x", "a_y").alias("b")).distinct()
-
-
-def linked(num: int = NUM, den: int = DEN):
-    return F.col("inter") * den >= num * (F.col("n_a") + F.col("n_b") - F.col("inter"))
-
-
-def components(links: DataFrame, name: str = "components") -> DataFrame:
-    """node, comp (smallest node reachable) for the nodes of links(a, b).
-
-    Labels take the smallest label next to them and then the label of their label, so
-    long paths shorten by half a round. Each round is written to the shared folder."""
-    both = stored(links.select("a", "b").union(links.select("b", "a")).where("a <> b").distinct(), f"{name}-edges")
-    labels = stored(both.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.first("a")).alias("comp")), f"{name}-0")
-    for k in range(1, 100):
-        near = both.join(labels.select(F.col("node").alias("b"), "comp"), "b").select(F.col("a").alias("node"), "comp")
-        low = stored(near.union(labels).groupBy("node").agg(F.min("comp").alias("comp")), f"{name}-{k}a")
-        jumped = low.join(low.select(F.col("node").alias("comp"), F.col("comp").alias("up")), "comp", "left").select("node", F.least("comp", "up").alias("comp"))
-        after = stored(jumped, f"{name}-{k}b")
-        moved = after.join(labels.withColumnRenamed("comp", "was"), "node").where("comp <> was").limit(1).count()
-        labels = after
-        if not moved:
-            return labels
-    raise RuntimeError("components did not settle")
-
-
 def grouped(docs: DataFrame, id_col: str, text_col: str, shingle: int = SHINGLE, num: int = NUM, den: int = DEN, t: int = T, rows: int = ROWS, row: Column | None = None) -> DataFrame:
     """_row, _id, n_shingles, component_id and first_row, the row that stays, of each row.
     _row is the column row of a stored table, or numbers that are given to the rows once,
@@ -216,52 +151,15 @@ def grouped(docs: DataFrame, id_col: str, text_col: str, shingle: int = SHINGLE,
         sigs.where("n_shingles > 0").groupBy("digest").agg(F.min("_row").alias("node"), F.min(F.struct(F.col("_id").isNull().alias("no_id"), F.col("_id").alias("id"), F.col("_row").alias("row"))).alias("low"), F.first("n_shingles").alias("n"), F.min_by("_rk", "_row").alias("_rk"), F.first("bands").alias("bands")),
         "nodes",
     )
-    banded = nodes.select("node", "n", F.explode_outer("bands").alias("bucket"))
-    pivots = banded.groupBy("bucket").agg(F.min("node").alias("pivot"), F.count(F.lit(1)).alias("members")).where("members > 1").select("bucket", "pivot")
+    banded = nodes.select("node", F.explode_outer("bands").alias("bucket"))
+    pivots = banded.groupBy("bucket").agg(F.min("node").alias("pivot"), F.count(F.lit(1)).alias("members")).where("members > 1")
     pivots = stored(pivots, "pivots")
-    shared = stored(banded.join(pivots, "bucket").select("bucket", "node", "n", "pivot"), "buckets")
+    shared = stored(banded.join(pivots, "bucket").select("bucket", "node", "pivot", "members"), "buckets")
 
-    first = stored(shared.where("node <> pivot").groupBy("node").agg(F.min("pivot").alias("b")).select(F.col("node").alias("a"), "b"), "first-pairs")
-    in_buckets = shared.select("node").distinct()
-    wanted = stored(nodes.join(in_buckets, "node", "left_semi").select("node", "digest", "_rk"), "wanted")
+    wanted = stored(nodes.join(shared.select("node").distinct(), "node", "left_semi").select("node", "digest", "_rk"), "wanted")
     texts = source.select("_rk", "text").join(wanted.select("_rk").distinct(), "_rk", "left_semi")
     sets = full_sets(texts, shingle).join(wanted, ["_rk", "digest"]).dropDuplicates(["node"]).select("node", "items")
-    sets = stored(sets, "sets")
-
-    tested = stored(verify(first, sets), "tested-1")
-    comp = components(tested.where(linked(num, den)), "comp-1")
-
-    def labelled(rows_: DataFrame) -> DataFrame:
-        return rows_.join(comp, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
-
-    def open_buckets(rows_: DataFrame) -> DataFrame:
-        return rows_.groupBy("bucket").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("bucket")
-
-    state = stored(labelled(shared), "state-2")
-    still = stored(state.join(stored(open_buckets(state), "open-2"), "bucket", "left_semi"), "still-2")
-    second = stored(still.where("node <> pivot").select(F.col("node").alias("a"), F.col("pivot").alias("b")).distinct(), "second-pairs")
-    apart = stored(verify(second, sets, differences=True), "tested-2")
-    tested = tested.unionByName(apart.select(*tested.columns))
-    comp = components(tested.where(linked(num, den)), "comp-2")
-
-    def pivot_known(rows_: DataFrame) -> DataFrame:
-        """Rows of open buckets with the component of their pivot."""
-        around = stored(labelled(rows_), f"state-{uuid.uuid4().hex[:6]}")
-        around = around.join(stored(open_buckets(around), "open"), "bucket", "left_semi")
-        return around.join(comp.select(F.col("node").alias("pivot"), F.col("comp").alias("pivot_comp")), "pivot", "left").withColumn("pivot_comp", F.coalesce("pivot_comp", "pivot"))
-
-    still = stored(pivot_known(still.drop("comp")), "still-3")
-    outside = still.where("comp <> pivot_comp")
-    seconds = outside.groupBy("bucket").agg(F.min("node").alias("b"))
-    third = stored(outside.join(seconds, "bucket").where("node <> b").select(F.col("node").alias("a"), "b").distinct(), "third-pairs")
-    tested = tested.unionByName(stored(verify(third, sets), "tested-3"))
-    comp = components(tested.where(linked(num, den)), "comp-3")
-
-    still = pivot_known(still.drop("comp", "pivot_comp"))
-    placed = still.where("node <> pivot").select(F.col("node").alias("a"), F.col("pivot").alias("b"), "comp", "pivot_comp").distinct()
-    placed = stored(placed.join(apart, ["a", "b"]), "placed-4")
-    links = tested.where(linked(num, den)).select("a", "b").unionByName(links_around_pivots(placed, num, den))
-    comp = components(stored(links, "links"), "comp-4")
+    comp = connected(shared, stored(sets, "sets"), num, den)
 
     labelled_nodes = nodes.select("digest", "node", "low").join(comp, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
     labelled_nodes = stored(labelled_nodes.select("digest", "comp", "low"), "labelled")

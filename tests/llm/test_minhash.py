@@ -5,7 +5,7 @@ import random
 import numpy as np
 import pytest
 
-from ringscope.llm import minhash
+from ringscope.llm import links, minhash
 
 
 def test_sketch_fills_and_estimates():
@@ -87,8 +87,10 @@ def test_components_against_brute_force(spark, size):
         assert kept == {d for d, (_, c) in expected.items() if d == c}
 
 
-def test_links_around_a_pivot(spark):
-    """Nodes at all distances from a pivot: each link of different components is found."""
+@pytest.mark.parametrize("most", [links.SLICE, 300])
+def test_links_around_a_pivot(spark, most):
+    """Nodes at all distances from a pivot: each link of different components is found,
+    in one slice and in many."""
     rng = random.Random(4)
     pivot, rows = set(range(60)), []
     for node in range(1, 160):
@@ -101,7 +103,7 @@ def test_links_around_a_pivot(spark):
     df = spark.createDataFrame(placed, "a long, b long, comp long, pivot_comp long, lacks array<long>, adds array<long>, n_a long, n_b long")
     expected = {(n, m) for n, x in rows for m, y in rows if n < m and comp[n] != comp[m] and near(x, y)}
     assert 20 < len({n for n in comp if comp[n]}) < 140 and len(expected) > 10
-    assert {(r.a, r.b) for r in minhash.links_around_pivots(df, 80, 100).collect()} == expected
+    assert {(r.a, r.b) for r in links.links_around_pivots(df, 80, 100, most).collect()} == expected
 
 
 def test_rows_keep_their_numbers_under_other_splits(spark, tmp_path):
