@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, delta_lloyd, exact_dedup, html_extract, license_scan, minhash, packing, quality_classifier, quality_rules, toxicity, vector_codes, warc
+from . import bpe, delta_lloyd, exact_dedup, html_extract, license_scan, minhash, ngram_join, packing, quality_classifier, quality_rules, toxicity, vector_codes, warc
 
 
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -28,6 +28,7 @@ def queries() -> dict:
         "op10_toxicity": toxicity.op10_toxicity,
         "op11_delta_lloyd": delta_lloyd.op11_delta_lloyd,
         "op12_vector_codes": vector_codes.op12_vector_codes,
+        "op13_ngram_join": ngram_join.op13_ngram_join,
     }
 
 
@@ -39,4 +40,5 @@ def oracle_sql() -> dict[str, str]:
         "op5_exact_dedup": exact_dedup.oracle(),
         "op11_delta_lloyd": delta_lloyd.oracle(),
         "op12_vector_codes": vector_codes.oracle(),
+        "op13_ngram_join": ngram_join.oracle(),
     }
