@@ -61,6 +61,26 @@ def test_ordered_and_following(spark):
     assert nxt == {v: (v + 1 if v < 56 else None) for v in range(57)}
 
 
+def test_ordered_keeps_longs_and_null_keys(spark):
+    """Longs beyond 2^53 beside nulls stay as they are; null and NaN keys are keys."""
+    big = (1 << 53) + 1
+    rows = [(None, 1, big), (None, 2, None), (5, 1, big + 2), (5, 2, None), (None, 3, big)]
+    df = spark.createDataFrame(rows, "g long, v long, x long")
+    got = {(r.g, r.v): (r.x, r.k, r.cum) for r in ordered(df, [F.col("v")], {"cum": "v"}, by=["g"]).collect()}
+    assert got == {(None, 1): (big, 0, 1.0), (None, 2): (None, 1, 3.0), (None, 3): (big, 2, 6.0), (5, 1): (big + 2, 0, 1.0), (5, 2): (None, 1, 3.0)}
+    assert {(r.x, r.k) for r in ordered(df.where("v = 1"), [F.col("x")]).collect()} == {(big, 0), (big + 2, 1)}
+    nan = spark.createDataFrame([(float("nan"), 1), (float("nan"), 2), (0.5, 9)], "g double, v long")
+    assert sorted((r.v, r.k) for r in ordered(nan, [F.col("v")], by=["g"]).collect()) == [(1, 0), (2, 1), (9, 0)]
+    many = spark.range(5000).select((F.col("id") % 3).alias("g"), (F.col("id") * 7919 % 5003).alias("v")).repartition(7)
+    by_g = {}
+    for r in ordered(many, [F.col("v")], {"cum": "v"}, by=["g"]).collect():
+        by_g.setdefault(r.g, []).append((r.k, r.v, r.cum))
+    for found in by_g.values():
+        values = [v for _, v, _ in sorted(found)]
+        assert values == sorted(values) and [k for k, *_ in sorted(found)] == list(range(len(found)))
+        assert [c for *_, c in sorted(found)] == list(itertools.accumulate(values))
+
+
 def test_graph_keeps_isolated_nodes_and_adds_repeats(spark):
     g = graph_of(spark, [(0, 1, 1), (1, 0, 2), (2, 2, 5)], isolated=[7])
     assert {(r.src, r.dst): r.w for r in g.edges.collect()} == {(0, 1): 3.0, (1, 0): 3.0, (2, 2): 5.0}
