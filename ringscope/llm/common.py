@@ -102,6 +102,23 @@ def numbered(df: DataFrame, name: str) -> DataFrame:
     return stored(df.select(row_key(name), "*"), "numbered")
 
 
+#: Bits of a filter that is broadcast, and of one bitmap of the SQL functions.
+FILTER, BITMAP = 1 << 26, 1 << 15
+
+
+def probed(rows: DataFrame, wanted: DataFrame, key: str) -> DataFrame:
+    """Those of rows whose key may be among wanted(key): all that are, and of the others the
+    fewer the fewer keys are wanted. The filter has FILTER bits at most whatever the number
+    of keys (8 MB, which is broadcast), so rows are probed where they are read, and a join
+    that follows shuffles few others."""
+    at = (F.pmod(F.xxhash64(key), F.lit(FILTER)) + 1).alias("_at")
+    maps = wanted.select(at).groupBy(F.bitmap_bucket_number("_at").alias("_bitmap_no")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("_at")).alias("_bitmap"))
+    placed = rows.withColumn("_at", at).withColumn("_bit", F.bitmap_bit_position("_at")).withColumn("_bitmap_no", F.bitmap_bucket_number("_at"))
+    byte = F.conv(F.hex(F.substring("_bitmap", (F.col("_bit") / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+    set_ = byte.bitwiseAND(F.pow(F.lit(2), F.col("_bit") % 8).cast("int")) != 0
+    return placed.join(F.broadcast(maps), "_bitmap_no").where(set_).select(*rows.columns)
+
+
 def text_or_empty(col: str = "text"):
     """A null text counts as empty."""
     return F.coalesce(F.col(col).cast("string"), F.lit(""))

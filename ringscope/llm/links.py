@@ -75,12 +75,14 @@ def links_around_pivots(placed: DataFrame, num: int, den: int, most: int = SLICE
     return found.select(F.least("a_x", "a_y").alias("a"), F.greatest("a_x", "a_y").alias("b")).distinct()
 
 
-def connected(shared: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
+def connected(shared: DataFrame, sets: DataFrame, num: int, den: int, known: DataFrame | None = None) -> DataFrame:
     """node, comp (the smallest node it reaches over links) of the nodes with a link.
     shared(bucket, node, pivot, members) has a row for each node of each bucket of two or
-    more; sets(node, items) those nodes' sets."""
+    more; sets(node, items) those nodes' sets; known(a, b) are links found before."""
     first = stored(shared.where("node <> pivot").groupBy("node").agg(F.min("pivot").alias("b")).select(F.col("node").alias("a"), "b"), "first-pairs")
     tested = stored(verify(first, sets).where(linked(num, den)).select("a", "b"), "links-1")
+    if known is not None:
+        tested = tested.unionByName(known)
     comp = smallest_reachable(tested)
 
     def labelled(rows: DataFrame, end: str = "node", name: str = "comp") -> DataFrame:

@@ -26,7 +26,7 @@ import pandas as pd
 import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from .common import bounded_batches, give_back, numbered, read, row_key, stored
+from .common import bounded_batches, give_back, numbered, probed, read, row_key, stored
 from .links import connected
 
 #: Words of a shingle where the caller names no other number.
@@ -139,6 +139,13 @@ def full_sets(docs: DataFrame, size: int) -> DataFrame:
     return docs.mapInPandas(collect, "_rk long, digest binary, items array<long>")
 
 
+def sets_of(wanted: DataFrame, source: DataFrame, size: int) -> DataFrame:
+    """node, items of wanted(node, digest, _rk), from the texts of source(_rk, text). Texts
+    are probed where they are read, and sets made of few more than are wanted."""
+    texts = probed(source.select("_rk", "text"), wanted, "_rk")
+    return full_sets(texts, size).join(wanted, ["_rk", "digest"]).dropDuplicates(["node"]).select("node", "items")
+
+
 def grouped(docs: DataFrame, id_col: str, text_col: str, shingle: int = SHINGLE, num: int = NUM, den: int = DEN, t: int = T, rows: int = ROWS, row: Column | None = None) -> DataFrame:
     """_row, _id, n_shingles, component_id and first_row, the row that stays, of each row.
     _row is the column row of a stored table, or numbers that are given to the rows once,
@@ -157,9 +164,7 @@ def grouped(docs: DataFrame, id_col: str, text_col: str, shingle: int = SHINGLE,
     shared = stored(banded.join(pivots, "bucket").select("bucket", "node", "pivot", "members"), "buckets")
 
     wanted = stored(nodes.join(shared.select("node").distinct(), "node", "left_semi").select("node", "digest", "_rk"), "wanted")
-    texts = source.select("_rk", "text").join(wanted.select("_rk").distinct(), "_rk", "left_semi")
-    sets = full_sets(texts, shingle).join(wanted, ["_rk", "digest"]).dropDuplicates(["node"]).select("node", "items")
-    comp = connected(shared, stored(sets, "sets"), num, den)
+    comp = connected(shared, stored(sets_of(wanted, source, shingle), "sets"), num, den)
 
     labelled_nodes = nodes.select("digest", "node", "low").join(comp, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
     labelled_nodes = stored(labelled_nodes.select("digest", "comp", "low"), "labelled")

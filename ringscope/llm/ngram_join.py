@@ -18,9 +18,12 @@ Order and frequency come from class counts: every token of every text adds one t
 in each of two tables of a fixed size, and is as frequent as the smaller of its two counters
 says. Any order gives the same links, a coarser one more work.
 
-Nodes that share a signature are a bucket; links.py makes components of them with exact
-comparisons. Signatures with the same nodes count as one bucket, told by the number of
-nodes, their smallest and two 64-bit sums of their hashes.
+Nodes that share a signature are a bucket. Signatures with the same nodes count as one,
+told by the number of nodes, their smallest and two 64-bit sums of their hashes. In buckets
+of up to FEW nodes the pairs are ruled out, inside the join's condition, by their sizes and
+by parity bits: each token flips one of PARITY bits of its set, so the bits in which two
+sets differ are at most the tokens in which they do. The pairs that stay are compared on
+full sets. links.py makes components of larger buckets, without their pairs.
 """
 
 from __future__ import annotations
@@ -35,16 +38,18 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from .common import bounded_batches, give_back, read, row_key, stored
-from .links import connected
-from .minhash import WordHashes, full_sets, mix, shingle_set
+from .links import connected, linked, verify
+from .minhash import WordHashes, mix, sets_of, shingle_set
 
 SHINGLE, NUM, DEN = 4, 85, 100
 #: Counters of each of the two tables of token classes, and how many are handed on at a time.
-COUNTERS, CHUNK = 1 << 20, 1 << 13
+COUNTERS, CHUNK = 1 << 22, 1 << 15
 #: A token is frequent if its count is above this and above four times the mean counter.
 FREQUENT = 64
 #: Tokens a set has for each class of frequent tokens, at least.
 PER_CLASS = 8
+#: Parity bits of a set, and the nodes of a bucket of which pairs are made.
+PARITY, FEW = 1024, 16
 
 _A, _B, _C = np.uint64(0xA24BAED4963EE407), np.uint64(0x9FB21C651E98DF25), np.uint64(0xD6E8FEB86659FD93)
 
@@ -100,30 +105,51 @@ def prefix_signatures(tokens: np.ndarray, counts: np.ndarray, frequent: int, num
     return np.unique(np.concatenate(out))
 
 
+def parity(tokens: np.ndarray) -> np.ndarray:
+    """PARITY bits as longs; a token flips the bit that its hash names."""
+    at = (mix(tokens ^ _B) & np.uint64(PARITY - 1)).astype(np.int64)
+    odd = (np.bincount(at, minlength=PARITY) & 1).astype(np.uint8)
+    return np.packbits(odd).view(np.int64)
+
+
+def may_link(num: int, den: int):
+    """Whether sets of n_a and n_b tokens with parity bits p_a and p_b may be similar: at
+    similarity t they differ in (1 - t) / (1 + t) of their tokens at most."""
+    apart = F.aggregate(F.zip_with("p_a", "p_b", lambda a, b: F.bit_count(a.bitwiseXOR(b))), F.lit(0), lambda n, c: n + c)
+    room = (F.col("n_a") + F.col("n_b")) * (den - num)
+    return (F.col("n_a") * den >= F.col("n_b") * num) & (F.col("n_b") * den >= F.col("n_a") * num) & (apart * (den + num) <= room)
+
+
+def key_of(digest: bytes) -> int:
+    """A long for a set in the search for buckets; sets that share one are told apart after it."""
+    return int.from_bytes(digest[:8], "big", signed=True)
+
+
 def described(docs: DataFrame, id_type: str, size: int, width: int = COUNTERS) -> DataFrame:
-    """From _row, _id, _rk, text: these with n_shingles and digest, and a row (chunk,
+    """From _row, _id, _rk, text: these with n_shingles, digest and key, and a row (chunk,
     counts) for each chunk of the counters that a task has raised."""
 
     def describe(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        hashes, tables, step = WordHashes(), np.zeros((2, width), dtype=np.int64), min(CHUNK, width)
+        hashes, tables, step = WordHashes(), np.zeros((2, width), dtype=np.int32), min(CHUNK, width)
         for pdf in batches:
-            n, digest = [], []
+            n, digest, key = [], [], []
             for text in pdf.pop("text"):
                 x = shingle_set(text, size, hashes)
                 n.append(len(x))
                 digest.append(hashlib.blake2b(x.tobytes(), digest_size=16).digest())
+                key.append(key_of(digest[-1]))
                 for table, at in zip(tables, counters(x, width), strict=True):
                     np.add.at(table, at, 1)
-            yield pdf.assign(n_shingles=n, digest=digest, chunk=pd.array([None] * len(n), dtype="Int32"), counts=None)
+            yield pdf.assign(n_shingles=n, digest=digest, key=key, chunk=pd.array([None] * len(n), dtype="Int32"), counts=None)
         flat = tables.reshape(-1, step)
         some = np.flatnonzero(flat.any(axis=1))
         for part in np.array_split(some, max(1, len(some) // 64)):
             counted = [zlib.compress(flat[i].tobytes(), 1) for i in part]
             none = pd.array([None] * len(part), dtype="Int64")
-            yield pd.DataFrame({"_row": none, "_id": pd.Series([None] * len(part), dtype=object), "_rk": none, "n_shingles": none, "digest": None, "chunk": pd.array(part, dtype="Int32"), "counts": counted})
+            yield pd.DataFrame({"_row": none, "_id": pd.Series([None] * len(part), dtype=object), "_rk": none, "n_shingles": none, "digest": None, "key": none, "chunk": pd.array(part, dtype="Int32"), "counts": counted})
         give_back()
 
-    return docs.mapInPandas(describe, f"_row long, _id {id_type}, _rk long, n_shingles long, digest binary, chunk int, counts binary")
+    return docs.mapInPandas(describe, f"_row long, _id {id_type}, _rk long, n_shingles long, digest binary, key long, chunk int, counts binary")
 
 
 def class_counts(rows: DataFrame, width: int = COUNTERS) -> np.ndarray:
@@ -135,7 +161,7 @@ def class_counts(rows: DataFrame, width: int = COUNTERS) -> np.ndarray:
         sums: dict[int, np.ndarray] = {}
         for b in batches:
             for chunk, counts in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                more = np.frombuffer(zlib.decompress(counts), dtype=np.int64)
+                more = np.frombuffer(zlib.decompress(counts), dtype=np.int32).astype(np.int64)
                 sums[chunk] = sums[chunk] + more if chunk in sums else more
         if sums:
             counts = [np.minimum(v, (1 << 31) - 1).astype(np.int32).tobytes() for v in sums.values()]
@@ -149,33 +175,45 @@ def class_counts(rows: DataFrame, width: int = COUNTERS) -> np.ndarray:
 
 
 def signed(docs: DataFrame, counts: np.ndarray, frequent: int, size: int, num: int, den: int) -> DataFrame:
-    """From text: digest and signatures of each text with words."""
+    """From text: digest, key, n, parity and signatures of each text with words."""
     tables = docs.sparkSession.sparkContext.broadcast(counts)
     width = counts.shape[1]
 
     def sign(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         hashes = WordHashes()
         for pdf in batches:
-            digest, found = [], []
+            out = []
             for text in pdf["text"]:
                 x = shingle_set(text, size, hashes)
                 if len(x):
                     one, two = counters(x, width)
-                    digest.append(hashlib.blake2b(x.tobytes(), digest_size=16).digest())
-                    found.append(prefix_signatures(x, np.minimum(tables.value[0][one], tables.value[1][two]), frequent, num, den).view(np.int64))
-            yield pd.DataFrame({"digest": pd.Series(digest, dtype=object), "signatures": pd.Series(found, dtype=object)})
+                    found = prefix_signatures(x, np.minimum(tables.value[0][one], tables.value[1][two]), frequent, num, den)
+                    digest = hashlib.blake2b(x.tobytes(), digest_size=16).digest()
+                    out.append((digest, key_of(digest), len(x), parity(x), found.view(np.int64)))
+            yield pd.DataFrame(out, columns=["digest", "key", "n", "parity", "signatures"])
         give_back()
 
-    return docs.select("text").mapInPandas(sign, "digest binary, signatures array<long>")
+    return docs.select("text").mapInPandas(sign, "digest binary, key long, n long, parity array<long>, signatures array<long>")
 
 
 def buckets(signatures: DataFrame) -> DataFrame:
-    """bucket, node, pivot, members from signatures(node, signatures): signatures that
-    several nodes have, one of those with the same nodes."""
-    rows = signatures.select("node", F.explode("signatures").alias("bucket"))
-    held = rows.groupBy("bucket").agg(F.min("node").alias("pivot"), F.count(F.lit(1)).alias("members"), F.bit_xor(F.xxhash64("node")).alias("x"), F.bit_xor(F.xxhash64(F.lit("other"), "node")).alias("y"))
-    alike = held.where("members > 1").groupBy("pivot", "members", "x", "y").agg(F.min("bucket").alias("bucket"))
-    return rows.join(stored(alike.select("bucket", "pivot", "members"), "joined-signatures"), "bucket").select("bucket", "node", "pivot", "members")
+    """bucket, key, members from signatures(key, signatures), which may repeat keys:
+    signatures that several keys have, one of those with the same keys."""
+    rows = signatures.select("key", F.explode("signatures").alias("bucket"))
+    several = rows.groupBy("bucket").agg(F.min("key").alias("lo"), F.max("key").alias("hi")).where("lo <> hi").select("bucket")
+    held = stored(rows.join(stored(several, "shared-signatures"), "bucket").distinct(), "held")
+    whole = held.groupBy("bucket").agg(F.min("key").alias("lo"), F.count(F.lit(1)).alias("members"), F.bit_xor(F.xxhash64("key")).alias("x"), F.bit_xor(F.xxhash64(F.lit("other"), "key")).alias("y"))
+    alike = whole.groupBy("lo", "members", "x", "y").agg(F.min("bucket").alias("bucket"))
+    return held.join(stored(alike.select("bucket", "members"), "alike"), "bucket").select("bucket", "key", "members")
+
+
+def possible_pairs(shared: DataFrame, profiles: DataFrame, num: int, den: int) -> DataFrame:
+    """a, b: pairs of nodes of the same bucket of FEW nodes at most that may be similar by
+    profiles(node, n, parity)."""
+    rows = shared.where(F.col("members") <= FEW).select("bucket", "node").join(profiles, "node")
+    side = lambda s: rows.select("bucket", F.col("node").alias(s), F.col("n").alias(f"n_{s}"), F.col("parity").alias(f"p_{s}"))
+    a, b = side("a"), side("b")
+    return a.join(b, (a["bucket"] == b["bucket"]) & (F.col("a") < F.col("b")) & may_link(num, den)).select("a", "b").distinct()
 
 
 def similar_sets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, num: int = NUM, den: int = DEN, width: int = COUNTERS, frequent: int = FREQUENT) -> DataFrame:
@@ -191,18 +229,24 @@ def similar_sets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     table = stored(described(source, id_type, shingle, width), "described")
     counts = class_counts(table, width)
     often = max(frequent, int(4 * counts[0].astype(np.int64).sum() / width))
-    rows = table.where("chunk is null").select("_row", "_id", "_rk", "n_shingles", "digest")
+    rows = table.where("chunk is null").select("_row", "_id", "_rk", "n_shingles", "digest", "key")
     lowest = F.min(F.struct(F.col("_id").isNull().alias("none"), F.col("_id").alias("id")))
-    nodes = stored(rows.where("n_shingles > 0").groupBy("digest").agg(F.min("_row").alias("node"), lowest.alias("low"), F.min_by("_rk", "_row").alias("_rk")), "nodes")
+    nodes = stored(rows.where("n_shingles > 0").groupBy("digest").agg(F.min("_row").alias("node"), lowest.alias("low"), F.min_by("_rk", "_row").alias("_rk"), F.first("key").alias("key")), "nodes")
 
-    signatures = signed(source, counts, often, shingle, num, den).groupBy("digest").agg(F.first("signatures").alias("signatures"))
-    signatures = stored(signatures.join(nodes.select("digest", "node"), "digest").select("node", "signatures"), "signatures")
+    signatures = stored(signed(source, counts, often, shingle, num, den), "signatures")
     shared = stored(buckets(signatures), "buckets")
-
-    wanted = stored(nodes.join(shared.select("node").distinct(), "node", "left_semi").select("node", "digest", "_rk"), "wanted")
-    texts = source.select("_rk", "text").join(wanted.select("_rk").distinct(), "_rk", "left_semi")
-    sets = full_sets(texts, shingle).join(wanted, ["_rk", "digest"]).dropDuplicates(["node"]).select("node", "items")
-    comp = connected(shared, stored(sets, "sets"), num, den)
+    placed = nodes.select("digest", "key", "node").join(shared.select("key").distinct(), "key", "left_semi").drop("key")
+    profiles = stored(signatures.select("digest", "key", "n", "parity").join(placed, "digest").dropDuplicates(["node"]).drop("digest"), "profiles")
+    shared = stored(shared.join(profiles.select("key", "node"), "key").select("bucket", "node", "members"), "node-buckets")
+
+    pairs = stored(possible_pairs(shared, profiles.select("node", "n", "parity"), num, den), "possible-pairs")
+    large = shared.where(F.col("members") > FEW)
+    large = stored(large.join(large.groupBy("bucket").agg(F.min("node").alias("pivot")), "bucket"), "large-buckets")
+    ends = pairs.select(F.explode(F.array("a", "b")).alias("node")).union(large.select("node")).distinct()
+    wanted = stored(nodes.select("node", "digest", "_rk").join(ends, "node", "left_semi"), "wanted")
+    sets = stored(sets_of(wanted, source, shingle), "sets")
+    known = stored(verify(pairs, sets).where(linked(num, den)).select("a", "b"), "known-links")
+    comp = connected(large, sets, num, den, known)
 
     marked = stored(nodes.select("digest", "node", "low").join(comp, "node", "left").select("digest", F.coalesce("comp", "node").alias("comp"), "low"), "labelled")
     smallest = marked.groupBy("comp").agg(F.min("low").alias("low")).select("comp", F.col("low.id").alias("component_id"))

@@ -29,6 +29,22 @@ def test_similar_sets_share_a_signature(frequent, most):
     assert met > 250
 
 
+def test_parity_rules_out_no_similar_pair(spark):
+    rng = np.random.default_rng(4)
+    rows, similar = [], []
+    for turn in range(300):
+        x = np.unique(rng.integers(0, 2**63, int(rng.integers(1, 1200))).astype(np.uint64))
+        y = np.unique(np.concatenate([rng.permutation(x)[rng.integers(0, len(x) // 9 + 1) :], rng.integers(0, 2**63, int(rng.integers(0, len(x) // 9 + 2))).astype(np.uint64)]))
+        if turn % 3 == 0:
+            y = np.unique(rng.integers(0, 2**63, len(x)).astype(np.uint64))
+        both = len(np.intersect1d(x, y))
+        similar.append(100 * both >= 85 * (len(x) + len(y) - both))
+        rows.append((turn, len(x), len(y), *(ngram_join.parity(z).tolist() for z in (x, y))))
+    df = spark.createDataFrame(rows, "i int, n_a long, n_b long, p_a array<long>, p_b array<long>")
+    may = {r.i for r in df.where(ngram_join.may_link(85, 100)).collect()}
+    assert {i for i, yes in enumerate(similar) if yes} <= may and len(may) < 290 and sum(similar) > 60
+
+
 def test_signatures_are_few():
     """Pairs of frequent tokens grow with the length of a text, not with its square."""
     for n in (100, 1000, 20_000):
@@ -39,8 +55,9 @@ def test_signatures_are_few():
     assert len(prefix_signatures(np.zeros(0, dtype=np.uint64), np.zeros(0, dtype=np.int64), 64)) == 0
 
 
-@pytest.mark.parametrize("frequent", [1, 64])
-def test_components_against_brute_force(spark, frequent):
+@pytest.mark.parametrize(("frequent", "few"), [(1, 16), (64, 2)])
+def test_components_against_brute_force(spark, frequent, few, monkeypatch):
+    monkeypatch.setattr(ngram_join, "FEW", few)
     rows = copies(5)
     df = spark.createDataFrame([(i, t, "n", 1) for i, t in rows], "doc_id long, text string, n string, component_id int").repartition(5)
     found = ngram_join.similar_sets(df, shingle=2, num=80, width=256, frequent=frequent)
