@@ -14,12 +14,12 @@ import warnings
 from collections.abc import Callable
 
 import numpy as np
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Observation, functions as F
 
 from ..functions.scalar import rank_coreness
 from ..graph import Graph
-from ..storage import settled
-from . import scores, sweeps
+from ..storage import discard, settled
+from . import batches, scores, sweeps
 from .ordering import ordered
 
 
@@ -50,70 +50,75 @@ def lip(graph: Graph) -> DataFrame:
     return sweeps.lip(graph).select("g", "node", F.lit(0).cast("long").alias("c"), "x")
 
 
-def _climb(state: DataFrame, quality: Callable[[DataFrame], DataFrame], propose: Callable[[DataFrame, DataFrame], tuple[DataFrame, DataFrame]], least: float = 1e-12) -> DataFrame:
-    """Hill climbing of a batch of graphs, many moves at a time. propose(state, levels) gives
-    the state after some moves and the graphs in which a move would gain; the higher a
-    graph's level, the fewer moves: at level 2 the single best one. A graph keeps the new
-    state if its quality rose, else its level goes up. Ends when no move gains in any
-    graph, a local optimum."""
-    state = settled(state)
-    held = settled(quality(state).withColumn("level", F.lit(0)))
-    while True:
-        trial, gaining = propose(state, held.select("g", "level"))
-        trial = settled(trial)
-        new = quality(trial).withColumnRenamed("q", "q1")
-        verdict = held.join(new, "g").join(gaining.withColumn("open", F.lit(True)), "g", "left")
-        verdict = settled(verdict.select("g", "q", "q1", "level", (F.col("q1") > F.col("q") + least).alias("up"), (F.coalesce("open", F.lit(False)) & (F.col("level") < 4)).alias("open")))
-        if not verdict.where("open or up").limit(1).count():
-            return state
-        took = verdict.where("up").select("g")
-        state = settled(trial.join(took, "g", "left_semi").unionByName(state.join(took, "g", "left_anti")))
-        held = settled(verdict.select("g", F.when(F.col("up"), F.col("q1")).otherwise(F.col("q")).alias("q"), F.when(F.col("up"), F.greatest(F.col("level") - 1, F.lit(0))).otherwise(F.col("level") + 1).alias("level")))
-
-
-def _chosen(gain: Column, top: Column, level: Column, best: Column) -> Column:
-    """Which moves are made at a level: good ones, nearly the best ones, or the best one."""
-    return F.when(level == 0, gain > 0.5 * top).when(level == 1, gain > 0.9 * top).otherwise(best)
+def _verdict(rows: DataFrame) -> tuple[DataFrame, int, int]:
+    """rows(g, up, open, ...) as a table, with the numbers of graphs that rose and of those
+    in which a move still gains, which the write itself counts."""
+    seen = Observation()
+    table = settled(rows.observe(seen, F.count(F.when(F.col("up"), 1)).alias("up"), F.count(F.when(F.col("open"), 1)).alias("open")))
+    return table, seen.get["up"] or 0, seen.get["open"] or 0
 
 
 def flipped(graph: Graph, start: DataFrame, objective: Callable[[], Column]) -> DataFrame:
     """g, node, x and q: start(g, node, x) improved by flipping nodes between core and
     periphery until no flip raises the objective, a column of n, i, m, cc and touch as in
-    sweeps.prefixes. Each round takes exact gains of all single flips."""
+    sweeps.prefixes.
+
+    Every node keeps s, its weight into the core. A round takes the exact gains of all
+    single flips from it and makes two trials: all flips of a gain near the best, and the
+    best flip alone; the better is kept. s changes by the edges of the flipped nodes only,
+    no other edge is joined. The best flip alone raises the objective, so every round does,
+    in each graph in which a flip gains; where many at once were worse than one, fewer are
+    tried."""
     loops = graph.self_loops().withColumnRenamed("w", "loop")
-    held = settled(graph.degree().join(loops, ["g", "node"], "left").fillna(0.0, ["loop"]))
-
-    def rows(state: DataFrame) -> DataFrame:
-        return state.select("g", "node", "x").join(graph.times(state, "x", "s"), ["g", "node"]).join(held, ["g", "node"])
-
-    def sums(state: DataFrame) -> DataFrame:
-        x, s, d = F.col("x"), F.col("s"), F.col("d")
-        found = rows(state).groupBy("g").agg(F.count(F.lit(1)).cast("double").alias("n"), F.sum(x).cast("double").alias("i"), (F.sum(d) / 2).alias("m"), (F.sum(x * s) / 2).alias("cc"), F.sum(x * d).alias("xd"))
-        return found.select("g", "n", "i", "m", "cc", (F.col("xd") - F.col("cc")).alias("touch"))
+    held = graph.degree().join(loops, ["g", "node"], "left").fillna(0.0, ["loop"])
+    state = start.select("g", "node", F.col("x").cast("int").alias("x")).join(graph.times(start, "x", "s"), ["g", "node"]).join(held, ["g", "node"])
+    state = settled(state.withColumn("near", F.lit(0.5)))
 
-    def quality(state: DataFrame) -> DataFrame:
-        return sums(state).select("g", objective().alias("q"))
+    def sums(rows: DataFrame, x: str, s: str, *keep: Column) -> DataFrame:
+        cc, xd = F.sum(F.col(x) * F.col(s)) / 2, F.sum(F.col(x) * F.col("d"))
+        return rows.groupBy("g").agg(F.count(F.lit(1)).cast("double").alias("n"), F.sum(x).cast("double").alias("i"), (F.sum("d") / 2).alias("m"), cc.alias("cc"), (xd - cc).alias("touch"), *keep)
 
-    def propose(state: DataFrame, levels: DataFrame) -> tuple[DataFrame, DataFrame]:
-        now = sums(state).withColumn("q", objective()).join(levels, "g")
-        here = rows(state).join(graph.each(now.withColumnsRenamed({c: f"_{c}" for c in ("i", "cc", "touch")})), "g")
+    while True:
+        now = settled(sums(state, "x", "s").withColumn("q", objective()))
+        here = state.join(graph.each(now.withColumnsRenamed({c: f"_{c}" for c in ("i", "cc", "touch")})), "g")
         sign, half = 1 - 2 * F.col("x"), F.col("loop") / 2
         others = F.col("s") - F.col("loop") * F.col("x")
         here = here.withColumn("i", F.col("_i") + sign).withColumn("cc", F.col("_cc") + sign * (others + half)).withColumn("touch", F.col("_touch") + sign * (F.col("d") - F.col("loop") - others + half))
-        gains = settled(here.select("g", "node", "x", "level", (objective() - F.col("q")).alias("gain")))
-        top = settled(gains.groupBy("g").agg(F.max("gain").alias("top"), F.max_by("node", F.struct("gain", -F.col("node"))).alias("best")))
-        go = (F.col("gain") > 1e-12) & _chosen(F.col("gain"), F.col("top"), F.col("level"), F.col("node") == F.col("best"))
-        return gains.join(graph.each(top), "g").select("g", "node", F.when(go, 1 - F.col("x")).otherwise(F.col("x")).cast("int").alias("x")), top.where("top > 1e-12").select("g")
-
-    done = _climb(start.select("g", "node", F.col("x").cast("int").alias("x")), quality, propose)
-    return done.join(graph.each(settled(quality(done))), "g")
+        gains = here.select("g", "node", "x", "s", "d", "loop", "near", (objective() - F.col("q")).alias("gain"))
+        top = gains.groupBy("g").agg(F.max("gain").alias("top"), F.max_by("node", F.struct("gain", -F.col("node"))).alias("best"))
+        many, one = (F.col("gain") > 1e-12) & (F.col("gain") >= F.col("near") * F.col("top")), (F.col("gain") > 1e-12) & (F.col("node") == F.col("best"))
+        marked = settled(gains.join(graph.each(top), "g").select("g", "node", "x", "s", "d", "loop", "near", many.alias("many"), one.alias("one")))
+        turned = marked.where("many or one").select("g", F.col("node").alias("src"), *[(F.col(c).cast("int") * (1 - 2 * F.col("x"))).alias(c) for c in ("many", "one")])
+        moved = graph.edges.join(turned, ["g", "src"]).groupBy("g", F.col("dst").alias("node")).agg(F.sum(F.col("w") * F.col("many")).alias("dm"), F.sum(F.col("w") * F.col("one")).alias("do"))
+        after = marked.join(moved, ["g", "node"], "left").fillna(0.0, ["dm", "do"])
+        after = after.select("g", "node", "x", "s", "d", "loop", "near", *[F.when(F.col(c), 1 - F.col("x")).otherwise(F.col("x")).alias(f"x_{c}") for c in ("many", "one")], (F.col("s") + F.col("dm")).alias("s_many"), (F.col("s") + F.col("do")).alias("s_one"))
+        after = settled(after)
+        tried = [sums(after, f"x_{c}", f"s_{c}").select("g", objective().alias(f"q_{c}")) for c in ("many", "one")]
+        both = now.select("g", "q").join(tried[0], "g").join(tried[1], "g")
+        up = F.greatest("q_many", "q_one") > F.col("q") + 1e-12
+        verdict, rose, _ = _verdict(both.select("g", up.alias("up"), F.lit(False).alias("open"), (F.col("q_many") >= F.col("q_one")).alias("most")))
+        if not rose:
+            done = settled(after.select("g", "node", "x").join(graph.each(now.select("g", "q")), "g"))
+            discard(state, marked, after)
+            return done
+        chosen = lambda c: F.when(~F.col("up"), F.col(c)).when(F.col("most"), F.col(f"{c}_many")).otherwise(F.col(f"{c}_one")).alias(c)
+        near = F.when(F.col("most"), F.greatest(F.lit(0.3), F.col("near") - 0.1)).otherwise(1 - (1 - F.col("near")) / 3)
+        kept = settled(after.join(graph.each(verdict), "g").select("g", "node", chosen("x"), chosen("s"), "d", "loop", near.alias("near")))
+        discard(state, now, marked, after, verdict)
+        state = kept
 
 
 def _sweep_search(graph: Graph, objective: Callable[[], Column], toward: str, runs: int, seed: int, rounds: int) -> DataFrame:
     """Best prefix of a node order, the order renewed from the core just found: by
     neighbours outside it (toward = periphery) or inside it (core). The first order is
     by strength, shaken a little in runs after the first. The best prefix met, or in every
-    second run random labels, are then improved by single flips to a local optimum."""
+    second run random labels, are then improved by single flips to a local optimum. In a
+    batch of many small graphs each is a task (batches.py)."""
+    few_nodes, graphs = batches.small(graph)
+    if few_nodes and graphs >= batches.MANY:
+        value, inner = batches.be_value if objective is sweeps.be_objective else batches.surprise_value, toward == "core"
+        plain = graph.binarized()
+        return batches.each_graph(plain, plain.nodes.select("g", "node"), lambda a, rows: batches.best_labels(a, rows, value, inner, runs, seed), "c long, x int")
     many = replicated(graph.binarized(), runs)
     shake = F.when(F.col("g") % runs == 0, 0.0).otherwise(0.5 * (uniform(seed, "g", "node") - 0.5))
     order = many.degree().withColumn("score", F.col("d") * (1 + shake))
@@ -281,44 +286,103 @@ def swap_gains(graph: Graph, state: DataFrame, pairs: DataFrame) -> DataFrame:
     return rows.withColumn("gain", gain)
 
 
+def improving_swaps(graph: Graph, rows: DataFrame, share: float = 0.5) -> DataFrame:
+    """g, a, b, gain: of rows(g, node, k, x, r), where x rises with the rank k and r is the
+    weighted coreness around the node, the swaps that gain more than `share` of what the
+    best swap of some pairs gains; all swaps that gain where none of those does.
+
+    For x_a < x_b a swap gains (x_b - x_a) (r_a - r_b) - w (x_b - x_a)^2. The nodes of a graph
+    are cut by rank into about sqrt(n) blocks with the bounds of their x and r. A pair of
+    blocks is opened only if its bounds allow a gain above the threshold, which the pair of
+    largest r of the lower and smallest r of the upper block give; of an opened pair only
+    nodes that may reach it are looked up among the edges. What is left out has no gain
+    above the threshold, whatever the distance of its ranks."""
+    loopless = graph.edges.where("src <> dst")
+    size = rows.groupBy("g").agg(F.ceil(F.sqrt(F.count(F.lit(1)))).alias("size"))
+    slack = graph.nodes.select("g").distinct().join(loopless.groupBy("g").agg(F.greatest(-F.min("w"), F.lit(0.0)).alias("slack")), "g", "left").fillna(0.0, ["slack"])
+    placed = rows.join(graph.each(size.join(slack, "g")), "g").withColumn("block", F.floor(F.col("k") / F.col("size"))).drop("size")
+    blocks = placed.groupBy("g", "block").agg(F.min("x").alias("x0"), F.max("x").alias("x1"), F.min("r").alias("r0"), F.max("r").alias("r1"), F.max_by("node", "r").alias("high"), F.min_by("node", "r").alias("low"), F.first("slack").alias("slack"))
+    blocks = settled(blocks)
+    lower, upper = (blocks.select("g", *[F.col(c).alias(f"{c}_{s}") for c in ("block", "x0", "x1", "r0", "r1", "high", "low")], *(["slack"] if s == "p" else [])) for s in ("p", "q"))
+    step = F.col("x1_q") - F.col("x0_p")
+    bound = step * F.greatest(F.col("r1_p") - F.col("r0_q"), F.lit(0.0)) + F.col("slack") * step * step
+    pairs = lower.join(upper, "g").where("block_p <= block_q").withColumn("bound", bound).where("bound > 1e-10")
+    pairs = settled(pairs.select("g", "block_p", "block_q", "bound", F.col("high_p").alias("a"), F.col("low_q").alias("b"), "slack"))
+    known = swap_gains(graph, rows, pairs.where("a <> b").select("g", "a", "b").distinct()).groupBy("g").agg(F.max("gain").alias("known"))
+    least = F.greatest(share * F.coalesce("known", F.lit(0.0)), F.lit(1e-10))
+    opened = pairs.join(graph.each(settled(known)), "g", "left").withColumn("least", least).where("bound > least").select("g", "block_p", "block_q", "slack", "least")
+    side = lambda s, block: placed.select("g", F.col("block").alias(block), *[F.col(c).alias(f"{c}_{s}") for c in ("node", "k", "x", "r")])
+    found = opened.join(side("a", "block_p"), ["g", "block_p"]).join(side("b", "block_q"), ["g", "block_q"])
+    away = F.col("x_b") - F.col("x_a")
+    found = found.where((F.col("k_a") < F.col("k_b")) & (away * (F.col("r_a") - F.col("r_b")) + F.col("slack") * away * away > F.col("least")))
+    found = found.join(loopless.select("g", F.col("src").alias("node_a"), F.col("dst").alias("node_b"), "w"), ["g", "node_a", "node_b"], "left").fillna(0.0, ["w"])
+    found = found.withColumn("gain", away * (F.col("r_a") - F.col("r_b")) - F.col("w") * away * away)
+    return found.where(F.col("gain") > F.col("least")).select("g", F.col("node_a").alias("a"), F.col("node_b").alias("b"), "gain")
+
+
 def swapped(graph: Graph, start: DataFrame) -> DataFrame:
-    """start(g, node, k, x) improved by swaps of nodes whose ranks are a power of two apart,
-    until none raises x' A x. In a round a node takes part in one swap at most: one that
-    is the best for both its nodes."""
-    most = graph.sizes().agg(F.max("n").alias("n")).first()["n"] or 1
-    steps = [1 << j for j in range(max(1, int(most - 1).bit_length()))]
-
-    def quality(state: DataFrame) -> DataFrame:
-        return scores.rombach(Graph(graph.nodes, graph.edges.where("src <> dst")), state)
-
-    def propose(state: DataFrame, levels: DataFrame) -> tuple[DataFrame, DataFrame]:
-        near = state.select("g", F.col("node").alias("a"), F.explode(F.transform(F.array(*map(F.lit, steps)), lambda z: F.col("k") + z)).alias("k"))
-        pairs = near.join(state.select("g", "k", F.col("node").alias("b")), ["g", "k"]).select("g", "a", "b")
-        good = settled(swap_gains(graph, state, pairs).where("gain > 1e-10").select("g", "a", "b", "gain"))
+    """start(g, node, k, x) improved by swaps of two nodes' ranks until no swap raises x' A x,
+    whatever the distance of the ranks. A round makes many swaps, of which no two share a
+    node; where their sum was no gain, fewer, and at last the best one alone. Small graphs
+    are a task each (batches.py)."""
+    if batches.small(graph)[0]:
+        return batches.each_graph(graph, start.select("g", "node", "k", "x"), batches.best_order, "k long, x double")
+    return swap_rounds(graph, start)
+
+
+def swap_rounds(graph: Graph, start: DataFrame) -> DataFrame:
+    """swapped, in rounds over the whole batch."""
+    loopless = Graph(graph.nodes, graph.edges.where("src <> dst"))
+
+    def around(state: DataFrame) -> DataFrame:
+        return settled(state.select("g", "node", "k", "x").join(loopless.times(state, "x", "r"), ["g", "node"]))
+
+    rows = around(start)
+    level = settled(graph.nodes.select("g").distinct().withColumn("level", F.lit(0)))
+    quality = F.sum(F.col("x") * F.col("r")).alias("q")
+    while True:
+        good = settled(improving_swaps(graph, rows))
         ends = good.select("g", F.explode(F.array("a", "b")).alias("node"), "a", "b", "gain")
         first = ends.groupBy("g", "node").agg(F.max_by(F.struct("a", "b"), F.struct("gain", -F.col("a"), -F.col("b"))).alias("ab")).groupBy("g", "ab").agg(F.count(F.lit(1)).alias("ends")).where("ends = 2")
         mutual = settled(good.join(first.select("g", "ab.a", "ab.b"), ["g", "a", "b"]))
-        top = mutual.groupBy("g").agg(F.max("gain").alias("top"), F.max_by("a", F.struct("gain", -F.col("a"))).alias("best")).join(levels, "g")
-        go = mutual.join(graph.each(settled(top)), "g").where(_chosen(F.col("gain"), F.col("top"), F.col("level"), F.col("a") == F.col("best")))
+        top = mutual.groupBy("g").agg(F.max("gain").alias("top"), F.max_by(F.struct("a", "b"), F.struct("gain", -F.col("a"), -F.col("b"))).alias("best"))
+        alone = (F.col("a") == F.col("best.a")) & (F.col("b") == F.col("best.b"))
+        go = mutual.join(graph.each(top.join(level, "g")), "g").where(alone | (F.col("level") == 0) | (F.col("level") == 1) & (F.col("gain") > 0.9 * F.col("top")))
         other = go.select("g", F.col("a").alias("node"), F.col("b").alias("other")).unionByName(go.select("g", F.col("b").alias("node"), F.col("a").alias("other")))
-        place = other.join(state.select("g", F.col("node").alias("other"), F.col("k").alias("k1"), F.col("x").alias("x1")), ["g", "other"])
-        after = state.join(place, ["g", "node"], "left").select("g", "node", F.coalesce("k1", "k").alias("k"), F.coalesce("x1", "x").alias("x"))
-        return after, good.select("g").distinct()
-
-    return _climb(start.select("g", "node", "k", "x"), quality, propose, 1e-10)
-
-
-def rombach(graph: Graph, alpha: float = 0.5, beta: float = 0.8, runs: int = 2, seed: int = 0, rounds: int = 8) -> DataFrame:
-    """Continuous coreness by rank: nodes are ranked by the coreness around them, again
-    and again (for `rounds` rounds at most); the best order met is then improved by swaps
-    to a local optimum."""
+        place = other.join(rows.select("g", F.col("node").alias("other"), F.col("k").alias("k1"), F.col("x").alias("x1")), ["g", "other"])
+        trial = around(rows.join(place, ["g", "node"], "left").select("g", "node", F.coalesce("k1", "k").alias("k"), F.coalesce("x1", "x").alias("x")))
+        both = rows.groupBy("g").agg(quality).join(trial.groupBy("g").agg(quality.alias("q1")), "g").join(level, "g").join(good.groupBy("g").agg(F.lit(True).alias("more")), "g", "left")
+        up = F.col("q1") > F.col("q") + 1e-10
+        verdict, _, gaining = _verdict(both.select("g", up.alias("up"), (F.coalesce("more", F.lit(False)) & (up | (F.col("level") < 2))).alias("open"), F.when(up, F.greatest(F.col("level") - 1, F.lit(0))).otherwise(F.col("level") + 1).alias("level")))
+        if not gaining:
+            return rows.select("g", "node", "k", "x")
+        took = graph.each(verdict.where("up").select("g"))
+        after = settled(trial.join(took, "g", "left_semi").unionByName(rows.join(took, "g", "left_anti")))
+        discard(rows, trial, good, mutual, level)
+        rows, level = after, verdict.select("g", "level")
+
+
+def rombach(graph: Graph, alpha: float = 0.5, beta: float = 0.8, runs: int = 2, seed: int = 0) -> DataFrame:
+    """Continuous coreness by rank: from strength order in the first run and random orders in
+    the others, nodes are ranked by the coreness around them as long as that raises x' A x;
+    the best order met is then improved by swaps until none of any distance gains."""
     many = replicated(graph, runs)
-    order, best = many.nodes.select("g", "node").withColumn("r", uniform(seed, "g", "node")), None
-    for _ in range(rounds):
+    shaken = F.when(F.col("g") % runs == 0, F.col("d")).otherwise(uniform(seed, "g", "node"))
+    order, best = many.degree().select("g", "node", shaken.alias("r")), None
+    while True:
         x = settled(_by_rank(order, alpha, beta, many.each))
-        q = settled(scores.rombach(many, x))
-        best = _better(best, x, q)
-        order = many.times(x, "x", "r")
+        rows = settled(x.join(many.times(x, "x", "r"), ["g", "node"]))
+        q = rows.groupBy("g").agg(F.sum(F.col("x") * F.col("r")).alias("q"))
+        if best is None:
+            best, rose = settled(rows.join(many.each(q), "g")), 1
+        else:
+            was = best.groupBy("g").agg(F.first("q").alias("was"))
+            verdict, rose, _ = _verdict(q.join(was, "g").select("g", "q", (F.col("q") > F.col("was") + 1e-10).alias("up"), F.lit(False).alias("open")))
+            took = many.each(verdict.where("up").select("g", "q"))
+            best = settled(rows.join(took, "g").unionByName(best.join(took.select("g"), "g", "left_anti")))
+        if not rose:
+            break
+        order = rows.select("g", "node", "r")
     best = settled(swapped(many, best))
     return best_run(best.withColumn("c", F.lit(0).cast("long")), scores.rombach(many, best), runs)
 

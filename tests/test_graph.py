@@ -436,3 +436,56 @@ def test_brute_force_bound_on_surprise(spark):
     found = detect.surprise(g, runs=1, rounds=1)
     got = only(scores.surprise(g, found.withColumn("x", F.col("x").cast("double"))))[0]
     assert got >= best - 1e-9
+
+
+def all_gains(a, x):
+    away = np.subtract.outer(x, x)
+    return -away * np.subtract.outer(a @ x, a @ x) - a * away * away
+
+
+def test_no_swap_of_any_distance_is_left(spark):
+    """200 nodes, weights of both signs: all pairs, against the dense matrix."""
+    rng = np.random.default_rng(11)
+    n = 200
+    pairs = [(i, j, float(rng.integers(-1, 4))) for i in range(n) for j in range(i + 1, n) if rng.random() < 0.05]
+    g, a = graph_of(spark, pairs, isolated=range(n)).settled(), matrix(pairs, n)
+    start = detect._by_rank(g.nodes.select("g", "node", detect.uniform(3, "node").alias("r")), 0.5, 0.8)
+    x = np.array([r.x for r in start.orderBy("node").collect()])
+    first = {(r.a, r.b): r.gain for r in detect.improving_swaps(g, start.join(g.times(start, "x", "r"), ["g", "node"])).collect()}
+    gains = all_gains(a, x)
+    assert max(first.values()) == pytest.approx(gains.max())
+    assert all(gains[p] == pytest.approx(q) for p, q in first.items())
+    assert {(min(p), max(p)) for p in first} >= {(i, j) for i, j in zip(*np.nonzero(gains > 0.51 * gains.max()), strict=True) if i < j}
+    end = {r.node: (r.k, r.x) for r in detect.swapped(g, start).collect()}
+    x = np.array([end[i][1] for i in range(n)])
+    assert sorted(k for k, _ in end.values()) == list(range(n)) and all_gains(a, x).max() < 1e-9
+    at = spark.createDataFrame([(0, i, *end[i]) for i in range(n)], "g int, node long, k long, x double")
+    assert detect.improving_swaps(g, at.join(g.times(at, "x", "r"), ["g", "node"])).count() == 0
+
+
+def test_swap_rounds_end_where_no_swap_gains(spark):
+    n, graphs = 9, list(small_graphs(2, 9, 8))
+    g = batch(spark, graphs, n)
+    start = detect._by_rank(g.nodes.select("g", "node", detect.uniform(3, "g", "node").alias("r")), 0.5, 0.8)
+    end = {(r.g, r.node): r.x for r in detect.swap_rounds(g, start).collect()}
+    for k, pairs in enumerate(graphs):
+        assert all_gains(matrix(pairs, n), np.array([end[k, i] for i in range(n)])).max() < 1e-9
+
+
+@pytest.mark.parametrize("detector", ["be", "surprise"])
+def test_batches_agree_with_rounds(spark, detector, monkeypatch):
+    """Many small graphs, one task each: no flip gains, and as good as the rounds within 5 %."""
+    n, graphs = 12, list(small_graphs(9, 12, 21))
+    g = batch(spark, graphs, n)
+    search, score = getattr(detect, detector), getattr(scores, detector)
+    found = search(g)
+    dealt = {r.g: r.q for r in score(g, found).collect()}
+    plain = {"be": plain_be, "surprise": plain_surprise}[detector]
+    x = {(r.g, r.node): r.x for r in found.collect()}
+    for k, pairs in enumerate(graphs):
+        a, labels_ = matrix(pairs, n), np.array([x[k, i] for i in range(n)])
+        assert dealt[k] == pytest.approx(plain(a, labels_), abs=1e-6) or detector == "be"
+        assert all(plain(a, np.where(np.arange(n) == i, 1 - labels_, labels_)) <= plain(a, labels_) + 1e-9 for i in range(n))
+    monkeypatch.setattr(detect.batches, "MANY", 100)
+    rounds = {r.g: r.q for r in score(g, search(g, runs=2)).collect()}
+    assert sum(dealt.values()) >= 0.95 * sum(rounds.values())
