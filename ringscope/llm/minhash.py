@@ -34,7 +34,6 @@ SHINGLE = 5
 T = 128
 ROWS = 4
 NUM, DEN = 80, 100
-WORD_CACHE = 100_000
 
 _M1, _M2, _M3 = np.uint64(0xFF51AFD7ED558CCD), np.uint64(0xC4CEB9FE1A85EC53), np.uint64(0x9E3779B97F4A7C15)
 _S33, _S31, _S57 = np.uint64(33), np.uint64(31), np.uint64(57)
@@ -47,30 +46,21 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> _S33)
 
 
-class WordHashes(dict):
-    """64-bit hashes of words, remembered up to a bound."""
-
-    def __missing__(self, word: bytes) -> int:
-        if len(self) > WORD_CACHE:
-            self.clear()
-        self[word] = h = xxhash.xxh3_64_intdigest(word)
-        return h
-
-
-def shingle_set(text: str | None, size: int, hashes: WordHashes) -> np.ndarray:
+def shingle_set(text: str | None, size: int) -> np.ndarray:
     """Sorted distinct hashes of the text's word shingles; a text of fewer words has one
     shingle, all its words; a text without words none. Words are runs of characters
     other than ASCII white space, A-Z lower-cased."""
     words = (text or "").encode("utf-8", "surrogatepass").lower().split()
     if not words:
         return np.zeros(0, dtype=np.uint64)
-    h = np.fromiter((hashes[w] for w in words), dtype=np.uint64, count=len(words))
+    h = np.fromiter(map(xxhash.xxh3_64_intdigest, words), dtype=np.uint64, count=len(words))
     n = min(size, len(words))
     with np.errstate(over="ignore"):
         x = np.full(len(words) - n + 1, n, dtype=np.uint64)
         for k in range(n):
             x = mix(x * _M3 + h[k : len(words) - n + 1 + k])
-    return np.unique(x)
+    x.sort()
+    return x[np.append(True, x[1:] != x[:-1])]
 
 
 def sketch(x: np.ndarray, t: int = T) -> np.ndarray:
@@ -112,11 +102,10 @@ def signatures(docs: DataFrame, id_type: str, size: int, t: int, rows: int) -> D
     """From _row, _id, _rk, text: the set's size, digest and band keys."""
 
     def sign(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        hashes = WordHashes()
         for pdf in batches:
             n, digest, bands = [], [], []
             for text in pdf.pop("text"):
-                x = shingle_set(text, size, hashes)
+                x = shingle_set(text, size)
                 n.append(len(x))
                 digest.append(hashlib.blake2b(x.tobytes(), digest_size=16).digest())
                 bands.append(band_keys(sketch(x, t), rows) if len(x) else [])
@@ -130,9 +119,8 @@ def full_sets(docs: DataFrame, size: int) -> DataFrame:
     """From _rk, text: _rk, digest, items (the set)."""
 
     def collect(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        hashes = WordHashes()
         for pdf in batches:
-            sets = [shingle_set(text, size, hashes) for text in pdf.pop("text")]
+            sets = [shingle_set(text, size) for text in pdf.pop("text")]
             yield pdf.assign(digest=[hashlib.blake2b(x.tobytes(), digest_size=16).digest() for x in sets], items=[x.view(np.int64) for x in sets])
         give_back()
 

@@ -14,9 +14,9 @@ The number of classes grows with the size of the set, which bounds the pairs of
 whatever the length of the text: sets of n to 2 n tokens are at one level, with n / 8
 classes, and a set signs at all levels at which its partners may be.
 
-Order and frequency come from class counts: every token of every text adds one to a counter
-in each of two tables of a fixed size, and is as frequent as the smaller of its two counters
-says. Any order gives the same links, a coarser one more work.
+Order and frequency come from class counts: every token of every text adds one to the counter
+that its hash names in a table of a fixed size, and is as frequent as its counter says. Any
+order gives the same links, a coarser one more work.
 
 Nodes that share a signature are a bucket. Signatures with the same nodes count as one,
 told by the number of nodes, their smallest and two 64-bit sums of their hashes. In buckets
@@ -35,14 +35,14 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession, Window as W, functions as F
 
 from .common import bounded_batches, give_back, read, row_key, stored
 from .links import connected, linked, verify
-from .minhash import WordHashes, mix, sets_of, shingle_set
+from .minhash import mix, sets_of, shingle_set
 
 SHINGLE, NUM, DEN = 4, 85, 100
-#: Counters of each of the two tables of token classes, and how many are handed on at a time.
+#: Counters of token classes, and how many of them are handed on at a time.
 COUNTERS, CHUNK = 1 << 22, 1 << 15
 #: A token is frequent if its count is above this and above four times the mean counter.
 FREQUENT = 64
@@ -54,11 +54,9 @@ PARITY, FEW = 1024, 16
 _A, _B, _C = np.uint64(0xA24BAED4963EE407), np.uint64(0x9FB21C651E98DF25), np.uint64(0xD6E8FEB86659FD93)
 
 
-def counters(tokens: np.ndarray, size: int = COUNTERS) -> tuple[np.ndarray, np.ndarray]:
-    """The places of the tokens' counters in both tables."""
-    z = mix(tokens ^ _A)
-    mask = np.uint64(size - 1)
-    return (z & mask).astype(np.int64), ((z >> np.uint64(32)) & mask).astype(np.int64)
+def counters(tokens: np.ndarray, size: int = COUNTERS) -> np.ndarray:
+    """The places of the tokens' counters."""
+    return (mix(tokens ^ _A) & np.uint64(size - 1)).astype(np.int64)
 
 
 def least_overlap(n: int, num: int, den: int) -> int:
@@ -130,64 +128,68 @@ def described(docs: DataFrame, id_type: str, size: int, width: int = COUNTERS) -
     counts) for each chunk of the counters that a task has raised."""
 
     def describe(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        hashes, tables, step = WordHashes(), np.zeros((2, width), dtype=np.int32), min(CHUNK, width)
+        table, step = np.zeros(width, dtype=np.int32), min(CHUNK, width)
         for pdf in batches:
             n, digest, key = [], [], []
             for text in pdf.pop("text"):
-                x = shingle_set(text, size, hashes)
+                x = shingle_set(text, size)
                 n.append(len(x))
                 digest.append(hashlib.blake2b(x.tobytes(), digest_size=16).digest())
                 key.append(key_of(digest[-1]))
-                for table, at in zip(tables, counters(x, width), strict=True):
-                    np.add.at(table, at, 1)
+                np.add.at(table, counters(x, width), 1)
             yield pdf.assign(n_shingles=n, digest=digest, key=key, chunk=pd.array([None] * len(n), dtype="Int32"), counts=None)
-        flat = tables.reshape(-1, step)
+        flat = table.reshape(-1, step)
         some = np.flatnonzero(flat.any(axis=1))
         for part in np.array_split(some, max(1, len(some) // 64)):
-            counted = [zlib.compress(flat[i].tobytes(), 1) for i in part]
             none = pd.array([None] * len(part), dtype="Int64")
-            yield pd.DataFrame({"_row": none, "_id": pd.Series([None] * len(part), dtype=object), "_rk": none, "n_shingles": none, "digest": None, "key": none, "chunk": pd.array(part, dtype="Int32"), "counts": counted})
+            yield pd.DataFrame({"_row": none, "_id": pd.Series([None] * len(part), dtype=object), "_rk": none, "n_shingles": none, "digest": None, "key": none, "chunk": pd.array(part, dtype="Int32"), "counts": [packed(flat[i]) for i in part]})
         give_back()
 
     return docs.mapInPandas(describe, f"_row long, _id {id_type}, _rk long, n_shingles long, digest binary, key long, chunk int, counts binary")
 
 
+def packed(counts: np.ndarray) -> bytes:
+    """Counts in the fewest bytes each, which the first byte tells, compressed."""
+    width = next(w for w in (1, 2, 4, 8) if int(counts.max()) < 1 << (8 * w - (w == 8)))
+    return zlib.compress(bytes([width]) + counts.astype(f"<u{width}").tobytes(), 1)
+
+
+def unpacked(data: bytes) -> np.ndarray:
+    plain = zlib.decompress(data)
+    return np.frombuffer(plain, dtype=f"<u{plain[0]}", offset=1).astype(np.int64)
+
+
 def class_counts(rows: DataFrame, width: int = COUNTERS) -> np.ndarray:
-    """Both tables of counters, added up over the tasks' rows(chunk, counts). Rows of a chunk
-    meet in one task and are added as they come; tables of a fixed size reach the driver."""
+    """The counters, added up over the tasks' rows(chunk, counts). Rows of a chunk meet in
+    one task and are added as they come; a table of a fixed size reaches the driver."""
     step = min(CHUNK, width)
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums: dict[int, np.ndarray] = {}
         for b in batches:
             for chunk, counts in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                more = np.frombuffer(zlib.decompress(counts), dtype=np.int32).astype(np.int64)
-                sums[chunk] = sums[chunk] + more if chunk in sums else more
+                sums[chunk] = sums[chunk] + unpacked(counts) if chunk in sums else unpacked(counts)
         if sums:
-            counts = [np.minimum(v, (1 << 31) - 1).astype(np.int32).tobytes() for v in sums.values()]
-            yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int32()), pa.array(counts, pa.binary())], ["chunk", "counts"])
+            yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int32()), pa.array([packed(v) for v in sums.values()], pa.binary())], ["chunk", "counts"])
 
     dealt = rows.where("chunk is not null").select("chunk", "counts").repartition("chunk")
-    out = np.zeros((2 * width // step, step), dtype=np.int32)
+    out = np.zeros((width // step, step), dtype=np.int32)
     for r in dealt.mapInArrow(add, "chunk int, counts binary").collect():
-        out[r["chunk"]] = np.frombuffer(r["counts"], dtype=np.int32)
-    return out.reshape(2, width)
+        out[r["chunk"]] = np.minimum(unpacked(r["counts"]), (1 << 31) - 1)
+    return out.reshape(width)
 
 
 def signed(docs: DataFrame, counts: np.ndarray, frequent: int, size: int, num: int, den: int) -> DataFrame:
     """From text: digest, key, n, parity and signatures of each text with words."""
-    tables = docs.sparkSession.sparkContext.broadcast(counts)
-    width = counts.shape[1]
+    table, width = docs.sparkSession.sparkContext.broadcast(counts), len(counts)
 
     def sign(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        hashes = WordHashes()
         for pdf in batches:
             out = []
             for text in pdf["text"]:
-                x = shingle_set(text, size, hashes)
+                x = shingle_set(text, size)
                 if len(x):
-                    one, two = counters(x, width)
-                    found = prefix_signatures(x, np.minimum(tables.value[0][one], tables.value[1][two]), frequent, num, den)
+                    found = prefix_signatures(x, table.value[counters(x, width)], frequent, num, den)
                     digest = hashlib.blake2b(x.tobytes(), digest_size=16).digest()
                     out.append((digest, key_of(digest), len(x), parity(x), found.view(np.int64)))
             yield pd.DataFrame(out, columns=["digest", "key", "n", "parity", "signatures"])
@@ -199,9 +201,9 @@ def signed(docs: DataFrame, counts: np.ndarray, frequent: int, size: int, num: i
 def buckets(signatures: DataFrame) -> DataFrame:
     """bucket, key, members from signatures(key, signatures), which may repeat keys:
     signatures that several keys have, one of those with the same keys."""
-    rows = signatures.select("key", F.explode("signatures").alias("bucket"))
-    several = rows.groupBy("bucket").agg(F.min("key").alias("lo"), F.max("key").alias("hi")).where("lo <> hi").select("bucket")
-    held = stored(rows.join(stored(several, "shared-signatures"), "bucket").distinct(), "held")
+    rows, same = signatures.select("key", F.explode("signatures").alias("bucket")), W.partitionBy("bucket")
+    several = rows.select("bucket", "key", F.min("key").over(same).alias("lo"), F.max("key").over(same).alias("hi")).where("lo <> hi")
+    held = stored(several.select("bucket", "key").distinct(), "held")  # one shuffle, by bucket; a text has many
     whole = held.groupBy("bucket").agg(F.min("key").alias("lo"), F.count(F.lit(1)).alias("members"), F.bit_xor(F.xxhash64("key")).alias("x"), F.bit_xor(F.xxhash64(F.lit("other"), "key")).alias("y"))
     alike = whole.groupBy("lo", "members", "x", "y").agg(F.min("bucket").alias("bucket"))
     return held.join(stored(alike.select("bucket", "members"), "alike"), "bucket").select("bucket", "key", "members")
@@ -228,7 +230,7 @@ def similar_sets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     source = bounded_batches(docs).select(row_key(), F.col(id_col).alias("_id"), F.xxhash64(F.col(id_col), F.col(text_col)).alias("_rk"), F.col(text_col).cast("string").alias("text"))
     table = stored(described(source, id_type, shingle, width), "described")
     counts = class_counts(table, width)
-    often = max(frequent, int(4 * counts[0].astype(np.int64).sum() / width))
+    often = max(frequent, int(4 * counts.astype(np.int64).sum() / width))
     rows = table.where("chunk is null").select("_row", "_id", "_rk", "n_shingles", "digest", "key")
     lowest = F.min(F.struct(F.col("_id").isNull().alias("none"), F.col("_id").alias("id")))
     nodes = stored(rows.where("n_shingles > 0").groupBy("digest").agg(F.min("_row").alias("node"), lowest.alias("low"), F.min_by("_rk", "_row").alias("_rk"), F.first("key").alias("key")), "nodes")
