@@ -120,8 +120,9 @@ def _settle(rows: DataFrame, digests: Sequence[Callable[[Column], Column]], dept
     flushed = worked.select((F.spark_partition_id() % GENERATIONS).alias("gen"), "_row", "_id", "n_points", "digest", F.unhex(F.sha2("norm", 256)).alias("sha"))
     memtables = stored(flushed.sortWithinPartitions("digest"), f"memtables-{depth}")
     index, hits = index_of(memtables)
-    # texts are probed on the scan; hits grow with the corpus and are never broadcast
-    texts = probed(worked.select("digest", "norm"), hits, "digest").join(hits.hint("merge"), "digest", "left_semi").groupBy("digest").agg(F.min("norm").alias("low"), F.max("norm").alias("high"))
+    # texts are probed on the scan, and hits, which grow with the corpus, are never broadcast; an
+    # inner join with the distinct hits, as the planner would move a semi join below the probe
+    texts = probed(worked.select("digest", "norm"), hits, "digest").join(hits.hint("merge"), "digest").groupBy("digest").agg(F.min("norm").alias("low"), F.max("norm").alias("high"))
     clash = stored(texts.where("low <> high").select("digest"), f"clash-{depth}")
     kept = index.select("digest", F.col("best._row").alias("keep_row"), F.col("best._id").alias("keep_id"), F.col("n_rows").alias("group_size"))
     placed = memtables.join(kept, "digest").select("_row", "_id", "keep_row", "keep_id", "group_size", "sha", "digest")
