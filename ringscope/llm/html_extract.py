@@ -6,12 +6,14 @@ score for main text and for other matter from features of its ancestors and its
 and a score for each pair of neighbouring labels; Viterbi decoding picks the labels of
 a page together.
 
-The corpus has no page labels, so the field is trained on PAGES labelled pages of eight
+The corpus has no page labels, so the field is trained on PAGES labelled pages of nine
 kinds (training_pages). The fitted weights, a few hundred numbers, travel with the task.
 
 A page is read once from left to right, in time that grows with its length, whatever
 its markup. Elements without end tags end where HTML implies it. A tag whose quotes don't
-close is read to the next > from there on.
+close is read to the next >; after TRIES such tags quotes count no more on that page.
+Character references are decoded in each piece of text, so none arises across a tag.
+Elements with a hidden attribute or display: none are left out like scripts.
 """
 
 from __future__ import annotations
@@ -30,8 +32,10 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from . import training_pages
 from .common import bounded_batches, read
 
-PAGES = 240
+PAGES = 324
 SEED = 7
+#: Tags of a page whose quotes are searched for to its end in vain.
+TRIES = 16
 
 #: HTML's elements by how they shape text.
 BLOCK = frozenset("address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form frameset h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol optgroup option p pre section select summary table tbody td tfoot th thead title tr ul".split())
@@ -68,9 +72,17 @@ _hint = {w: k for k, words in HINTS.items() for w in words.split()}
 _loose = re.compile(r"</?([a-zA-Z][^\s/>]*)([^>]*)>")
 _tag = re.compile(r"</?([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*+)>")
 _attr = re.compile(r"\b(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
+_unseen = re.compile(r"(?:^|[\s\"'])hidden(?=[\s=/]|$)|\bstyle\s*=\s*(?:\"[^\"]*\bdisplay\s*:\s*none\b|'[^']*\bdisplay\s*:\s*none\b|display:none)", re.I)
+_quoted = re.compile(r"\"[^\"]*\"|'[^']*'")
 _name = re.compile(r"[a-z]+")
 
 
+def unseen(attributes: str) -> bool:
+    """Whether an element of these attributes is hidden by hidden or display: none."""
+    found = _unseen.search(attributes)
+    return bool(found) and (not found[0].lower().endswith("hidden") or bool(_unseen.search(_quoted.sub('""', attributes))))
+
+
 def foreign_end(page: str, at: int, name: str) -> int:
     """Where an svg or math that begins before at ends: after its end tag, or at the first
     element that HTML does not allow in it."""
@@ -106,13 +118,16 @@ def leaf_blocks(page: str) -> list[Block]:
     # of each open element: name, marks, whether hidden, the block element it is or lies in
     stack: list[tuple[str, frozenset, bool, str]] = [("", frozenset(), False, "")]
     opened: Counter = Counter()
+    # places in the stack of open elements that bound ENDS, and of those that ENDS may end
+    scopes: list[int] = []
+    ended: dict[str, list[int]] = {"select": [], "button": []}
     parts: list[str] = []
     linked = 0
-    at, n, pattern, last = 0, len(page), _tag, page.rfind(">")
+    at, n, last, vain = 0, len(page), page.rfind(">"), 0
 
     def close_block() -> None:
         nonlocal linked
-        text = " ".join(entities.unescape("".join(parts)).split())
+        text = " ".join("".join(parts).split())
         if text:
             found.append(Block(text, stack[-1][1] | {"tag:" + stack[-1][3]}, linked))
         parts.clear()
@@ -121,20 +136,19 @@ def leaf_blocks(page: str) -> list[Block]:
     def pop() -> str:
         name = stack.pop()[0]
         opened[name] -= 1
+        for places in (scopes, ended.get(name, ())):
+            if places and places[-1] == len(stack):
+                places.pop()
         return name
 
     def end_ended_by(name: str) -> bool:
         """Ends a select or button that name ends; whether it was a select in a select."""
-        if not any(opened[x] for x in ENDS[name]):
+        place = max((ended[x][-1] for x in ENDS[name] if ended[x]), default=0)
+        if not place or scopes and scopes[-1] > place:
             return False
-        for k in range(len(stack) - 1, 0, -1):
-            if stack[k][0] in SCOPE:
-                return False
-            if stack[k][0] in ENDS[name]:
-                while len(stack) > k:
-                    pop()
-                return name == "select"
-        return False
+        while len(stack) > place:
+            pop()
+        return name == "select"
 
     while at < n:
         lt = page.find("<", at)
@@ -143,7 +157,7 @@ def leaf_blocks(page: str) -> list[Block]:
         if lt > at and stack[-1][0] == "head" and not page[at:lt].isspace():
             pop()
         if lt > at and not stack[-1][2]:
-            piece = page[at:lt]
+            piece = entities.unescape(page[at:lt])
             parts.append(piece)
             if opened["a"]:
                 linked += len(piece)
@@ -158,10 +172,10 @@ def leaf_blocks(page: str) -> list[Block]:
             at = n if end < 0 else end + 1
             continue
         begins = page[lt + 1 : lt + 2].isalpha() or page[lt + 1 : lt + 2] == "/" and page[lt + 2 : lt + 3].isalpha()
-        m = pattern.match(page, lt) if begins and lt < last else None
-        if m is None and begins and lt < last:  # quotes that don't close: each try would read to the end
-            pattern = _loose
-            m = pattern.match(page, lt)
+        m = _tag.match(page, lt) if begins and lt < last and vain < TRIES else None
+        if m is None and begins and lt < last:  # quotes that don't close: each try reads to the end
+            vain += 1
+            m = _loose.match(page, lt)
         if m is None:
             if not stack[-1][2]:
                 parts.append("<")
@@ -199,19 +213,28 @@ def leaf_blocks(page: str) -> list[Block]:
         marks = stack[-1][1]
         own = {f"in:{name}"} if name in ANCESTORS else set()
         own |= {f"hint:{_hint[w]}" for w in words if w in _hint}
-        stack.append((name, marks | own if own else marks, stack[-1][2] or name in HIDDEN, name if name in BLOCK else stack[-1][3]))
+        for places in ((scopes,) if name in SCOPE else ()) + ((ended[name],) if name in ended else ()):
+            places.append(len(stack))
+        out_of_sight = stack[-1][2] or name in HIDDEN or bool(m[2]) and unseen(m[2])
+        stack.append((name, marks | own if own else marks, out_of_sight, name if name in BLOCK else stack[-1][3]))
         opened[name] += 1
     close_block()
     return found
 
 
+#: Marks of elements that pages put their main text in.
+ROOM = frozenset(("in:article", "in:main", "hint:main"))
+
+
 def features(blocks: list[Block]) -> list[list[str]]:
     out = []
+    rooms = [bool(ROOM & b.marks) for b in blocks]
+    somewhere = any(rooms)
     for k, b in enumerate(blocks):
         words = b.text.count(" ") + 1
         share = b.linked / max(1, len(b.text))
         out.append([
-            "bias", *sorted(b.marks), f"words:{sum(words > x for x in (3, 10, 30))}", f"links:{sum(share > x for x in (0, 0.3, 0.7))}",
+            "bias", *sorted(b.marks), f"room:{'here' if rooms[k] else 'elsewhere' if somewhere else 'none'}", f"words:{sum(words > x for x in (3, 10, 30))}", f"links:{sum(share > x for x in (0, 0.3, 0.7))}",
             f"stop:{b.text[-1] in '.!?…:;。'}", f"sign:{b.text[0] in '©®|»›•'}", f"first:{k == 0}", f"last:{k == len(blocks) - 1}",
         ])
     return out

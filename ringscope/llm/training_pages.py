@@ -1,8 +1,8 @@
 """Labelled pages for the main-text field, written from a fixed seed.
 
-No labelled pages come with the corpus, so these stand in: eight kinds of page after
+No labelled pages come with the corpus, so these stand in: nine kinds of page after
 public habits of writing HTML (weblog, newspaper, reference work, manual, table layout of
-the nineties, forum, shop, bare text), each with its own frame, class names and way of
+the nineties, forum, shop, bare text, paragraphs alone), each with its own frame, class names and way of
 nesting. Texts are made of random syllables, so that only structure and the form of a
 text can be learnt. A kind can be left out, to test the field on a kind it has not seen.
 """
@@ -11,7 +11,7 @@ from __future__ import annotations
 
 import random
 
-KINDS = ("weblog", "news", "reference", "manual", "tables", "forum", "shop", "bare")
+KINDS = ("weblog", "news", "reference", "manual", "tables", "forum", "shop", "bare", "plain")
 
 
 class Writer:
@@ -90,11 +90,11 @@ class Writer:
         return f"<form action=/{name} class={name}><label>{self.words(1, 4)}</label><input name=q>{self.maybe(0.5, lambda: f'<p>{self.words(3, 15)}</p>')}<button>ok</button></form>"
 
     def replies(self) -> str:
-        one = lambda: self.rng.choice([f"<li class=comment><cite>{self.words(1, 2)}</cite><p>{self.prose(3)}</p></li>", f"<div class='comment reply'><span>{self.words(1, 3)}</span><div>{self.prose(3)}</div></div>"])
-        return f"<{(t := self.rng.choice(['section', 'div', 'ol']))} id=comments>{self.maybe(0.6, lambda: f'<h3>{self.words(1, 4)}</h3>')}{self.some(one, 1, 6)}{self.maybe(0.4, self.form)}</{t}>"
+        one = lambda: self.rng.choice([f"<p>{self.prose(2)}</p>", f"<div>{self.prose(2)}</div>", f"<li class=comment><cite>{self.words(1, 2)}</cite><p>{self.prose(3)}</p></li>", f"<div class='comment reply'><span>{self.words(1, 3)}</span><div>{self.prose(3)}</div></div>"])
+        return f"<{(t := self.rng.choice(['section', 'div', 'ol']))} id=comments>{self.maybe(0.6, lambda: f'<h3>{self.words(1, 4)}</h3>')}{self.some(one, 1, self.rng.choice([1, 6]))}{self.maybe(0.4, self.form)}</{t}>"
 
     def legal(self) -> str:
-        return self.rng.choice(["&copy; ", "© ", "Copyright "]) + self.words(2, 14) + self.rng.choice(["", ".", " " + self.link(1, 2)])
+        return self.rng.choice(["&copy; ", "© ", "Copyright ", "", ""]) + self.words(1, 14) + self.rng.choice(["", ".", " " + self.link(1, 2)])
 
     def weblog(self) -> str:
         top = f"<div class=site-header><p class=site-title>{self.link()}</p>{self.maybe(0.5, lambda: f'<p>{self.words(3, 9)}</p>')}</div><div id=access role=navigation>{self.links(self.rng.choice(['ul', 'line']))}</div>"
@@ -139,6 +139,14 @@ class Writer:
         text = f"{self.maybe(0.5, lambda: f'<h1>{self.own(self.words(1, 8))}</h1>')}{self.body()}"
         return self.rng.choice([f"<html><body>{text}</body></html>", text, f"<body><article>{text}</article>", f"<main>{text}</main>"])
 
+    def plain(self) -> str:
+        """Paragraphs and nothing else, or next to nothing."""
+        wrap = self.rng.choice(["{}", *["<html><body>{}</body></html>", "<body>{}"] * 3, "<div>{}</div>", "<table><tr><td>{}</td></tr></table>", "<article>{}</article>", "<html><head><title>t</title></head><body>{}</body></html>"])
+        tag = self.rng.choice(["p", "p", "p", "div"])
+        text = self.some(lambda: f"<{tag}>{self.own(self.prose())}</{tag}>", 1, self.rng.choice([1, 1, 2, 4, 12, 30]))
+        after = self.rng.choice([lambda: "", lambda: "", lambda: f"<footer>{self.legal()}</footer>", self.replies, lambda: f"<nav>{self.links('line')}</nav>"])
+        return wrap.format(self.maybe(0.3, lambda: f"<h1>{self.own(self.words(1, 8))}</h1>") + text) + after()
+
 
 def written(n: int, seed: int, kinds: tuple[str, ...] = KINDS) -> list[tuple[str, set[str]]]:
     """n pages and the texts of their main blocks, the kinds by turns."""

@@ -50,6 +50,10 @@ def lip(graph: Graph) -> DataFrame:
     return sweeps.lip(graph).select("g", "node", F.lit(0).cast("long").alias("c"), "x")
 
 
+#: Shares of the best gain from which on flips are tried together.
+SHARES = (0.9, 0.5, 0.1, 0.0)
+
+
 def _verdict(rows: DataFrame) -> tuple[DataFrame, int, int]:
     """rows(g, up, open, ...) as a table, with the numbers of graphs that rose and of those
     in which a move still gains, which the write itself counts."""
@@ -64,48 +68,57 @@ def flipped(graph: Graph, start: DataFrame, objective: Callable[[], Column]) ->
     sweeps.prefixes.
 
     Every node keeps s, its weight into the core. A round takes the exact gains of all
-    single flips from it and makes two trials: all flips of a gain near the best, and the
-    best flip alone; the better is kept. s changes by the edges of the flipped nodes only,
-    no other edge is joined. The best flip alone raises the objective, so every round does,
-    in each graph in which a flip gains; where many at once were worse than one, fewer are
-    tried."""
+    single flips from it and tries several sets of them at once: all that gain, those of a
+    gain of a tenth, a half and nine tenths of the best, and the best alone; the set that
+    raises the objective most is kept. s changes by the edges of the flipped nodes only, no
+    other edge is joined. The best flip alone raises the objective, so every round does, in
+    each graph in which a flip gains."""
     loops = graph.self_loops().withColumnRenamed("w", "loop")
     held = graph.degree().join(loops, ["g", "node"], "left").fillna(0.0, ["loop"])
     state = start.select("g", "node", F.col("x").cast("int").alias("x")).join(graph.times(start, "x", "s"), ["g", "node"]).join(held, ["g", "node"])
-    state = settled(state.withColumn("near", F.lit(0.5)))
+    state, after, verdict = settled(state), None, None
+    sets = range(len(SHARES) + 1)
 
-    def sums(rows: DataFrame, x: str, s: str, *keep: Column) -> DataFrame:
+    def sums(rows: DataFrame, x: str, s: str, *by: str) -> DataFrame:
         cc, xd = F.sum(F.col(x) * F.col(s)) / 2, F.sum(F.col(x) * F.col("d"))
-        return rows.groupBy("g").agg(F.count(F.lit(1)).cast("double").alias("n"), F.sum(x).cast("double").alias("i"), (F.sum("d") / 2).alias("m"), cc.alias("cc"), (xd - cc).alias("touch"), *keep)
+        return rows.groupBy("g", *by).agg(F.count(F.lit(1)).cast("double").alias("n"), F.sum(x).cast("double").alias("i"), (F.sum("d") / 2).alias("m"), cc.alias("cc"), (xd - cc).alias("touch"))
+
+    def pick(value: Callable[[int], Column], at: Column) -> Column:
+        """value of the set numbered `at`."""
+        out = value(0)
+        for t in sets[1:]:
+            out = F.when(at == t, value(t)).otherwise(out)
+        return out
 
     while True:
-        now = settled(sums(state, "x", "s").withColumn("q", objective()))
+        now = sums(state, "x", "s").withColumn("q", objective())
         here = state.join(graph.each(now.withColumnsRenamed({c: f"_{c}" for c in ("i", "cc", "touch")})), "g")
         sign, half = 1 - 2 * F.col("x"), F.col("loop") / 2
         others = F.col("s") - F.col("loop") * F.col("x")
         here = here.withColumn("i", F.col("_i") + sign).withColumn("cc", F.col("_cc") + sign * (others + half)).withColumn("touch", F.col("_touch") + sign * (F.col("d") - F.col("loop") - others + half))
-        gains = here.select("g", "node", "x", "s", "d", "loop", "near", (objective() - F.col("q")).alias("gain"))
+        gains = settled(here.select("g", "node", "x", "s", "d", "loop", "q", (objective() - F.col("q")).alias("gain")))
         top = gains.groupBy("g").agg(F.max("gain").alias("top"), F.max_by("node", F.struct("gain", -F.col("node"))).alias("best"))
-        many, one = (F.col("gain") > 1e-12) & (F.col("gain") >= F.col("near") * F.col("top")), (F.col("gain") > 1e-12) & (F.col("node") == F.col("best"))
-        marked = settled(gains.join(graph.each(top), "g").select("g", "node", "x", "s", "d", "loop", "near", many.alias("many"), one.alias("one")))
-        turned = marked.where("many or one").select("g", F.col("node").alias("src"), *[(F.col(c).cast("int") * (1 - 2 * F.col("x"))).alias(c) for c in ("many", "one")])
-        moved = graph.edges.join(turned, ["g", "src"]).groupBy("g", F.col("dst").alias("node")).agg(F.sum(F.col("w") * F.col("many")).alias("dm"), F.sum(F.col("w") * F.col("one")).alias("do"))
-        after = marked.join(moved, ["g", "node"], "left").fillna(0.0, ["dm", "do"])
-        after = after.select("g", "node", "x", "s", "d", "loop", "near", *[F.when(F.col(c), 1 - F.col("x")).otherwise(F.col("x")).alias(f"x_{c}") for c in ("many", "one")], (F.col("s") + F.col("dm")).alias("s_many"), (F.col("s") + F.col("do")).alias("s_one"))
-        after = settled(after)
-        tried = [sums(after, f"x_{c}", f"s_{c}").select("g", objective().alias(f"q_{c}")) for c in ("many", "one")]
-        both = now.select("g", "q").join(tried[0], "g").join(tried[1], "g")
-        up = F.greatest("q_many", "q_one") > F.col("q") + 1e-12
-        verdict, rose, _ = _verdict(both.select("g", up.alias("up"), F.lit(False).alias("open"), (F.col("q_many") >= F.col("q_one")).alias("most")))
+        gain = F.col("gain")
+        least = F.when(gain < 1e-12, F.lit(len(SHARES) + 1)).when(F.col("node") == F.col("best"), 0)
+        for t, share in enumerate(SHARES):  # set 0 is the best flip alone; set t has all from SHARES[t - 1] of its gain
+            least = least.when(gain >= share * F.col("top"), t + 1)
+        marked = gains.join(graph.each(top), "g").withColumn("least", least)
+        turned = marked.where(F.col("least") <= len(SHARES)).select("g", F.col("node").alias("src"), "least", (1 - 2 * F.col("x")).alias("turn"))
+        moved = graph.edges.join(turned, ["g", "src"]).groupBy("g", F.col("dst").alias("node")).agg(*[F.sum(F.when(F.col("least") <= t, F.col("w") * F.col("turn")).otherwise(0.0)).alias(f"d{t}") for t in sets])
+        tried = marked.join(moved, ["g", "node"], "left").fillna(0.0, [f"d{t}" for t in sets])
+        tried = tried.select("g", "node", "x", "s", "d", "loop", "q", *[F.when(F.col("least") <= t, 1 - F.col("x")).otherwise(F.col("x")).alias(f"x{t}") for t in sets], *[(F.col("s") + F.col(f"d{t}")).alias(f"s{t}") for t in sets])
+        discard(after)
+        after = settled(tried)
+        discard(gains)
+        each = F.explode(F.array(*[F.struct(F.lit(t).alias("t"), F.col(f"x{t}").alias("x"), F.col(f"s{t}").alias("s")) for t in sets])).alias("e")
+        values = sums(after.select("g", "d", "q", each).select("g", "d", "q", "e.*"), "x", "s", "t", "q").withColumn("value", objective())
+        both = values.groupBy("g", "q").agg(F.max("value").alias("most"), F.max_by("t", F.struct("value", "t")).alias("at"))
+        discard(verdict)
+        verdict, rose, _ = _verdict(both.select("g", (F.col("most") > F.col("q") + 1e-12).alias("up"), F.lit(False).alias("open"), "at"))
         if not rose:
-            done = settled(after.select("g", "node", "x").join(graph.each(now.select("g", "q")), "g"))
-            discard(state, marked, after)
-            return done
-        chosen = lambda c: F.when(~F.col("up"), F.col(c)).when(F.col("most"), F.col(f"{c}_many")).otherwise(F.col(f"{c}_one")).alias(c)
-        near = F.when(F.col("most"), F.greatest(F.lit(0.3), F.col("near") - 0.1)).otherwise(1 - (1 - F.col("near")) / 3)
-        kept = settled(after.join(graph.each(verdict), "g").select("g", "node", chosen("x"), chosen("s"), "d", "loop", near.alias("near")))
-        discard(state, now, marked, after, verdict)
-        state = kept
+            return settled(after.select("g", "node", "x", "q"))
+        chosen = lambda c: F.when(F.col("up"), pick(lambda t: F.col(f"{c}{t}"), F.col("at"))).otherwise(F.col(c)).alias(c)
+        state = after.join(graph.each(verdict), "g").select("g", "node", chosen("x"), chosen("s"), "d", "loop")
 
 
 def _sweep_search(graph: Graph, objective: Callable[[], Column], toward: str, runs: int, seed: int, rounds: int) -> DataFrame:
