@@ -20,10 +20,8 @@ import json
 import re
 import sys
 import unicodedata
-from collections import defaultdict
 from collections.abc import Iterable, Iterator
 from functools import cache
-from itertools import count, islice
 
 import numpy as np
 import pandas as pd
@@ -45,10 +43,21 @@ def byte_letters() -> dict[int, str]:
     return {b: chr(b) for b in shown} | {b: chr(256 + i) for i, b in enumerate(hidden)}
 
 
+#: Letters and numbers that Unicode 16 added, which Python's own tables may not have.
+NEWER = {
+    "L": "1C89-1C8A A7CB-A7CD A7DA-A7DC 105C0-105F3 10D4A-10D65 10D6F-10D85 10EC2-10EC4 11380-11389 1138B 1138E 11390-113B5 113B7 113D1 113D3 11BC0-11BE0 13460-143FA 16100-1611D 16D40-16D6C 18CFF 1E5D0-1E5ED 1E5F0",
+    "N": "10D40-10D49 116D0-116E3 11BF0-11BF9 16130-16139 16D70-16D79 1CCF0-1CCF9 1E5F1-1E5FA",
+}
+#: First capital, last capital and first small letter of what Unicode 16 and 17 added.
+NEWER_CASES = "1C89 1C89 1C8A, A7CB A7CB 264, A7CC A7CC A7CD, A7CE A7CE A7CF, A7D2 A7D2 A7D3, A7D4 A7D4 A7D5, A7DA A7DA A7DB, A7DC A7DC 19B, 10D50 10D65 10D70, 16EA0 16EB8 16EBB"
+_small = {c: int(to, 16) + c - int(a, 16) for a, z, to in map(str.split, NEWER_CASES.split(",")) for c in range(int(a, 16), int(z, 16) + 1)}
+
+
 @cache
 def category_class(kind: str, last: int = sys.maxunicode) -> str:
     """A character class body of the code points whose general category begins with kind."""
-    points = [c for c in range(last + 1) if unicodedata.category(chr(c))[0] == kind]
+    newer = {c for r in NEWER.get(kind, "").split() for a, z in [r.split("-") if "-" in r else (r, r)] for c in range(int(a, 16), int(z, 16) + 1)}
+    points = [c for c in range(last + 1) if unicodedata.category(chr(c))[0] == kind or c in newer]
     cuts = [0, *(k for k in range(1, len(points)) if points[k] != points[k - 1] + 1), len(points)]
     return "".join(f"\\U{points[i]:08x}-\\U{points[j - 1]:08x}" for i, j in zip(cuts, cuts[1:], strict=False))
 
@@ -140,7 +149,7 @@ class Vocabulary:
         if text.isascii():
             return ascii_.findall(text.lower() if self.lower else text)
         if self.lower:
-            text = unicodedata.normalize("NFC", text).replace("Σ", "σ").lower()
+            text = unicodedata.normalize("NFC", text).replace("Σ", "σ").lower().translate(_small)
         return (short if not text or max(text) <= "\uffff" else every).findall(text)
 
     def encode_words(self, words: list[str]) -> tuple[np.ndarray, list[int]]:
@@ -259,73 +268,6 @@ def gathered(values: np.ndarray, begin: np.ndarray, size: np.ndarray) -> np.ndar
     return values[np.repeat(begin - (ends - size), size) + np.arange(ends[-1] if len(ends) else 0)]
 
 
-class UnitMemory:
-    """Ids of the units that a worker has met. Each unit has a number, and a text is an
-    array of numbers until its ids are gathered, so that it is cut only once. Above
-    MEMORY units, those that the last texts don't hold twice are forgotten."""
-
-    def __init__(self, vocabulary: Vocabulary):
-        self.vocabulary = vocabulary
-        self.numbers: dict[str, int] = defaultdict(count().__next__)
-        self.ids = np.zeros(0, dtype=np.int32)
-        self.begin = self.size = np.zeros(0, dtype=np.int64)
-
-    def encode(self, texts: Iterable[str]) -> Iterator[np.ndarray]:
-        """The ids of each text."""
-        number, known = self.numbers.__getitem__, len(self.begin)
-        coded = [np.fromiter(map(number, self.vocabulary.units(t)), dtype=np.int32) for t in texts]
-        self._learn(known)
-        for units in coded:
-            yield gathered(self.ids, self.begin[units], self.size[units])
-        if len(self.numbers) > MEMORY:
-            self._forget(np.bincount(np.concatenate(coded), minlength=len(self.numbers)) < 2)
-
-    def _learn(self, known: int) -> None:
-        """Lays down the ids of the units numbered from known on. The words of a unit are
-        units of their own, too."""
-        number, words, spaced = self.numbers, self.vocabulary.words, not self.vocabulary.lower
-        new = list(islice(number, known, None))
-        split, parts, lengths = [], [], []
-        for k, u in enumerate(new, known):
-            if spaced and u[1:].isalpha() and u[0] == " ":
-                continue
-            own = words(u)
-            if len(own) != 1 or own[0] != u:
-                split.append(k)
-                lengths.append(len(own))
-                parts.extend([number[w] for w in own])
-        new.extend(islice(number, known + len(new), None))
-        for k in split:
-            new[k - known] = ""
-        special = self.vocabulary.special
-        marked = [(k, special[u]) for k, u in enumerate(new, known) if u in special]
-        for k, _ in marked:
-            new[k - known] = ""
-        ids, bounds = self.vocabulary.encode_words(new)
-        bounds = np.array(bounds, dtype=np.int64)
-        self.begin = np.append(self.begin, bounds[:-1] + len(self.ids))
-        self.size = np.append(self.size, np.diff(bounds))
-        self.ids = np.append(self.ids, ids)
-        for k, i in marked:
-            self.begin[k], self.size[k] = len(self.ids), 1
-            self.ids = np.append(self.ids, np.int32(i))
-        if split:
-            made = gathered(self.ids, self.begin[parts], self.size[parts])
-            sums = np.append(0, np.cumsum(self.size[parts]))
-            ends = np.cumsum(lengths)
-            self.begin[split] = sums[ends - lengths] + len(self.ids)
-            self.size[split] = sums[ends] - sums[ends - lengths]
-            self.ids = np.append(self.ids, made)
-
-    def _forget(self, gone: np.ndarray) -> None:
-        kept = np.flatnonzero(~gone)
-        units = list(self.numbers)
-        self.ids = gathered(self.ids, self.begin[kept], self.size[kept])
-        self.size = self.size[kept]
-        self.begin = np.cumsum(self.size) - self.size
-        self.numbers = defaultdict(count(len(kept)).__next__, {units[k]: j for j, k in enumerate(kept.tolist())})
-
-
 def stretches(batches: Iterator[pd.DataFrame], text_col: str, most: int = STRETCH) -> Iterator[pd.DataFrame]:
     """Batches cut so that a stretch has about `most` characters (or is one row)."""
     for pdf in batches:
@@ -356,17 +298,6 @@ def opened(source: bytes) -> Vocabulary:
     return _vocabularies[key]
 
 
-_unit_memories: dict[str, UnitMemory] = {}
-
-
-def unit_memory(source: bytes) -> UnitMemory:
-    """The worker's memory of units, which its later tasks go on with."""
-    key = hashlib.sha1(source).hexdigest()
-    if key not in _unit_memories:
-        _unit_memories[key] = UnitMemory(opened(source))
-    return _unit_memories[key]
-
-
 def encode_decode(docs: DataFrame, source: bytes, id_col: str = "doc_id", text_col: str = "text", with_ids: bool = False) -> DataFrame:
     """One row per input row: id, n_tokens, ids_sha256, decoded_sha256 and, with_ids, the
     ids themselves and the decoded text. A null text counts as empty and has no tokens.
