@@ -38,7 +38,6 @@ ISLANDS = 2
 EPOCHS = 2
 GENERATIONS = 5
 POPULATION = 4
-LEVELS = 4
 #: Bins with at most so many free tokens are not opened again at the next level.
 SPARE = 8
 #: Fixed value: the words that byte-level vocabularies of this kind are cut into.
@@ -312,7 +311,7 @@ def pack_level(items: DataFrame, n: int, level: int, capacity: int = CAPACITY, b
 
     placed = best.join(held.select("block", F.transform("items", lambda x: x.length).alias("lengths")), "block").mapInPandas(place, "block long, best array<int>, offsets array<long>, fills array<long>")
     out = held.join(placed, "block").select("block", F.explode_outer(F.arrays_zip("items", "best", "offsets", "fills")).alias("z"))
-    number = (F.lit(level).cast("long") * F.lit(1 << 58)) + F.col("block") * F.lit(1 << 20) + F.col("z.best")
+    number = F.lit(level).cast("long") * F.lit(1 << 54) + F.col("block") * F.lit(1 << 20) + F.col("z.best")
     return out.select(F.col("z.items._u").alias("_u"), F.col("z.items.length").alias("length"), F.col("z.items.rest").alias("rest"), number.alias("sequence_id"), F.col("z.offsets").alias("offset"), F.col("z.fills").alias("fill"))
 
 
@@ -327,17 +326,16 @@ def pack_documents(docs: DataFrame, source: bytes, id_col: str = "doc_id", text_
     left = cut.where(F.col("length") < capacity).select("_u", "length", rest)
     out = whole
     n = left.count()
-    for level in range(LEVELS):
-        if not n:
-            break
+    level = 0
+    while n:
         packed = stored(pack_level(left, n, level, capacity, block), f"packed-{level}")
-        last = n <= block or level == LEVELS - 1
-        closed = packed if last else packed.where(F.col("fill") >= capacity - SPARE)
+        poor = packed.where(F.col("fill") < capacity - SPARE)
+        over = poor.count() if n > block else 0
+        closed = packed if over in (0, n) else packed.where(F.col("fill") >= capacity - SPARE)
         out = out.unionByName(closed.drop("fill"))
-        if last:
+        if over in (0, n):  # one block, all bins well filled, or none
             break
-        left = packed.where(F.col("fill") < capacity - SPARE).select("_u", "length", "rest")
-        n = left.count()
+        left, n, level = poor.select("_u", "length", "rest"), over, level + 1
     return out.select(F.col("rest._id").alias(id_col), "rest.piece", "rest.start", "length", "rest.ids_crc32", "sequence_id", "offset")
 
 
