@@ -24,6 +24,7 @@ import gzip
 import hashlib
 import io
 from collections.abc import Iterable, Iterator, Sequence
+from urllib.parse import unquote_plus
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
@@ -36,6 +37,8 @@ ARCHIVE_BYTES, RECORDS_PER_FILE = 64 << 20, 10_000
 RANGE_ROWS = 200_000
 BASE32_FROM, BASE32_TO = "0123456789ABCDEFGHIJKLMNOPQRSTUV", "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"
 CRLF = "\r\n"
+#: Seconds from 1970 to the year 10000, which a WARC date can't name.
+LAST_SECOND = 253_402_300_800
 
 
 def base32_sha1(col) -> Column:
@@ -65,7 +68,7 @@ def classify(captures: DataFrame, min_bytes: int = 0) -> DataFrame:
     large = F.col("payload_bytes") >= min_bytes
     leads = F.col("_id").eqNullSafe(F.col("first_id")) & F.col("url").eqNullSafe(F.col("first_url"))
     responses = F.when(~large, F.col("n")).when(leads, F.lit(1)).otherwise(F.lit(0)).cast("long")
-    return stored(rows.join(groups, "digest", "left").select("_id", "url", "digest", "payload_bytes", "n", responses.alias("responses"), F.when(large, F.col("first_id")).alias("refers_to")), "typed")
+    return stored(rows.join(groups, "digest", "left").select("_id", "url", "digest", "payload_bytes", "n", responses.alias("responses"), F.when(large, F.col("first_id")).alias("refers_to"), F.when(large, F.col("first_url")).alias("refers_url")), "typed")
 
 
 def _header(name: str, value) -> Column:
@@ -74,31 +77,35 @@ def _header(name: str, value) -> Column:
 
 def write_warc(pages: DataFrame, path: str, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", min_bytes: int = 0, compression: str = "gzip") -> None:
     """One record per row of pages under path. A null html counts as empty, a null url
-    or id is written as an empty header. WARC-Date counts seconds from 1970 in UTC by a
-    whole number id, since the table has no dates. Other columns are not read."""
+    or id is written as an empty header; ids are percent-encoded, so that any text comes
+    back as it was. WARC-Date counts seconds from 1970 in UTC by a whole number id (modulo
+    the last date there is), since the table has no dates. A revisit refers to the record id
+    of its response. Other columns are not read."""
     source = pages.select(F.col(id_col).alias("_id"), F.col(url_col).cast("string").alias("url"), text_or_empty(html_col).alias("html"))
     source = source.withColumn("digest", base32_sha1(F.col("html").cast("binary")))
     typed = classify(source.select("_id", "url", "digest", F.octet_length("html").cast("long").alias("payload_bytes")), min_bytes)
     copies = lambda n: F.explode(F.sequence(F.lit(1), n.cast("int")))
-    revisits = typed.where("n > responses").select("_id", "url", "digest", "payload_bytes", "refers_to", F.lit("revisit").alias("record_type"), F.lit("").alias("html"), copies(F.col("n") - F.col("responses")).alias("copy"))
+    revisits = typed.where("n > responses").select("_id", "url", "digest", "payload_bytes", "refers_to", "refers_url", F.lit("revisit").alias("record_type"), F.lit("").alias("html"), copies(F.col("n") - F.col("responses")).alias("copy"))
     wanted = typed.where("responses > 0").select("digest", "_id", "url", "payload_bytes", "responses").alias("w")
     same = (F.col("s.digest") == F.col("w.digest")) & F.col("s._id").eqNullSafe(F.col("w._id")) & F.col("s.url").eqNullSafe(F.col("w.url"))
     found = source.alias("s").join(wanted, same).select("w.*", "s.html")
     once = found.dropDuplicates(["digest", "_id", "url"])  # equal captures bring equal payloads
-    refers = F.lit(None).cast(typed.schema["refers_to"].dataType).alias("refers_to")
-    responses = once.select("_id", "url", "digest", "payload_bytes", refers, F.lit("response").alias("record_type"), "html", copies(F.col("responses")).alias("copy"))
+    refers = [F.lit(None).cast(typed.schema[c].dataType).alias(c) for c in ("refers_to", "refers_url")]
+    responses = once.select("_id", "url", "digest", "payload_bytes", *refers, F.lit("response").alias("record_type"), "html", copies(F.col("responses")).alias("copy"))
     http = F.concat(F.lit(f"HTTP/1.1 200 OK{CRLF}Content-Type: text/html; charset=utf-8{CRLF}Content-Length: "), F.col("payload_bytes").cast("string"), F.lit(CRLF * 2))
     text = lambda c: F.coalesce(F.col(c).cast("string"), F.lit(""))
-    seconds = F.coalesce(F.try_to_number(text("_id"), F.lit("999999999999")), F.lit(0)).cast("long")
+    seconds = F.pmod(F.coalesce(F.col("_id").cast("string").try_cast("long"), F.lit(0)), F.lit(LAST_SECOND))
     clock = F.pmod(seconds, F.lit(86_400))
     date = F.concat(F.date_format(F.date_from_unix_date(F.floor(seconds / 86_400).cast("int")), "yyyy-MM-dd"), F.format_string("T%02d:%02d:%02dZ", F.floor(clock / 3600), F.floor(clock % 3600 / 60), clock % 60))
     rows = revisits.unionByName(responses).withColumn("date", date).withColumn("key", F.coalesce(url_key(F.col("url")), F.lit("")))
-    name = F.concat(F.lit("<urn:ringscope:capture:"), F.md5(F.to_json(F.struct("_id", "url", "digest"))), F.lit("-"), F.substring("record_type", 1, 3), F.col("copy").cast("string"), F.lit(">"))
+    urn = lambda page, url, kind, copy: F.concat(F.lit("<urn:ringscope:capture:"), F.md5(F.to_json(F.struct(F.col(page).alias("_id"), F.col(url).alias("url"), "digest"))), F.lit("-"), kind, copy, F.lit(">"))
+    name = urn("_id", "url", F.substring("record_type", 1, 3), F.col("copy").cast("string"))
+    response = urn("refers_to", "refers_url", F.lit("res"), F.lit("1"))
     record = F.concat(
         F.lit(f"WARC/1.1{CRLF}"), _header("WARC-Type", F.col("record_type")), _header("WARC-Record-ID", name),
         _header("WARC-Date", F.col("date")), _header("WARC-Target-URI", text("url")), _header("WARC-Payload-Digest", F.concat(F.lit("sha1:"), F.col("digest"))),
-        F.when(F.col("record_type") == "revisit", F.concat(_header("WARC-Profile", F.lit("http://netpreserve.org/warc/1.1/revisit/identical-payload-digest")), _header("WARC-Refers-To", F.concat(F.lit("<urn:ringscope:page:"), text("refers_to"), F.lit(">"))))).otherwise(F.lit("")),
-        _header("X-Page-Id", text("_id")), _header("Content-Type", F.lit("application/http; msgtype=response")), _header("Content-Length", F.octet_length("block").cast("string")),
+        F.when(F.col("record_type") == "revisit", F.concat(_header("WARC-Profile", F.lit("http://netpreserve.org/warc/1.1/revisit/identical-payload-digest")), _header("WARC-Refers-To", response), _header("X-Refers-To-Page-Id", F.url_encode(text("refers_to"))))).otherwise(F.lit("")),
+        _header("X-Page-Id", F.url_encode(text("_id"))), _header("Content-Type", F.lit("application/http; msgtype=response")), _header("Content-Length", F.octet_length("block").cast("string")),
         F.lit(CRLF), F.col("block"),
     )
     mean = typed.agg(F.sum(F.col("payload_bytes") * F.col("responses")) / F.sum("n")).first()[0] or 0
@@ -129,11 +136,12 @@ def parse_archive(stream) -> Iterator[tuple[dict[str, str], int, bytes]]:
         yield headers, start, block
 
 
-READ = "archive string, offset long, url string, date string, id_text string, record_type string, refers_text string, payload_bytes long, payload_digest string"
+READ = "archive string, offset long, record_id string, refers_to_record string, url string, date string, id_text string, record_type string, refers_text string, payload_bytes long, payload_digest string"
 
 
 def read_warc(spark: SparkSession, path: str, with_payload: bool = False) -> DataFrame:
-    """One row per record; refers_text is null for responses. Bytes and digest of responses are taken from the payload as
+    """One row per record; refers_text (the id of the page referred to) and refers_to_record
+    (its record id) are null for responses. Bytes and digest of responses are taken from the payload as
     read; a digest that differs from the header's is an error. Revisits state theirs."""
 
     def parse(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -150,8 +158,8 @@ def read_warc(spark: SparkSession, path: str, with_payload: bool = False) -> Dat
                             raise ValueError(f"payload of {name} at {at} is damaged")
                     else:
                         size = int(http.lower().split(b"content-length:")[1].split(b"\r\n")[0])
-                    refers = h["warc-refers-to"].removeprefix("<urn:ringscope:page:").removesuffix(">") if "warc-refers-to" in h else None
-                    row = (name, at, h["warc-target-uri"], h["warc-date"], h["x-page-id"], h["warc-type"], refers, size, digest)
+                    refers = unquote_plus(h["x-refers-to-page-id"]) if "x-refers-to-page-id" in h else None
+                    row = (name, at, h["warc-record-id"], h.get("warc-refers-to"), h["warc-target-uri"], h["warc-date"], unquote_plus(h["x-page-id"]), h["warc-type"], refers, size, digest)
                     rows.append((*row, payload.decode("utf-8", "replace")) if with_payload else row)
                     if len(rows) >= 2000:
                         yield pd.DataFrame(rows, columns=columns)

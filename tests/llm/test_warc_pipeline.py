@@ -49,11 +49,24 @@ def test_round_trip(spark, tmp_path, compression, least):
         assert (r.payload_bytes, r.payload_digest) == (len(data), base64.b32encode(hashlib.sha1(data).digest()).decode())
         assert r.record_type == ("revisit" if again else "response") and r.refers_text == (str(first[data]) if again else None)
         assert again or r.payload == (h or "")
+    by_record = {r.record_id: r for r in rows.values()}
+    assert len(by_record) == len(PAGES) and all(by_record[r.refers_to_record].id_text == r.refers_text for r in rows.values() if r.refers_text)
     index = warc.capture_index(spark, path).collect()
     ordered = [r.key for r in sorted(index, key=lambda r: (r.range_no, r.place))]
     assert ordered == sorted(ordered) and len(ordered) == len(PAGES) and "example,a)/x?q" in ordered
 
 
+def test_text_ids_and_large_ids_come_back(spark, tmp_path):
+    ids = [" a\tb\r\n ", "100%+1", "é", ""]
+    df = spark.createDataFrame([(i, "u", "same") for i in ids], "page_id string, url string, html string")
+    warc.write_warc(df, f"file://{tmp_path}/s")
+    assert sorted(r.id_text for r in warc.read_warc(spark, f"file://{tmp_path}/s").collect()) == sorted(ids)
+    big = [1_700_000_000, (1 << 62) + 1, -5]
+    warc.write_warc(spark.createDataFrame([(i, "u", str(i)) for i in big], "page_id long, url string, html string"), f"file://{tmp_path}/l")
+    rows = {int(r.id_text): r.date for r in warc.read_warc(spark, f"file://{tmp_path}/l").collect()}
+    assert set(rows) == set(big) and rows[1_700_000_000] == "2023-11-14T22:13:20Z" and len(set(rows.values())) == 3
+
+
 def test_damaged_archive(spark, tmp_path):
     (tmp_path / "x.warc").write_bytes(b"WARC/1.1\r\nWARC-Type: response\r\nContent-Length: 99\r\n\r\nshort")
     with pytest.raises(Exception, match="cut short"):
