@@ -14,6 +14,7 @@ import warnings
 from collections.abc import Callable
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Observation, functions as F
 
 from ..functions.scalar import rank_coreness
@@ -259,31 +260,48 @@ def km_config(graph: Graph, runs: int = 2, seed: int = 0, rounds: int | None = N
     return _km(graph, "km_config", scores.km_config, runs, seed, rounds)
 
 
-def communities(graph: Graph, seed: int = 0, levels: int = 3, rounds: int | None = None) -> DataFrame:
-    """Communities of high modularity: label switching, then on the contracted graph, as
-    long as it shrinks and gains."""
-    graph = graph.settled()
-    whole = settled(label_rounds(graph, "modularity", seed, rounds))
-    small = graph
-    for level in range(1, levels):
-        small = small.contracted(whole if level == 1 else upper).settled()
-        upper = settled(label_rounds(small, "modularity", seed + level, rounds))
-        joined = settled(whole.join(upper.select("g", F.col("node").alias("c"), F.col("c").alias("up")), ["g", "c"]).select("g", "node", F.col("up").alias("c"), "x"))
-        gained = scores.modularity(graph, joined).agg(F.sum("q").alias("q")).first()["q"] - scores.modularity(graph, whole).agg(F.sum("q").alias("q")).first()["q"]
-        if gained <= 1e-9:
-            break
-        whole = joined
-    return whole
-
-
-def divisive(graph: Graph, seed: int = 0, rounds: int | None = None, levels: int = 3) -> DataFrame:
+def community_levels(graph: Graph, seed: int = 0, rounds: int | None = None) -> list[DataFrame]:
+    """g, node, c, x for each level of a hierarchy: label switching, then label switching on
+    the graph of its groups, with labels composed down to the nodes, as long as a level has
+    fewer groups and a higher modularity than the one before in some graph."""
+    small = graph.settled()
+    levels = [settled(label_rounds(small, "modularity", seed, rounds))]
+    best = settled(scores.modularity(graph, levels[0]))
+    groups = levels[0].select("g", "c").distinct().count()
+    while True:
+        small = small.contracted(levels[-1] if len(levels) == 1 else upper).settled()
+        upper = settled(label_rounds(small, "modularity", seed + len(levels), rounds))
+        merged = upper.select("g", "c").distinct().count()
+        above = upper.select("g", F.col("node").alias("c"), F.col("c").alias("up"))
+        joined = settled(levels[-1].join(above, ["g", "c"]).select("g", "node", F.col("up").alias("c"), "x"))
+        now = settled(scores.modularity(graph, joined))
+        rose = now.join(best.withColumnRenamed("q", "was"), "g").where("q > was + 1e-9").limit(1).count()
+        if merged >= groups or not rose:
+            return levels
+        levels.append(joined)
+        best, groups = now, merged
+
+
+def communities(graph: Graph, seed: int = 0, rounds: int | None = None) -> DataFrame:
+    """Communities of high modularity: of each graph the level of the highest."""
+    levels = community_levels(graph, seed, rounds)
+    every = levels[0].withColumn("level", F.lit(0))
+    quality = scores.modularity(graph, levels[0]).withColumn("level", F.lit(0))
+    for k, labels in enumerate(levels[1:], 1):
+        every = every.unionByName(labels.withColumn("level", F.lit(k)))
+        quality = quality.unionByName(scores.modularity(graph, labels).withColumn("level", F.lit(k)))
+    top = settled(quality.groupBy("g").agg(F.max_by("level", F.struct("q", "level")).alias("level")))
+    return every.join(top, ["g", "level"]).select("g", "node", "c", "x")
+
+
+def divisive(graph: Graph, seed: int = 0, rounds: int | None = None) -> DataFrame:
     """Communities, then the best single pair inside each, all communities at once."""
-    found = settled(numbered(communities(graph, seed, levels, rounds)))
+    found = settled(numbered(settled(communities(graph, seed, rounds))))
     span = found.agg((F.max("c") + 1).alias("k")).first()["k"] or 1
     inner = graph.with_labels(found, "c").where("c_s = c_d")
     number = lambda c: (F.col("g") * span + F.col(c)).cast("int").alias("g")
     parts = Graph(found.select(number("c"), "node", F.col("node").cast("string").alias("label")), inner.select(number("c_s"), "src", "dst", "w"))
-    pairs = be(parts, runs=1, seed=seed, rounds=2)
+    pairs = be(parts.settled(), runs=1, seed=seed, rounds=2)
     return found.select("g", "node", "c").join(pairs.select(F.floor(F.col("g") / span).cast("int").alias("g"), "node", "x"), ["g", "node"])
 
 
@@ -468,82 +486,141 @@ def minres(graph: Graph, runs: int = 2, seed: int = 0, steps: int = 10_000, tole
     return best_run(labels, scores.minres(many, labels).withColumn("q", -F.col("q")), runs)
 
 
-def rossa(graph: Graph, batches: int | None = None) -> DataFrame:
+#: Candidates that one step of rossa looks at, at most.
+FRONT = 256
+
+
+def rossa(graph: Graph, front: int = FRONT) -> DataFrame:
     """Persistence profile of a random walk: from a node of least strength, the nodes
-    that keep the walk least inside are added, one at a time, or about n / batches at a
-    time where batches is given; a node's coreness is the persistence when it came in.
-    Every node keeps y, its weight into what has been added, so that a round joins the
-    edges of the nodes just added alone."""
-    n = graph.sizes().agg(F.max("n").alias("n")).first()["n"] or 0
-    step = max(1, -(-int(n) // batches)) if batches else 1
-    d = graph.degree()
+    that keep the walk least inside are added one at a time; a node's coreness is the
+    persistence when it came in. Weights are not negative.
+
+    Every node outside keeps y, its weight into what has been added, and would raise the
+    persistence by f = 2 a y - b d, with a and b the strength and the inner weight of what
+    is inside. A step takes the `front` nodes of least f and adds them in order, as long as
+    that is certain: as y only grows, the others' f stays above the least of 2 a y - b d over
+    the corners of their points (y, d) towards small y and large d, which a first node out of
+    order would have to pass. The corners are few; a front and its corners are one small
+    group a graph, and the edges of all added nodes are joined at once."""
+    d, loops = graph.degree(), graph.self_loops().withColumnRenamed("w", "loop")
     first = d.groupBy("g").agg(F.min_by("node", F.struct("d", "node")).alias("node")).withColumn("x", F.lit(0.0))
     state = _with_added(graph, d.withColumn("y", F.lit(0.0)), first)
-    for _ in range(-(-(int(n) - 1) // step) if n else 0):
+    while True:
         inside = F.col("x").isNotNull()
-        sums = state.groupBy("g").agg(F.sum(F.when(inside, F.col("d"))).alias("a"), F.sum(F.when(inside, F.col("y"))).alias("b"))
-        open_ = state.where(~inside).join(graph.each(sums), "g").withColumn("f", 2 * F.col("a") * F.col("y") - F.col("b") * F.col("d"))
-        if step == 1:
-            picked = open_.groupBy("g").agg(F.min_by(F.struct("node", "d", "y", "a", "b"), F.struct("f", "node")).alias("best")).select("g", "best.*")
-        else:
-            picked = settled(ordered(open_, [F.col("f"), F.col("node")], rank="k", by=["g"]).where(F.col("k") < step).select("g", "node", "d", "y", "a", "b"))
-        loops = graph.self_loops().withColumnRenamed("w", "loop")
-        if step == 1:
-            level = F.col("b") + 2 * F.col("y") + F.coalesce("loop", F.lit(0.0))
-            added = picked.join(loops, ["g", "node"], "left").select("g", "node", (level / F.greatest(F.col("a") + F.col("d"), F.lit(1.0))).alias("x"))
-        else:
-            among = graph.edges.join(picked.select("g", F.col("node").alias("src")), ["g", "src"]).join(picked.select("g", F.col("node").alias("dst")), ["g", "dst"]).groupBy("g").agg(F.sum("w").alias("mutual"))
-            new = picked.groupBy("g").agg(F.first("a").alias("a"), F.first("b").alias("b"), F.sum("d").alias("da"), F.sum("y").alias("ya")).join(among, "g", "left").fillna(0.0, ["mutual"])
-            level = (F.col("b") + 2 * F.col("ya") + F.col("mutual")) / F.greatest(F.col("a") + F.col("da"), F.lit(1.0))
-            added = picked.select("g", "node").join(graph.each(new.select("g", level.alias("x"))), "g")
-        state = _with_added(graph, state, added)
-    return state.select("g", "node", F.lit(0).cast("long").alias("c"), F.coalesce("x", F.lit(0.0)).alias("x"))
+        sums = state.groupBy("g").agg(F.sum(F.when(inside, F.col("d"))).alias("a"), F.sum(F.when(inside, F.col("y"))).alias("b"), F.count(F.when(~inside, 1)).alias("outside"))
+        sums = settled(sums.where("outside > 0"))
+        if not sums.limit(1).count():
+            return state.select("g", "node", F.lit(0).cast("long").alias("c"), F.coalesce("x", F.lit(0.0)).alias("x"))
+        open_ = settled(state.where(~inside).join(graph.each(sums), "g").withColumn("f", 2 * F.col("a") * F.col("y") - F.col("b") * F.col("d")))
+        ranks = settled(ordered(open_, [F.col("f"), F.col("node")], rank="k", by=["g"]))
+        ahead = ranks.where(F.col("k") < front).join(loops, ["g", "node"], "left").fillna(0.0, ["loop"])
+        corners = ranks.where(F.col("k") >= front).groupBy("g", "y").agg(F.max("d").alias("d"))
+        corners = corners.select("g", "y", "d").mapInPandas(_outer_corners, "g int, y double, d double")
+        rows = ahead.select("g", "node", "k", "y", "d", "loop", "a", "b").unionByName(corners.withColumn("k", F.lit(-1).cast("long")), allowMissingColumns=True)
+        ends = ahead.select("g", "node")
+        among = graph.edges.where("src <> dst").join(ends.withColumnRenamed("node", "src"), ["g", "src"], "left_semi").join(ends.withColumnRenamed("node", "dst"), ["g", "dst"], "left_semi")
+        added = settled(rows.groupBy("g").cogroup(among.select("g", "src", "dst", "w").groupBy("g")).applyInPandas(_certain, "g int, node long, x double"))
+        after = _with_added(graph, state, added)
+        discard(state, sums, open_, ranks, added)
+        state = after
+
+
+def _outer_corners(batches):
+    """Of the rows (y, d) of each graph in a partition those that a line of rising y and
+    falling d meets first: the lower hull towards small y and large d."""
+    held = pd.concat([pd.DataFrame({"g": [], "y": [], "d": []}), *batches], ignore_index=True)
+    for g, rows in held.groupby("g"):
+        hull: list[tuple[float, float]] = []
+        for y, d in sorted(zip(rows["y"], -rows["d"], strict=True)):
+            if hull and d >= hull[-1][1]:
+                continue  # more weight inside and no more strength
+            while len(hull) > 1 and (hull[-1][0] - hull[-2][0]) * (d - hull[-2][1]) <= (hull[-1][1] - hull[-2][1]) * (y - hull[-2][0]):
+                hull.pop()
+            hull.append((y, d))
+        yield pd.DataFrame({"g": np.int32(g), "y": [y for y, _ in hull], "d": [-d for _, d in hull]})
+
+
+def _certain(rows: pd.DataFrame, edges: pd.DataFrame) -> pd.DataFrame:
+    """g, node, x of a graph's front in the order of their coming in, as far as no node behind
+    the front can come between."""
+    ahead, corners = rows[rows["k"] >= 0].sort_values("node", ignore_index=True), rows[rows["k"] < 0]
+    node, y, d, loop = ahead["node"].to_numpy(), ahead["y"].to_numpy().copy(), ahead["d"].to_numpy(), ahead["loop"].to_numpy()
+    cy, cd = corners["y"].to_numpy(), corners["d"].to_numpy()
+    near = [[] for _ in node]
+    for s, t, w in zip(np.searchsorted(node, edges["src"]), np.searchsorted(node, edges["dst"]), edges["w"], strict=True):
+        near[s].append((t, w))
+    a, b, out, left = float(ahead["a"].iloc[0]), float(ahead["b"].iloc[0]), [], np.ones(len(node), dtype=bool)
+    while left.any():
+        f = np.where(left, 2 * a * y - b * d, np.inf)
+        best = int(np.argmin(f))
+        if out and len(cy) and f[best] >= (2 * a * cy - b * cd).min() - 1e-9 * max(1.0, abs(f[best])):
+            break
+        a, b, left[best] = a + d[best], b + 2 * y[best] + loop[best], False
+        out.append((node[best], b / max(a, 1.0)))
+        for t, w in near[best]:
+            y[t] += w
+    return pd.DataFrame({"g": rows["g"].iloc[0], "node": [n for n, _ in out], "x": [x for _, x in out]}).astype({"g": "int32", "node": "int64", "x": "float64"})
 
 
 def _with_added(graph: Graph, state: DataFrame, added: DataFrame) -> DataFrame:
-    """g, node, d, y, x after the nodes added(g, node, x) came in."""
+    """g, node, d, y, x after the nodes added(g, node, x) came in. y of a node counts the
+    weight into all nodes inside."""
     reach = graph.edges.join(added.select("g", F.col("node").alias("src")), ["g", "src"]).groupBy("g", F.col("dst").alias("node")).agg(F.sum("w").alias("more"))
     old = F.col("x") if "x" in state.columns else F.lit(None).cast("double")
     rows = state.select("g", "node", "d", "y", old.alias("old")).join(added.select("g", "node", "x"), ["g", "node"], "left").join(reach, ["g", "node"], "left")
     return settled(rows.select("g", "node", "d", (F.col("y") + F.coalesce("more", F.lit(0.0))).alias("y"), F.coalesce("old", "x").alias("x")))
 
 
-def lanczos(graph: Graph, wanted: Callable[[np.ndarray], np.ndarray], tolerance: float = 1e-6, seed: int = 0, width: int = 80) -> tuple[np.ndarray, np.ndarray, DataFrame]:
+def lanczos(graph: Graph, wanted: Callable[[np.ndarray], np.ndarray], tolerance: float = 1e-6, seed: int = 0, width: int = 20, restarts: int = 200) -> tuple[np.ndarray, np.ndarray, DataFrame]:
     """Ritz values, their coefficients, and the basis (g, node, v0, v1, ...) of the
     symmetric matrix of a single graph, with full reorthogonalisation. wanted picks
     eigenvalues (their places) out of the Ritz values; the iteration goes on until each of
     their pairs has a residual |A v - theta v| of at most tolerance times the largest
-    |theta|, and restarts from their vectors after width steps. The basis stays
-    distributed; only inner products, at most width a step, reach the driver."""
+    |theta|. After width steps it restarts thickly: the vectors of the wanted values and of
+    some next to them stay, and the residual's direction goes on from there, so that close
+    eigenvalues stay apart. A step writes the basis, width columns at most; only inner
+    products reach the driver. Without convergence after `restarts` restarts it raises."""
     start = graph.nodes.select("g", "node", (uniform(seed, "node") - 0.5).alias("v0"))
-    n = start.count()
-    while True:
-        norm = start.agg(F.sqrt(F.sum(F.col("v0") * F.col("v0"))).alias("z")).first()["z"] or 1.0
-        basis = start.withColumn("v0", F.col("v0") / norm)
-        alpha, beta = [], []
-        for j in range(min(width, n)):
-            y = settled(basis.join(graph.times(basis, f"v{j}", "y"), ["g", "node"]))
-            for again in range(2):
-                dots = y.agg(*[F.sum(F.col(f"v{i}") * F.col("y")).alias(f"d{i}") for i in range(j + 1)], F.sum(F.col("y") * F.col("y")).alias("yy")).first()
-                if not again:
-                    alpha.append(dots[f"d{j}"])
-                rest = F.col("y")
-                for i in range(j + 1):
-                    rest = rest - F.lit(dots[f"d{i}"]) * F.col(f"v{i}")
-                y = y.withColumn("y", rest)
-            size = max(0.0, (dots["yy"] or 0.0) - sum(dots[f"d{i}"] ** 2 for i in range(j + 1))) ** 0.5
-            small = np.diag(alpha) + np.diag(beta, 1) + np.diag(beta, -1)
-            values, vectors = np.linalg.eigh(small)
-            at = wanted(values)
+    size = start.agg(F.count(F.lit(1)).alias("n"), F.sqrt(F.sum(F.col("v0") * F.col("v0"))).alias("z")).first()
+    n, width = size["n"], min(max(width, 6), max(size["n"], 1))
+    basis, small, table = start.withColumn("v0", F.col("v0") / (size["z"] or 1.0)), np.zeros((0, 0)), None
+
+    def less(vector: Column, along: list[float]) -> Column:
+        for i, c in enumerate(along):
+            vector = vector - F.lit(c) * F.col(f"v{i}")
+        return vector
+
+    for _ in range(restarts + 1):
+        while True:
+            j = len(small)
+            old, table = table, settled(basis.join(graph.times(basis, f"v{j}", "y"), ["g", "node"]))
+            discard(old)
+            along, rest = np.zeros(j + 1), F.col("y")
+            for _ in range(2):
+                dots = table.agg(*[F.sum(F.col(f"v{i}") * rest).alias(f"d{i}") for i in range(j + 1)], F.sum(rest * rest).alias("yy")).first()
+                part = [dots[f"d{i}"] or 0.0 for i in range(j + 1)]
+                along, rest = along + part, less(rest, part)
+            left = max(0.0, (dots["yy"] or 0.0) - sum(d * d for d in part)) ** 0.5
+            grown = np.zeros((j + 1, j + 1))
+            grown[:j, :j] = small
+            grown[j, :], grown[:, j] = along, along
+            values, vectors = np.linalg.eigh(grown)
+            at, small = wanted(values), grown
             scale = max(np.abs(values).max(), 1e-300)
-            basis = y.drop("y")
-            if (size * np.abs(vectors[-1, at]) <= tolerance * scale).all() and (j + 1 >= min(n, 2 + len(at)) or size <= tolerance * scale):
-                return values, vectors, basis
-            beta.append(size)
-            basis = y.withColumn(f"v{j + 1}", F.col("y") / max(size, 1e-300)).drop("y")
-        if width >= n:
-            return values, vectors, basis.drop(f"v{len(alpha)}")
-        start = settled(_ritz(basis, vectors[:, at].sum(axis=1), "v0"))
+            good = (left * np.abs(vectors[-1, at]) <= tolerance * scale).all()
+            if good and (j + 1 >= min(n, 2 + len(at)) or left <= tolerance * scale) or j + 1 >= n:
+                return values, vectors, table.drop("y")
+            rest = rest / max(left, 1e-300)
+            if j + 1 >= width:
+                break
+            basis = table.withColumn(f"v{j + 1}", rest).drop("y")
+        kept, open_ = [], list(range(len(values)))
+        while len(kept) < min(width - 3, len(at) + width // 3):
+            picked = [open_[i] for i in wanted(values[open_])]
+            kept, open_ = kept + picked, [i for i in open_ if i not in picked]
+        columns = [less(F.lit(0.0), (-vectors[:, i]).tolist()).alias(f"v{k}") for k, i in enumerate(kept)]
+        basis, small = table.select("g", "node", *columns, rest.alias(f"v{len(kept)}")), np.diag(values[kept])
+    raise RuntimeError(f"lanczos: residual {left * np.abs(vectors[-1, at]).max():.3g} after {restarts} restarts")
 
 
 def _ritz(basis: DataFrame, coefficients: np.ndarray, name: str = "v") -> DataFrame:

@@ -281,7 +281,56 @@ def test_rossa_against_its_definition(spark, small):
         alpha[h] = s @ a @ s / max(1, d @ s)
     got = {r.node: r.x for r in detect.rossa(g.settled()).collect()}
     assert [got[i] for i in range(n)] == pytest.approx(alpha.tolist())
-    assert len({r.node for r in detect.rossa(g.settled(), batches=4).collect()}) == n
+    few = {r.node: r.x for r in detect.rossa(g.settled(), front=2).collect()}
+    assert [few[i] for i in range(n)] == pytest.approx(alpha.tolist())
+
+
+def test_rossa_adds_many_nodes_a_step(spark, monkeypatch):
+    """120 nodes: the definition, node by node, in far fewer steps than nodes."""
+    rng = np.random.default_rng(5)
+    n = 120
+    pairs = [(i, j, float(rng.integers(1, 4))) for i in range(n) for j in range(i + 1, n) if rng.random() < 0.2]
+    g, a = graph_of(spark, pairs, isolated=range(n)).settled(), matrix(pairs, n)
+    d, steps, whole = a.sum(1), [], detect._with_added
+    monkeypatch.setattr(detect, "_with_added", lambda *rest: steps.append(1) or whole(*rest))
+    s, alpha = np.zeros(n), np.zeros(n)
+    s[min(range(n), key=lambda i: (d[i], i))] = 1
+    for _ in range(n - 1):
+        f = 2 * (d @ s) * (a @ s) - (s @ a @ s) * d
+        h = min(np.flatnonzero(s == 0), key=lambda k: (f[k], k))
+        s[h] = 1
+        alpha[h] = s @ a @ s / max(1, d @ s)
+    got = {r.node: r.x for r in detect.rossa(g, front=40).collect()}
+    assert [got[i] for i in range(n)] == pytest.approx(alpha.tolist()) and len(steps) <= n // 4
+
+
+def test_close_eigenvalues_come_apart(spark):
+    """Two blocks whose largest eigenvalues differ by little, with restarts after 12 steps."""
+    rng = np.random.default_rng(2)
+    block = [(i, j, 1.0) for i in range(25) for j in range(i + 1, 25) if rng.random() < 0.6]
+    pairs = block + [(i + 25, j + 25, 1.001) for i, j, _ in block]
+    g, a = graph_of(spark, pairs, isolated=range(50)).settled(), matrix(pairs, 50)
+    top = lambda v: np.argsort(-np.abs(v), kind="stable")[:2]
+    values, vectors, basis = detect.lanczos(g, top, 1e-8, width=12)
+    w, _ = np.linalg.eigh(a)
+    assert values[top(values)] == pytest.approx(w[top(w)], rel=1e-7)
+    for k in top(values):
+        v = np.array([r.v for r in detect._ritz(basis, vectors[:, k]).orderBy("node").collect()])
+        assert np.abs(a @ v - values[k] * v).max() < 1e-5
+    with pytest.raises(RuntimeError, match="restarts"):
+        detect.lanczos(g, top, 1e-13, width=6, restarts=1)
+
+
+def test_communities_rise_level_by_level(spark):
+    """A ring of cliques: no level has a higher modularity than the one returned."""
+    pairs = [(6 * c + i, 6 * c + j, 1.0) for c in range(12) for i in range(6) for j in range(i + 1, 6)] + [(6 * c, (6 * c + 7) % 72, 0.3) for c in range(12)]
+    g = graph_of(spark, pairs).settled()
+    q = lambda labels: scores.modularity(g, labels).first()["q"]
+    levels = detect.community_levels(g)
+    best = detect.communities(g)
+    assert q(best) >= max(map(q, levels)) - 1e-12 and q(best) > 0.8
+    for low, high in zip(levels, levels[1:], strict=False):
+        assert low.join(high.select("node", F.col("c").alias("up")), "node").groupBy("c").agg(F.count_distinct("up").alias("n")).where("n > 1").count() == 0
 
 
 def test_swaps_against_quadratic_form(spark, small):
