@@ -15,13 +15,16 @@ may hold any number of nodes. Every bucket has a pivot, its smallest node.
    comparisons are dealt over as many slices as their number asks for.
 
 All comparisons use full sets, so no link is a guess, and every pair that shares a
-bucket is compared, ruled out exactly, or already connected.
+bucket is compared, ruled out exactly, or already connected. Where the caller has profiles
+of the sets (their size and parity bits), pairs are ruled out by them before their sets
+are joined, and step 4 takes them in place of differences.
 """
 
 from __future__ import annotations
 
 import uuid
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, functions as F
 
 from ..operators.components import smallest_reachable
@@ -36,6 +39,20 @@ def linked(num: int, den: int):
     return F.col("inter") * den >= num * (F.col("n_a") + F.col("n_b") - F.col("inter"))
 
 
+def may_link(num: int, den: int):
+    """Whether sets of n_a and n_b items with parity bits p_a and p_b may be similar. Each
+    item flips one bit, so bits in which two sets differ are at most the items in which they
+    do, and at similarity t these are (1 - t) / (1 + t) of both sets' items at most."""
+    apart = F.aggregate(F.zip_with("p_a", "p_b", lambda a, b: F.bit_count(a.bitwiseXOR(b))), F.lit(0), lambda n, c: n + c)
+    sizes = (F.col("n_a") * den >= F.col("n_b") * num) & (F.col("n_b") * den >= F.col("n_a") * num)
+    return sizes & (apart * (den + num) <= (F.col("n_a") + F.col("n_b")) * (den - num))
+
+
+def profiled(rows: DataFrame, profiles: DataFrame, end: str) -> DataFrame:
+    """rows with n and p of their node in column end."""
+    return rows.join(profiles.select(F.col("node").alias(end), F.col("n").alias(f"n_{end}"), F.col("parity").alias(f"p_{end}")), end)
+
+
 def verify(pairs: DataFrame, sets: DataFrame, differences: bool = False) -> DataFrame:
     """a, b, inter, n_a, n_b of each pair of nodes, from their full sets; with
     differences also lacks (items of b that a lacks) and adds (items of a beyond b)."""
@@ -75,12 +92,34 @@ def links_around_pivots(placed: DataFrame, num: int, den: int, most: int = SLICE
     return found.select(F.least("a_x", "a_y").alias("a"), F.greatest("a_x", "a_y").alias("b")).distinct()
 
 
-def connected(shared: DataFrame, sets: DataFrame, num: int, den: int, known: DataFrame | None = None) -> DataFrame:
+def possible_around_pivots(around: DataFrame, profiles: DataFrame, num: int, den: int, most: int = SLICE) -> DataFrame:
+    """a, b: nodes of different components that share a pivot and may be similar by their
+    profiles, one of them outside the pivot's component. around(a, b, comp, pivot_comp) has
+    a row for each node (a) and pivot (b); pivots are dealt over slices as above."""
+    parts = stored(sliced(around, most), f"slices-{uuid.uuid4().hex[:6]}")
+    cut = around.withColumnsRenamed({"a": "node", "b": "pivot"}).join(parts, "pivot", "left").withColumn("slices", F.coalesce("slices", F.lit(1)))
+    x = profiled(cut.where("comp <> pivot_comp").select("pivot", F.col("node").alias("a"), F.col("comp").alias("comp_a"), F.explode(F.sequence(F.lit(0), F.col("slices") - 1)).alias("slice")), profiles, "a")
+    y = profiled(cut.select("pivot", F.col("node").alias("b"), F.col("comp").alias("comp_b"), "pivot_comp", F.pmod(F.hash("node"), F.col("slices")).alias("slice")), profiles, "b")
+    once = (F.col("comp_b") == F.col("pivot_comp")) | (F.col("a") < F.col("b"))
+    found = x.join(y, (x["pivot"] == y["pivot"]) & (x["slice"] == y["slice"]) & (F.col("comp_a") != F.col("comp_b")) & once & may_link(num, den))
+    return found.select("a", "b").distinct()
+
+
+def connected(shared: DataFrame, sets: DataFrame, num: int, den: int, known: DataFrame | None = None, profiles: DataFrame | None = None) -> DataFrame:
     """node, comp (the smallest node it reaches over links) of the nodes with a link.
     shared(bucket, node, pivot, members) has a row for each node of each bucket of two or
-    more; sets(node, items) those nodes' sets; known(a, b) are links found before."""
+    more; sets(node, items) those nodes' sets; known(a, b) are links found before,
+    profiles(node, n, parity) the sets' sizes and parity bits."""
+    parts = int(sets.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    sets = sets.repartition(parts, "node").persist(StorageLevel.MEMORY_AND_DISK)  # dealt once for all comparisons
+
+    def links_of(pairs: DataFrame, step: int) -> DataFrame:
+        if profiles is not None:
+            pairs = profiled(profiled(pairs, profiles, "a"), profiles, "b").where(may_link(num, den)).select("a", "b")
+        return stored(verify(stored(pairs, f"pairs-{step}"), sets).where(linked(num, den)).select("a", "b"), f"links-{step}")
+
     first = stored(shared.where("node <> pivot").groupBy("node").agg(F.min("pivot").alias("b")).select(F.col("node").alias("a"), "b"), "first-pairs")
-    tested = stored(verify(first, sets).where(linked(num, den)).select("a", "b"), "links-1")
+    tested = links_of(first, 1)
     if known is not None:
         tested = tested.unionByName(known)
     comp = smallest_reachable(tested)
@@ -95,20 +134,24 @@ def connected(shared: DataFrame, sets: DataFrame, num: int, den: int, known: Dat
         return stored(labelled(state.join(several, "bucket", "left_semi"), "pivot", "pivot_comp"), f"open-{step}")
 
     still = still_open(shared, 2).drop("comp", "pivot_comp")
-    done = first.select(F.col("a"), F.col("b"))
-    second = stored(still.where("node <> pivot").select(F.col("node").alias("a"), F.col("pivot").alias("b")).distinct().join(done, ["a", "b"], "left_anti"), "second-pairs")
-    tested = tested.unionByName(stored(verify(second, sets).where(linked(num, den)).select("a", "b"), "links-2"))
+    second = still.where("node <> pivot").select(F.col("node").alias("a"), F.col("pivot").alias("b")).distinct().join(first, ["a", "b"], "left_anti")
+    tested = tested.unionByName(links_of(second, 2))
     comp = smallest_reachable(tested)
 
     still = still_open(still.where("members > 2"), 3)
     outside = still.where("comp <> pivot_comp")
     seconds = outside.groupBy("bucket").agg(F.min("node").alias("b"))
-    third = stored(outside.join(seconds, "bucket").where("node <> b").select(F.col("node").alias("a"), "b").distinct(), "third-pairs")
-    tested = tested.unionByName(stored(verify(third, sets).where(linked(num, den)).select("a", "b"), "links-3"))
+    third = outside.join(seconds, "bucket").where("node <> b").select(F.col("node").alias("a"), "b").distinct()
+    tested = tested.unionByName(links_of(third, 3))
     comp = smallest_reachable(tested)
 
     still = still_open(still.drop("comp", "pivot_comp"), 4)
     around = still.where("node <> pivot").select(F.col("node").alias("a"), F.col("pivot").alias("b"), "comp", "pivot_comp").distinct()
-    apart = stored(verify(around.select("a", "b"), sets, differences=True), "differences")
-    placed = stored(around.join(apart, ["a", "b"]), "placed")
-    return smallest_reachable(stored(tested.unionByName(links_around_pivots(placed, num, den)), "links"))
+    if profiles is None:
+        apart = stored(verify(around.select("a", "b"), sets, differences=True), "differences")
+        last = links_around_pivots(stored(around.join(apart, ["a", "b"]), "placed"), num, den)
+    else:
+        last = links_of(possible_around_pivots(stored(around, "around"), profiles, num, den), 4)
+    found = smallest_reachable(stored(tested.unionByName(last), "links"))
+    sets.unpersist()
+    return found

@@ -38,7 +38,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window as W, functions as F
 
 from .common import bounded_batches, give_back, read, row_key, stored
-from .links import connected, linked, verify
+from .links import connected, linked, may_link, profiled, verify
 from .minhash import mix, sets_of, shingle_set
 
 SHINGLE, NUM, DEN = 4, 85, 100
@@ -110,14 +110,6 @@ def parity(tokens: np.ndarray) -> np.ndarray:
     return np.packbits(odd).view(np.int64)
 
 
-def may_link(num: int, den: int):
-    """Whether sets of n_a and n_b tokens with parity bits p_a and p_b may be similar: at
-    similarity t they differ in (1 - t) / (1 + t) of their tokens at most."""
-    apart = F.aggregate(F.zip_with("p_a", "p_b", lambda a, b: F.bit_count(a.bitwiseXOR(b))), F.lit(0), lambda n, c: n + c)
-    room = (F.col("n_a") + F.col("n_b")) * (den - num)
-    return (F.col("n_a") * den >= F.col("n_b") * num) & (F.col("n_b") * den >= F.col("n_a") * num) & (apart * (den + num) <= room)
-
-
 def key_of(digest: bytes) -> int:
     """A long for a set in the search for buckets; sets that share one are told apart after it."""
     return int.from_bytes(digest[:8], "big", signed=True)
@@ -212,9 +204,8 @@ def buckets(signatures: DataFrame) -> DataFrame:
 def possible_pairs(shared: DataFrame, profiles: DataFrame, num: int, den: int) -> DataFrame:
     """a, b: pairs of nodes of the same bucket of FEW nodes at most that may be similar by
     profiles(node, n, parity)."""
-    rows = shared.where(F.col("members") <= FEW).select("bucket", "node").join(profiles, "node")
-    side = lambda s: rows.select("bucket", F.col("node").alias(s), F.col("n").alias(f"n_{s}"), F.col("parity").alias(f"p_{s}"))
-    a, b = side("a"), side("b")
+    rows = shared.where(F.col("members") <= FEW)
+    a, b = (profiled(rows.select("bucket", F.col("node").alias(s)), profiles, s) for s in "ab")
     return a.join(b, (a["bucket"] == b["bucket"]) & (F.col("a") < F.col("b")) & may_link(num, den)).select("a", "b").distinct()
 
 
@@ -248,7 +239,7 @@ def similar_sets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     wanted = stored(nodes.select("node", "digest", "_rk").join(ends, "node", "left_semi"), "wanted")
     sets = stored(sets_of(wanted, source, shingle), "sets")
     known = stored(verify(pairs, sets).where(linked(num, den)).select("a", "b"), "known-links")
-    comp = connected(large, sets, num, den, known)
+    comp = connected(large, sets, num, den, known, profiles.select("node", "n", "parity"))
 
     marked = stored(nodes.select("digest", "node", "low").join(comp, "node", "left").select("digest", F.coalesce("comp", "node").alias("comp"), "low"), "labelled")
     smallest = marked.groupBy("comp").agg(F.min("low").alias("low")).select("comp", F.col("low.id").alias("component_id"))

@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 from test_minhash import brute, copies
 
-from ringscope.llm import ngram_join
+from ringscope.llm import links, ngram_join
 from ringscope.llm.ngram_join import levels, prefix_signatures
 
 
@@ -41,7 +41,7 @@ def test_parity_rules_out_no_similar_pair(spark):
         similar.append(100 * both >= 85 * (len(x) + len(y) - both))
         rows.append((turn, len(x), len(y), *(ngram_join.parity(z).tolist() for z in (x, y))))
     df = spark.createDataFrame(rows, "i int, n_a long, n_b long, p_a array<long>, p_b array<long>")
-    may = {r.i for r in df.where(ngram_join.may_link(85, 100)).collect()}
+    may = {r.i for r in df.where(links.may_link(85, 100)).collect()}
     assert {i for i, yes in enumerate(similar) if yes} <= may and len(may) < 290 and sum(similar) > 60
 
 
