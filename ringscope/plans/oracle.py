@@ -45,7 +45,7 @@ SURPRISE = (
     ]) + " END)"
 )
 N_CORE = "k AS (SELECT CAST(count(*) AS DOUBLE) AS n, CAST(sum(x) AS DOUBLE) AS nc FROM lab)"
-ENSEMBLE = "ens AS (SELECT (i * 7919 % 397) / 397e0 + (i % 9) / 30e0 AS q, CAST(i % 9 + 2 AS DOUBLE) AS s FROM range(400) t(i))"
+ENSEMBLE = "ens AS (SELECT user_id, avg(value) / 100 AS q, CAST(count(*) AS DOUBLE) AS s FROM events GROUP BY user_id)"
 STATS = "st AS (SELECT CAST(count(*) AS DOUBLE) AS n, stddev_samp(q) AS sq, stddev_samp(s) AS ss, greatest(-1 + 1e-12, least(1 - 1e-12, covar_samp(q, s) / (stddev_samp(q) * stddev_samp(s)))) AS gamma, pow(CAST(count(*) AS DOUBLE), -1 / 6e0) AS h FROM ens)"
 MISSING = "lab AS (SELECT node, CASE WHEN node % 11 <> 0 THEN node % 7 END AS c, CASE WHEN node % 11 <> 0 THEN (CASE WHEN node % 3 = 0 THEN 1e0 ELSE 0e0 END) * 0.9 END AS x FROM v)"
 CLASSIFIED = f"{MISSING}, grp AS (SELECT c, row_number() OVER (ORDER BY count(*) DESC, c) - 1 AS rank FROM lab WHERE c IS NOT NULL GROUP BY c), cls AS (SELECT node, lab.c, x, rank, CASE WHEN lab.c IS NULL THEN 'residual' WHEN rank < 3 THEN 'colored' ELSE 'muted' END AS kind FROM lab LEFT JOIN grp ON lab.c = grp.c)"
@@ -140,10 +140,10 @@ t AS (SELECT (SELECT CAST(count(*) AS DOUBLE) FROM v) AS n, (SELECT sum(w) FROM
         "rombach_swap_gain": f"WITH {NATION}, {RANKED}, y AS (SELECT rk.node, rk.x, coalesce((SELECT sum(w * o.x) FROM e JOIN rk o ON o.node = dst WHERE src = rk.node AND dst <> src), 0) AS r FROM rk), p AS (SELECT a.node AS a, z.node AS b, a.x AS xa, z.x AS xb, a.r AS ra, z.r AS rb, coalesce(w, 0) AS w FROM y a JOIN y z ON a.node < z.node LEFT JOIN e ON src = a.node AND dst = z.node) SELECT CAST(a AS BIGINT) AS a, CAST(b AS BIGINT) AS b, round((xb - xa) * ((ra - w * xb) - (rb - w * xa)), 9) AS gain FROM p",
         "chung_lu_prob": f"WITH {USER}, c AS (SELECT src AS node, CAST(count(*) AS DOUBLE) AS d FROM e GROUP BY src), t AS (SELECT sum(d) AS t FROM c) SELECT CAST(src AS BIGINT) AS src, CAST(dst AS BIGINT) AS dst, round(least(1e0, a.d * z.d / t), 12) AS p FROM e JOIN c a ON a.node = src JOIN c z ON z.node = dst, t WHERE src <= dst",
         "er_density": f"WITH {USER}, z AS (SELECT CAST((SELECT count(*) FROM v) AS DOUBLE) AS n, CAST((SELECT count(*) FROM e WHERE src < dst) AS DOUBLE) AS m) SELECT n, m, round(m / (n * (n - 1) / 2), 12) AS density FROM z",
-        "sidak": "SELECT i AS tests, round(1 - pow(1 - 0.05e0, 1e0 / i), 12) AS level FROM range(1, 21) t(i)",
+        "sidak": "SELECT DISTINCT n AS tests, round(1 - pow(1 - 0.05e0, 1e0 / n), 12) AS level FROM (SELECT count(*) AS n FROM events GROUP BY user_id)",
         "qs_ensemble_stats": f"WITH {ENSEMBLE}, {STATS} SELECT n, round(sq, 9) AS sq, round(ss, 9) AS ss, round(gamma, 9) AS gamma, round(h, 9) AS h FROM st",
-        "qs_pvalues": f"WITH {ENSEMBLE}, {STATS}, obs AS (SELECT i AS pair_id, 0.3e0 + i * 0.2e0 AS q, CAST(i + 2 AS DOUBLE) AS s FROM range(6) t(i)), a AS (SELECT pair_id, obs.q, obs.s, -pow((obs.s - ens.s) / (h * ss), 2) / 2 AS logw, ((obs.q - ens.q) / (h * sq) - gamma * (obs.s - ens.s) / (h * ss)) / sqrt(1 - gamma * gamma) AS z FROM obs, ens, st), c AS (SELECT *, {norm_cdf_sql('z')} AS cd, max(logw) OVER (PARTITION BY pair_id) AS top FROM a), p AS (SELECT pair_id, q, s, 1 - sum(exp(logw - top) * cd) / sum(exp(logw - top)) AS p FROM c GROUP BY ALL) SELECT pair_id, round(q, 9) AS q, s, round(p, 6) AS p_value, p <= 1 - pow(0.95e0, 1 / 6e0) AS significant FROM p",
-        "relabel_significant": f"WITH {USER}, {LAB} SELECT CAST(node AS BIGINT) AS node, CASE c WHEN 1 THEN 0 WHEN 3 THEN 1 END::BIGINT AS c, CASE WHEN c IN (1, 3) THEN CAST(x AS DOUBLE) END AS x FROM lab",
+        "qs_pvalues": f"WITH {ENSEMBLE}, {STATS}, obs AS (SELECT user_id AS pair_id, avg(value) FILTER (event_type IN ('click', 'purchase')) / 100 AS q, CAST(count(*) AS DOUBLE) AS s FROM events GROUP BY user_id HAVING q IS NOT NULL), a AS (SELECT pair_id, obs.q, obs.s, -pow((obs.s - ens.s) / (h * ss), 2) / 2 AS logw, ((obs.q - ens.q) / (h * sq) - gamma * (obs.s - ens.s) / (h * ss)) / sqrt(1 - gamma * gamma) AS z FROM obs, ens, st), c AS (SELECT *, {norm_cdf_sql('z')} AS cd, max(logw) OVER (PARTITION BY pair_id) AS top FROM a), p AS (SELECT pair_id, q, s, 1 - sum(exp(logw - top) * cd) / sum(exp(logw - top)) AS p FROM c GROUP BY ALL) SELECT pair_id, round(q, 9) AS q, s, round(p, 6) AS p_value, p <= 1 - pow(0.95e0, 1e0 / (SELECT count(*) FROM obs)) AS significant FROM p",
+        "relabel_significant": f"WITH {USER}, {DEG}, {LAB}, sz AS (SELECT c, sum(d) AS size FROM lab JOIN d USING (node) GROUP BY c), kept AS (SELECT c, row_number() OVER (ORDER BY c) - 1 AS new_c FROM sz WHERE size > (SELECT avg(size) FROM sz)) SELECT CAST(node AS BIGINT) AS node, CAST(new_c AS BIGINT) AS c, CASE WHEN new_c IS NOT NULL THEN CAST(x AS DOUBLE) END AS x FROM lab LEFT JOIN kept USING (c)",
         "classify_nodes": f"WITH {USER}, {CLASSIFIED} SELECT CAST(node AS BIGINT) AS node, CAST(c AS BIGINT) AS c, x, rank, kind FROM cls",
         "draw_table": f"WITH {USER}, {CLASSIFIED} SELECT CAST(node AS BIGINT) AS node, kind, CAST(c AS BIGINT) AS pair_id, x AS coreness, CASE WHEN kind = 'colored' THEN CAST(greatest(0, least(11, floor(x * 10) + 1)) AS INTEGER) END AS bin, CASE WHEN kind = 'colored' THEN 'circle' ELSE 'square' END AS marker, CASE WHEN kind = 'colored' THEN 10e0 ELSE 1e0 END AS node_size, row_number() OVER (ORDER BY coalesce(x, -1e0), node) - 1 AS layer, 'node: ' || node || ', pair: ' || coalesce(CAST(c AS VARCHAR), 'residual') || ', coreness: ' || coalesce(printf('%.3f', x), 'none') AS hovertext FROM cls WHERE kind <> 'muted'",
         "draw_edges": f"WITH {USER}, {CLASSIFIED}, n AS (SELECT node FROM cls WHERE kind <> 'muted') {EDGES} WHERE src < dst AND src IN (SELECT node FROM n) AND dst IN (SELECT node FROM n)",

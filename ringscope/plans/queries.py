@@ -210,30 +210,37 @@ def er_density(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def sidak_levels(spark: SparkSession, sf: str) -> DataFrame:
-    return spark.range(1, 21).select(F.col("id").alias("tests"), F.round(sidak(0.05, F.col("id").cast("double")), 12).alias("level"))
+    """The level of each of as many tests as users have events."""
+    tests = tables.table(spark, sf, "events").groupBy("user_id").agg(F.count(F.lit(1)).alias("tests")).select("tests").distinct()
+    return tests.select("tests", F.round(sidak(0.05, F.col("tests").cast("double")), 12).alias("level"))
 
 
-def sample_ensemble(spark: SparkSession) -> DataFrame:
-    i = F.col("id")
-    return spark.range(400).select(((i * 7919 % 397) / 397e0 + (i % 9) / 30e0).alias("q"), (i % 9 + 2).cast("double").alias("s"))
+def event_ensemble(spark: SparkSession, sf: str) -> DataFrame:
+    """q and s of an ensemble: mean value and number of the events of each user."""
+    return tables.table(spark, sf, "events").groupBy("user_id").agg((F.avg("value") / 100).alias("q"), F.count(F.lit(1)).cast("double").alias("s"))
 
 
-def sample_observed(spark: SparkSession) -> DataFrame:
-    return spark.range(6).select(F.col("id").alias("pair_id"), (F.lit(0.3) + F.col("id") * 0.2).alias("q"), (F.col("id") + 2).cast("double").alias("s"))
+def event_observed(spark: SparkSession, sf: str) -> DataFrame:
+    """The same for the pairs that are tested: each user's events of two kinds."""
+    some = F.col("event_type").isin("click", "purchase")
+    found = tables.table(spark, sf, "events").groupBy(F.col("user_id").alias("pair_id")).agg((F.avg(F.when(some, F.col("value"))) / 100).alias("q"), F.count(F.lit(1)).cast("double").alias("s"))
+    return found.where("q is not null")
 
 
 def qs_ensemble_stats(spark: SparkSession, sf: str) -> DataFrame:
-    return rounded(significance.ensemble_stats(sample_ensemble(spark)), sq=9, ss=9, gamma=9, h=9)
+    return rounded(significance.ensemble_stats(event_ensemble(spark, sf)), sq=9, ss=9, gamma=9, h=9)
 
 
 def qs_pvalues(spark: SparkSession, sf: str) -> DataFrame:
-    return rounded(significance.p_values(sample_observed(spark), sample_ensemble(spark)), q=9, p_value=6)
+    return rounded(significance.p_values(event_observed(spark, sf), event_ensemble(spark, sf)), q=9, p_value=6)
 
 
 def relabel_significant(spark: SparkSession, sf: str) -> DataFrame:
+    """Pairs of more strength than the mean pair keep their nodes."""
     g = user(spark, sf)
-    tested = spark.range(4).select(F.col("id").alias("pair_id"), (F.col("id") % 2 == 1).alias("significant"))
-    return rounded(significance.relabelled(labels_of(g), tested))
+    sizes = scores.size_degree(g, labels_of(g))
+    mean = sizes.agg(F.avg("size").alias("mean"))
+    return rounded(significance.relabelled(labels_of(g), sizes.crossJoin(mean).select("pair_id", (F.col("size") > F.col("mean")).alias("significant"))))  # a row each
 
 
 def _partly_labelled(g: Graph) -> DataFrame:

@@ -50,7 +50,7 @@ def test_detectors_are_registered_with_full_parameters():
     found = {k: inspect.getclosurevars(q).nonlocals.get("parameters") for k, q in queries.queries().items() if k.endswith("_detect")}
     assert {k for k, v in found.items() if v} == set() and len(found) == 13
     default = lambda f, name: inspect.signature(f).parameters[name].default
-    assert default(detect.rossa, "batches") is None and default(detect.minres, "steps") >= 10_000
+    assert default(detect.minres, "steps") >= 10_000 and default(detect.lanczos, "restarts") >= 100
 
 
 def test_rank_two_degrees_are_exact_beside_a_hub(spark):
