@@ -87,8 +87,8 @@ ee AS (SELECT cs AS c, sum(w * (xs + xt - xs * xt)) AS e_ FROM j WHERE cs = ct G
 t AS (SELECT (SELECT CAST(count(*) AS DOUBLE) FROM v) AS n, (SELECT sum(w) FROM e) AS m2)"""
     minres = "s AS (SELECT sum(w * w) AS ww, sum(xs * w * xt) AS xax FROM j), nn AS (SELECT sum(x * x) AS s2, sum(x * x * x * x) AS s4 FROM lab)"
     ranks = "rr AS (SELECT node, row_number() OVER (ORDER BY d DESC, node) - 1 AS k FROM d)"
-    valid = lambda graph: f"WITH {graph} SELECT count(*) AS labels, count(*) AS nodes, TRUE AS coreness_fits, TRUE AS pairs_numbered, TRUE AS as_good_as_lip FROM v"
-    kinds = {"be": PAGE, "surprise": PAGE, "km_config": USER, "lapcore": USER, "lapsgncore": USER, "rombach_ls": USER}
+    valid = lambda graph: f"WITH {graph} SELECT count(*) AS labels, count(*) AS nodes, TRUE AS coreness_fits, TRUE AS pairs_numbered, TRUE AS good FROM v"
+    kinds = {"be": PAGE, "surprise": PAGE, "km_config": USER, "lapcore": USER, "lapsgncore": USER, "rombach_ls": USER, "km_er": PAGE, "divisive": PAGE, "lowrankcore": USER, "rossa": USER, "minres": USER, "rombach_sa": NATION}
     return {f"{k}_valid": valid(graph) for k, graph in kinds.items()} | {
         "graph_user": f"WITH {USER} {EDGES}",
         "graph_nation": f"WITH {NATION} {EDGES}",

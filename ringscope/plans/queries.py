@@ -280,10 +280,11 @@ def _detected(make, function, **parameters):
     return query
 
 
-def _valid(make, function, score=None, below=None):
+def _valid(make, function, good, below=None):
     """What holds of every right result of a detector: each node is labelled once, pairs are
     numbered from 0 without gaps, coreness is finite (0 or 1 where below is None, else from
-    0 to below), and by score the result is at least as good as Lip's core."""
+    0 to below), and good(graph, labels), a row with one truth value: a bound that random
+    labels do not reach."""
 
     def query(spark: SparkSession, sf: str) -> DataFrame:
         g = make(spark, sf).settled()
@@ -293,15 +294,67 @@ def _valid(make, function, score=None, below=None):
             F.count(F.lit(1)).alias("labels"), F.count_distinct("node").alias("nodes"), F.coalesce(F.bool_and(right), F.lit(False)).alias("coreness_fits"),
             ((F.min("c") == 0) & (F.max("c") + 1 == F.count_distinct("c"))).alias("pairs_numbered"),
         )
-        if score is None:
-            return out.withColumn("as_good_as_lip", F.lit(True))
-        lip = sweeps.lip(g).select("g", "node", F.lit(0).cast("long").alias("c"), F.col("x").cast("double").alias("x"))
-        q = score(g, found).agg(F.sum("q").alias("q")).crossJoin(score(g, settled(lip)).agg(F.sum("q").alias("lip")))
-        return out.crossJoin(q.select((F.col("q") >= F.col("lip") - 1e-9).alias("as_good_as_lip")))  # a row each
+        return out.crossJoin(good(g, found).toDF("good"))  # a row each
 
     return query
 
 
+def one_pair(rows: DataFrame) -> DataFrame:
+    return rows.select("g", "node", F.lit(0).cast("long").alias("c"), F.col("x").cast("double").alias("x"))
+
+
+def lip_labels(g: Graph) -> DataFrame:
+    return one_pair(sweeps.lip(g))
+
+
+def degree_cut(g: Graph) -> DataFrame:
+    """The best cut of all prefixes by strength."""
+    return one_pair(sweeps.best_cut(g, settled(sweeps.ranked(g.degree(), "d"))))
+
+
+def at_least(score, rival, share: float = 1.0):
+    """good for _valid: the labels score at least `share` of what rival(graph) scores."""
+
+    def good(g: Graph, found: DataFrame) -> DataFrame:
+        own, other = (score(g, settled(x)).agg(F.sum("q").alias(name)) for x, name in ((found, "own"), (rival(g), "other")))
+        return own.crossJoin(other).select(F.col("own") >= share * F.col("other") - 1e-9)  # a row each
+
+    return good
+
+
+def no_swap_left(g: Graph, found: DataFrame) -> DataFrame:
+    """The coreness values are those of all ranks, and no swap of any two nodes gains."""
+    rows = detect._by_rank(found.select("g", "node", F.col("x").alias("r")), 0.5, 0.8)
+    same = rows.join(found.select("g", "node", F.col("x").alias("given")), ["g", "node"]).agg(F.max(F.abs(F.col("x") - F.col("given"))).alias("off"))
+    loopless = Graph(g.nodes, g.edges.where("src <> dst"))
+    left = detect.improving_swaps(g, settled(rows.join(loopless.times(rows, "x", "r"), ["g", "node"]))).where("gain > 1e-7").agg(F.count(F.lit(1)).alias("left"))
+    return same.crossJoin(left).select((F.col("off") < 1e-9) & (F.col("left") == 0))  # a row each
+
+
+def persistence_profile(g: Graph, found: DataFrame) -> DataFrame:
+    """Where the coreness rises, the nodes up to there hold the walk as long as it says."""
+    ranks = settled(sweeps.ranked(found.withColumn("low", -F.col("x")), "low").select("g", "node", "k", "x"))
+    swept = sweeps.prefixes(g, ranks).select("g", "node", (2 * F.col("cc") / F.greatest(F.col("cc") + F.col("touch"), F.lit(1.0))).alias("stays"))
+    rows = swept.join(ranks, ["g", "node"])
+    last = rows.groupBy("x").agg(F.max_by("stays", "k").alias("stays"), F.count(F.lit(1)).alias("n"))
+    return last.agg((F.max(F.abs(F.col("stays") - F.col("x"))) < 1e-9) & (F.max("x") > 1 - 1e-9))
+
+
+def nearer_than_chance(g: Graph, found: DataFrame) -> DataFrame:
+    """A residual at least a tenth below that of uniform numbers."""
+    chance = settled(one_pair(g.nodes.withColumn("x", detect.uniform(1, "node"))))
+    own, other = (scores.minres(g, x, True).agg(F.sum("q").alias(name)) for x, name in ((found, "own"), (chance, "other")))
+    return own.crossJoin(other).select(F.col("own") <= 0.9 * F.col("other"))  # a row each
+
+
+def true_cut(g: Graph, labels: DataFrame) -> DataFrame:
+    return scores.cut(g, labels, True)
+
+
+def components_as_groups(g: Graph) -> DataFrame:
+    return g.components().select("g", "node", F.col("comp").alias("c"), F.lit(1).alias("x"))
+
+
 def chung_lu_sample(spark: SparkSession, sf: str) -> DataFrame:
     return null_models.chung_lu(user(spark, sf), 3, seed=5).edges
 
@@ -352,8 +405,12 @@ def queries() -> dict:
         "rombach_sa_detect": _detected(nation, detect.rombach_annealed), "rossa_detect": _detected(user, detect.rossa),
         "minres_detect": _detected(user, detect.minres), "lapcore_detect": _detected(user, detect.lap_core),
         "lapsgncore_detect": _detected(user, detect.lap_sgn_core), "lowrankcore_detect": _detected(user, detect.low_rank_core),
-        "be_valid": _valid(page, detect.be, scores.be), "surprise_valid": _valid(page, detect.surprise, scores.surprise),
-        "km_config_valid": _valid(user, detect.km_config, scores.km_config), "lapcore_valid": _valid(user, detect.lap_core),
-        "lapsgncore_valid": _valid(user, detect.lap_sgn_core), "rombach_ls_valid": _valid(user, detect.rombach, below=1.0),
+        "be_valid": _valid(page, detect.be, at_least(scores.be, lip_labels)), "surprise_valid": _valid(page, detect.surprise, at_least(scores.surprise, lip_labels)),
+        "km_config_valid": _valid(user, detect.km_config, at_least(scores.km_config, lip_labels)), "km_er_valid": _valid(page, detect.km_er, at_least(scores.km_er, lip_labels)),
+        "divisive_valid": _valid(page, detect.divisive, at_least(scores.modularity, components_as_groups)),
+        "lapcore_valid": _valid(user, detect.lap_core, at_least(true_cut, degree_cut, 0.9)), "lapsgncore_valid": _valid(user, detect.lap_sgn_core, at_least(true_cut, degree_cut, 0.65)),
+        "lowrankcore_valid": _valid(user, detect.low_rank_core, at_least(true_cut, degree_cut, 0.7)), "rossa_valid": _valid(user, detect.rossa, persistence_profile, below=1.0),
+        "minres_valid": _valid(user, detect.minres, nearer_than_chance, below=100.0), "rombach_ls_valid": _valid(user, detect.rombach, no_swap_left, below=1.0),
+        "rombach_sa_valid": _valid(nation, detect.rombach_annealed, no_swap_left, below=1.0),
         "chung_lu_sample": chung_lu_sample, "er_sample": er_sample, "qstest": qstest, "spring_layout": spring_layout,
     }

@@ -59,3 +59,17 @@ def test_rank_two_degrees_are_exact_beside_a_hub(spark):
     points = spark.createDataFrame([(0, i, float(x), float(y)) for i, (x, y) in enumerate(zip(a, b, strict=True))], "g int, node long, a double, b double")
     found = {r.node: r.v for r in detect.entries_above(points, 1.5, -0.7).collect()}
     assert found == dict(enumerate((1.5 * np.outer(a, a) - 0.7 * np.outer(b, b) > 0.5).sum(1)))
+
+
+def test_random_labels_are_not_valid(spark):
+    """Each bound of the _valid queries turns red for random labels."""
+    user, page, nation = (make(spark, SF).settled() for make in (queries.user, queries.page, queries.nation))
+    random = lambda g, x: queries.one_pair(g.nodes.withColumn("x", x))
+    coin, number = (detect.uniform(9, "node") < 0.5).cast("int"), detect.uniform(9, "node")
+    at_least, scores = queries.at_least, queries.scores
+    for g, good, x in (
+        (page, at_least(scores.be, queries.lip_labels), coin), (page, at_least(scores.km_er, queries.lip_labels), coin), (page, at_least(scores.modularity, queries.components_as_groups), coin),
+        (user, at_least(queries.true_cut, queries.degree_cut, 0.9), coin), (user, at_least(queries.true_cut, queries.degree_cut, 0.65), coin),
+        (user, queries.persistence_profile, number), (user, queries.nearer_than_chance, number), (user, queries.no_swap_left, number), (nation, queries.no_swap_left, number),
+    ):
+        assert not good(g, random(g, x)).first()[0], good
