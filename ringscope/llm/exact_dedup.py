@@ -79,6 +79,7 @@ def _written(entries: DataFrame, level: int) -> Run:
     path = scratch(spark, "run")
     entries.repartition(buckets, "digest").write.bucketBy(buckets, "digest").sortBy("digest").option("path", path).saveAsTable(name)
     table = spark.table(name)
+    spark.sql(f"DROP TABLE {name}")  # table knows its files and buckets; the catalog keeps no entry
     bits = BITMAP * max(1, -(-BITS * table.count() // BITMAP))
     at = (F.pmod(F.xxhash64("digest"), F.lit(bits)) + 1).alias("at")
     maps = table.select(at).groupBy(F.bitmap_bucket_number("at").alias("bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("at")).alias("bitmap"))
