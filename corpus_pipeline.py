@@ -46,8 +46,9 @@ def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 STAGES = [("toxicity", toxic), ("quality", quality), ("exact dedup", exact), ("near dedup", near), ("packing", pack)]
 
-#: The classifiers and the packing search can't be said in SQL; tests/llm hold each
-#: stage against a brute-force version.
+#: The classifiers and the packing search can't be said in SQL. tests/llm hold the operators
+#: of all stages against brute force, the library or held-out labels, and the stages together
+#: against planted rows.
 ORACLE_SQL = None
 
 
