@@ -105,13 +105,20 @@ def possible_around_pivots(around: DataFrame, profiles: DataFrame, num: int, den
     return found.select("a", "b").distinct()
 
 
+def dealt(sets: DataFrame) -> DataFrame:
+    """sets by node, once for all comparisons; lost parts are read and dealt again."""
+    if sets.is_cached:
+        return sets
+    parts = int(sets.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return sets.repartition(parts, "node").persist(StorageLevel.MEMORY_AND_DISK)
+
+
 def connected(shared: DataFrame, sets: DataFrame, num: int, den: int, known: DataFrame | None = None, profiles: DataFrame | None = None) -> DataFrame:
     """node, comp (the smallest node it reaches over links) of the nodes with a link.
     shared(bucket, node, pivot, members) has a row for each node of each bucket of two or
     more; sets(node, items) those nodes' sets; known(a, b) are links found before,
     profiles(node, n, parity) the sets' sizes and parity bits."""
-    parts = int(sets.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    sets = sets.repartition(parts, "node").persist(StorageLevel.MEMORY_AND_DISK)  # dealt once for all comparisons
+    sets = dealt(sets)
 
     def links_of(pairs: DataFrame, step: int) -> DataFrame:
         if profiles is not None:

@@ -131,7 +131,8 @@ def sets_of(wanted: DataFrame, source: DataFrame, size: int) -> DataFrame:
     """node, items of wanted(node, digest, _rk), from the texts of source(_rk, text). Texts
     are probed where they are read, and sets made of few more than are wanted."""
     texts = probed(source.select("_rk", "text"), wanted, "_rk")
-    return full_sets(texts, size).join(wanted, ["_rk", "digest"]).dropDuplicates(["node"]).select("node", "items")
+    # a digest is one node; dealt by it once, for both
+    return full_sets(texts, size).dropDuplicates(["digest"]).join(wanted, "digest").select("node", "items")
 
 
 def grouped(docs: DataFrame, id_col: str, text_col: str, shingle: int = SHINGLE, num: int = NUM, den: int = DEN, t: int = T, rows: int = ROWS, row: Column | None = None) -> DataFrame:

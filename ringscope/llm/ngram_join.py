@@ -38,7 +38,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window as W, functions as F
 
 from .common import bounded_batches, give_back, read, row_key, stored
-from .links import connected, linked, may_link, profiled, verify
+from .links import connected, dealt, linked, may_link, profiled, verify
 from .minhash import mix, sets_of, shingle_set
 
 SHINGLE, NUM, DEN = 4, 85, 100
@@ -237,7 +237,7 @@ def similar_sets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     large = stored(large.join(large.groupBy("bucket").agg(F.min("node").alias("pivot")), "bucket"), "large-buckets")
     ends = pairs.select(F.explode(F.array("a", "b")).alias("node")).union(large.select("node")).distinct()
     wanted = stored(nodes.select("node", "digest", "_rk").join(ends, "node", "left_semi"), "wanted")
-    sets = stored(sets_of(wanted, source, shingle), "sets")
+    sets = dealt(stored(sets_of(wanted, source, shingle), "sets"))
     known = stored(verify(pairs, sets).where(linked(num, den)).select("a", "b"), "known-links")
     comp = connected(large, sets, num, den, known, profiles.select("node", "n", "parity"))
 
