@@ -538,3 +538,23 @@ def test_batches_agree_with_rounds(spark, detector, monkeypatch):
     monkeypatch.setattr(detect.batches, "MANY", 100)
     rounds = {r.g: r.q for r in score(g, search(g, runs=2)).collect()}
     assert sum(dealt.values()) >= 0.95 * sum(rounds.values())
+
+
+def test_p_values_add_comparisons_up_in_slices(spark, monkeypatch):
+    """Equal samples count as often as they occur, whatever the slices, and null values
+    take no part."""
+    monkeypatch.setattr(significance, "PAIRS", 7)
+    ens = [(0.1, 2.0), (0.1, 2.0), (0.1, 2.0), (0.4, 3.0), (0.5, 2.0), (0.7, 5.0)]
+    seen = [(0, 0.3, 2.0), (1, 0.6, 4.0), (2, 0.3, 2.0), (3, None, 2.0)]
+    rows = significance.p_values(spark.createDataFrame(seen, "pair_id int, q double, s double"), spark.createDataFrame(ens, "q double, s double"))
+    q, s = np.array(ens).T
+    n, gamma = len(q), np.corrcoef(q, s)[0, 1]
+    h = n ** (-1 / 6)
+
+    def p(q0, s0):
+        away = (s0 - s) / (h * s.std(ddof=1))
+        z = ((q0 - q) / (h * q.std(ddof=1)) - gamma * away) / math.sqrt(1 - gamma**2)
+        w = np.exp(-(away**2) / 2)
+        return 1 - (w * [(1 + math.erf(v / math.sqrt(2))) / 2 for v in z]).sum() / w.sum()
+
+    assert {r.pair_id: r.p_value for r in rows.collect()} == pytest.approx({0: p(0.3, 2.0), 1: p(0.6, 4.0), 2: p(0.3, 2.0), 3: 1.0})
