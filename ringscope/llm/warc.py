@@ -75,6 +75,15 @@ def _header(name: str, value) -> Column:
     return F.concat(F.lit(name + ": "), F.regexp_replace(value, r"[\x00-\x1F\x7F]", " "), F.lit(CRLF))
 
 
+def first_payloads(source: DataFrame, typed: DataFrame) -> DataFrame:
+    """The captures typed(_id, url, digest, payload_bytes, responses) with their html from
+    source, once each. Captures meet by one key without nulls, as in record ids, so that
+    payloads are shuffled once, for the join and for what makes equal captures one."""
+    capture = F.md5(F.to_json(F.struct("_id", "url", "digest"))).alias("capture")
+    wanted = typed.select(capture, "digest", "_id", "url", "payload_bytes", "responses")
+    return source.select(capture, "html").join(wanted, "capture").dropDuplicates(["capture"])  # equal captures bring equal payloads
+
+
 def write_warc(pages: DataFrame, path: str, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", min_bytes: int = 0, compression: str = "gzip") -> None:
     """One record per row of pages under path. A null html counts as empty, a null url
     or id is written as an empty header; ids are percent-encoded, so that any text comes
@@ -86,10 +95,7 @@ def write_warc(pages: DataFrame, path: str, id_col: str = "page_id", url_col: st
     typed = classify(source.select("_id", "url", "digest", F.octet_length("html").cast("long").alias("payload_bytes")), min_bytes)
     copies = lambda n: F.explode(F.sequence(F.lit(1), n.cast("int")))
     revisits = typed.where("n > responses").select("_id", "url", "digest", "payload_bytes", "refers_to", "refers_url", F.lit("revisit").alias("record_type"), F.lit("").alias("html"), copies(F.col("n") - F.col("responses")).alias("copy"))
-    wanted = typed.where("responses > 0").select("digest", "_id", "url", "payload_bytes", "responses").alias("w")
-    same = (F.col("s.digest") == F.col("w.digest")) & F.col("s._id").eqNullSafe(F.col("w._id")) & F.col("s.url").eqNullSafe(F.col("w.url"))
-    found = source.alias("s").join(wanted, same).select("w.*", "s.html")
-    once = found.dropDuplicates(["digest", "_id", "url"])  # equal captures bring equal payloads
+    once = first_payloads(source, typed.where("responses > 0"))
     refers = [F.lit(None).cast(typed.schema[c].dataType).alias(c) for c in ("refers_to", "refers_url")]
     responses = once.select("_id", "url", "digest", "payload_bytes", *refers, F.lit("response").alias("record_type"), "html", copies(F.col("responses")).alias("copy"))
     http = F.concat(F.lit(f"HTTP/1.1 200 OK{CRLF}Content-Type: text/html; charset=utf-8{CRLF}Content-Length: "), F.col("payload_bytes").cast("string"), F.lit(CRLF * 2))

@@ -90,6 +90,16 @@ def test_null_and_repeated_page_ids(spark, tmp_path):
     assert [r[:3] for r in rows[1:]] == [("a", "response", None), ("a", "revisit", "a"), ("b", "revisit", "a")]
 
 
+def test_payloads_are_shuffled_once(spark):
+    rows = spark.createDataFrame([(1, None, "d", "x"), (None, "u", "d", "x"), (None, "u", "d", "x")], "_id long, url string, digest string, html string")
+    typed = rows.drop("html").distinct().selectExpr("*", "1L AS payload_bytes", "1L AS responses")
+    found = warc.first_payloads(rows.hint("merge"), typed.hint("merge"))
+    assert sorted((r._id or 0, r.url or "", r.html) for r in found.collect()) == [(0, "u", "x"), (1, "", "x")]
+    plan = found._jdf.queryExecution().sparkPlan()
+    executed = spark._jvm.org.apache.spark.sql.execution.QueryExecution.prepareExecutedPlan(spark._jsparkSession, plan).toString()
+    assert executed.count("Exchange hashpartitioning(capture") == 2  # one for each side of the join, none for what follows
+
+
 def test_pipeline_stages(spark, tmp_path):
     """Each stage keeps documents' columns and does to its own input what its operator
     says; packing covers exactly what the stages kept."""
