@@ -578,3 +578,19 @@ def test_searches_of_small_graphs_as_tasks(spark, monkeypatch):
 def test_minres_is_not_negative_beside_isolated_nodes(spark):
     g = graph_of(spark, [(0, 1, 1.0), (1, 2, 1.0)], isolated=range(3, 30)).settled()
     assert all(r.x >= 0 for r in detect.minres(g, runs=1).collect())
+
+
+def test_shared_orders_are_dealt_by_the_lines(spark, tmp_path, monkeypatch):
+    """More line items make more tasks, and no grouping follows that of the pairs."""
+    from ringscope.sources import tables
+
+    lines = [(o, (o * 7 + k * k) % 5, (o + k) % 4) for o in range(30) for k in range(3)]
+    spark.createDataFrame(lines, "l_orderkey long, l_suppkey long, l_partkey long").write.parquet(f"{tmp_path}/lineitem.parquet")
+    monkeypatch.setattr(tables, "LINES", 10)
+    found = tables.supplier_graph(spark, str(tmp_path)).edges
+    expected = {}
+    for o in range(30):
+        for a, b in itertools.permutations({s for p, s, _ in lines if p == o}, 2):
+            expected[a, b] = expected.get((a, b), 0) + 1
+    assert {(r.src, r.dst): r.w for r in found.collect()} == expected and found.count() == len(expected)
+    assert "hashpartitioning(src" in (plan := found._jdf.queryExecution().executedPlan().toString()) and ", 10)" in plan
