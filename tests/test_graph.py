@@ -561,7 +561,7 @@ def test_p_values_add_comparisons_up_in_slices(spark, monkeypatch):
 
 
 def test_searches_of_small_graphs_as_tasks(spark, monkeypatch):
-    """Rossa and eigenpairs as in rounds, and labels that no single move raises."""
+    """Rossa as in rounds, eigenvalues as of the dense matrix, and labels that no single move raises."""
     rng = np.random.default_rng(4)
     pairs = [(i, j, float(rng.integers(1, 4))) for i, j in itertools.combinations_with_replacement(range(24), 2) if rng.random() < 0.3]
     g = graph_of(spark, pairs, isolated=[30]).settled()
@@ -569,15 +569,16 @@ def test_searches_of_small_graphs_as_tasks(spark, monkeypatch):
     labels = detect.batches.each_graph(g, g.nodes.select("g", "node"), lambda a, rows: detect.batches.switched(a, rows, "km_config", 0), "c long, x int")
     best = detect.move_gains(g, labels, "km_config").groupBy("node").agg(F.max("gain").alias("top"), F.max(F.when((F.col("to_c") == F.col("c")) & (F.col("to_x") == F.col("x")), F.col("gain"))).alias("stay"))
     assert all(r.top <= r.stay + 1e-8 for r in best.collect()) and len({r.c for r in labels.collect()}) < 25
-    found = [({r.node: r.x for r in detect.rossa(g).collect()}, detect.eigenpairs(g, strongest, 2, 1e-8, 0)[0])]
+    values = np.linalg.eigvalsh(matrix(pairs, 24))
+    assert detect.eigenpairs(g, strongest, 2, 1e-8, 0)[0] == pytest.approx(values[strongest(values)].tolist())
+    dealt = {r.node: r.x for r in detect.rossa(g).collect()}
     monkeypatch.setattr(detect.batches, "NODES", 0)
-    found.append(({r.node: r.x for r in detect.rossa(g).collect()}, detect.eigenpairs(g, strongest, 2, 1e-8, 0)[0]))
-    assert found[0][0] == pytest.approx(found[1][0]) and found[0][1] == pytest.approx(found[1][1])
+    assert dealt == pytest.approx({r.node: r.x for r in detect.rossa(g).collect()})
 
 
 def test_minres_is_not_negative_beside_isolated_nodes(spark):
     g = graph_of(spark, [(0, 1, 1.0), (1, 2, 1.0)], isolated=range(3, 30)).settled()
-    assert all(r.x >= 0 for r in detect.minres(g, runs=1).collect())
+    assert all(r.x >= 0 for r in detect.minres(g, runs=1, steps=5).collect())
 
 
 def test_shared_orders_are_dealt_by_the_lines(spark, tmp_path, monkeypatch):
