@@ -452,6 +452,18 @@ def test_soft_threshold(spark):
     assert [r[0] for r in df.select(soft_threshold(F.col("x"), 1.0, positive=True)).collect()] == [0.0, 0.0, 0.0, 1.0]
 
 
+def test_expected_degree_graphs_take_rows_for_their_draws_alone(spark):
+    """No row for a draw that no stub makes, no second grouping of the edges: each comes once,
+    in both directions."""
+    pairs = [(a, b) for a in range(30) for b in range(a, 30) if (a * b) % 3 == 0 or a < 4]
+    g = Graph.from_edges(spark.createDataFrame(pairs, "src long, dst long")).settled()
+    edges = null_models.chung_lu(g, 6, seed=1).edges
+    plan = edges._jdf.queryExecution().optimizedPlan().toString()
+    assert "sum(w" not in plan and "1,2,3,4,5,6,7,8,9" not in plan
+    rows = [(r.g, r.src, r.dst) for r in edges.collect()]
+    assert len(rows) == len(set(rows)) and set(rows) == {(k, b, a) for k, a, b in rows} and {r[0] for r in rows} == set(range(6))
+
+
 def test_p_values_rank_pairs(spark):
     rng = np.random.default_rng(0)
     ens = spark.createDataFrame([(float(q), float(s)) for q, s in zip(rng.normal(size=200), rng.integers(5, 9, 200), strict=True)], "q double, s double")
