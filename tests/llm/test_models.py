@@ -81,6 +81,43 @@ def test_labelled_sample_is_bounded_and_respects_folds(spark):
     assert all(labelled.fold_of(int(t.split()[1]) // 2, 3) != 1 for t in texts)
 
 
+def test_toxic_model_counts_every_labelled_text(spark):
+    """7,000 texts of both labels: word counts, lexicon and curve equal those of the lists."""
+    rng = random.Random(4)
+    rows = [(k, f"{prose(rng, 3)} {' '.join(c + ''.join(chr(97 + int(d)) for d in str(k)) for c in 'uvwxyz')} {rng.choice(['idiot', 'moron', 'm0r0n', 'ba']) if k % 2 else ''}", k % 2) for k in range(7000)]
+    docs, labels = spark.createDataFrame(rows, "doc_id long, text string, toxic int").repartition(3), spark.createDataFrame([(k, y) for k, _, y in rows], "doc_id long, toxic int")
+    model = toxicity.fit_from(docs.select("doc_id", "text"), labels)
+    used = [(t, float(y)) for k, t, y in rows if labelled.fold_of(k, 5) != 0]
+    lowered, y = [t.lower() for t, _ in used], np.array([y for _, y in used])
+    lead = toxicity._leaders(lowered, y)
+    lowered, y = [lowered[k] for k in lead], y[lead]
+    words = [toxicity._letters.findall(t) for t in lowered]
+    plain = toxicity.CharModel.fit(toxicity.Counter(w for ws in words for w in ws))
+    assert len(lead) > 5300 and model.lm.counts == plain.counts and model.lm.alphabet == plain.alphabet
+    lexicon = toxicity._lexicon([set(ws) for ws in words], y)
+    strong = lambda known: {k: v for k, v in known.items() if v > 0}
+    assert strong(model.lexicon) == pytest.approx(strong(lexicon)) and "moron" in model.lexicon and set(model.lexicon) >= set(lexicon)
+    assert (model.score(["ti se moron", "m0r0n"]) > 0.5).all() and model.score(["ti se ra", ""]).max() < 0.5
+
+
+def test_quality_model_learns_from_every_labelled_text(spark):
+    """Dictionaries of many groups, merged twice; the curve of all rows of the other half."""
+    rng = random.Random(8)
+    rows = [(k, prose(rng, 60) if k % 2 else " ".join(w + rng.choice(["***", "$$$"]) for w in prose(rng, 40).split()), k % 2) for k in range(1500)]
+    docs, labels = spark.createDataFrame(rows, "doc_id long, text string, quality int").repartition(3), spark.createDataFrame([(k, y) for k, _, y in rows], "doc_id long, quality int")
+    model = quality_classifier.fit_from(docs.select("doc_id", "text"), labels, group_bytes=4000, fan=8)
+    texts, share = labelled.labelled_texts(docs.select("doc_id", "text"), labels, "quality", 3, 1)
+    got = texts.collect()
+    assert sorted(r["_id"] for r in got) == [k for k, _, _ in rows if labelled.fold_of(k, 3) != 1] and model.default == pytest.approx(share)
+    rest = [r for r in got if r["half"] == 1]
+    y = np.array([float(r["y"]) for r in rest])
+    assert model.weights == pytest.approx(labelled.fit_logistic(model.features([r["text"] for r in rest]), y, 1e-4), rel=1e-4, abs=1e-5)
+    held = [(t, y) for k, t, y in rows if labelled.fold_of(k, 3) == 1]
+    assert ((model.score([t for t, _ in held]) >= 0.5) == np.array([y == 1 for _, y in held])).mean() > 0.95
+    one = quality_classifier.fit_from(docs.select("doc_id", "text"), labels.where("quality = 1"))
+    assert one.score(["a"])[0] > 0.99 and quality_classifier.fit_from(docs.select("doc_id", "text"), labels.limit(0)).score(["a", None]).tolist() == [0.5, 0.5]
+
+
 def test_viterbi_and_marginals_against_enumeration():
     """All labellings of short chains: the best one, the likelihood and its gradient."""
     rng = np.random.default_rng(3)
