@@ -53,11 +53,16 @@ def profiled(rows: DataFrame, profiles: DataFrame, end: str) -> DataFrame:
     return rows.join(profiles.select(F.col("node").alias(end), F.col("n").alias(f"n_{end}"), F.col("parity").alias(f"p_{end}")), end)
 
 
-def verify(pairs: DataFrame, sets: DataFrame, differences: bool = False) -> DataFrame:
+def verify(pairs: DataFrame, sets: DataFrame, differences: bool = False, names: DataFrame | None = None) -> DataFrame:
     """a, b, inter, n_a, n_b of each pair of nodes, from their full sets; with
-    differences also lacks (items of b that a lacks) and adds (items of a beyond b)."""
-    left = pairs.join(sets.select(F.col("node").alias("a"), F.col("items").alias("xs")), "a")
-    both = left.join(sets.select(F.col("node").alias("b"), F.col("items").alias("ys")), "b")
+    differences also lacks (items of b that a lacks) and adds (items of a beyond b). With
+    names(node, digest), sets are found by their digest."""
+    key, x, y = ("node", "a", "b") if names is None else ("digest", "_da", "_db")
+    if names is not None:
+        for end, name in (("a", x), ("b", y)):
+            pairs = pairs.join(names.select(F.col("node").alias(end), F.col("digest").alias(name)), end)
+    left = pairs.join(sets.select(F.col(key).alias(x), F.col("items").alias("xs")), x)
+    both = left.join(sets.select(F.col(key).alias(y), F.col("items").alias("ys")), y)
     more = [F.array_except("ys", "xs").alias("lacks"), F.array_except("xs", "ys").alias("adds")] if differences else []
     return both.select("a", "b", F.size(F.array_intersect("xs", "ys")).cast("long").alias("inter"), F.size("xs").cast("long").alias("n_a"), F.size("ys").cast("long").alias("n_b"), *more)
 
@@ -105,25 +110,27 @@ def possible_around_pivots(around: DataFrame, profiles: DataFrame, num: int, den
     return found.select("a", "b").distinct()
 
 
-def dealt(sets: DataFrame) -> DataFrame:
-    """sets by node, once for all comparisons; lost parts are read and dealt again."""
+def dealt(sets: DataFrame, key: str = "node") -> DataFrame:
+    """sets by their key, once for all comparisons, digests that repeat once; lost parts are read and dealt again."""
     if sets.is_cached:
         return sets
     parts = int(sets.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return sets.repartition(parts, "node").persist(StorageLevel.MEMORY_AND_DISK)
+    placed = sets.repartition(parts, key)
+    return (placed if key == "node" else placed.dropDuplicates([key])).persist(StorageLevel.MEMORY_AND_DISK)
 
 
-def connected(shared: DataFrame, sets: DataFrame, num: int, den: int, known: DataFrame | None = None, profiles: DataFrame | None = None) -> DataFrame:
+def connected(shared: DataFrame, sets: DataFrame, num: int, den: int, known: DataFrame | None = None, profiles: DataFrame | None = None, names: DataFrame | None = None) -> DataFrame:
     """node, comp (the smallest node it reaches over links) of the nodes with a link.
     shared(bucket, node, pivot, members) has a row for each node of each bucket of two or
     more; sets(node, items) those nodes' sets; known(a, b) are links found before,
-    profiles(node, n, parity) the sets' sizes and parity bits."""
+    profiles(node, n, parity) the sets' sizes and parity bits. With names(node, digest), sets
+    has digests in place of nodes."""
     sets = dealt(sets)
 
     def links_of(pairs: DataFrame, step: int) -> DataFrame:
         if profiles is not None:
             pairs = profiled(profiled(pairs, profiles, "a"), profiles, "b").where(may_link(num, den)).select("a", "b")
-        return stored(verify(stored(pairs, f"pairs-{step}"), sets).where(linked(num, den)).select("a", "b"), f"links-{step}")
+        return stored(verify(stored(pairs, f"pairs-{step}"), sets, names=names).where(linked(num, den)).select("a", "b"), f"links-{step}")
 
     first = stored(shared.where("node <> pivot").groupBy("node").agg(F.min("pivot").alias("b")).select(F.col("node").alias("a"), "b"), "first-pairs")
     tested = links_of(first, 1)
@@ -155,7 +162,7 @@ def connected(shared: DataFrame, sets: DataFrame, num: int, den: int, known: Dat
     still = still_open(still.drop("comp", "pivot_comp"), 4)
     around = still.where("node <> pivot").select(F.col("node").alias("a"), F.col("pivot").alias("b"), "comp", "pivot_comp").distinct()
     if profiles is None:
-        apart = stored(verify(around.select("a", "b"), sets, differences=True), "differences")
+        apart = stored(verify(around.select("a", "b"), sets, differences=True, names=names), "differences")
         last = links_around_pivots(stored(around.join(apart, ["a", "b"]), "placed"), num, den)
     else:
         last = links_of(possible_around_pivots(stored(around, "around"), profiles, num, den), 4)

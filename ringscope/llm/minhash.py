@@ -127,10 +127,13 @@ def full_sets(docs: DataFrame, size: int) -> DataFrame:
     return docs.mapInPandas(collect, "_rk long, digest binary, items array<long>")
 
 
-def sets_of(wanted: DataFrame, source: DataFrame, size: int) -> DataFrame:
-    """node, items of wanted(node, digest, _rk), from the texts of source(_rk, text). Texts
-    are probed where they are read, and sets made of few more than are wanted."""
+def sets_of(wanted: DataFrame, source: DataFrame, size: int, key: str = "node") -> DataFrame:
+    """key, items of wanted(node, digest, _rk), from the texts of source(_rk, text). Texts
+    are probed where they are read, and sets made of few more than are wanted. With the
+    digest as key, repeated digests stay and the few sets beyond those wanted."""
     texts = probed(source.select("_rk", "text"), wanted, "_rk")
+    if key == "digest":
+        return full_sets(texts, size)
     # a digest is one node; dealt by it once, for both
     return full_sets(texts, size).dropDuplicates(["digest"]).join(wanted, "digest").select("node", "items")
 

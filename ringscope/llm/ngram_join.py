@@ -116,28 +116,29 @@ def key_of(digest: bytes) -> int:
 
 
 def described(docs: DataFrame, id_type: str, size: int, width: int = COUNTERS) -> DataFrame:
-    """From _row, _id, _rk, text: these with n_shingles, digest and key, and a row (chunk,
-    counts) for each chunk of the counters that a task has raised."""
+    """From _row, _id, _rk, text: these with n_shingles, digest, key and parity, and a row
+    (chunk, counts) for each chunk of the counters that a task has raised."""
 
     def describe(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         table, step = np.zeros(width, dtype=np.int32), min(CHUNK, width)
         for pdf in batches:
-            n, digest, key = [], [], []
+            n, digest, key, odd = [], [], [], []
             for text in pdf.pop("text"):
                 x = shingle_set(text, size)
                 n.append(len(x))
                 digest.append(hashlib.blake2b(x.tobytes(), digest_size=16).digest())
                 key.append(key_of(digest[-1]))
+                odd.append(parity(x))
                 np.add.at(table, counters(x, width), 1)
-            yield pdf.assign(n_shingles=n, digest=digest, key=key, chunk=pd.array([None] * len(n), dtype="Int32"), counts=None)
+            yield pdf.assign(n_shingles=n, digest=digest, key=key, parity=odd, chunk=pd.array([None] * len(n), dtype="Int32"), counts=None)
         flat = table.reshape(-1, step)
         some = np.flatnonzero(flat.any(axis=1))
         for part in np.array_split(some, max(1, len(some) // 64)):
             none = pd.array([None] * len(part), dtype="Int64")
-            yield pd.DataFrame({"_row": none, "_id": pd.Series([None] * len(part), dtype=object), "_rk": none, "n_shingles": none, "digest": None, "key": none, "chunk": pd.array(part, dtype="Int32"), "counts": [packed(flat[i]) for i in part]})
+            yield pd.DataFrame({"_row": none, "_id": pd.Series([None] * len(part), dtype=object), "_rk": none, "n_shingles": none, "digest": None, "key": none, "parity": None, "chunk": pd.array(part, dtype="Int32"), "counts": [packed(flat[i]) for i in part]})
         give_back()
 
-    return docs.mapInPandas(describe, f"_row long, _id {id_type}, _rk long, n_shingles long, digest binary, key long, chunk int, counts binary")
+    return docs.mapInPandas(describe, f"_row long, _id {id_type}, _rk long, n_shingles long, digest binary, key long, parity array<long>, chunk int, counts binary")
 
 
 def packed(counts: np.ndarray) -> bytes:
@@ -172,7 +173,7 @@ def class_counts(rows: DataFrame, width: int = COUNTERS) -> np.ndarray:
 
 
 def signed(docs: DataFrame, counts: np.ndarray, frequent: int, size: int, num: int, den: int) -> DataFrame:
-    """From text: digest, key, n, parity and signatures of each text with words."""
+    """From text: key and signatures of each text with words."""
     table, width = docs.sparkSession.sparkContext.broadcast(counts), len(counts)
 
     def sign(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -182,12 +183,11 @@ def signed(docs: DataFrame, counts: np.ndarray, frequent: int, size: int, num: i
                 x = shingle_set(text, size)
                 if len(x):
                     found = prefix_signatures(x, table.value[counters(x, width)], frequent, num, den)
-                    digest = hashlib.blake2b(x.tobytes(), digest_size=16).digest()
-                    out.append((digest, key_of(digest), len(x), parity(x), found.view(np.int64)))
-            yield pd.DataFrame(out, columns=["digest", "key", "n", "parity", "signatures"])
+                    out.append((key_of(hashlib.blake2b(x.tobytes(), digest_size=16).digest()), found.view(np.int64)))
+            yield pd.DataFrame(out, columns=["key", "signatures"])
         give_back()
 
-    return docs.select("text").mapInPandas(sign, "digest binary, key long, n long, parity array<long>, signatures array<long>")
+    return docs.select("text").mapInPandas(sign, "key long, signatures array<long>")
 
 
 def buckets(signatures: DataFrame) -> DataFrame:
@@ -226,10 +226,9 @@ def similar_sets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     lowest = F.min(F.struct(F.col("_id").isNull().alias("none"), F.col("_id").alias("id")))
     nodes = stored(rows.where("n_shingles > 0").groupBy("digest").agg(F.min("_row").alias("node"), lowest.alias("low"), F.min_by("_rk", "_row").alias("_rk"), F.first("key").alias("key")), "nodes")
 
-    signatures = stored(signed(source, counts, often, shingle, num, den), "signatures")
-    shared = stored(buckets(signatures), "buckets")
+    shared = stored(buckets(signed(source, counts, often, shingle, num, den)), "buckets")
     placed = nodes.select("digest", "key", "node").join(shared.select("key").distinct(), "key", "left_semi").drop("key")
-    profiles = stored(signatures.select("digest", "key", "n", "parity").join(placed, "digest").dropDuplicates(["node"]).drop("digest"), "profiles")
+    profiles = stored(table.where("n_shingles > 0").select("digest", "key", F.col("n_shingles").alias("n"), "parity").join(placed, "digest").dropDuplicates(["node"]).drop("digest"), "profiles")
     shared = stored(shared.join(profiles.select("key", "node"), "key").select("bucket", "node", "members"), "node-buckets")
 
     pairs = stored(possible_pairs(shared, profiles.select("node", "n", "parity"), num, den), "possible-pairs")
@@ -237,9 +236,9 @@ def similar_sets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     large = stored(large.join(large.groupBy("bucket").agg(F.min("node").alias("pivot")), "bucket"), "large-buckets")
     ends = pairs.select(F.explode(F.array("a", "b")).alias("node")).union(large.select("node")).distinct()
     wanted = stored(nodes.select("node", "digest", "_rk").join(ends, "node", "left_semi"), "wanted")
-    sets = dealt(stored(sets_of(wanted, source, shingle), "sets"))
-    known = stored(verify(pairs, sets).where(linked(num, den)).select("a", "b"), "known-links")
-    comp = connected(large, sets, num, den, known, profiles.select("node", "n", "parity"))
+    sets, names = dealt(sets_of(wanted, source, shingle, "digest"), "digest"), wanted.select("node", "digest")
+    known = stored(verify(pairs, sets, names=names).where(linked(num, den)).select("a", "b"), "known-links")
+    comp = connected(large, sets, num, den, known, profiles.select("node", "n", "parity"), names)
 
     marked = stored(nodes.select("digest", "node", "low").join(comp, "node", "left").select("digest", F.coalesce("comp", "node").alias("comp"), "low"), "labelled")
     smallest = marked.groupBy("comp").agg(F.min("low").alias("low")).select("comp", F.col("low.id").alias("component_id"))

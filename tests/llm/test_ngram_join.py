@@ -112,3 +112,15 @@ def test_nulls_repeats_and_nothing(spark):
     assert rows == [(-1, -1, 0), (-1, 4, 1), (4, 4, 1), (4, 4, 1), (7, 7, 0), (8, 8, 0)]
     assert ngram_join.similar_sets(df.limit(0)).count() == 0
     assert ngram_join.similar_sets(df.where("text is null")).count() == 2
+
+
+def test_signatures_and_sets_are_dealt_without_a_table(spark, monkeypatch):
+    """Neither the signatures nor the sets are written beside their shuffle; near copies, exact
+    copies and texts of other words still find each other."""
+    names, store = {}, ngram_join.stored
+    monkeypatch.setattr(ngram_join, "stored", lambda df, name: names.setdefault(name, df.columns) and None or store(df, name))
+    base = [f"w{k}" for k in range(60)]
+    rows = [(9, " ".join(base)), (4, " ".join(base + ["x"])), (7, " ".join(base)), (5, " ".join(base[::-1])), (6, "a b"), (3, None), (8, " ".join(base[::-1] + ["y"]))]
+    got = {r.doc_id: r.component_id for r in ngram_join.similar_sets(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {9: 4, 4: 4, 7: 4, 5: 5, 8: 5, 6: 6, 3: 3}
+    assert "described" in names and not any({"signatures", "items"} & set(columns) for columns in names.values())
