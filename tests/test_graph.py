@@ -607,3 +607,61 @@ def test_shared_orders_are_dealt_by_the_lines(spark, tmp_path, monkeypatch):
             expected[a, b] = expected.get((a, b), 0) + 1
     assert {(r.src, r.dst): r.w for r in found.collect()} == expected and found.count() == len(expected)
     assert "hashpartitioning(src" in (plan := found._jdf.queryExecution().executedPlan().toString()) and ", 10)" in plan
+
+
+def hubs_and_leaves(hubs, leaves, deg, seed):
+    rng = np.random.default_rng(seed)
+    return ideal(hubs, hubs) + [(int(h), leaf, 1.0) for leaf in range(hubs, hubs + leaves) for h in rng.choice(hubs, deg, replace=False)]
+
+
+def test_km_is_no_worse_than_the_pair_of_lip(spark, monkeypatch):
+    """Hubs with leaves, where moves from single-node groups stop short of the one pair; as
+    tasks and in rounds, and no node can gain in what the rounds end with."""
+    for pairs, rounds in ((hubs_and_leaves(6, 80, 3, 1), False), (hubs_and_leaves(4, 60, 2, 0), True)):
+        if rounds:
+            monkeypatch.setattr(detect.batches, "NODES", 0)
+        g = graph_of(spark, pairs).settled()
+        found = detect.km_er(g).localCheckpoint()
+        lip = sweeps.lip(g).select("g", "node", F.lit(0).cast("long").alias("c"), "x")
+        assert sum(only(scores.km_er(g, found))) >= sum(only(scores.km_er(g, lip))) - 1e-9
+        best = detect.move_gains(g, found, "km_er").groupBy("node").agg(F.max("gain").alias("top"), F.max(F.when((F.col("to_c") == F.col("c")) & (F.col("to_x") == F.col("x")), F.col("gain"))).alias("stay"))
+        assert all(r.top <= r.stay + 1e-8 for r in best.collect())
+
+
+def test_kernels_of_one_task():
+    """Eigenvalues with restarts of a narrow basis, ranks that no swap improves, and ids of any size."""
+    batches, rng, n = detect.batches, np.random.default_rng(5), 120
+    pairs = [(i, j, float(rng.integers(-1, 4))) for i in range(n) for j in range(i, n) if rng.random() < 0.1]
+    both = [(i, j, w) for i, j, w in pairs] + [(j, i, w) for i, j, w in pairs if i != j]
+    src, dst, w = (np.array(c) for c in zip(*both, strict=True))
+    a, dense = batches.Matrix(np.arange(n), {"src": src, "dst": dst, "w": w}), matrix(pairs, n)
+    import pandas as pd
+
+    rows = pd.DataFrame({"g": 0, "node": np.arange(n), "r": a.d})
+    values, width = np.linalg.eigvalsh(dense), batches.WIDTH
+    batches.WIDTH = 9
+    try:
+        found = batches.extremes(a, lambda values: np.array([0, 1]), 2, 1e-9, 0)
+    finally:
+        batches.WIDTH = width
+    assert [found["e0"][0], found["e1"][0]] == pytest.approx(values[:2].tolist())
+    ranks = batches.best_ranks(a, rows, 0.5, 0.8)
+    assert all_gains(dense - np.diag(np.diag(dense)), ranks["x"]).max() < 1e-9 and ranks["q"][0] == pytest.approx(ranks["x"] @ dense @ ranks["x"])
+    ids = np.arange(n) * (1 << 40) - 7
+    far = batches.Matrix(ids, batches._unpacked(next(iter(_packed_parts(batches, ids, src, dst, w)))))
+    assert np.array_equal(far.times(rows["r"].to_numpy()), a.times(rows["r"].to_numpy()))
+
+
+def _packed_parts(batches, ids, src, dst, w):
+    import pyarrow as pa
+
+    rows = pa.RecordBatch.from_arrays([pa.array(np.zeros(len(w)), pa.int32()), pa.array(ids[src]), pa.array(ids[dst]), pa.array(w)], ["g", "src", "dst", "w"])
+    return [b.to_pandas() for b in batches._pack([rows])]
+
+
+def test_rank_two_degrees_of_many_chunks(spark):
+    """Every chunk of points meets every other one; none is compared by a join of single points."""
+    a, b = np.random.default_rng(3).normal(size=(2, 90))
+    points = spark.createDataFrame([(0, i, float(x), float(y)) for i, (x, y) in enumerate(zip(a, b, strict=True))], "g int, node long, a double, b double")
+    rows = detect.entries_above(points, 1.5, -0.7, chunk=8)
+    assert {r.node: r.v for r in rows.collect()} == dict(enumerate((1.5 * np.outer(a, a) - 0.7 * np.outer(b, b) > 0.5).sum(1)))
