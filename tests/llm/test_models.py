@@ -100,6 +100,21 @@ def test_toxic_model_counts_every_labelled_text(spark):
     assert (model.score(["ti se moron", "m0r0n"]) > 0.5).all() and model.score(["ti se ra", ""]).max() < 0.5
 
 
+def test_toxic_model_takes_every_different_text_and_word(spark):
+    """31,000 words of one text each enter the language model; texts that only share the words
+    of least hash are no copies, those that only differ in case and white space are."""
+    texts = ["ba no ti idiot", "BA  no\tti idiot", *(f"ba no ti ra se lo {'idiot' if k % 2 else 'ra'} w{chr(97 + k % 26)}{'abcdefghij'[k // 26 % 10]}" for k in range(200))]
+    y = np.array([1.0, 1.0, *(k % 2 for k in range(200))])
+    rows = [(k, t, int(v)) for k, (t, v) in enumerate(zip(texts, y, strict=True))]
+    lead = toxicity.leaders(spark.createDataFrame([(k, v, k % 2, t) for k, t, v in rows], "_id long, y int, half int, text string")).collect()
+    assert sorted(r._id for r in lead) == toxicity._leaders([t.lower() for t in texts], y) == [0, *range(2, 202)]
+    words = toxicity.Counter({"x" + "".join(chr(97 + int(d)) for d in str(k)): 1 for k in range(31_000)})
+    lm = toxicity.CharModel.fit(words)
+    assert lm.counts[" "] == 31_000
+    found = toxicity.counted_sequences(spark.createDataFrame(list(words.items()), "word string, n long")).collect()
+    assert {r.key: r.n for r in found} == lm.counts
+
+
 def test_quality_model_learns_from_every_labelled_text(spark):
     """Dictionaries of many groups, merged twice; the curve of all rows of the other half."""
     rng = random.Random(8)
