@@ -665,3 +665,27 @@ def test_rank_two_degrees_of_many_chunks(spark):
     points = spark.createDataFrame([(0, i, float(x), float(y)) for i, (x, y) in enumerate(zip(a, b, strict=True))], "g int, node long, a double, b double")
     rows = detect.entries_above(points, 1.5, -0.7, chunk=8)
     assert {r.node: r.v for r in rows.collect()} == dict(enumerate((1.5 * np.outer(a, a) - 0.7 * np.outer(b, b) > 0.5).sum(1)))
+
+
+def test_qstest_holds_a_group_of_replicates_at_a_time(spark, monkeypatch):
+    """Seven replicates in groups of three: each group has random graphs of its own, and of
+    the tables before only those of the qualities are there when the next is drawn."""
+    from pathlib import Path
+
+    from ringscope import storage
+
+    g = graph_of(spark, ideal(4, 14)).settled()
+    monkeypatch.setattr(significance, "GROUP_EDGES", 3 * g.edges.count())
+    folder, seen = Path(storage.shared_folder(spark).removeprefix("file://")), []
+    assignment = detect.lip(g).localCheckpoint()
+
+    def null_model(graph, n, seed):
+        seen.append((n, seed, len(list(folder.iterdir()))))
+        return null_models.erdos_renyi(graph, n, seed)
+
+    def degree_sizes(labels):
+        return scores.size_n(labels)
+
+    found = significance.qstest(g, assignment, detect.lip, scores.be, degree_sizes, null_model, n_reps=7, seed=2).collect()
+    assert [n for n, _, _ in seen] == [3, 3, 1] and len({s for _, s, _ in seen}) == 3 and len(found) == 1
+    assert [tables - seen[0][2] for _, _, tables in seen] == [0, 1, 2]
